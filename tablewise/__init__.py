@@ -1,0 +1 @@
+"""Automated analysis of tables at scale with Spark DataFrames."""
