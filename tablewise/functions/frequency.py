@@ -7,27 +7,25 @@ from pyspark.sql import DataFrame, functions as F
 from ..schema import as_double, present
 
 
-def long_values(df: DataFrame, columns: list[str], as_type: str = "string") -> DataFrame:
-    """One row per cell: (column, value), with missing cells as NULL."""
-    pick = as_double if as_type == "double" else present
-    cells = [
-        F.struct(F.lit(c).alias("column"), pick(df, c).cast(as_type).alias("value"))
-        for c in columns
-    ]
-    return df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.column", "cell.value")
-
-
 def frequency_table(df: DataFrame, columns: list[str], as_type: str = "string") -> DataFrame:
     """(column, value, n) with one row per distinct value, NULL included.
 
-    Counts are combined before the shuffle, so a value that fills most of a column arrives as one
-    partial count per input split.
+    Columns are numbered during the aggregation, which keeps the grouping key short. Counts are
+    combined before the shuffle, so a value that fills most of a column arrives as one partial
+    count per input split.
     """
-    return (
-        long_values(df, columns, as_type)
-        .groupBy("column", "value")
+    pick = as_double if as_type == "double" else present
+    cells = [
+        F.struct(F.lit(i).alias("id"), pick(df, c).cast(as_type).alias("value"))
+        for i, c in enumerate(columns)
+    ]
+    counts = (
+        df.select(F.inline(F.array(*cells)))
+        .groupBy("id", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    names = F.array(*[F.lit(c) for c in columns])
+    return counts.select(F.get(names, F.col("id")).alias("column"), "value", "n")
 
 
 def summarise_frequencies(freq: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-BROADCAST_ROWS = 200_000  # narrow lookup tables up to this many rows are broadcast
+BROADCAST_ROWS = 1_000_000  # narrow lookup tables up to this many rows are broadcast
 HOT_SHARE = 2_000  # a key holding more than 1/2000 of the rows is hot: at most 2000 keys are
 
 

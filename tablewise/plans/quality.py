@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.parse import currency_text, text_to_number, text_to_timestamp
-from ..functions.staging import staging_root
+from ..functions.staging import stage_table, staging_root
 from ..operators import audit, clean, describe, isolation, outliers, report, tighten
 from ..operators.correlation import correlations, top_correlations
 from ..schema import normalise_missing, numeric_columns, role_summary
@@ -503,8 +503,9 @@ _NUMBERS = ["o_orderkey", "o_custkey", "price", "price_text", "empty_num", "cons
 
 @query("clean_cap_describe", f"WITH {_CAPPED} {_describe_rows('capped', _NUMBERS)}")
 def clean_cap_describe(spark, sf):
-    cleaned = clean.clean_table(orders_dirty(spark, sf)).table
-    treated = outliers.treat_outliers(cleaned, numeric_columns(cleaned)).table
+    # The cleaned and the treated table are kept between the steps, as a user of them would.
+    cleaned = stage_table(clean.clean_table(orders_dirty(spark, sf)).table)
+    treated = stage_table(outliers.treat_outliers(cleaned, numeric_columns(cleaned)).table)
     return rounded(describe.describe_numeric(treated, _NUMBERS), 4)
 
 

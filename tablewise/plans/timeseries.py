@@ -40,15 +40,22 @@ _FILLED = (
 )
 
 
+# Means of cents often end in exactly half a cent, where rounding depends on the last bit; both
+# sides move them by this much before rounding.
+_OFF_TIE = 0.00001
+
+
 def _resample_sql(freq: str, agg: str) -> str:
     grid = grid_sql("orders", "o_orderdate", "o_totalprice", freq, agg)
-    return f"WITH {grid}, {_FILLED} SELECT ts, pos AS position, {r('y', 2)} AS y FROM filled"
+    y = r("y" if agg == "sum" else f"y + {_OFF_TIE}", 2)
+    return f"WITH {grid}, {_FILLED} SELECT ts, pos AS position, {y} AS y FROM filled"
 
 
 def _resample(freq, agg):
     def run(spark, sf):
         df = table(spark, sf, "orders")
-        return rounded(series.resample_series(df, "o_orderdate", "o_totalprice", freq, agg), 2)
+        out = series.resample_series(df, "o_orderdate", "o_totalprice", freq, agg)
+        return rounded(out if agg == "sum" else out.withColumn("y", F.col("y") + _OFF_TIE), 2)
 
     return run
 
