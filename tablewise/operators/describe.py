@@ -131,10 +131,10 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
         )
     width = (hi - lo) / bins
     # The maximum belongs to the last bin.
-    at = F.least(F.width_bucket(x, F.lit(lo), F.lit(hi), F.lit(bins)), F.lit(bins)).cast("int")
+    bucket = F.width_bucket(x, F.lit(lo), F.lit(hi), F.lit(bins))
     counts = (
-        df.select(at.alias("bin"))
-        .where("bin IS NOT NULL")
+        df.where(x.isNotNull())
+        .select(F.least(bucket, F.lit(bins)).cast("int").alias("bin"))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("count"))
     )
