@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import as_double, present
 
 
-def frequency_table(df: DataFrame, columns: list[str], as_type: str = "string") -> DataFrame:
-    """(column, value, n) with one row per distinct value, NULL included.
+def value_counts_by_id(df: DataFrame, inputs: list[Column]) -> DataFrame:
+    """(id, value, n): distinct values of every input expression, which must share a type.
 
-    Columns are numbered during the aggregation, which keeps the grouping key short. Counts are
-    combined before the shuffle, so a value that fills most of a column arrives as one partial
-    count per input split.
+    Inputs are numbered, which keeps the grouping key short. Counts are combined before the
+    shuffle, so a value that fills most of a column arrives as one partial count per input split.
     """
-    pick = as_double if as_type == "double" else present
-    cells = [
-        F.struct(F.lit(i).alias("id"), pick(df, c).cast(as_type).alias("value"))
-        for i, c in enumerate(columns)
-    ]
-    counts = (
+    cells = [F.struct(F.lit(i).alias("id"), x.alias("value")) for i, x in enumerate(inputs)]
+    return (
         df.select(F.inline(F.array(*cells)))
         .groupBy("id", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+def frequency_table(df: DataFrame, columns: list[str], as_type: str = "string") -> DataFrame:
+    """(column, value, n) with one row per distinct value, NULL included."""
+    pick = as_double if as_type == "double" else present
+    counts = value_counts_by_id(df, [pick(df, c).cast(as_type) for c in columns])
     names = F.array(*[F.lit(c) for c in columns])
     return counts.select(F.get(names, F.col("id")).alias("column"), "value", "n")
 

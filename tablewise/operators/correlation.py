@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.frequency import frequency_table
+from ..functions.frequency import value_counts_by_id
 from ..functions.lookup import attach
 from ..functions.ranks import average_ranks
 from ..functions.staging import stage_table
-from ..schema import as_double, numeric_columns
+from ..schema import as_double, col, numeric_columns
 
 TOP_PAIRS = 5  # fixed value
 PAIRS_PER_JOB = 120
@@ -63,44 +64,63 @@ def pearson_values(df: DataFrame, inputs: dict[str, Column]) -> Pairs:
     return out
 
 
-def ranked_rows(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace columns without missing values by their average ranks.
+@dataclass
+class RankTables:
+    """Staged (id, value, n, rank) of several inputs, with each input's length and row count."""
 
-    Ranks are computed on the distinct values of all columns together; attaching them broadcasts
-    short rank tables and splits frequent values of long ones.
-    """
-    ranks = stage_table(
-        average_ranks(frequency_table(df, columns, "double"), "value", "n", ["column"])
-    )
-    sizes = {
-        r["column"]: (r["k"], r["n"])
-        for r in ranks.groupBy("column").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).collect()
-    }
-    rows = df.select(*[as_double(df, c).alias(c) for c in columns])
-    for i, c in enumerate(columns):
-        k, n = sizes[c]
-        table = ranks.where(F.col("column") == c).select(
-            F.col("value").alias("_value"), F.col("n").alias("_weight"), F.col("rank").alias(f"_r{i}")
+    ranks: DataFrame
+    sizes: dict[int, tuple[int, int]]
+
+    @classmethod
+    def of(cls, df: DataFrame, inputs: list[Column]) -> RankTables:
+        """Rank the distinct values of all inputs together, missing cells apart."""
+        freq = value_counts_by_id(df, inputs).where("value IS NOT NULL")
+        ranks = stage_table(average_ranks(freq, "value", "n", ["id"]))
+        sizes = ranks.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+        return cls(ranks, {r["id"]: (r["k"], r["n"]) for r in sizes.collect()})
+
+    def attach(self, rows: DataFrame, name: str, i: int) -> DataFrame:
+        """Replace column ``name`` by its ranks; short tables are broadcast, hot values split."""
+        k, n = self.sizes.get(i, (0, 0))
+        table = self.ranks.where(F.col("id") == i).select(
+            F.col("value").alias("_value"), F.col("n").alias("_weight"), F.col("rank").alias("_rank")
         )
-        rows = attach(rows.withColumnRenamed(c, "_value"), table, ["_value"], "_weight", k, n)
-        rows = rows.drop("_value", "_weight")
-    return rows.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(columns)])
+        joined = attach(rows.withColumnRenamed(name, "_value"), table, ["_value"], "_weight", k, n)
+        return joined.drop("_value", "_weight").withColumnRenamed("_rank", name)
+
+
+def ranked_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Replace double columns without missing values by their average ranks."""
+    rows = df.select(*[col(c) for c in columns])
+    tables = RankTables.of(rows, [col(c) for c in columns])
+    for i, c in enumerate(columns):
+        rows = tables.attach(rows, c, i)
+    return rows.select(*[col(c) for c in columns])
 
 
 def spearman_values(df: DataFrame, columns: list[str]) -> Pairs:
-    """Spearman coefficients; pairs with missing cells are ranked on their common rows."""
+    """Spearman coefficients; pairs with missing cells are ranked on their common rows.
+
+    Columns without missing cells are ranked once. All other pairs are ranked together, each on
+    its own rows, so their number adds joins but no further rank computation.
+    """
     plain = df.select(*[as_double(df, c).alias(c) for c in columns])
-    row = plain.agg(F.count(F.lit(1)), *[F.count(F.col(f"`{c}`")) for c in columns]).first()
+    row = plain.agg(F.count(F.lit(1)), *[F.count(col(c)) for c in columns]).first()
     full = [c for i, c in enumerate(columns) if row[i + 1] == row[0]]
     out: Pairs = {}
-    if len(full) > 1 and row[0]:
-        ranked = ranked_rows(plain, full)
-        out.update(pearson_values(ranked, {c: F.col(f"`{c}`") for c in full}))
-    for a, b in combinations(columns, 2):
-        if (a, b) not in out:
-            both = plain.select(a, b).na.drop()
-            values = ranked_rows(both, [a, b]) if both.limit(1).count() else both
-            out[(a, b)] = pearson_values(values, {a: F.col(f"`{a}`"), b: F.col(f"`{b}`")})[(a, b)]
+    if len(full) > 1:
+        out.update(pearson_values(ranked_rows(plain, full), {c: col(c) for c in full}))
+    gaps = [pair for pair in combinations(columns, 2) if pair not in out]
+    if gaps:
+        inputs = []
+        for a, b in gaps:
+            both = col(a).isNotNull() & col(b).isNotNull()
+            inputs += [F.when(both, col(a)), F.when(both, col(b))]
+        tables = RankTables.of(plain, inputs)
+        for j, (a, b) in enumerate(gaps):
+            rows = plain.select(col(a).alias("a"), col(b).alias("b")).na.drop()
+            rows = tables.attach(tables.attach(rows, "a", 2 * j), "b", 2 * j + 1)
+            out[(a, b)] = pearson_values(rows, {"a": F.col("a"), "b": F.col("b")})[("a", "b")]
     return {pair: out[pair] for pair in combinations(columns, 2)}
 
 

@@ -61,7 +61,8 @@ def isolation_scores(
 
     Missing cells are read as the column's median. Each tree is fitted in its own group on about
     ``SUBSAMPLE`` rows; the forest (at most 100 x 511 nodes) is broadcast to score every row. With
-    ``keys`` the sample depends on the row keys only, otherwise on the seed and the input splits.
+    ``keys`` (unique per row) the sample depends on the keys only, otherwise on the seed and the
+    input splits.
     """
     spark = df.sparkSession
     medians = exact_quantiles(df, {c: as_double(df, c) for c in columns}, [0.5])
@@ -77,6 +78,8 @@ def isolation_scores(
     pool_share = min(1.0, CANDIDATES / max(total, 1))
     tree_share = min(1.0, SUBSAMPLE / max(total * pool_share, 1.0))
     pool = rows.select("_vector", draw.alias("_draw")).where(F.col("_draw") < pool_share)
+    # Keys repeated against the contract would share one draw; the pool stays bounded all the same.
+    pool = pool.limit(4 * CANDIDATES)
 
     def fit(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
         members = members.sort_values("order")

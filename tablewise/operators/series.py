@@ -141,10 +141,13 @@ def resample_grid(
 
 def interpolate_gaps(series: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Fill missing ``y`` linearly by position, and with the nearest value at the ends."""
-    w = series_window(keys or []).orderBy("position")
+    w = series_window(keys or [])
     known = F.when(F.col("y").isNotNull(), F.struct("position", "y"))
-    before = F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # Both frames grow row by row; a frame that shrinks from the end would cost its square.
+    before = F.last(known, True).over(w.orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last(known, True).over(
+        w.orderBy(F.desc("position")).rowsBetween(Window.unboundedPreceding, 0)
+    )
     ends = series.withColumns({"_b": before, "_a": after})
     span = F.col("_a.position") - F.col("_b.position")
     share = F.try_divide((F.col("position") - F.col("_b.position")).cast("double"), span)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.frequency import frequency_table
 from ..functions.parse import text_to_number
 from ..functions.ranks import average_ranks
 from ..operators import correlation, describe, hypothesis
@@ -291,7 +290,8 @@ def correlation_matrix(spark, sf):
     f"(SELECT l_extendedprice, CAST({_rank('l_extendedprice')} AS DOUBLE) AS rk FROM lineitem) GROUP BY 1",
 )
 def average_rank(spark, sf):
-    freq = frequency_table(table(spark, sf, "lineitem"), ["l_extendedprice"], "double").drop("column")
+    prices = table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("value"))
+    freq = prices.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     return average_ranks(freq, "value", "n").select("value", "n", "rank")
 
 
