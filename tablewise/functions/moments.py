@@ -5,21 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def adjusted_skewness(x: Column) -> Column:
-    """Sample skewness: NULL below 3 values, 0 for a constant column."""
-    n = F.count(x).cast("double")
-    g = F.coalesce(F.skewness(x), F.lit(0.0))
-    return F.when(n >= 3, g * F.sqrt(n * (n - 1)) / (n - 2))
+def adjust_skewness(n: Column, g: Column) -> Column:
+    """Sample skewness from the population value: NULL below 3 values, 0 for a constant column."""
+    return F.when(n >= 3, F.coalesce(g, F.lit(0.0)) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def adjusted_kurtosis(x: Column) -> Column:
+def adjust_kurtosis(n: Column, g: Column) -> Column:
     """Sample excess kurtosis: NULL below 4 values, 0 for a constant column."""
-    n = F.count(x).cast("double")
-    g = F.kurtosis(x)
     value = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g + 6)
     return F.when(n >= 4, F.coalesce(value, F.lit(0.0)))
 
 
+def adjusted_skewness(x: Column) -> Column:
+    """Aggregate: sample skewness of ``x``."""
+    return adjust_skewness(F.count(x).cast("double"), F.skewness(x))
+
+
+def adjusted_kurtosis(x: Column) -> Column:
+    """Aggregate: sample excess kurtosis of ``x``."""
+    return adjust_kurtosis(F.count(x).cast("double"), F.kurtosis(x))
+
+
 def skewness_z(n: Column, g: Column) -> Column:
     """D'Agostino (1970) transform of the population skewness ``g`` of ``n`` values."""
     y = g * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))

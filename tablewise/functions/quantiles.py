@@ -5,7 +5,7 @@ column. Here a KLL sketch per column (merged in two levels) brackets each wanted
 counts the rows below every bracket and a second groups the few values inside, from which the
 exact order statistics are read. A bracket that misses its rank or holds too many distinct values
 is moved or narrowed and the scans repeat: counts decide, never the sketch, so the result does not
-depend on the sketch's accuracy. NaN needs no treatment: the sketch skips it and it sorts above
+depend on the sketch's accuracy. Both scans are parts of one job. NaN needs no treatment: the sketch skips it and it sorts above
 every bracket.
 """
 
@@ -13,8 +13,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -128,6 +126,10 @@ def _sketch_values(
     return {key: (row[f"n{i}"], list(row[f"q{i}"] or [])) for i, key in enumerate(keys)}
 
 
+def _sql(v: float) -> str:
+    return f"{v!r}D" if math.isfinite(v) else f"double('{v}')"
+
+
 def _spans(searches: list[_Search]) -> list[tuple[str, float, float]]:
     return list(dict.fromkeys((s.column, s.lo, s.hi) for s in searches))
 
@@ -137,56 +139,50 @@ def _resolve(df: DataFrame, inputs: dict[str, Column], searches: list[_Search])
     spans = _spans(searches)
     names = list(dict.fromkeys(c for c, _, _ in spans))
     values = df.select(*[inputs[c].alias(f"x{names.index(c)}") for c in names])
-    x = {c: F.col(f"x{i}") for i, c in enumerate(names)}
-
-    below = dict.fromkeys(spans, 0)
-    bounded = [span for span in spans if span[1] > -math.inf]
-    if bounded:
-        row = values.agg(
-            *[F.count_if(x[c] < F.lit(lo)).alias(f"b{j}") for j, (c, lo, _) in enumerate(bounded)],
-            *[F.count_if(x[c] <= F.lit(hi)).alias(f"e{j}") for j, (c, _, hi) in enumerate(bounded)],
-        ).first()
-        for j, (c, lo, hi) in enumerate(bounded):
-            below[(c, lo, hi)] = row[f"b{j}"]
-            for s in searches:
-                # A bracket of one value needs no listing.
-                if (s.column, s.lo, s.hi) == (c, lo, hi) and lo == hi:
-                    if row[f"b{j}"] <= s.rank < row[f"e{j}"]:
-                        s.answer = lo
-
-    searches = [s for s in searches if s.answer is None]
-    spans = [span for span in _spans(searches) if span[1] < span[2]]
-    if not spans:
-        return
-    within = [x[c].between(lo, hi) for c, lo, hi in spans]
-    listed = (
-        values.where(reduce(or_, within))
-        .select(
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(F.lit(j).alias("j"), F.when(w, x[c]).alias("v"))
-                        for j, (w, (c, _, _)) in enumerate(zip(within, spans))
-                    ]
-                )
-            ).alias("e")
+    # One job: a row of counts per bracket, and the values inside the brackets worth listing.
+    # SQL text keeps the many small expressions cheap to build.
+    x = {c: f"x{i}" for i, c in enumerate(names)}
+    cells = [
+        f"struct({j} AS j, count_if({x[c]} < {_sql(lo)}) AS below, count_if({x[c]} <= {_sql(hi)}) AS n)"
+        for j, (c, lo, hi) in enumerate(spans)
+    ]
+    counted = values.agg(F.expr(f"array({', '.join(cells)})").alias("rows")).selectExpr("inline(rows)")
+    rows = counted.selectExpr("j", "CAST(NULL AS DOUBLE) AS v", "below", "n")
+    wide = {
+        j: f"{x[c]} BETWEEN {_sql(lo)} AND {_sql(hi)}"
+        for j, (c, lo, hi) in enumerate(spans)
+        if lo < hi
+    }
+    if wide:
+        hits = [
+            f"struct({j} AS j, CASE WHEN {w} THEN {x[spans[j][0]]} END AS v)" for j, w in wide.items()
+        ]
+        listed = (
+            values.where(" OR ".join(wide.values()))
+            .selectExpr(f"inline(array({', '.join(hits)}))")
+            .where("v IS NOT NULL")
+            .groupBy("j", "v")
+            .agg(F.expr("0L AS below"), F.expr("count(*) AS n"))
+            .limit(MAX_CANDIDATES + 1)
         )
-        .where("e.v IS NOT NULL")
-        .groupBy("e.j", "e.v")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .limit(MAX_CANDIDATES + 1)
-        .collect()
-    )
-    if len(listed) > MAX_CANDIDATES:
-        return
+        rows = rows.unionAll(listed)
+    below: dict[int, tuple[int, int]] = {}
     candidates: list[list[tuple[float, int]]] = [[] for _ in spans]
-    for r in listed:
-        candidates[r["j"]].append((r["v"], r["n"]))
-    for j, span in enumerate(spans):
-        candidates[j].sort()
-        for s in searches:
-            if (s.column, s.lo, s.hi) == span:
-                s.answer = _value_at(candidates[j], s.rank - below[span])
+    n_listed = 0
+    for j, v, first, n in rows.collect():
+        if v is None:
+            below[j] = (first, n)
+        else:
+            candidates[j].append((v, n))
+            n_listed += 1
+    for s in searches:
+        j = spans.index((s.column, s.lo, s.hi))
+        first, last = below[j]
+        if s.lo == s.hi and first <= s.rank < last:
+            s.answer = s.lo
+        elif j in wide and n_listed <= MAX_CANDIDATES:
+            candidates[j].sort()
+            s.answer = _value_at(candidates[j], s.rank - first)
 
 
 def _value_at(candidates: list[tuple[float, int]], rank: int) -> float | None:

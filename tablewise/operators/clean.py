@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.frequency import modes
-from ..functions.moments import adjusted_skewness
 from ..functions.parse import text_to_number
 from ..functions.quantiles import exact_quantiles
 from ..functions.staging import stage_table
 from ..schema import as_double, categorical_columns, col, column_roles, numeric_columns, present
 from .audit import anomalous_columns
 
+NUMERIC_PER_SLICE = 8
 SKEW_LIMIT = 1.0  # fixed value: beyond this |skewness| the median fills instead of the mean
 ACTION_SCHEMA = "step string, column string, action string, n_affected bigint, value string"
 
@@ -51,33 +53,69 @@ class NumericFill:
     value: float | None
 
 
-def numeric_fills(df: DataFrame, strategy: str, columns: list[str] | None = None) -> dict[str, NumericFill]:
+@dataclass
+class ColumnProfile:
+    """What imputation needs to know, from one aggregate over all columns."""
+
+    n_rows: int
+    missing: dict[str, int]
+    means: dict[str, float | None]
+    skewness: dict[str, float | None]
+
+    @classmethod
+    def of(cls, df: DataFrame, numeric: list[str], categorical: list[str]) -> ColumnProfile:
+        # Slices stay below the size the JVM compiles as one method; their union is one job.
+        slices = []
+        for start in range(0, max(len(numeric), 1), NUMERIC_PER_SLICE):
+            part = numeric[start : start + NUMERIC_PER_SLICE]
+            cells = [_moment_cell(as_double(df, c), c) for c in part]
+            if start == 0:
+                cells.append(_count_cell(F.count(F.lit(1)), None))
+                cells += [_count_cell(F.count(present(df, c)), c) for c in categorical]
+            slices.append(df.agg(F.array(*cells).alias("cells")).select(F.inline("cells")))
+        found = {r["column"]: r for r in reduce(DataFrame.unionAll, slices).collect()}
+        n = found[None]["n"]
+        missing = {c: n - found[c]["n"] for c in [*numeric, *categorical]}
+        skewness = {c: _sample_skewness(found[c]["n"], found[c]["g"]) for c in numeric}
+        return cls(n, missing, {c: found[c]["mean"] for c in numeric}, skewness)
+
+
+def _moment_cell(x: Column, name: str) -> Column:
+    return F.struct(
+        F.lit(name).alias("column"),
+        F.count(x).alias("n"),
+        F.avg(x).alias("mean"),
+        F.skewness(x).alias("g"),
+    )
+
+
+def _count_cell(n: Column, name: str | None) -> Column:
+    nothing = F.lit(None).cast("double")
+    return F.struct(
+        F.lit(name).cast("string").alias("column"), n.alias("n"), nothing.alias("mean"), nothing.alias("g")
+    )
+
+
+def _sample_skewness(n: int, g: float | None) -> float | None:
+    return (g or 0.0) * math.sqrt(n * (n - 1)) / (n - 2) if n >= 3 else None
+
+
+def numeric_fills(
+    df: DataFrame, strategy: str, columns: list[str], profile: ColumnProfile
+) -> dict[str, NumericFill]:
     """Fill values of the numeric columns that have missing cells.
 
-    Counts, means and skewness of all columns come from one aggregate; exact medians are then
-    found only for the columns that need one.
+    Exact medians are searched only for the columns that need one.
     """
-    columns = numeric_columns(df) if columns is None else columns
-    if not columns:
-        return {}
-    exprs = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(columns):
-        x = as_double(df, c)
-        exprs += [
-            F.count(x).alias(f"n{i}"),
-            F.avg(x).alias(f"mean{i}"),
-            adjusted_skewness(x).alias(f"skew{i}"),
-        ]
-    row = df.agg(*exprs).first()
     fills: dict[str, NumericFill] = {}
-    for i, c in enumerate(columns):
-        n_missing, skew = row["n"] - row[f"n{i}"], row[f"skew{i}"]
-        if n_missing == 0:
+    for c in columns:
+        skew = profile.skewness[c]
+        if profile.missing[c] == 0:
             continue
         chosen = strategy if strategy in ("mean", "median") else "mean"
         if strategy == "skew_based" and skew is not None and abs(skew) > SKEW_LIMIT:
             chosen = "median"
-        fills[c] = NumericFill(n_missing, skew, chosen, row[f"mean{i}"])
+        fills[c] = NumericFill(profile.missing[c], skew, chosen, profile.means[c])
     by_median = [c for c, f in fills.items() if f.strategy == "median"]
     medians = exact_quantiles(df, {c: as_double(df, c) for c in by_median}, [0.5])
     for c in by_median:
@@ -91,13 +129,18 @@ def _filled(df: DataFrame, name: str, value: float | None) -> Column:
 
 
 def impute_numeric(
-    df: DataFrame, strategy: str = "skew_based", columns: list[str] | None = None
+    df: DataFrame,
+    strategy: str = "skew_based",
+    columns: list[str] | None = None,
+    profile: ColumnProfile | None = None,
 ) -> CleanResult:
     """Fill missing numbers by mean or median; ``skew_based`` picks by skewness.
 
     A filled column becomes double; a column without any value stays missing.
     """
-    fills = numeric_fills(df, strategy, columns)
+    columns = numeric_columns(df) if columns is None else columns
+    profile = profile or ColumnProfile.of(df, columns, [])
+    fills = numeric_fills(df, strategy, columns, profile)
     log: list[Action] = [
         ("impute_numeric", c, f.strategy, f.n_missing, repr(f.value))
         for c, f in fills.items()
@@ -108,19 +151,18 @@ def impute_numeric(
 
 
 def impute_categorical(
-    df: DataFrame, strategy: str = "mode", columns: list[str] | None = None
+    df: DataFrame,
+    strategy: str = "mode",
+    columns: list[str] | None = None,
+    profile: ColumnProfile | None = None,
 ) -> CleanResult:
     """Fill missing categories by the mode (``Unknown`` if there is none) or by ``Missing``.
 
     The constants are text, so boolean and temporal columns are filled by their mode only.
     """
     columns = categorical_columns(df) if columns is None else columns
-    if not columns:
-        return CleanResult(df)
-    counts = df.agg(
-        *[F.count_if(present(df, c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)]
-    ).first()
-    missing = {c: counts[i] for i, c in enumerate(columns) if counts[i]}
+    profile = profile or ColumnProfile.of(df, [], columns)
+    missing = {c: profile.missing[c] for c in columns if profile.missing[c]}
     roles = column_roles(df)
     if strategy == "mode":
         values = modes(df, list(missing))
@@ -151,26 +193,26 @@ def clean_table(
     follows is one lazy projection over it.
     """
     log: list[Action] = []
-    table = df
-    if remove_duplicates:
-        table = stage_table(drop_duplicate_rows(_storable(df)))
-        removed = df.count() - table.count()
-        if removed:
-            log.append(("deduplicate", None, "drop", removed, None))
+    table = stage_table(drop_duplicate_rows(_storable(df))) if remove_duplicates else df
+    converted: list[Action] = []
     if convert_anomalies:
         flagged = anomalous_columns(table)
         table = convert_numeric_text(table, flagged)
-        log += [("convert_text", c, "to_number", 0, None) for c in flagged]
-    categories = categorical_columns(table)
-    numbers = impute_numeric(table, impute_num)
+        converted = [("convert_text", c, "to_number", 0, None) for c in flagged]
+    numeric, categorical = numeric_columns(table), categorical_columns(table)
+    profile = ColumnProfile.of(table, numeric, categorical)
+    removed = df.count() - profile.n_rows if remove_duplicates else 0
+    if removed:
+        log.append(("deduplicate", None, "drop", removed, None))
+    numbers = impute_numeric(table, impute_num, numeric, profile)
     # Numeric fills leave the categories as they were, so their modes are read from ``table``.
-    texts = impute_categorical(table, impute_cat, categories)
+    texts = impute_categorical(table, impute_cat, categorical, profile)
     fills = {
         c: F.coalesce(col(c), F.lit(v).cast(table.schema[c].dataType))
         for _, c, _, _, v in texts.log
     }
     result = numbers.table.withColumns(fills) if fills else numbers.table
-    return CleanResult(result, log + numbers.log + texts.log)
+    return CleanResult(result, log + converted + numbers.log + texts.log)
 
 
 def _storable(df: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import combinations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.frequency import value_counts_by_id
@@ -14,7 +16,8 @@ from ..functions.staging import stage_table
 from ..schema import as_double, col, numeric_columns
 
 TOP_PAIRS = 5  # fixed value
-PAIRS_PER_JOB = 120
+PAIRS_PER_JOB = 12  # more covariances exceed what the JVM compiles as one method
+WIDE = 9  # from this many complete columns on, one matrix product replaces the pair aggregates
 SCHEMA = "var1 string, var2 string, correlation double, abs_correlation double"
 
 Pairs = dict[tuple[str, str], float | None]
@@ -29,13 +32,34 @@ def _ratio(cov: float | None, sa: float | None, sb: float | None) -> float | Non
 def pearson_values(df: DataFrame, inputs: dict[str, Column]) -> Pairs:
     """Pairwise-complete Pearson coefficients; ``None`` where a column does not vary.
 
-    Covariances of all pairs and deviations of all columns come from one aggregate. Only pairs
-    with missing cells need a second one, for the deviations over their common rows.
+    Covariances of the pairs and deviations of their columns come from one aggregate. Only pairs
+    with missing cells need a second one, for the deviations over their common rows. Many complete
+    columns are handled by one matrix product instead.
     """
     names = list(inputs)
     values = df.select(*[inputs[c].alias(f"x{i}") for i, c in enumerate(names)])
     x = {c: F.col(f"x{i}") for i, c in enumerate(names)}
     pairs = list(combinations(names, 2))
+    if len(names) >= WIDE:
+        counts = values.agg(F.count(F.lit(1)), *[F.count(x[c]) for c in names]).first()
+        complete = [c for i, c in enumerate(names) if counts[i + 1] == counts[0]]
+        if len(complete) >= WIDE and counts[0]:
+            done = _matrix_values(values, {c: f"x{names.index(c)}" for c in complete})
+            rest = _pair_values(values, x, [pair for pair in pairs if pair not in done])
+            return {pair: done[pair] if pair in done else rest[pair] for pair in pairs}
+    return _pair_values(values, x, pairs)
+
+
+def _matrix_values(values: DataFrame, inputs: dict[str, str]) -> Pairs:
+    """All pairs of complete columns from one distributed Gram matrix (columns squared in size)."""
+    vectors = VectorAssembler(inputCols=list(inputs.values()), outputCol="v").transform(values)
+    matrix = Correlation.corr(vectors.select("v"), "v", "pearson").first()[0].toArray()
+    place = {c: i for i, c in enumerate(inputs)}
+    found = {(a, b): float(matrix[place[a], place[b]]) for a, b in combinations(inputs, 2)}
+    return {p: None if r != r else max(-1.0, min(1.0, r)) for p, r in found.items()}
+
+
+def _pair_values(values: DataFrame, x: dict[str, Column], pairs: list[tuple[str, str]]) -> Pairs:
     out: Pairs = {}
     for start in range(0, len(pairs), PAIRS_PER_JOB):
         part = pairs[start : start + PAIRS_PER_JOB]

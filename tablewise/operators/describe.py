@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.frequency import frequency_table, summarise_frequencies
-from ..functions.moments import adjusted_kurtosis, adjusted_skewness
+from ..functions.moments import adjust_kurtosis, adjust_skewness
 from ..functions.parse import percent
 from ..functions.quantiles import exact_quantiles
 from ..schema import (
@@ -20,7 +20,7 @@ from .outliers import iqr_bounds
 
 QUARTILES = [0.25, 0.5, 0.75]
 MAX_PIVOT = 1_000  # widest crosstab spread over columns; the long form has no limit
-STATS_PER_JOB = 100
+COLUMNS_PER_JOB = 4
 
 
 def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -34,33 +34,48 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFra
         return df.sparkSession.createDataFrame([], schema)
     quartiles = exact_quantiles(df, {c: as_double(df, c) for c in columns}, QUARTILES)
     parts = []
-    # Wide tables are aggregated in slices that stay within generated-code limits.
-    for start in range(0, len(columns), STATS_PER_JOB // 6):
-        part = columns[start : start + STATS_PER_JOB // 6]
-        exprs = []
-        for i, c in enumerate(part):
-            x = as_double(df, c)
-            exprs.append(
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.count(x).alias("count"),
-                    F.avg(x).alias("mean"),
-                    F.stddev_samp(x).alias("std"),
-                    F.min(x).alias("min"),
-                    *[
-                        F.lit(v).cast("double").alias(name)
-                        for name, v in zip(("p25", "p50", "p75"), quartiles[c])
-                    ],
-                    F.max(x).alias("max"),
-                    adjusted_skewness(x).alias("skewness"),
-                    adjusted_kurtosis(x).alias("kurtosis"),
-                )
-            )
-        parts.append(df.agg(F.array(*exprs).alias("rows")).select(F.explode("rows").alias("r")).select("r.*"))
+    # Seven moments of many columns exceed what the JVM compiles as one method. Slices stay below
+    # that, each reads its own columns, and their union still runs as one job.
+    for start in range(0, len(columns), COLUMNS_PER_JOB):
+        part = columns[start : start + COLUMNS_PER_JOB]
+        raw = df.agg(F.array(*[_raw_moments(as_double(df, c), c) for c in part]).alias("rows"))
+        parts.append(raw.select(F.inline("rows")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    # From here on there is one row per column, so the adjustments are evaluated once each.
+    quartile = F.create_map(
+        *[
+            e
+            for c in columns
+            for e in (F.lit(c), F.array(*[F.lit(v).cast("double") for v in quartiles[c]]))
+        ]
+    )[F.col("column")]
+    n = F.col("count").cast("double")
+    return out.select(
+        "column",
+        "count",
+        "mean",
+        "std",
+        "min",
+        *[quartile[i].alias(name) for i, name in enumerate(("p25", "p50", "p75"))],
+        "max",
+        adjust_skewness(n, F.col("g")).alias("skewness"),
+        adjust_kurtosis(n, F.col("k")).alias("kurtosis"),
+    )
+
+
+def _raw_moments(x: Column, name: str) -> Column:
+    return F.struct(
+        F.lit(name).alias("column"),
+        F.count(x).alias("count"),
+        F.avg(x).alias("mean"),
+        F.stddev_samp(x).alias("std"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
+        F.skewness(x).alias("g"),
+        F.kurtosis(x).alias("k"),
+    )
 
 
 def describe_categorical(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -63,7 +63,7 @@ def present(df: DataFrame, name: str) -> Column:
     """The column with NaN read as NULL, so that one test for missing covers both."""
     c = col(name)
     if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
-        return F.when(F.isnan(c), None).otherwise(c)
+        return F.nanvl(c, F.lit(None).cast(df.schema[name].dataType))
     return c
 
 

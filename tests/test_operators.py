@@ -187,6 +187,19 @@ def test_correlations_equal_pandas(spark, method):
     assert correlation.correlations(df.select("a")).count() == 0
 
 
+def test_wide_tables_use_one_matrix(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame(rng.normal(size=(200, 10)) * 1e3 + 1e6, columns=list("abcdefghij"))
+    pdf["k"] = 2.0
+    pdf["n"] = pdf["a"].where(pdf.index % 3 > 0)
+    got = correlation.correlations(normalise_missing(spark.createDataFrame(pdf)))
+    want = pdf.corr()
+    rows = got.collect()
+    assert len(rows) == 55 and not any("k" in (r["var1"], r["var2"]) for r in rows)
+    for r in rows:
+        assert r["correlation"] == pytest.approx(want.loc[r["var1"], r["var2"]], abs=1e-10)
+
+
 def test_ranks_are_never_sorted_in_one_task(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_tax", "l_discount")
     plan = correlation.ranked_rows(df, ["l_tax", "l_discount"])._jdf.queryExecution().toString()
