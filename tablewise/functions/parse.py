@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import col
@@ -44,8 +46,24 @@ def text_to_number(text: Column) -> Column:
     return plain_number(F.regexp_replace(text.cast("string"), FORMATTING, ""))
 
 
+# The text each format letter run stands for.
+_LETTERS = {
+    "yyyy": r"\d{4}", "MMMM": "[A-Za-z]+", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "M": r"\d{1,2}",
+    "dd": r"\d{2}", "d": r"\d{1,2}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}",
+    "SSSSSS": r"\d{6}", "SSS": r"\d{3}", "XXX": r"(Z|[+-]\d{2}:\d{2})", "'T'": "T",
+}
+
+
+def date_shape(fmt: str) -> str:
+    """Regular expression of the texts a format can match."""
+    runs = re.findall(r"'T'|y+|M+|d+|H+|m+|s+|S+|X+|.", fmt)
+    return "^" + "".join(_LETTERS.get(run, re.escape(run)) for run in runs) + "$"
+
+
 def text_to_timestamp(text: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(F.trim(text), F.lit(fmt))
+    """Parse by one format; texts of another shape never reach the parser, whose failures cost."""
+    t = F.trim(text)
+    return F.when(t.rlike(date_shape(fmt)), F.try_to_timestamp(t, F.lit(fmt)))
 
 
 def date_format_rates(df: DataFrame, columns: list[str]) -> dict[str, tuple[str | None, float]]:

@@ -463,14 +463,25 @@ def _run_clustering(df: DataFrame, numeric: list[str], texts: dict[str, int | No
     board: list[tuple[str, str, str, float]] = []
     best, best_score, best_k = None, -1.0, 2
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    for k in range(2, min(MAX_CLUSTERS, n - 1) + 1):
+
+    def fit(k: int) -> tuple[object, float | None]:
         model = KMeans(k=k, seed=seed, featuresCol="features").fit(ready)
         assigned = model.transform(ready)
         # Duplicates may leave a single cluster, for which no silhouette exists.
         if assigned.select("prediction").distinct().limit(2).count() < 2:
+            return model, None
+        return model, float(evaluator.evaluate(assigned))
+
+    # The candidates are independent jobs, so they share the cluster.
+    with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:
+        target_fit = inheritable_thread_target(df.sparkSession)(fit)
+        candidates = range(2, min(MAX_CLUSTERS, n - 1) + 1)
+        running = {k: pool.submit(target_fit, k) for k in candidates}
+    for k, task_ in running.items():
+        model, score = task_.result()
+        if score is None:
             continue
-        score = evaluator.evaluate(assigned)
-        board.append((f"K-Means (k={k})", "baseline", "silhouette", float(score)))
+        board.append((f"K-Means (k={k})", "baseline", "silhouette", score))
         if score > best_score:
             best, best_score, best_k = model, score, k
     if best is None:

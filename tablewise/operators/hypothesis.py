@@ -302,13 +302,18 @@ def exact_u_sf(u: float, n1: int, n2: int) -> float:
     return float(counts[math.ceil(u) :].sum())
 
 
-def mann_whitney(df: DataFrame, category: str, value: str) -> tuple[float, float, dict[str, float]]:
+def mann_whitney(
+    df: DataFrame, category: str, value: str, first: object = None
+) -> tuple[float, float, dict[str, float]]:
     """(U of the first group, two-sided p, figures); groups in category order.
 
+    ``first`` is the smaller category, looked up if not given.
+
     One pre-aggregated row per distinct value carries both groups' counts, so no join is needed.
     """
     rows = _pair(df, category, value)
-    first = rows.agg(F.min("category").alias("m")).first()["m"]
+    if first is None:
+        first = rows.agg(F.min("category").alias("m")).first()["m"]
     freq = rows.groupBy("value").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("category") == F.lit(first)).alias("n1")
     )
@@ -392,7 +397,8 @@ def compare_groups(df: DataFrame, category: str, value: str) -> TestResult:
         result.figures["dof"] = dof
     elif k == 2:
         result.test_name = MANN_WHITNEY
-        result.statistic, result.p_value, _ = mann_whitney(df, category, value)
+        first = groups.agg(F.min("category").alias("m")).first()["m"]
+        result.statistic, result.p_value, _ = mann_whitney(df, category, value, first)
     elif normal:
         result.test_name = ANOVA
         result.statistic, _, _, result.p_value = anova_test(groups)

@@ -207,3 +207,20 @@ def test_exact_mann_whitney_tail():
         for u in range(n1 * n2 + 1):
             want = sum(c for k, c in counts.items() if k >= u) / total
             assert exact_u_sf(u, n1, n2) == pytest.approx(want)
+
+
+def test_date_shapes():
+    import re
+
+    from tablewise.functions.parse import DATE_FORMATS, date_shape
+
+    examples = {
+        "yyyy-MM-dd'T'HH:mm:ssXXX": "2024-01-05T10:20:30+02:00",
+        "yyyy-MM-dd HH:mm:ss.SSSSSS": "2024-01-05 10:20:30.123456",
+        "d.M.yyyy": "5.1.2024",
+        "MMM d, yyyy": "Jan 5, 2024",
+        "yyyyMMdd": "20240105",
+    }
+    assert set(examples) <= set(DATE_FORMATS)
+    for fmt, text in examples.items():
+        assert re.match(date_shape(fmt), text) and not re.match(date_shape(fmt), text + "x")
