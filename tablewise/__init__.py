@@ -1 +1,8 @@
 """Automated analysis of tables at scale with Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Grouped functions travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -224,3 +224,20 @@ def test_date_shapes():
     assert set(examples) <= set(DATE_FORMATS)
     for fmt, text in examples.items():
         assert re.match(date_shape(fmt), text) and not re.match(date_shape(fmt), text + "x")
+
+
+def test_functions_reach_workers_that_lack_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    script = "import pickle, sys; print(pickle.load(sys.stdin.buffer)([1.0, 2.0, 4.0, 9.0])[0] > 0.5)"
+    out = subprocess.run(
+        [sys.executable, "-c", script],
+        input=cloudpickle.dumps(shapiro_wilk),
+        cwd=tmp_path,
+        env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ""},
+        capture_output=True,
+    )
+    assert out.stdout.strip() == b"True", out.stderr.decode()
