@@ -335,7 +335,7 @@ def impute_constant(spark, sf):
     return clean.impute_categorical(df, "constant").table
 
 
-# Deduplicated, converted and filled: the reference result for everything after cleaning.
+# Deduplicated, converted and filled: the expected table for everything after cleaning.
 CLEANED = (
     f"{ORDERS_DIRTY}, dd AS (SELECT DISTINCT * REPLACE ({_number('price_text')} AS price_text) FROM orders_dirty), "
     "fv AS (SELECT CASE WHEN abs(skewness(price)) > 1 THEN quantile_cont(price, 0.5) ELSE avg(price) END AS pv, "
