@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.parse import currency_text, text_to_number, text_to_timestamp
-from ..functions.staging import stage_table, staging_root
+from ..functions.staging import shared_folder, stage_table
 from ..operators import audit, clean, describe, isolation, outliers, report, tighten
 from ..operators.correlation import correlations, top_correlations
 from ..schema import normalise_missing, numeric_columns, role_summary
@@ -55,7 +55,8 @@ def scan_parquet(spark, sf):
     "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
 )
 def csv_round_trip(spark, sf):
-    path = f"{staging_root(spark)}/tablewise/{uuid.uuid4().hex}.csv"
+    folder = shared_folder(spark) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder}/tablewise/{uuid.uuid4().hex}.csv"
     columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
     write_csv(table(spark, sf, "orders").select(*columns), path)
     return load_table(spark, path)
