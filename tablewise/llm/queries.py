@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, quality, simhash
+from . import decontaminate, quality, secret_scan, simhash, substrings, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,26 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's vocabulary: in the folder TOKENIZER_DIR, else in the installed package."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+@query("op3_secret_scan")
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+
+
 @query("op5_quality_rules")
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -73,3 +94,26 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated"
     )
+
+
+_OP10 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+at35 AS (
+  SELECT r, s, array_to_string(w[s : s + 34], ' ') AS t
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+again AS (SELECT t FROM at35 GROUP BY t HAVING count(*) > 1),
+gone AS (SELECT r, list(DISTINCT p) AS ps FROM (SELECT r, unnest(range(s, s + 35)) AS p FROM at35 SEMI JOIN again USING (t)) GROUP BY r),
+kept AS (
+  SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t
+  FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) k
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT r, unnest(ps) AS p FROM gone) g WHERE g.r = k.r AND g.p = k.p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
+@query("op10_remove_repeated", _OP10)
+def op10_remove_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeated(table(spark, sf_dir, "documents"))
