@@ -15,6 +15,7 @@ A frequent pre-token costs one entry in each block, so no bucket grows hot, and
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import zlib
 from collections import Counter
@@ -23,14 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .blocks import numbered
 
 #: The pattern of byte-level pre-tokenizers (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Documents, and about how many characters of them, that make one block.
-BLOCK_DOCS = 2_000
-BLOCK_CHARS = 8_000_000
 #: Buckets of pre-tokens for each shuffle partition.
 BUCKETS_A_PARTITION = 2
 LIMIT = 1024
@@ -38,8 +38,6 @@ LIMIT = 1024
 
 def load_tokenizer(path: str) -> str:
     """The tokenizer file's content, checked to be one that this method counts rightly."""
-    import json
-
     with open(path, encoding="utf-8") as file:
         content = file.read()
     kinds = json.loads(content)
@@ -51,27 +49,9 @@ def load_tokenizer(path: str) -> str:
 
 
 def _specials(content: str) -> list[str]:
-    import json
-
     return [t["content"] for t in json.loads(content)["added_tokens"]]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str | None]]]:
-    ids: list = []
-    texts: list[str | None] = []
-    chars = 0
-    for batch in batches:
-        for key, text in zip(batch.column(0), batch.column(1), strict=True):
-            ids.append(key)
-            texts.append(text.as_py())
-            chars += len(texts[-1] or "")
-            if len(ids) >= BLOCK_DOCS or chars >= BLOCK_CHARS:
-                yield ids, texts
-                ids, texts, chars = [], [], 0
-    if ids:
-        yield ids, texts
-
-
 def _pack(tokens: list[str], docs: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
     """Tokens with their lists; sizes first, then the parts, all compressed together."""
     names = [t.encode("utf-8", "surrogatepass") for t in tokens]
@@ -108,13 +88,10 @@ def _invert(buckets: int, specials: list[str], id_type: pa.DataType):
         """Two kinds of rows: one for each document of a block, and one for each block and bucket."""
         cut = regex.compile(PATTERN).findall
         apart = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
-        part = TaskContext.get().partitionId() << 32
-        for number, (ids, texts) in enumerate(_blocks(batches)):
-            block = part | number
+        for block, ids, texts in numbered(batches):
             sizes, special = [], []
             lists: dict[str, list[int]] = {}
             for slot, text in enumerate(texts):
-                text = text or ""
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))
                 pieces = [text]
                 if apart is not None and any(s in text for s in specials):
@@ -125,7 +102,7 @@ def _invert(buckets: int, specials: list[str], id_type: pa.DataType):
                     lists.setdefault(token, []).append(slot << 32 | count)
             n = len(ids)
             yield _rows(
-                pa.array([x.as_py() for x in ids], id_type), [block] * n, [-1] * n, range(n), sizes, special, [None] * n, id_type
+                pa.array(ids, id_type), [block] * n, [-1] * n, range(n), sizes, special, [None] * n, id_type
             )
             dealt: dict[int, list[str]] = {}
             for token in lists:
@@ -179,25 +156,25 @@ def _sum_lists(content: str, id_type: pa.DataType):
 def _add_up(id_type: pa.DataType):
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by block, the documents' own first and in their order."""
-        block, ids, sizes, sums = None, [], [], np.empty(0, np.int64)
+        block, ids, sizes, sums = None, [], [], []
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, id_type), pa.array(sizes, pa.int64()), pa.array(sums[: len(ids)])], ["id", "n_bytes", "n_tokens"]
-            )
+            columns = [pa.array(ids, id_type), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_tokens"])
 
         for batch in batches:
             for row in batch.to_pylist():
                 if row["block"] != block:
                     if ids:
                         yield out()
-                    block, ids, sizes, sums = row["block"], [], [], np.zeros(BLOCK_DOCS, np.int64)
+                    block, ids, sizes, sums = row["block"], [], [], []
                 if row["packed"] is None:
-                    sums[len(ids)] += row["n_tokens"]
                     ids.append(row["id"])
                     sizes.append(row["n_bytes"])
+                    sums.append(row["n_tokens"])
                 else:
                     some, partial = np.frombuffer(zlib.decompress(row["packed"]), np.int32).reshape(2, -1)
+                    sums = np.asarray(sums, np.int64)
                     sums[some] += partial
         if ids:
             yield out()
@@ -214,8 +191,6 @@ def token_counts(
     library has it by default; nothing is cut off or padded. Null counts as empty (0 and 0); keys may be null
     or repeat; an empty table gives an empty result; other columns are not looked at.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
     content = load_tokenizer(tokenizer)
     spark = docs.sparkSession
     buckets = BUCKETS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
