@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -20,7 +21,7 @@ from pyspark.sql.types import DataType
 BLOCK_DOCS = 2_000
 BLOCK_CHARS = 8_000_000
 
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<bigint>": pa.list_(pa.int64())}
 
 
 class Rows:
@@ -105,3 +106,26 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | tu
             held.append((block, packed))
     if held:
         yield current, held
+
+
+class Entries:
+    """Distinct hashes of a block in a fixed order, cut into buckets."""
+
+    def __init__(self, buckets: int, first: np.ndarray, second: np.ndarray | None = None) -> None:
+        second = np.zeros(len(first), np.uint64) if second is None else second
+        bucket = (first % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((second, first, bucket))
+        a, b = first[order], second[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        self.entry = np.empty(len(a), np.int64)
+        self.entry[order] = np.cumsum(new) - 1
+        self.first, self.second, self.bucket = a[new], b[new], bucket[order][new]
+        self.several = np.bincount(self.entry, minlength=len(self.first)) > 1
+
+    def by_bucket(self) -> Iterator[tuple[int, slice]]:
+        """Each bucket that has entries, and where they stand."""
+        cuts = [0, *(np.flatnonzero(np.diff(self.bucket)) + 1).tolist(), len(self.bucket)]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if start < end:
+                yield int(self.bucket[start]), slice(start, end)

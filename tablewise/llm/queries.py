@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, quality, secret_scan, simhash, substrings, token_count
+from . import decontaminate, ngram_lm, quality, secret_scan, shards, simhash, substrings, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+@query("op4_language_model")
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op5_quality_rules")
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -117,3 +122,8 @@ FROM d LEFT JOIN kept USING (r)
 @query("op10_remove_repeated", _OP10)
 def op10_remove_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated(table(spark, sf_dir, "documents"))
+
+
+@query("op8_shards")
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(table(spark, sf_dir, "documents"))

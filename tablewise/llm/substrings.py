@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import Rows, by_block, by_bucket, numbered, send_texts, to_blocks, to_buckets
+from .blocks import Entries, Rows, by_block, by_bucket, numbered, send_texts, to_blocks, to_buckets
 
 #: Words of a window.
 WINDOW = 35
@@ -99,42 +99,26 @@ class _Block:
         return grams(self.words, WINDOW)[at], grams(self.words, WINDOW, 1)[at]
 
 
-class _Entries:
-    """Distinct hashes of a block in a fixed order, cut into buckets."""
-
-    def __init__(self, buckets: int, first: np.ndarray, second: np.ndarray | None = None) -> None:
-        second = np.zeros(len(first), _U) if second is None else second
-        bucket = (first % _U(buckets)).astype(np.int64)
-        order = np.lexsort((second, first, bucket))
-        a, b = first[order], second[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        self.entry = np.empty(len(a), np.int64)
-        self.entry[order] = np.cumsum(new) - 1
-        self.first, self.second, self.bucket = a[new], b[new], bucket[order][new]
-        self.several = np.bincount(self.entry, minlength=len(self.first)) > 1
-
-    def packed(self, two: bool) -> Iterator[tuple[int, bytes]]:
-        cuts = np.flatnonzero(np.diff(self.bucket)) + 1
-        for part in np.split(np.arange(len(self.first)), cuts) if len(self.first) else ():
-            data = [np.array([len(part)], np.int64).tobytes(), self.first[part].tobytes()]
-            data += [self.second[part].tobytes()] if two else []
-            yield int(self.bucket[part[0]]), b"".join([*data, np.packbits(self.several[part]).tobytes()])
-
-    def answered(self, answers: dict[int, bytes]) -> np.ndarray:
-        """For each hash that went in: is it found again?"""
-        again = np.zeros(len(self.first), bool)
-        for bucket, bits in answers.items():
-            first, end = np.searchsorted(self.bucket, [bucket, bucket + 1])
-            again[first:end] = np.unpackbits(np.frombuffer(bits, np.uint8), count=end - first)
-        return again[self.entry]
+def _packed(entries: Entries, two: bool) -> Iterator[tuple[int, bytes]]:
+    for bucket, part in entries.by_bucket():
+        data = [np.array([part.stop - part.start], np.int64).tobytes(), entries.first[part].tobytes()]
+        data += [entries.second[part].tobytes()] if two else []
+        yield bucket, b"".join([*data, np.packbits(entries.several[part]).tobytes()])
+
+
+def _answered(entries: Entries, answers: dict[int, bytes]) -> np.ndarray:
+    """For each hash that went in: is it found again?"""
+    again = np.zeros(len(entries.first), bool)
+    for bucket, part in entries.by_bucket():
+        again[part] = np.unpackbits(np.frombuffer(answers[bucket], np.uint8), count=part.stop - part.start)
+    return again[entries.entry]
 
 
 def _send_anchors(buckets: int, rows: Rows):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, texts in numbered(batches):
-            entries = _Entries(buckets, _Block(texts).anchors()[1])
-            yield from rows.batches([{"block": block, "bucket": b, "packed": p} for b, p in entries.packed(False)])
+            entries = Entries(buckets, _Block(texts).anchors()[1])
+            yield from rows.batches([{"block": block, "bucket": b, "packed": p} for b, p in _packed(entries, False)])
 
     return send
 
@@ -154,7 +138,7 @@ def _answer(two: bool, rows: Rows):
                 seconds.append(np.frombuffer(packed, _U, n, 8 + 8 * n) if two else np.zeros(n, _U))
                 several.append(np.unpackbits(np.frombuffer(packed, np.uint8, offset=8 + 8 * n * (1 + two)), count=n))
                 sizes.append(n)
-            entries = _Entries(1, np.concatenate(firsts), np.concatenate(seconds))
+            entries = Entries(1, np.concatenate(firsts), np.concatenate(seconds))
             inside = np.bincount(entries.entry, np.concatenate(several), len(entries.first)) > 0
             again = (entries.several | inside)[entries.entry]
             bits = np.split(again, np.cumsum(sizes)[:-1])
@@ -178,9 +162,9 @@ def _send_windows(buckets: int, rows: Rows):
         for block, docs, answers in by_block(batches):
             held = _Block([d["text"] for d in docs])
             at, hashes = held.anchors()
-            starts = held.around(at[_Entries(buckets, hashes).answered(answers)])
-            entries = _Entries(buckets, *held.windows(starts))
-            yield from rows.batches([{"block": block, "bucket": b, "packed": p} for b, p in entries.packed(True)])
+            starts = held.around(at[_answered(Entries(buckets, hashes), answers)])
+            entries = Entries(buckets, *held.windows(starts))
+            yield from rows.batches([{"block": block, "bucket": b, "packed": p} for b, p in _packed(entries, True)])
             of_doc = np.split(held.place[starts], np.searchsorted(held.doc[starts], np.arange(1, len(docs))))
             out = []
             for doc, words, places in zip(docs, held.each, of_doc, strict=True):
@@ -201,7 +185,7 @@ def _remove(buckets: int, rows: Rows):
                 first = held.ends - held.sizes
                 places = [np.cumsum(np.frombuffer(zlib.decompress(d["packed"]), np.int32)) for d in docs]
                 at = np.concatenate([s + p for s, p in zip(first, places, strict=True)])
-                at = at[_Entries(buckets, *held.windows(at)).answered(answers)]
+                at = at[_answered(Entries(buckets, *held.windows(at)), answers)]
                 step = np.zeros(len(held.words) + 1, np.int64)
                 step[at] += 1
                 step[at + WINDOW] -= 1
