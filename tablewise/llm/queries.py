@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, ngram_lm, quality, secret_scan, shards, simhash, substrings, token_count
+from . import decontaminate, mixing, ngram_lm, quality, secret_scan, shards, simhash, substrings, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -127,3 +127,42 @@ def op10_remove_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_shards")
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
+
+
+#: The schedule of one period is a recursion over its slots; due dates and sources are packed into one number.
+_OP9 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, (doc_id % 2147483648 * 2654435761) % 4294967296 AS mix FROM documents),
+sizes AS (SELECT source, count(*) AS n, CAST(round(pow(CAST(count(*) AS DOUBLE), 0.7) * 1e6) AS HUGEINT) AS w FROM d GROUP BY source),
+p AS (SELECT greatest(1000, 2 * count(*)) AS period, greatest(1000, 2 * count(*)) - count(*) AS rest, sum(w) AS total FROM sizes),
+cut AS (SELECT source, n, period, rest, (rest * w) // total AS f, (rest * w) % total AS l FROM sizes, p),
+shares AS (
+  SELECT source, n, CAST(period AS BIGINT) AS period, row_number() OVER (ORDER BY source) AS number,
+    CAST(1 + f + CASE WHEN row_number() OVER (ORDER BY l DESC, source) <= rest - sum(f) OVER () THEN 1 ELSE 0 END AS BIGINT) AS share
+  FROM cut),
+lists AS (SELECT list(share ORDER BY number) AS s, list(n ORDER BY number) AS ns, max(period) AS period, count(*) AS m FROM shares),
+steps AS (
+  SELECT 0 AS t, list_transform(s, lambda x: CAST(0 AS BIGINT)) AS had, CAST(NULL AS BIGINT) AS number, CAST(NULL AS BIGINT[]) AS before FROM lists
+  UNION ALL
+  SELECT t + 1, list_transform(had, lambda h, i: CASE WHEN i = k THEN h + 1 ELSE h END), k, had
+  FROM (
+    SELECT t, had, list_min(list_transform(
+        list_filter(range(1, m + 1), lambda i: had[i] < s[i] AND (had[i] * period) // s[i] <= t),
+        lambda i: ((had[i] + 1) * period + s[i] - 1) // s[i] * 1000000 + i)) % 1000000 AS k
+    FROM steps, lists WHERE t < period)),
+plan AS (SELECT number, t - 1 AS slot, before[number] AS turn, before FROM steps WHERE t > 0),
+ranked AS (
+  SELECT doc_id, source, number, share, period, row_number() OVER (PARTITION BY source ORDER BY mix, doc_id) - 1 AS rank
+  FROM d JOIN shares USING (source)),
+blocks AS (SELECT *, rank // 8 AS block, rank // 8 % share AS turn, rank // 8 // share AS round FROM ranked)
+SELECT doc_id, source, block, CAST(round * b.period + slot AS BIGINT) AS slot,
+  CAST(round * b.period + (turn * b.period) // share AS BIGINT) AS release,
+  CAST(round * b.period + ((turn + 1) * b.period + share - 1) // share AS BIGINT) AS deadline,
+  CAST(list_sum(list_transform(range(1, m + 1), lambda i: least(ns[i], 8 * (round * s[i] + before[i])))) + rank % 8 AS BIGINT) AS position
+FROM blocks b JOIN plan USING (number, turn), lists
+"""
+
+
+@query("op9_mix_sources", _OP9)
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
