@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewise.functions.staging import stage_table
-from tablewise.llm import quality
+from tablewise.llm import decontaminate, mixing, quality, shards, simhash
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -16,15 +16,48 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows whose ids are not among the rejected ones; they are few, so the texts need not move if Spark can tell."""
+    return docs.join(stage_table(rejected.select("doc_id")), "doc_id", "left_anti").select(docs.columns)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that they reject go."""
-    verdicts = quality.quality_rules(docs, _table(spark, sf_dir, "labels"))
-    return docs.join(verdicts.where("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    return _without(docs, quality.quality_rules(docs, _table(spark, sf_dir, "labels")).where(~F.col("kept")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash: of each group of near-duplicates the document with the smallest id stays."""
+    return _without(docs, simhash.near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a window of a benchmark item go."""
+    found = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where("contaminated"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: the documents in the order of the Pfair schedule, so that any run of the table has the target weights."""
+    place = mixing.mix_sources(docs).select("doc_id", "position")
+    return docs.join(place, "doc_id").orderBy("position").select(docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sharding: each document with its shard and its place there."""
+    placed = shards.shard_documents(docs).select("doc_id", "size", "shard", "slot")
+    return docs.join(placed, "doc_id")
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", keep_good)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", keep_good),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix),
+    ("sharding", shard),
+]
 
-#: A stage compares hashed fingerprints, which SQL does not offer; a brute-force version checks the rows.
+#: Quality scores and fingerprints rest on a hash that SQL does not offer; a plain version checks the rows.
 ORACLE_SQL: str | None = None
 
 

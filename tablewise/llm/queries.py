@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, mixing, ngram_lm, quality, secret_scan, shards, simhash, substrings, token_count
+from . import decontaminate, mixing, ngram_lm, pages, quality, secret_scan, shards, simhash, substrings, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +93,11 @@ FROM d LEFT JOIN word USING (r) LEFT JOIN item USING (r)
 """
 
 
+@query("op6_main_texts")
+def op6_main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_texts(table(spark, sf_dir, "pages"))
+
+
 @query("op7_decontaminate", _OP7)
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
