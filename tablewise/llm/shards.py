@@ -16,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.staging import stage_table
-from .text import text_key
+from .text import pinned, text_key
 
 SHARDS = 16
 #: Rounds of propagation at most; each stops being useful once hardly any document moves.
-ROUNDS = 8
+ROUNDS = 6
 #: Levels of neighbourhood sizes: powers of two.
 LEVELS = 40
 #: Rows that one window orders, about.
@@ -51,50 +51,53 @@ def quotas(demand: list[list[int]], leaving: list[int], held: list[int], room: i
     return share
 
 
-def _target(counts: str, open_shards: list[int]) -> Column:
-    """The open shard with most members of the group; equal ones are told apart by the group's hash."""
-    best = F.array(*[F.struct(F.get(F.col(counts), s), F.xxhash64("hi", F.lit(s)), F.lit(s).alias("shard")) for s in open_shards])
-    return F.array_max(best)["shard"]
-
-
 def propagate(groups: DataFrame, total: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """``groups (hi, lo, counts)`` with members moved towards each other, at most ``total / shards`` of them in a shard."""
+    """``groups (hi, lo, counts)`` with members moved towards each other, at most ``total / shards`` of them in a shard.
+
+    A group aims at the open shard where most of its members are, or at as many as it needs; members in other open shards
+    want to go there. A full shard is closed: nothing moves in, and those leave it that have as many neighbours elsewhere.
+    """
     room = -(-total // shards)
     open_shards = list(range(shards))
     for _ in range(rounds):
-        level = F.floor(F.log2(F.get("counts", F.col("target")) + F.lit(1))).cast("int")
-        aimed = groups.withColumn("target", _target("counts", open_shards)).withColumn("level", level)
-        is_open = [s in open_shards for s in range(shards)]
-        moving = lambda s: F.when(F.col("target") == s, 0).otherwise(F.get("counts", F.lit(s)) if is_open[s] else F.lit(0))
-        state = aimed.groupBy("target", "level").agg(
-            *[F.sum(moving(s)).alias(f"out{s}") for s in range(shards)],
-            *[F.sum(F.get("counts", F.lit(s))).alias(f"held{s}") for s in range(shards)],
+        closed = F.array(*[F.lit(s not in open_shards) for s in range(shards)])
+        # Equal numbers of members are told apart by a hash of the group, so that small groups spread.
+        ranked = F.array(*[F.struct(F.get("counts", F.lit(s)).alias("n"), F.xxhash64("hi", F.lit(s)).alias("h"), F.lit(s).alias("s")) for s in open_shards])
+        needed = F.greatest(F.ceil(F.aggregate(ranked, F.lit(0).cast("long"), lambda a, x: a + x["n"]) / room), F.lit(1)).cast("int")
+        best = F.transform(F.sort_array(ranked, asc=False), lambda x: x["s"])
+        aimed = pinned(groups.select("hi", "lo", "counts"), _aims=F.slice(best, 1, F.least(needed, F.lit(len(open_shards)))))
+        aimed = pinned(
+            aimed,
+            _closed=closed,
+            _to=F.expr(f"transform(sequence(0, {shards - 1}), s -> get(_aims, s % size(_aims)))"),
+            _level=F.expr(f"transform(sequence(0, {shards - 1}), s -> CAST(floor(log2(counts[get(_aims, s % size(_aims))] + 1)) AS INT))"),
         )
+        stays = "array_contains(_aims, s) OR (_closed[s] AND counts[s] > counts[_to[s]])"
+        cells = aimed.select("counts", "_aims", "_closed", "_to", "_level", F.posexplode("counts").alias("s", "n")).where("n > 0")
+        state = cells.groupBy("s", F.expr(f"IF({stays}, -1, _to[s])").alias("to"), F.expr("_level[s]").alias("level")).agg(F.sum("n").alias("n"))
         demand = [[0] * LEVELS for _ in range(shards)]
         leaving, held = [0] * shards, [0] * shards
-        for r in state.collect():  # at most shards * LEVELS rows
-            demand[r.target][r.level] += sum(r[f"out{s}"] for s in range(shards))
-            for s in range(shards):
-                leaving[s] += r[f"out{s}"]
-                held[s] += r[f"held{s}"]
+        for r in state.collect():  # at most shards * (shards + 1) * LEVELS rows
+            held[r.s] += r.n
+            if r.to >= 0:
+                demand[r.to][r.level] += r.n
+                leaving[r.s] += r.n
         if not sum(leaving):
             break
-        share = quotas(demand, leaving, held, room)
-        allowed = F.array(*[F.lit(x) for row in share for x in row])
-        part = F.element_at(allowed, F.col("target") * LEVELS + F.col("level") + 1)
-        chance = F.pmod(F.xxhash64("lo", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
-        moved = [F.least(F.floor(moving(s) * F.col("_part") + chance).cast("long"), moving(s).cast("long")) for s in range(shards)]
-        left = aimed.withColumn("_part", part).select("hi", "lo", "counts", "target", F.array(*moved).alias("_moved"))
-        gathered = F.aggregate("_moved", F.lit(0).cast("long"), lambda a, x: a + x)
-        counts = F.zip_with("counts", "_moved", lambda c, m: c - m)
-        after = left.select("hi", "lo", "target", gathered.alias("_in"), counts.alias("_left"))
-        groups = stage_table(
-            after.select(
-                "hi", "lo", F.transform("_left", lambda c, s: F.when(s == F.col("target"), c + F.col("_in")).otherwise(c)).alias("counts")
-            )
+        allowed = F.array(*[F.lit(x) for row in quotas(demand, leaving, held, room) for x in row])
+        moved = pinned(
+            pinned(aimed, _allowed=allowed),
+            _moved=F.expr(
+                f"transform(counts, (c, s) -> IF({stays}, 0L, least(c, CAST(floor(c * _allowed[_to[s] * {LEVELS} + _level[s]]"
+                " + pmod(xxhash64(lo, s), 1048576) / 1048576D) AS BIGINT))))"
+            ),
+        )
+        counts = F.expr(
+            "transform(counts, (c, t) -> c - _moved[t] + aggregate(transform(_moved, (m, s) -> IF(_to[s] = t, m, 0L)), 0L, (a, x) -> a + x))"
         )
+        groups = stage_table(moved.select("hi", "lo", counts.alias("counts")))
         sizes = groups.agg(*[F.sum(F.get("counts", F.lit(s))).alias(f"s{s}") for s in range(shards)]).first()
-        open_shards = [s for s in open_shards if sizes[f"s{s}"] < room - room // 200 - 1]
+        open_shards = [s for s in range(shards) if sizes[f"s{s}"] < room - room // 200 - 1]
         if not open_shards:
             break
     return groups
