@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.frequency import value_counts_by_id
@@ -16,100 +18,97 @@ from ..functions.staging import stage_table
 from ..schema import as_double, col, numeric_columns
 
 TOP_PAIRS = 5  # fixed value
-PAIRS_PER_JOB = 12  # more covariances exceed what the JVM compiles as one method
-WIDE = 9  # from this many complete columns on, one matrix product replaces the pair aggregates
+COLUMNS_PER_SLICE = 40  # more aggregates exceed what the JVM compiles as one method
+CONSTANT = 1e-14  # a deviation below this share of the mean is rounding
 SCHEMA = "var1 string, var2 string, correlation double, abs_correlation double"
 
 Pairs = dict[tuple[str, str], float | None]
 
 
-def _ratio(cov: float | None, sa: float | None, sb: float | None) -> float | None:
-    if cov is None or not sa or not sb:
-        return None
-    return max(-1.0, min(1.0, cov / (sa * sb)))
+def _means(values: DataFrame) -> np.ndarray:
+    """Column means over the filled cells, from one job of sliced aggregates."""
+    names = values.columns
+    slices = []
+    for start in range(0, len(names), COLUMNS_PER_SLICE):
+        cells = [F.struct(F.lit(start + i).alias("i"), F.avg(c).alias("mean")) for i, c in enumerate(names[start : start + COLUMNS_PER_SLICE])]
+        slices.append(values.agg(F.array(*cells).alias("cells")).select(F.inline("cells")))
+    found = {r["i"]: r["mean"] for r in reduce(DataFrame.unionAll, slices).collect()}
+    return np.array([found[i] or 0.0 for i in range(len(names))])
+
+
+def _products(means: np.ndarray):
+    """Sums over the rows of a task, for each column a and all columns b: of filled pairs, and with a less its mean, of a, a*a and a*b."""
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(means)
+        sums = np.zeros((4, width, width))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
+                raw = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in part.columns])
+                filled = ~np.isnan(raw)
+                x = np.where(filled, raw - means, 0.0)
+                mask = filled.astype(float)
+                for total, left, right in zip(sums, (mask, x, x * x, x), (mask, mask, mask, x), strict=True):
+                    total += left.T @ right
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(width), pa.int32()), *(pa.array(list(t), pa.list_(pa.float64())) for t in sums)], ["a", "n", "s", "q", "p"]
+        )
+
+    return products
 
 
 def pearson_values(df: DataFrame, inputs: dict[str, Column]) -> Pairs:
     """Pairwise-complete Pearson coefficients; ``None`` where a column does not vary.
 
-    Covariances of the pairs and deviations of their columns come from one aggregate. Only pairs
-    with missing cells need a second one, for the deviations over their common rows. Many complete
-    columns are handled by one matrix product instead.
+    One formula at every width: after the column means, one pass adds up the products of all pairs, task by task, over
+    the rows that both columns fill. Only matrices of the columns' number leave a task.
     """
     names = list(inputs)
-    values = df.select(*[inputs[c].alias(f"x{i}") for i, c in enumerate(names)])
-    x = {c: F.col(f"x{i}") for i, c in enumerate(names)}
     pairs = list(combinations(names, 2))
-    if len(names) >= WIDE:
-        counts = values.agg(F.count(F.lit(1)), *[F.count(x[c]) for c in names]).first()
-        complete = [c for i, c in enumerate(names) if counts[i + 1] == counts[0]]
-        if len(complete) >= WIDE and counts[0]:
-            done = _matrix_values(values, {c: f"x{names.index(c)}" for c in complete})
-            rest = _pair_values(values, x, [pair for pair in pairs if pair not in done])
-            return {pair: done[pair] if pair in done else rest[pair] for pair in pairs}
-    return _pair_values(values, x, pairs)
-
-
-def _matrix_values(values: DataFrame, inputs: dict[str, str]) -> Pairs:
-    """All pairs of complete columns from one distributed Gram matrix (columns squared in size)."""
-    vectors = VectorAssembler(inputCols=list(inputs.values()), outputCol="v").transform(values)
-    matrix = Correlation.corr(vectors.select("v"), "v", "pearson").first()[0].toArray()
-    place = {c: i for i, c in enumerate(inputs)}
-    found = {(a, b): float(matrix[place[a], place[b]]) for a, b in combinations(inputs, 2)}
-    return {p: None if r != r else max(-1.0, min(1.0, r)) for p, r in found.items()}
-
-
-def _pair_values(values: DataFrame, x: dict[str, Column], pairs: list[tuple[str, str]]) -> Pairs:
+    if not pairs:
+        return {}
+    values = df.select(*[inputs[c].cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+    means = _means(values)
+    sums = values.mapInArrow(_products(means), "a int, n array<double>, s array<double>, q array<double>, p array<double>")
+    cells = sums.select("a", F.posexplode(F.arrays_zip("n", "s", "q", "p")).alias("b", "t"))
+    total = np.zeros((4, len(names), len(names)))
+    for r in cells.groupBy("a", "b").agg(*[F.sum(f"t.{k}").alias(k) for k in "nsqp"]).collect():  # columns squared
+        total[:, r["a"], r["b"]] = r["n"], r["s"], r["q"], r["p"]
+    n, s, q, p = total
+    with np.errstate(divide="ignore", invalid="ignore"):
+        shift = s / n
+        deviation = np.sqrt(np.maximum(q / n - shift**2, 0))
+        varies = deviation > CONSTANT * np.abs(means[:, None] + shift)
+        ratio = (p / n - shift * shift.T) / (deviation * deviation.T)
     out: Pairs = {}
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        part = pairs[start : start + PAIRS_PER_JOB]
-        used = list(dict.fromkeys(c for pair in part for c in pair))
-        row = values.agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(used)],
-            *[F.stddev_pop(x[c]).alias(f"s{i}") for i, c in enumerate(used)],
-            *[F.covar_pop(x[a], x[b]).alias(f"c{j}") for j, (a, b) in enumerate(part)],
-        ).first()
-        full = {c for i, c in enumerate(used) if row[f"n{i}"] == row["n"]}
-        sd = {c: row[f"s{i}"] for i, c in enumerate(used)}
-        gaps = [(j, a, b) for j, (a, b) in enumerate(part) if not (a in full and b in full)]
-        common = None
-        if gaps:
-            common = values.agg(
-                *[F.stddev_pop(F.when(x[b].isNotNull(), x[a])).alias(f"a{j}") for j, a, b in gaps],
-                *[F.stddev_pop(F.when(x[a].isNotNull(), x[b])).alias(f"b{j}") for j, a, b in gaps],
-            ).first()
-        incomplete = {j for j, _, _ in gaps}
-        for j, (a, b) in enumerate(part):
-            if j in incomplete:
-                out[(a, b)] = _ratio(row[f"c{j}"], common[f"a{j}"], common[f"b{j}"])
-            else:
-                out[(a, b)] = _ratio(row[f"c{j}"], sd[a], sd[b])
+    for (i, a), (j, b) in combinations(enumerate(names), 2):
+        known = n[i, j] > 0 and varies[i, j] and varies[j, i] and np.isfinite(ratio[i, j])
+        out[(a, b)] = float(np.clip(ratio[i, j], -1.0, 1.0)) if known else None
     return out
 
 
 @dataclass
 class RankTables:
-    """Staged (id, value, n, rank) of several inputs, with each input's length and row count."""
+    """Staged (id, value, n, rank) of several inputs, with each input's row count."""
 
     ranks: DataFrame
-    sizes: dict[int, tuple[int, int]]
+    sizes: dict[int, int]
 
     @classmethod
     def of(cls, df: DataFrame, inputs: list[Column]) -> RankTables:
         """Rank the distinct values of all inputs together, missing cells apart."""
         freq = value_counts_by_id(df, inputs).where("value IS NOT NULL")
         ranks = stage_table(average_ranks(freq, "value", "n", ["id"]))
-        sizes = ranks.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
-        return cls(ranks, {r["id"]: (r["k"], r["n"]) for r in sizes.collect()})
+        sizes = ranks.groupBy("id").agg(F.sum("n").alias("n"))
+        return cls(ranks, {r["id"]: r["n"] for r in sizes.collect()})
 
     def attach(self, rows: DataFrame, name: str, i: int) -> DataFrame:
-        """Replace column ``name`` by its ranks; short tables are broadcast, hot values split."""
-        k, n = self.sizes.get(i, (0, 0))
+        """Replace column ``name`` by its ranks."""
         table = self.ranks.where(F.col("id") == i).select(
             F.col("value").alias("_value"), F.col("n").alias("_weight"), F.col("rank").alias("_rank")
         )
-        joined = attach(rows.withColumnRenamed(name, "_value"), table, ["_value"], "_weight", k, n)
+        joined = attach(rows.withColumnRenamed(name, "_value"), table, ["_value"], "_weight", self.sizes.get(i, 0))
         return joined.drop("_value", "_weight").withColumnRenamed("_rank", name)
 
 
@@ -125,29 +124,51 @@ def ranked_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 def spearman_values(df: DataFrame, columns: list[str]) -> Pairs:
     """Spearman coefficients; pairs with missing cells are ranked on their common rows.
 
-    Columns without missing cells are ranked once. All other pairs are ranked together, each on
-    its own rows, so their number adds joins but no further rank computation.
+    Columns without missing cells are ranked once, all other pairs together, each on its own rows.
     """
     plain = df.select(*[as_double(df, c).alias(c) for c in columns])
-    row = plain.agg(F.count(F.lit(1)), *[F.count(col(c)) for c in columns]).first()
-    full = [c for i, c in enumerate(columns) if row[i + 1] == row[0]]
+    parts = [columns[i : i + COLUMNS_PER_SLICE] for i in range(0, len(columns), COLUMNS_PER_SLICE)]
+    counts = [plain.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.count(col(c)) for c in part]).alias("filled")) for part in parts]
+    filled = [(r["n"], x) for r in reduce(DataFrame.unionAll, counts).collect() for x in r["filled"]]
+    full = [c for c, (n, x) in zip(columns, filled, strict=True) if n == x]
     out: Pairs = {}
     if len(full) > 1:
         out.update(pearson_values(ranked_rows(plain, full), {c: col(c) for c in full}))
     gaps = [pair for pair in combinations(columns, 2) if pair not in out]
     if gaps:
-        inputs = []
-        for a, b in gaps:
-            both = col(a).isNotNull() & col(b).isNotNull()
-            inputs += [F.when(both, col(a)), F.when(both, col(b))]
-        tables = RankTables.of(plain, inputs)
-        for j, (a, b) in enumerate(gaps):
-            rows = plain.select(col(a).alias("a"), col(b).alias("b")).na.drop()
-            rows = tables.attach(tables.attach(rows, "a", 2 * j), "b", 2 * j + 1)
-            out[(a, b)] = pearson_values(rows, {"a": F.col("a"), "b": F.col("b")})[("a", "b")]
+        out.update(_gap_values(plain, gaps))
     return {pair: out[pair] for pair in combinations(columns, 2)}
 
 
+def _gap_values(plain: DataFrame, pairs: list[tuple[str, str]]) -> Pairs:
+    """Spearman coefficients of pairs on their common rows, all in the same few jobs.
+
+    Equal pairs of values are counted together first; their counts then stand for the rows: they give both ranks
+    (a side's ranks from its own counts) and weigh the products.
+    """
+    cells = [F.struct(F.lit(j).alias("id"), col(a).alias("a"), col(b).alias("b")) for j, (a, b) in enumerate(pairs)]
+    both = plain.select(F.inline(F.array(*cells))).na.drop().groupBy("id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    both = stage_table(both)
+    ranked = both
+    for side in ("a", "b"):
+        freq = both.groupBy("id", side).agg(F.sum("n").alias("weight"))
+        ranks = stage_table(average_ranks(freq, side, "weight", ["id"])).withColumnRenamed("rank", f"rank_{side}")
+        total = ranks.agg(F.sum("weight")).first()[0] or 0
+        ranked = attach(ranked, ranks, ["id", side], "weight", total).drop("weight")
+    middle = ranked.groupBy("id").agg(((F.sum("n") + 1) / 2).alias("middle"))
+    x, y = F.col("rank_a") - F.col("middle"), F.col("rank_b") - F.col("middle")
+    sums = ranked.join(F.broadcast(middle), "id").groupBy("id").agg(
+        F.sum(F.col("n") * x * y).alias("xy"), F.sum(F.col("n") * x * x).alias("xx"), F.sum(F.col("n") * y * y).alias("yy")
+    )
+    found = {r["id"]: r for r in sums.collect()}  # one row a pair
+    out: Pairs = {}
+    for j, pair in enumerate(pairs):
+        r = found.get(j)
+        known = r is not None and r["xx"] > 0 and r["yy"] > 0
+        out[pair] = max(-1.0, min(1.0, r["xy"] / (r["xx"] ** 0.5 * r["yy"] ** 0.5))) if known else None
+    return out
+
+
 def correlations(
     df: DataFrame, method: str = "pearson", columns: list[str] | None = None
 ) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
+from itertools import combinations
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +27,6 @@ SHAPIRO_LIMIT = 5_000
 MIN_PAIRS = 5
 MIN_CATEGORICAL_ROWS = 10
 EXACT_GROUP = 8
-EXACT_CELLS = 5_000_000
 PEARSON = "Pearson Correlation Test"
 SPEARMAN = "Spearman Rank Correlation Test"
 CHI_SQUARE = "Chi-Square Test of Independence"
@@ -121,7 +122,7 @@ def shapiro_by_group(rows: DataFrame, groups: DataFrame, n_groups: int, total: i
     Larger groups never reach the grouped function, whose input is therefore bounded.
     """
     table = groups.select("category", F.col("n").alias("size"))
-    small = attach(rows, table, ["category"], "size", n_groups, total).where(
+    small = attach(rows, table, ["category"], "size", total).where(
         F.col("size").between(3, SHAPIRO_LIMIT)
     )
 
@@ -234,8 +235,8 @@ def chi_square_test(df: DataFrame, var1: str, var2: str) -> TestResult:
         )
         return result
 
-    with_rows = attach(cells, rows_, ["a"], "_w", k1, n_cells).drop("_w")
-    full = attach(with_rows, columns_, ["b"], "_w", k2, n_cells).drop("_w")
+    with_rows = attach(cells, rows_, ["a"], "_w", n_cells).drop("_w")
+    full = attach(with_rows, columns_, ["b"], "_w", n_cells).drop("_w")
     expected = F.col("ra") * F.col("cb") / float(n)
     gap = F.col("n") - expected
     observed, covered, largest = full.agg(
@@ -286,20 +287,41 @@ def anova_test(groups: DataFrame) -> tuple[float, int, int, float]:
     return statistic, df1, df2, f_sf(statistic, df1, df2) if statistic == statistic else float("nan")
 
 
+def _partitions(total: int, small: int, coefficients: list[int], period: int) -> int:
+    """Coefficient of q^total in 1 / ((1 - q)(1 - q)(1 - q^2) ... (1 - q^small)).
+
+    Each factor is put over 1 - q^period, which leaves ``coefficients`` as numerator.
+    """
+    if total < 0:
+        return 0
+    found = 0
+    for j in range(total % period, min(total, len(coefficients) - 1) + 1, period):
+        found += coefficients[j] * math.comb((total - j) // period + small, small)
+    return found
+
+
 def exact_u_sf(u: float, n1: int, n2: int) -> float:
-    """P(U >= u) without ties, counting the arrangements of the two groups by their U."""
+    """P(U >= u) without ties, from the number of arrangements of the two groups by their U.
+
+    By symmetry these are the arrangements with U of at most n1 * n2 - u: a sum over the subsets of the smaller group's
+    factors, in whole numbers, whose cost does not depend on the larger group.
+    """
     small, large = sorted((n1, n2))
-    # Coefficients of the Gaussian binomial: multiply by (1 - q^(large+i)) and divide by (1 - q^i).
-    counts = np.zeros(small * large + 1)
-    counts[0] = 1.0
-    for i in range(1, small + 1):
-        step = large + i
-        if step < len(counts):
-            counts[step:] -= counts[:-step].copy()
-        for offset in range(i):
-            counts[offset::i] = np.cumsum(counts[offset::i])
-    counts /= counts.sum()
-    return float(counts[math.ceil(u) :].sum())
+    most = small * large - math.ceil(u)
+    period = math.lcm(*range(1, small + 1)) if small else 1
+    coefficients = [1]
+    for step in [1, *range(1, small + 1)]:
+        widened = [0] * (len(coefficients) + period - step)
+        for i, c in enumerate(coefficients):
+            if c:
+                for offset in range(0, period, step):
+                    widened[i + offset] += c
+        coefficients = widened
+    arrangements = 0
+    for size in range(small + 1):
+        for chosen in combinations(range(large + 1, large + small + 1), size):
+            arrangements += (-1) ** size * _partitions(most - sum(chosen), small, coefficients, period)
+    return float(Fraction(arrangements, math.comb(small + large, small)))
 
 
 def mann_whitney(
@@ -333,7 +355,7 @@ def mann_whitney(
     u1 = r1 - n1 * (n1 + 1) / 2.0
     u = max(u1, float(n1) * n2 - u1)
     figures = {"n1": n1, "n2": n2}
-    if min(n1, n2) <= EXACT_GROUP and ties == 0 and float(n1) * n2 <= EXACT_CELLS:
+    if min(n1, n2) <= EXACT_GROUP and ties == 0:
         return u1, min(1.0, 2.0 * exact_u_sf(u, n1, n2)), figures
     variance = n1 * n2 / 12.0 * ((total + 1) - ties / (float(total) * (total - 1)))
     if variance <= 0:
@@ -351,13 +373,13 @@ def kruskal_wallis(df: DataFrame, category: str, value: str) -> tuple[float, int
     )
     ranks = stage_table(average_ranks(freq, "value", "_n"))
     t = F.col("_n").cast("double")
-    distinct, total, n_cells, ties = ranks.agg(
-        F.count(F.lit(1)), F.sum("_n"), F.sum("_cells"), F.sum(t * t * t - t)
+    total, n_cells, ties = ranks.agg(
+        F.sum("_n"), F.sum("_cells"), F.sum(t * t * t - t)
     ).first()
     # Ranks are centred, so the group sums do not lose digits on long columns.
     centred = F.col("rank") - (total + 1) / 2.0
     sums = (
-        attach(cells, ranks, ["value"], "_cells", distinct, n_cells)
+        attach(cells, ranks, ["value"], "_cells", n_cells)
         .groupBy("category")
         .agg(F.sum("n").alias("n"), F.sum(F.col("n") * centred).alias("s"))
     )

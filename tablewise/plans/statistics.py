@@ -220,6 +220,30 @@ def pearson_matrix(spark, sf):
     return rounded(correlation.correlations(table(spark, sf, "lineitem"), "pearson", _LINE))
 
 
+# Twelve columns, one of them tiny and one of them shifted far from zero.
+_WIDE = {
+    **{c: c for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")},
+    "tiny": "l_discount * 1e-8 + l_quantity * 1e-9", "far": "l_quantity + l_tax + 1e6", "net": "l_extendedprice * (1 - l_discount)",
+    "square": "l_quantity * l_quantity",
+}
+_WIDE_SQL = "w AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _WIDE.items()) + " FROM lineitem)"
+# Every third column misses cells of its own.
+_GAPS = {c: f"CASE WHEN l_orderkey % {5 + i} = 1 THEN NULL ELSE {e} END" if i % 3 == 0 else e for i, (c, e) in enumerate(_WIDE.items())}
+_GAPS_SQL = "w AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _GAPS.items()) + " FROM lineitem)"
+
+
+@query("pearson_wide", f"WITH {_WIDE_SQL} {_corr_rows('w', list(_WIDE))}")
+def pearson_wide(spark, sf):
+    df = table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in _WIDE.items()])
+    return rounded(correlation.correlations(df, "pearson", list(_WIDE)))
+
+
+@query("pearson_wide_nulls", f"WITH {_GAPS_SQL} {_corr_rows('w', list(_WIDE))}")
+def pearson_wide_nulls(spark, sf):
+    df = table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in _GAPS.items()])
+    return rounded(correlation.correlations(df, "pearson", list(_WIDE)))
+
+
 _NULLS = ["o_custkey", "price", "price_num"]
 _NULL_SOURCE = f"n AS (SELECT *, {_number('price_text')} AS price_num FROM orders_dirty)"
 

@@ -9,13 +9,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tablewise.functions import lookup, quantiles
+from tablewise.functions import lookup, quantiles, staging
 from tablewise.functions.frequency import frequency_table, summarise_frequencies
 from tablewise.functions.moments import adjusted_kurtosis, adjusted_skewness, kurtosis_z, skewness_z
 from tablewise.functions.parse import date_format_rates, text_to_number
 from tablewise.functions.ranks import average_ranks
 from tablewise.functions.shapiro import shapiro_wilk
-from tablewise.functions.staging import stage_table, staging_root
+from tablewise.functions.staging import stage_table
 from tablewise.functions.tails import chi2_sf, f_sf, normal_sf, t_two_sided
 
 
@@ -157,17 +157,18 @@ def test_average_ranks_in_parts(spark):
     assert all(got[(p, v)] == r for p, v, r in zip(pdf["p"], pdf["value"], pdf["rank"]))
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
+@pytest.mark.parametrize("limit", ["-1", "10m"])
 def test_attach_splits_hot_keys(spark, monkeypatch, limit):
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", limit)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     monkeypatch.setattr(lookup, "HOT_SHARE", 4)
     rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)], "k long, i long")
     table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("w"))
-    joined = lookup.attach(rows, table, ["k"], "w", table.count(), 300)
+    joined = lookup.attach(rows, table, ["k"], "w", 300)
     assert joined.count() == 300
     assert joined.where((F.col("k") == 1) & (F.col("w") != 200)).count() == 0
-    plan = joined._jdf.queryExecution().toString()
-    assert ("Union" in plan) == (limit == 0)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Union" not in plan
 
 
 def test_frequencies_smallest_mode(spark):
@@ -180,12 +181,16 @@ def test_frequencies_smallest_mode(spark):
     assert rows["x"]["n_unique"] == 3
 
 
-def test_staging_uses_the_configured_folder(spark):
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        assert staging_root(spark) == configured.rstrip("/")
-    df = stage_table(spark.range(5))
-    assert df.count() == 5 and staging_root(spark) in df.inputFiles()[0]
+def test_staging_with_and_without_a_shared_folder(spark, tmp_path, monkeypatch):
+    mark = staging.staged_so_far(spark)
+    monkeypatch.setattr(staging, "shared_folder", lambda _: f"file://{tmp_path}")
+    written = stage_table(spark.range(5))
+    assert written.count() == 5 and str(tmp_path) in written.inputFiles()[0]
+    assert staging.drop_staged(spark, mark) == 1 and not list((tmp_path / "tablewise").iterdir())
+    monkeypatch.setattr(staging, "shared_folder", lambda _: None)
+    held = stage_table(spark.range(6))
+    assert held.count() == 6 and held.is_cached
+    assert staging.drop_staged(spark, mark) == 1 and not held.is_cached
 
 
 def test_permutation_invariance(spark):
@@ -241,3 +246,19 @@ def test_functions_reach_workers_that_lack_the_package(tmp_path):
         capture_output=True,
     )
     assert out.stdout.strip() == b"True", out.stderr.decode()
+
+
+def test_exact_mann_whitney_tail_of_a_long_group():
+    """The other group may be of any size: compared with the counts of all arrangements."""
+    from tablewise.operators.hypothesis import exact_u_sf
+
+    n = 400
+    counts = [0] * (3 * n + 1)
+    for a in range(n + 1):  # partitions into at most 3 parts of at most n
+        for b in range(a + 1):
+            for c in range(b + 1):
+                counts[a + b + c] += 1
+    for u in (600, 900, 1100, 1200):
+        assert exact_u_sf(u, 3, n) == pytest.approx(sum(counts[u:]) / sum(counts), rel=1e-12)
+    z = (4e9 * 1.05 - 4e9) / (8 * 1e9 * (8 + 1e9 + 1) / 12) ** 0.5
+    assert exact_u_sf(4e9 * 1.05, 8, 10**9) == pytest.approx(normal_sf(z), rel=0.05)
