@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.parse import percent, text_to_number
-from ..schema import categorical_columns, col, column_roles, numeric_columns, present, string_columns
+from ..schema import categorical_columns, col, column_roles, normalise_missing, numeric_columns, present, string_columns
 
 ANOMALY_SHARE = 0.8  # fixed value: text columns above this numeric share are flagged
 
@@ -37,8 +37,9 @@ def missing_by_column(df: DataFrame, only_missing: bool = False) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier one, and their percentage.
 
-    Equal rows are counted together before the shuffle; NULL equals NULL.
+    Equal rows are counted together before the shuffle; missing cells are equal, NULL or NaN.
     """
+    df = normalise_missing(df)
     per_row = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
     return per_row.agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_distinct")
@@ -115,6 +116,7 @@ def audit_table(df: DataFrame) -> DataFrame:
     Rows, missing cells and duplicates come from one pass: equal rows are grouped once, and each
     group contributes its missing cells times its copies.
     """
+    df = normalise_missing(df)
     width = len(df.columns)
     missing = sum((F.when(present(df, c).isNull(), 1).otherwise(0) for c in df.columns), F.lit(0))
     grouped = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))

@@ -12,7 +12,7 @@ from ..functions.frequency import modes
 from ..functions.parse import text_to_number
 from ..functions.quantiles import exact_quantiles
 from ..functions.staging import stage_table
-from ..schema import as_double, categorical_columns, col, column_roles, numeric_columns, present
+from ..schema import as_double, categorical_columns, col, column_roles, normalise_missing, numeric_columns, present
 from .audit import anomalous_columns
 
 NUMERIC_PER_SLICE = 8
@@ -36,7 +36,8 @@ class CleanResult:
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+    """Rows that differ somewhere; missing cells are equal, whether NULL or NaN, and leave as NULL."""
+    return normalise_missing(df).dropDuplicates()
 
 
 def convert_numeric_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -198,9 +199,10 @@ def clean_table(
     if convert_anomalies:
         flagged = anomalous_columns(table)
         table = convert_numeric_text(table, flagged)
-        converted = [("convert_text", c, "to_number", 0, None) for c in flagged]
     numeric, categorical = numeric_columns(table), categorical_columns(table)
     profile = ColumnProfile.of(table, numeric, categorical)
+    if convert_anomalies:  # cells that became numbers
+        converted = [("convert_text", c, "to_number", profile.n_rows - profile.missing[c], None) for c in flagged]
     removed = df.count() - profile.n_rows if remove_duplicates else 0
     if removed:
         log.append(("deduplicate", None, "drop", removed, None))

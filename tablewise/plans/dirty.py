@@ -21,9 +21,9 @@ _EVENTS = """
 SELECT event_id, user_id, event_type,
   CASE WHEN event_id % 31 = 2 THEN 'not a date' ELSE {fmt} END AS ts_text, ts,
   CASE WHEN event_id % 19 = 1 THEN CAST('NaN' AS DOUBLE)
-       WHEN event_id % 43 = 2 THEN NULL ELSE value END AS value
+       WHEN event_id % 43 = 2 OR (event_type = 'purchase' AND EXTRACT(DAY FROM ts) IN (5, 6, 17)) THEN NULL
+       ELSE value END AS value
 FROM {events}
-WHERE NOT (event_type = 'purchase' AND EXTRACT(DAY FROM ts) IN (5, 6, 17))
 """
 
 _CALENDAR = "%Y-%m-%d %H:%M:%S"
@@ -51,6 +51,6 @@ def orders_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with unparseable dates, NaN and NULL values, and days without purchases."""
+    """Events with unparseable dates, NaN and NULL values, and days on which no purchase has a value."""
     sql = _EVENTS.replace("{fmt}", "date_format(ts, 'yyyy-MM-dd HH:mm:ss')")
     return spark.sql(sql, events=table(spark, sf_dir, "events"))

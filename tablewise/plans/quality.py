@@ -229,6 +229,28 @@ def audit_documents(spark, sf):
 # --- cleaning ------------------------------------------------------------------------------------
 
 
+_NAN = "SELECT event_type, CASE event_id % 3 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN NULL ELSE 1.5E0 END AS x FROM "
+_NAN_SQL = f"n AS (SELECT event_type, CASE WHEN isnan(x) THEN NULL ELSE x END AS x FROM ({_NAN} events))"
+
+
+def _nan_rows(spark, sf):
+    return spark.sql(_NAN + "{events}", events=table(spark, sf, "events"))
+
+
+@query(
+    "audit_duplicates_nan",
+    f"WITH {_NAN_SQL}, c AS (SELECT (SELECT count(*) FROM n) AS n, (SELECT count(*) FROM (SELECT DISTINCT * FROM n)) AS k) "
+    f"SELECT n AS n_rows, n - k AS n_duplicates, {_pct('n - k', 'n')} AS duplicate_pct FROM c",
+)
+def audit_duplicates_nan(spark, sf):
+    return audit.duplicate_rows(_nan_rows(spark, sf))
+
+
+@query("dedup_nan", f"WITH {_NAN_SQL} SELECT DISTINCT * FROM n")
+def dedup_nan(spark, sf):
+    return clean.drop_duplicate_rows(_nan_rows(spark, sf))
+
+
 @query("dedup", f"WITH {ORDERS_DIRTY} SELECT DISTINCT * FROM orders_dirty")
 def dedup(spark, sf):
     return clean.drop_duplicate_rows(orders_dirty(spark, sf))
@@ -361,7 +383,7 @@ def clean_table(spark, sf):
     f"WITH {ORDERS_DIRTY}, d AS (SELECT DISTINCT * FROM orders_dirty), t AS (SELECT *, {_number('price_text')} AS num FROM d) "
     "SELECT 'deduplicate' AS step, CAST(NULL AS VARCHAR) AS \"column\", 'drop' AS action, "
     "(SELECT count(*) FROM orders_dirty) - (SELECT count(*) FROM d) AS n_affected "
-    "UNION ALL SELECT 'convert_text', 'price_text', 'to_number', 0 "
+    "UNION ALL SELECT 'convert_text', 'price_text', 'to_number', count(num) FROM t "
     "UNION ALL SELECT 'impute_numeric', 'price', 'median', count(*) - count(price) FROM t "
     "UNION ALL SELECT 'impute_numeric', 'price_text', 'mean', count(*) - count(num) FROM t "
     "UNION ALL SELECT 'impute_categorical', 'priority', 'mode', count(*) - count(priority) FROM t",
