@@ -29,6 +29,20 @@ def frequency_table(df: DataFrame, columns: list[str], as_type: str = "string")
     return counts.select(F.get(names, F.col("id")).alias("column"), "value", "n")
 
 
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n_unique) without missing values, for columns of any type.
+
+    Values travel as 128-bit hashes, so that long texts are neither shuffled nor compared.
+    """
+    names = F.array(*[F.lit(c) for c in columns])
+    filled = [(i, present(df, c)) for i, c in enumerate(columns)]
+    cells = [F.when(x.isNotNull(), F.struct(F.lit(i).alias("id"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"))) for i, x in filled]
+    hashed = df.select(F.inline(F.array(*cells))).where("id IS NOT NULL").groupBy("id", "h", "g").agg(F.count(F.lit(1)).alias("n"))
+    counts = hashed.groupBy("id").agg(F.count(F.lit(1)).alias("n_unique"))
+    every = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("id"))
+    return every.join(counts, "id", "left").select(F.get(names, F.col("id")).alias("column"), F.coalesce("n_unique", F.lit(0)).alias("n_unique"))
+
+
 def summarise_frequencies(freq: DataFrame) -> DataFrame:
     """Per column: rows, missing, distinct values and the smallest most frequent value."""
     filled = F.col("value").isNotNull()

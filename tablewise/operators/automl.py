@@ -49,10 +49,8 @@ GRIDS = {
 }
 
 # Limits of this implementation.
-MAX_LEVELS = 10_000  # text columns with more levels are hashed instead of indexed
 HASH_SIZE = 1 << 14
-DEEP_ROWS = 100_000  # up to this many rows forests grow as deep as Spark allows
-DEEP, SHALLOW = 30, 14
+MAX_DEPTH = 30  # of forests whose depth is not tuned: the deepest that Spark grows
 PARALLEL_FITS = 6
 
 
@@ -95,11 +93,13 @@ class Preprocessor:
         )
 
 
-def fit_preprocessor(df: DataFrame, numeric: list[str], texts: dict[str, int | None]) -> Preprocessor:
+def fit_preprocessor(
+    df: DataFrame, numeric: list[str], texts: list[str], hash_columns: list[str] | None = None
+) -> Preprocessor:
     """Median fill and standardising for numbers, mode fill and one-hot encoding for categories.
 
-    Unseen categories encode as all zeros. ``texts`` gives the number of levels where known; text
-    columns with very many levels are hashed, because an index of them would not fit a driver.
+    Unseen categories encode as all zeros. The index of a column's levels is held by the driver; text columns of too
+    many levels for that can be named in ``hash_columns``, which are hashed to ``HASH_SIZE`` features instead.
     """
     quantiles = exact_quantiles(df, {c: as_double(df, c) for c in numeric}, [0.5])
     medians = {c: quantiles[c][0] or 0.0 for c in numeric}
@@ -112,7 +112,7 @@ def fit_preprocessor(df: DataFrame, numeric: list[str], texts: dict[str, int | N
         row = df.agg(*[e.alias(f"m{i}") for i, e in enumerate(exprs)]).first()
         for i, c in enumerate(numeric):
             centre[c], scale[c] = row[2 * i] or 0.0, row[2 * i + 1] or 1.0
-    hashed = [c for c, n in texts.items() if (n or 0) > MAX_LEVELS]
+    hashed = [c for c in texts if c in (hash_columns or [])]
     categorical = [c for c in texts if c not in hashed]
     common = {c: v if v is not None else "" for c, v in modes(df, [*categorical, *hashed]).items()}
     p = Preprocessor(numeric, categorical, hashed, medians, centre, scale, common)
@@ -274,34 +274,33 @@ def _importances(model) -> list[float]:
     return [float(v) for v in abs(model.coefficients.toArray())]
 
 
-def _classifier(name: str, n: int, n_classes: int, params: dict, seed: int):
+def _classifier(name: str, n: int, n_classes: int, params: dict, seed: int, max_depth: int = MAX_DEPTH):
     if name == "Logistic Regression":
         # An inverse strength C on the summed loss is 1 / (C n) on Spark's mean loss.
         return LogisticRegression(
             maxIter=LOGISTIC_ITERATIONS, regParam=1.0 / (params.get("c", 1.0) * n), standardization=False
         )
     if name == "Random Forest":
-        return RandomForestClassifier(**_forest_params(n, params), seed=seed)
+        return RandomForestClassifier(**_forest_params(params, max_depth), seed=seed)
     boost = GBTClassifier(**_boost_params(params), seed=seed)
     return boost if n_classes == 2 else OneVsRest(classifier=boost, rawPredictionCol="rawPrediction")
 
 
-def _regressor(name: str, n: int, params: dict, seed: int):
+def _regressor(name: str, params: dict, seed: int, max_depth: int = MAX_DEPTH):
     if name == "Linear Regression":
         return LinearRegression(regParam=0.0)
     if name == "Random Forest":
-        return RandomForestRegressor(**_forest_params(n, params), featureSubsetStrategy="all", seed=seed)
+        return RandomForestRegressor(**_forest_params(params, max_depth), featureSubsetStrategy="all", seed=seed)
     return GBTRegressor(**_boost_params(params), seed=seed)
 
 
-def _forest_params(n: int, params: dict) -> dict:
-    unlimited = DEEP if n <= DEEP_ROWS else SHALLOW
+def _forest_params(params: dict, max_depth: int) -> dict:
     return {
         "numTrees": params.get("trees", N_TREES),
-        "maxDepth": params.get("depth") or unlimited,
+        "maxDepth": params.get("depth") or max_depth,
         "minInstancesPerNode": max(1, params.get("split", 2) // 2),
         "checkpointInterval": 10,
-        "cacheNodeIds": n > DEEP_ROWS,
+        "cacheNodeIds": True,
     }
 
 
@@ -329,12 +328,18 @@ def split_rows(df: DataFrame, keys: list[str] | None = None, seed: int = SEED) -
 
 
 def run_automl(
-    df: DataFrame, target: str | None = None, keys: list[str] | None = None, seed: int = SEED
+    df: DataFrame,
+    target: str | None = None,
+    keys: list[str] | None = None,
+    seed: int = SEED,
+    max_depth: int = MAX_DEPTH,
+    hash_columns: list[str] | None = None,
 ) -> AutoMLModel:
     """Detect the task, prepare the features, compare baselines and tune the best one.
 
-    ``keys`` name the columns that identify a row for the train/test split (default: all columns);
-    they are not used as features when given.
+    ``keys`` name the columns that identify a row for the train/test split (default: all columns); they are not used as
+    features when given. ``max_depth`` limits forests whose depth is not tuned, ``hash_columns`` names text columns to
+    hash instead of one-hot encoding them. Baselines that cannot be fitted are on the leaderboard with the reason.
     """
     use_checkpoint_dir(df.sparkSession)
     task = detect_task_type(df, target)
@@ -344,33 +349,31 @@ def run_automl(
     candidates = [c for c in df.columns if c != target and c not in (keys or [])]
     kept = [v for v in judge_features(df, candidates) if v.reason is None]
     numeric = [v.column for v in kept if roles[v.column] == "numeric"]
-    texts = {v.column: v.n_unique for v in kept if roles[v.column] in ("string", "boolean")}
+    texts = [v.column for v in kept if roles[v.column] in ("string", "boolean")]
     if not numeric and not texts:
         raise ValueError("No usable feature is left after selection.")
     if task == "clustering":
-        return _run_clustering(df, numeric, texts, seed)
+        return _run_clustering(df, numeric, texts, seed, hash_columns)
 
     marked = df.withColumn("_test", split_rows(df, keys, seed))
     train = marked.where(~F.col("_test"))
     labels: list[str] = []
     if task == "classification":
-        # Bounded: numeric targets have at most 10 classes, text classes must be indexable.
-        found = train.select(col(target).cast("string").alias("v")).distinct().limit(MAX_LEVELS + 1)
+        # A model has parameters for every class, so the driver holds their names.
+        found = train.select(col(target).cast("string").alias("v")).distinct()
         labels = sorted(r["v"] for r in found.collect())
-        if len(labels) > MAX_LEVELS:
-            raise ValueError(f"Target {target!r} has more than {MAX_LEVELS} classes.")
         if roles[target] == "numeric":
             labels.sort(key=float)
         if len(labels) < 2:
             raise ValueError(f"Target {target!r} has a single class among the training rows.")
-        index = F.create_map(*[e for i, v in enumerate(labels) for e in (F.lit(v), F.lit(float(i)))])
-        label = index[col(target).cast("string")]
+        index = df.sparkSession.createDataFrame(list(zip(labels, map(float, range(len(labels))))), "_class string, label double")
+        marked = marked.join(index, col(target).cast("string") == F.col("_class"), "left")
     else:
-        label = as_double(df, target)
-    preprocessor = fit_preprocessor(train, numeric, texts)
+        marked = marked.withColumn("label", as_double(df, target))
+    preprocessor = fit_preprocessor(train, numeric, texts, hash_columns)
     # Vectors are built once and written; every estimator below reads them.
     ready = stage_table(
-        preprocessor.transform(marked.withColumn("label", label)).select("features", "label", "_test")
+        preprocessor.transform(marked).select("features", "label", "_test")
     )
     ready = ready.where("label IS NOT NULL")
     train, test = ready.where(~F.col("_test")), ready.where(F.col("_test"))
@@ -380,12 +383,12 @@ def run_automl(
         names, evaluator, stage_metric = (
             ["Logistic Regression", "Random Forest", "Gradient Boosting"], MacroF1(), "f1_macro",
         )
-        build = lambda name, params: _classifier(name, n, len(labels), params, seed)
+        build = lambda name, params: _classifier(name, n, len(labels), params, seed, max_depth)
     else:
         names, evaluator, stage_metric = (
             ["Linear Regression", "Random Forest", "Gradient Boosting"], RSquared(), "r2",
         )
-        build = lambda name, params: _regressor(name, n, params, seed)
+        build = lambda name, params: _regressor(name, params, seed, max_depth)
 
     board: list[tuple[str, str, str, float]] = []
     fitted: dict[str, object] = {}
@@ -402,12 +405,14 @@ def run_automl(
     for name, task_ in running.items():
         if task_.exception() is not None:  # a baseline that cannot be fitted leaves the comparison
             failures[name] = task_.exception()
+            reason = str(failures[name]).strip().splitlines()
+            board.append((name, "baseline", f"failed: {reason[0] if reason else type(failures[name]).__name__}", float("nan")))
             continue
         fitted[name], value = task_.result()
         board.append((name, "baseline", stage_metric, value))
     if not fitted:
         raise ValueError(f"Every baseline failed: {failures}")
-    best = max(board, key=lambda r: r[3])[0]
+    best = max((r for r in board if r[0] in fitted), key=lambda r: r[3])[0]
     model = fitted[best]
     if best in GRIDS:
         model = _tune(best, build, train, evaluator, seed)
@@ -455,9 +460,11 @@ def _tune(name: str, build, train: DataFrame, evaluator: Evaluator, seed: int):
     return search.fit(train).bestModel.stages[0]
 
 
-def _run_clustering(df: DataFrame, numeric: list[str], texts: dict[str, int | None], seed: int) -> AutoMLModel:
+def _run_clustering(
+    df: DataFrame, numeric: list[str], texts: list[str], seed: int, hash_columns: list[str] | None = None
+) -> AutoMLModel:
     """K-means with the silhouette's best k from 2 to 6; the smallest k wins ties."""
-    preprocessor = fit_preprocessor(df, numeric, texts)
+    preprocessor = fit_preprocessor(df, numeric, texts, hash_columns)
     ready = stage_table(preprocessor.transform(df).select("features"))
     n = ready.count()
     board: list[tuple[str, str, str, float]] = []

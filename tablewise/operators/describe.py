@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import frequency
 from ..functions.frequency import frequency_table, summarise_frequencies
 from ..functions.moments import adjust_kurtosis, adjust_skewness
 from ..functions.parse import percent
 from ..functions.quantiles import exact_quantiles
+from ..functions.staging import stage_table
 from ..schema import (
     as_double,
     categorical_columns,
@@ -108,9 +110,8 @@ def describe_categorical(df: DataFrame, columns: list[str] | None = None) -> Dat
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, n_unique) without missing values, from the frequency table."""
-    columns = df.columns if columns is None else columns
-    return summarise_frequencies(frequency_table(df, columns)).select("column", "n_unique")
+    """(column, n_unique) without missing values, from hashes of the values."""
+    return frequency.distinct_counts(df, df.columns if columns is None else columns)
 
 
 def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
@@ -199,8 +200,8 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 def crosstab_wide(df: DataFrame, a: str, b: str) -> DataFrame:
     """Contingency table with one row per value of ``a`` and one column per value of ``b``.
 
-    Combinations that never occur are 0. Only for a second column of few values; use
-    :func:`crosstab` beyond ``MAX_PIVOT`` of them.
+    Combinations that never occur are 0. The values of ``b`` become columns, so there must be few (``MAX_PIVOT``); the
+    long forms have no such limit.
     """
     cells = crosstab(df, a, b)
     levels = [r["b"] for r in cells.select("b").distinct().limit(MAX_PIVOT + 1).collect()]
@@ -212,13 +213,10 @@ def crosstab_wide(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def crosstab_full(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Long contingency table with the empty combinations as 0 rows (small second column)."""
-    wide = crosstab_wide(df, a, b)
-    levels = wide.columns[1:]
-    return wide.select(
-        col(a).alias("a"),
-        F.explode(F.array(*[F.struct(F.lit(v).alias("b"), col(v).alias("n")) for v in levels])).alias("c"),
-    ).select("a", "c.b", "c.n")
+    """Long contingency table with the empty combinations as 0 rows: the grid of both columns' values."""
+    cells = stage_table(crosstab(df, a, b))
+    grid = cells.select("a").distinct().crossJoin(cells.select("b").distinct())  # the result has these rows
+    return grid.join(cells, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def group_means(df: DataFrame, category: str, value: str) -> DataFrame:

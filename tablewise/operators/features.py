@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.frequency import frequency_table, summarise_frequencies
+from ..functions.frequency import distinct_counts
 from ..schema import col, column_roles, present, require_columns
 
 # Fixed values.
@@ -15,6 +16,8 @@ ID_SHARE = 0.95
 ID_SIZE = 50
 MAX_CLASSES = 10
 
+COLUMNS_PER_SLICE = 40  # more aggregates exceed what the JVM compiles as one method
+
 SELECTION_SCHEMA = (
     "column string, missing_pct double, n_unique bigint, kept boolean, reason string"
 )
@@ -51,44 +54,28 @@ def task_types(df: DataFrame, targets: list[str]) -> DataFrame:
 class FeatureVerdict:
     column: str
     missing_share: float
-    n_unique: int | None
+    n_unique: int
     reason: str | None
 
 
 def judge_features(df: DataFrame, columns: list[str] | None = None) -> list[FeatureVerdict]:
-    """Why each column is dropped, if it is: too empty, constant, or an identifier.
-
-    Constancy needs only the extremes, so distinct values are counted for text columns alone;
-    ``n_unique`` is otherwise given where the extremes settle it (0 or 1).
-    """
+    """Why each column is dropped, if it is: too empty, constant, or an identifier."""
     roles = column_roles(df)
     columns = [c for c in (columns or df.columns) if roles[c] != "complex"]
-    texts = [c for c in columns if roles[c] == "string"]
-    exprs = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(columns):
-        x = present(df, c)
-        exprs.append(F.count(x).alias(f"n{i}"))
-        if c not in texts:
-            exprs.append((F.min(x) == F.max(x)).alias(f"same{i}"))
-    row = df.agg(*exprs).first()
-    unique = {}
-    if texts:
-        summary = summarise_frequencies(frequency_table(df, texts)).select("column", "n_unique")
-        unique = {r["column"]: r["n_unique"] for r in summary.collect()}
+    parts = [columns[i : i + COLUMNS_PER_SLICE] for i in range(0, len(columns), COLUMNS_PER_SLICE)]
+    counts = [df.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.count(present(df, c)) for c in part]).alias("filled")) for part in parts]
+    found = [(r["n"], x) for r in reduce(DataFrame.unionAll, counts).collect() for x in r["filled"]] if parts else []
+    unique = {r["column"]: r["n_unique"] for r in distinct_counts(df, columns).collect()} if parts else {}
     verdicts = []
-    for i, c in enumerate(columns):
-        filled = row[f"n{i}"]
-        missing = 1.0 - filled / row["n"] if row["n"] else 0.0
-        if c in texts:
-            n_unique = unique.get(c, 0)
-        else:
-            n_unique = 0 if filled == 0 else 1 if row[f"same{i}"] else None
+    for c, (n, filled) in zip(columns, found, strict=True):
+        missing = 1.0 - filled / n if n else 0.0
+        n_unique = unique[c]
         reason = None
         if missing > MAX_MISSING:
             reason = "too many missing values"
-        elif n_unique is not None and n_unique <= 1:
+        elif n_unique <= 1:
             reason = "single unique value"
-        elif c in texts and n_unique / row["n"] > ID_SHARE and n_unique > ID_SIZE:
+        elif roles[c] == "string" and n_unique / n > ID_SHARE and n_unique > ID_SIZE:
             reason = "looks like an identifier"
         verdicts.append(FeatureVerdict(c, missing, n_unique, reason))
     return verdicts

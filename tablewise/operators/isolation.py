@@ -14,7 +14,6 @@ from ..schema import as_double, col
 # The usual forest size and subsample of the published method.
 N_TREES = 100
 SUBSAMPLE = 256
-CANDIDATES = 40 * SUBSAMPLE
 EULER_GAMMA = 0.5772156649015329
 
 _TREE_SCHEMA = "tree int, node int, feature int, threshold double, child int, depth double"
@@ -55,49 +54,50 @@ def _grow(points: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float
 
 
 def isolation_scores(
-    df: DataFrame, columns: list[str], keys: list[str] | None = None, seed: int = 42
+    df: DataFrame,
+    columns: list[str],
+    keys: list[str] | None = None,
+    seed: int = 42,
+    n_estimators: int = N_TREES,
+    max_samples: int = SUBSAMPLE,
 ) -> DataFrame:
     """Add ``isolation_score`` in (0, 1); rows that are easily isolated score high.
 
-    Missing cells are read as the column's median. Each tree is fitted in its own group on about
-    ``SUBSAMPLE`` rows; the forest (at most 100 x 511 nodes) is broadcast to score every row. With
-    ``keys`` (unique per row) the sample depends on the keys only, otherwise on the seed and the
-    input splits.
+    Missing cells are read as the column's median. Each of ``n_estimators`` trees draws about ``max_samples`` rows of
+    its own from the whole table, by a hash of the row and the tree, and is fitted in its own group; the forest
+    is broadcast to score every row. With ``keys`` (unique per row) the draw depends on the keys only, otherwise
+    on the seed and the input splits.
     """
     spark = df.sparkSession
     medians = exact_quantiles(df, {c: as_double(df, c) for c in columns}, [0.5])
     fill = {c: medians[c][0] if medians[c][0] is not None else 0.0 for c in columns}
     vector = F.array(*[F.coalesce(as_double(df, c), F.lit(float(fill[c]))) for c in columns])
     rows = df.withColumn("_vector", vector)
-
-    # A bounded pool of rows first, then an independent subsample of it for every tree.
-    draw = F.rand(seed)
-    if keys:
-        draw = F.pmod(F.xxhash64(*[col(k) for k in keys], F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     total = df.count()
-    pool_share = min(1.0, CANDIDATES / max(total, 1))
-    tree_share = min(1.0, SUBSAMPLE / max(total * pool_share, 1.0))
-    pool = rows.select("_vector", draw.alias("_draw")).where(F.col("_draw") < pool_share)
-    # Keys repeated against the contract would share one draw; the pool stays bounded all the same.
-    pool = pool.limit(4 * CANDIDATES)
+    threshold = int(min(1.0, max_samples / max(total, 1)) * (1 << 30))
+    if keys:
+        first, second = (F.pmod(F.xxhash64(*[col(k) for k in keys], F.lit(seed + i)), F.lit(1 << 30)) for i in (0, 1))
+    else:
+        first, second = (F.floor(F.rand(seed + i) * (1 << 30)).cast("long") for i in (0, 1))
+    # Two hashes a row give its draw in every tree: tree t has first + t * second, with second odd.
+    drawn = rows.select("_vector", first.alias("_first"), (second.bitwiseOR(F.lit(1))).alias("_second"))
+    trees = F.filter(
+        F.sequence(F.lit(1), F.lit(n_estimators)),
+        lambda t: F.pmod(F.col("_first") + t * F.col("_second"), F.lit(1 << 30)) < threshold,
+    )
 
     def fit(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-        members = members.sort_values("order")
-        points = np.stack(members["_vector"].to_numpy())[:SUBSAMPLE]
+        points = np.stack(members.sort_values("order")["_vector"].to_numpy())
         nodes = _grow(points, np.random.default_rng([seed, int(key[0])]))
         out = pd.DataFrame(nodes, columns=["feature", "threshold", "child", "depth"])
         out.insert(0, "node", range(len(nodes)))
         out.insert(0, "tree", int(key[0]))
         return out
 
-    order = F.xxhash64("_draw", "tree", F.lit(seed))
-    chosen = (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(N_TREES - 1))))
-        .withColumn("order", order)
-        .where(F.pmod("order", F.lit(1 << 30)) < tree_share * float(1 << 30))
-    )
+    order = F.xxhash64("_first", "_second", "tree", F.lit(seed))
+    chosen = drawn.withColumn("tree", F.explode(trees)).withColumn("order", order)
     forest = chosen.groupBy("tree").applyInPandas(fit, _TREE_SCHEMA).toPandas()
-    trees = [
+    grown = [
         (
             t["feature"].to_numpy(),
             t["threshold"].to_numpy(),
@@ -106,8 +106,8 @@ def isolation_scores(
         )
         for _, t in forest.sort_values(["tree", "node"]).groupby("tree")
     ]
-    shared = spark.sparkContext.broadcast(trees)
-    scale = _expected_depth(min(SUBSAMPLE, max(total, 2)))
+    shared = spark.sparkContext.broadcast(grown)
+    scale = _expected_depth(min(max_samples, max(total, 2)))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

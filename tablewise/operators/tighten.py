@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.frequency import frequency_table, summarise_frequencies
+from ..functions.frequency import distinct_counts
 from ..schema import INTEGER_TYPES, col, present, string_columns
 
 # Integer widths tried in order, the float range and the dictionary rule.
@@ -38,8 +38,7 @@ def _advice(df: DataFrame, narrow_floats: bool) -> list[tuple]:
     row = df.agg(*exprs).first()
     unique: dict[str, int] = {}
     if texts:
-        summary = summarise_frequencies(frequency_table(df, texts)).select("column", "n_unique")
-        unique = {r["column"]: r["n_unique"] for r in summary.collect()}
+        unique = {r["column"]: r["n_unique"] for r in distinct_counts(df, texts).collect()}
     out = []
     for i, field in enumerate(df.schema.fields):
         c, from_type = field.name, field.dataType.simpleString()

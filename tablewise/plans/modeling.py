@@ -30,8 +30,6 @@ def task_detection(spark, sf):
 
 def _selection_row(source: str, c: str, text: bool) -> str:
     n_unique = f"count(DISTINCT {c})"
-    if not text:
-        n_unique = f"CASE WHEN count({c}) = 0 THEN 0 WHEN min({c}) = max({c}) THEN 1 END"
     ident = f"WHEN count(DISTINCT {c}) * 1.0 / count(*) > 0.95 AND count(DISTINCT {c}) > 50 THEN 'looks like an identifier'"
     return (
         f"SELECT '{c}' AS \"column\", {r(f'100.0 * (count(*) - count({c})) / count(*)')} AS missing_pct, "
@@ -80,7 +78,7 @@ def preprocess(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     df = orders_dirty(spark, sf).select("o_orderkey", "price", "priority")
-    fitted = automl.fit_preprocessor(df, ["price"], {"priority": 5})
+    fitted = automl.fit_preprocessor(df, ["price"], ["priority"])
     v = vector_to_array("features")
     common = F.coalesce("priority", F.lit(fitted.common["priority"]))
     out = fitted.transform(df).select(

@@ -471,10 +471,9 @@ def test_split_ignores_partitioning(spark):
     assert a == b and 150 < len(a) < 250
 
 
-def test_hashed_levels_and_unseen_categories(spark, monkeypatch):
+def test_hashed_levels_and_unseen_categories(spark):
     df = frame(spark, [(float(i), f"v{i % 7}", "ab"[i % 2]) for i in range(40)], "x double, many string, few string")
-    monkeypatch.setattr(automl, "MAX_LEVELS", 5)
-    p = automl.fit_preprocessor(df, ["x"], {"many": 7, "few": 2})
+    p = automl.fit_preprocessor(df, ["x"], ["many", "few"], ["many"])
     assert p.hashed == ["many"] and p.names[:3] == ["x", "few_a", "few_b"]
     unseen = p.transform(frame(spark, [("zz",)], "few string")).first()["features"].toArray()
     assert list(unseen[1:3]) == [0.0, 0.0]
@@ -519,3 +518,51 @@ def test_automl_regression_and_clusters(spark, monkeypatch):
     clusters = automl.run_automl(blobs)
     assert clusters.metrics["Clusters"] == 3.0
     assert [r["count"] for r in automl.cluster_sizes(clusters, blobs).collect()] == [40, 40, 40]
+
+
+# --- width and missing cells ---------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("width", [3, 12])
+def test_pearson_is_the_same_at_every_width(spark, width):
+    """Tiny columns and missing cells change nothing; a constant column has no coefficient."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, width)) + rng.normal(size=(300, 1))
+    x[:, 1] = x[:, 1] * 1e-8 + 5.0
+    x[:, 2] = 0.1
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(width)])
+    pdf.loc[::7, "c0"] = np.nan
+    rows = [tuple(None if v != v else float(v) for v in r) for r in pdf.itertuples(index=False)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(width))).repartition(3)
+    got = {(r["var1"], r["var2"]): r["correlation"] for r in correlation.correlations(df).collect()}
+    want = pdf.corr()
+    kept = [c for c in pdf.columns if c != "c2"]
+    assert set(got) == {(a, b) for i, a in enumerate(kept) for b in kept[i + 1 :]}
+    assert all(got[a, b] == pytest.approx(want.loc[a, b], abs=1e-7) for a, b in got)
+    ranks = {(r["var1"], r["var2"]): r["correlation"] for r in correlation.correlations(df, "spearman").collect()}
+    want = pdf.corr("spearman")
+    assert set(ranks) == set(got)
+    assert all(ranks[a, b] == pytest.approx(want.loc[a, b], abs=1e-9) for a, b in ranks)
+
+
+def test_rank_joins_scan_their_source_once(spark):
+    """Five columns: five joins in a row, not a tree of unions."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    df = spark.createDataFrame([tuple(float((i * p) % 11) for p in (1, 2, 3, 5, 7)) for i in range(200)], "a double, b double, c double, d double, e double")
+    plan = correlation.ranked_rows(df, list("abcde"))._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Union" not in plan and plan.count("Join") == 10
+
+
+def test_rows_with_nan_and_null_are_duplicates(spark):
+    rows = [(1, float("nan")), (1, None), (1, None), (2, float("nan")), (3, 1.0)]
+    df = spark.createDataFrame(rows, "k int, x double")
+    assert audit.duplicate_rows(df).first()["n_duplicates"] == 2
+    assert audit.audit_table(df).first()["n_duplicates"] == 2
+    assert clean.drop_duplicate_rows(df).count() == 3
+
+
+def test_full_grid_of_many_values(spark):
+    df = spark.createDataFrame([(f"a{i % 3}", f"b{i}") for i in range(1500)], "a string, b string")
+    full = describe.crosstab_full(df, "a", "b")
+    assert full.count() == 4500 and full.agg(F.sum("n")).first()[0] == 1500
