@@ -492,19 +492,26 @@ def kruskal(spark, sf):
     return rounded(spark.createDataFrame([(h, p, dof)], "statistic double, p_value double, dof bigint"))
 
 
-def _dagostino_sql() -> str:
+def _k2_ctes(rows: str) -> str:
+    """CTEs ending in z(grp, n, z1, z2): the two normality statistics of each group of ``rows`` (grp, x)."""
     return (
-        f"WITH {EVENTS_DIRTY}, c AS (SELECT value AS x, avg(value) OVER () AS mu FROM events_dirty WHERE value IS NOT NULL), "
-        "m AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(pow(x - mu, 2)) AS m2, avg(pow(x - mu, 3)) AS m3, avg(pow(x - mu, 4)) AS m4 FROM c), "
-        "p AS (SELECT n, m3 / pow(m2, 1.5) AS g, m4 / (m2 * m2) AS b FROM m), "
+        f"c AS (SELECT grp, x, avg(x) OVER (PARTITION BY grp) AS mu FROM ({rows})), "
+        "m AS (SELECT grp, CAST(count(*) AS DOUBLE) AS n, avg(pow(x - mu, 2)) AS m2, avg(pow(x - mu, 3)) AS m3, avg(pow(x - mu, 4)) AS m4 FROM c GROUP BY grp), "
+        "p AS (SELECT grp, n, m3 / pow(m2, 1.5) AS g, m4 / (m2 * m2) AS b FROM m), "
         "q AS (SELECT *, g * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, "
         "sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w2, "
         "(b - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x, "
         "6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS s FROM p), "
         "v AS (SELECT *, 6 + 8 / s * (2 / s + sqrt(1 + 4 / (s * s))) AS a, y / sqrt(2 / (w2 - 1)) AS k FROM q), "
-        "z AS (SELECT n, 1 / sqrt(0.5 * ln(w2)) * ln(k + sqrt(k * k + 1)) AS z1, "
+        "z AS (SELECT grp, n, 1 / sqrt(0.5 * ln(w2)) * ln(k + sqrt(k * k + 1)) AS z1, "
         "(1 - 2 / (9 * a) - sign(1 + x * sqrt(2 / (a - 4))) * pow((1 - 2 / a) / abs(1 + x * sqrt(2 / (a - 4))), 1.0 / 3)) "
-        "/ sqrt(2 / (9 * a)) AS z2 FROM v) "
+        "/ sqrt(2 / (9 * a)) AS z2 FROM v)"
+    )
+
+
+def _dagostino_sql() -> str:
+    return (
+        f"WITH {EVENTS_DIRTY}, {_k2_ctes('SELECT 1 AS grp, value AS x FROM events_dirty WHERE value IS NOT NULL')} "
         f"SELECT 'value' AS \"column\", CAST(n AS BIGINT) AS n, {r('z1 * z1 + z2 * z2', 4)} AS statistic, "
         f"{r('exp(-(z1 * z1 + z2 * z2) / 2)')} AS p_value FROM z"
     )
@@ -520,15 +527,73 @@ def group_normality(spark, sf):
     return hypothesis.group_normality(table(spark, sf, "events"), "event_type", "value")
 
 
-def _routed(name, source, a, b):
+def _routed(name, source, a, b, ctes, test, basis, subject):
+    """A routed test; ``ctes`` end in f(statistic, p), ``test`` and ``basis`` are SQL for the choice that the data make."""
+    sql = (
+        f"WITH {ctes} SELECT '{a}' AS var1, '{b}' AS var2, {test} AS test_name, {r('statistic', 4)} AS statistic, {r('p')} AS p_value, "
+        f"p < 0.05 AS null_rejected, {test} || ' (' || {basis} || '): statistic ' || format('{{:.4f}}', statistic) || ', p-value ' || "
+        f"format('{{:.4e}}', p) || '. The evidence for {subject} is ' || CASE WHEN p < 0.05 THEN 'significant, the null hypothesis is "
+        "rejected.' ELSE 'not significant, the null hypothesis stands.' END AS interpretation FROM f"
+    )
+
     def run(spark, sf):
         df = normalise_missing(source(spark, sf))
-        return hypothesis.run_hypothesis_test(df, a, b).to_df(df)
-
-    query(name)(run)
-
-
-_routed("test_two_numbers", events_dirty, "user_id", "value")
-_routed("test_two_categories", orders_dirty, "priority", "o_orderstatus")
-_routed("test_two_groups", lambda s, d: table(s, d, "lineitem"), "l_extendedprice", "l_linestatus")
-_routed("test_many_groups", orders_dirty, "priority", "price")
+        return rounded(hypothesis.run_hypothesis_test(df, a, b).to_df(df), 6, statistic=4)
+
+    query(name, sql)(run)
+
+
+# Whether every group passes the normality test decides between the two families of tests.
+_ALL_NORMAL = "(SELECT bool_and(exp(-(z1 * z1 + z2 * z2) / 2) > 0.05) FROM z)"
+
+
+def _rank_of(c: str) -> str:
+    return f"CAST({_rank(c)} AS DOUBLE)"
+
+
+_routed(
+    "test_two_numbers", events_dirty, "user_id", "value",
+    f"{EVENTS_DIRTY}, rows_ AS (SELECT user_id, value FROM events_dirty WHERE value IS NOT NULL), "
+    + _k2_ctes("SELECT 'a' AS grp, user_id AS x FROM rows_ UNION ALL SELECT 'b', value FROM rows_")
+    + f", rho AS (SELECT CASE WHEN {_ALL_NORMAL} THEN corr(user_id, value) ELSE corr(a, b) END AS rho, count(*) AS n "
+    f"FROM (SELECT user_id, value, {_rank('user_id')} AS a, {_rank('value')} AS b FROM rows_)), "
+    "t AS (SELECT rho, n, rho * sqrt((n - 2) / (1 - rho * rho)) AS t FROM rho), "
+    f"f AS (SELECT rho AS statistic, {_t_p('t', '(n - 2)')} AS p FROM t)",
+    f"CASE WHEN {_ALL_NORMAL} THEN 'Pearson Correlation Test' ELSE 'Spearman Rank Correlation Test' END",
+    f"CASE WHEN {_ALL_NORMAL} THEN 'both variables look normal' ELSE 'at least one variable is not normal' END",
+    "a monotonic or linear relationship between ''user_id'' and ''value''",
+)
+_routed(
+    "test_two_categories", orders_dirty, "priority", "o_orderstatus",
+    f"{ORDERS_DIRTY}, {_chi_sql('orders_dirty WHERE priority IS NOT NULL', 'priority', 'o_orderstatus').removeprefix('WITH ').rstrip()}, "
+    "f AS (SELECT x2 AS statistic, dof, exp(-x2 / 2) * (SELECT sum(pow(x2 / 2, k) / gamma(k + 1)) FROM range(0, CAST(dof / 2 AS BIGINT)) t(k)) AS p FROM s)",
+    "'Chi-Square Test of Independence'",
+    "dof || ' degrees of freedom'",
+    "a dependence between ''priority'' and ''o_orderstatus''",
+)
+_routed(
+    "test_two_groups", lambda s, d: table(s, d, "lineitem"), "l_extendedprice", "l_linestatus",
+    _k2_ctes("SELECT l_linestatus AS grp, l_extendedprice AS x FROM lineitem")
+    + f", x AS (SELECT l_linestatus AS c, {_rank_of('l_extendedprice')} AS rk, l_extendedprice AS v FROM lineitem), "
+    "w AS (SELECT c, count(*) AS n, sum(rk) AS rs FROM x GROUP BY c), "
+    "tie AS (SELECT sum(k * k * k - k) AS t FROM (SELECT CAST(count(*) AS DOUBLE) AS k FROM x GROUP BY v)), "
+    "u AS (SELECT a.rs - a.n * (a.n + 1) / 2.0 AS u1, CAST(a.n AS DOUBLE) AS n1, CAST(b.n AS DOUBLE) AS n2, t FROM w a, w b, tie WHERE a.c < b.c), "
+    "zu AS (SELECT u1, (greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - t / ((n1 + n2) * (n1 + n2 - 1)))) AS zz FROM u), "
+    f"f AS (SELECT u1 AS statistic, {_normal_p('zz')} AS p FROM zu)",
+    f"CASE WHEN {_ALL_NORMAL} THEN 'Welch''s Two-Sample T-Test' ELSE 'Mann-Whitney U Test' END",
+    f"CASE WHEN {_ALL_NORMAL} THEN 'all groups look normal' ELSE 'at least one group is not normal' END",
+    "a difference of ''l_extendedprice'' between the levels of ''l_linestatus''",
+)
+_routed(
+    "test_many_groups", orders_dirty, "priority", "price",
+    f"{ORDERS_DIRTY}, rows_ AS (SELECT priority, price FROM orders_dirty WHERE priority IS NOT NULL AND price IS NOT NULL), "
+    + _k2_ctes("SELECT priority AS grp, price AS x FROM rows_")
+    + f", x AS (SELECT priority AS c, {_rank_of('price')} AS rk, price AS v FROM rows_), nn AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM x), "
+    "tie AS (SELECT sum(k * k * k - k) AS t FROM (SELECT CAST(count(*) AS DOUBLE) AS k FROM x GROUP BY v)), "
+    "w AS (SELECT c, count(*) AS k, sum(rk - (n + 1) / 2) AS s FROM x, nn GROUP BY c), "
+    "f AS (SELECT h AS statistic, exp(-h / 2) * (1 + h / 2) AS p FROM (SELECT 12 / (any_value(n) * (any_value(n) + 1)) * sum(s * s / k) / "
+    "(1 - any_value(t) / (pow(any_value(n), 3) - any_value(n))) AS h FROM w, nn, tie))",
+    f"CASE WHEN {_ALL_NORMAL} THEN 'One-Way ANOVA Test' ELSE 'Kruskal-Wallis H Test (Non-parametric ANOVA)' END",
+    f"CASE WHEN {_ALL_NORMAL} THEN 'all groups look normal' ELSE 'at least one group is not normal' END",
+    "a difference of ''price'' between the levels of ''priority''",
+)

@@ -81,6 +81,16 @@ def resample_gaps(spark, sf):
     return rounded(series.resample_grid(_purchases(spark, sf), "ts", "value", "D", "mean").drop("n_points"))
 
 
+@query(
+    "resample_text_target",
+    f"WITH {ORDERS_DIRTY}, x AS (SELECT o_orderdate AS t, CASE WHEN priority IS NULL THEN NULL ELSE TRY_CAST(substr(priority, 1, 1) AS DOUBLE) END AS v FROM orders_dirty), "
+    f"{grid_sql('x', 't', 'v', 'M', 'mean')}, {_FILLED} SELECT ts, pos AS position, {r('y')} AS y FROM filled",
+)
+def resample_text_target(spark, sf):
+    df = orders_dirty(spark, sf).withColumn("level", F.substring("priority", 1, 1))
+    return rounded(series.resample_series(df, "o_orderdate", "level", "M", "mean"))
+
+
 @query(
     "gap_fill",
     f"WITH {EVENTS_DIRTY}, {_PURCHASES}, {grid_sql('p', 'ts', 'value', 'D', 'mean')}, {_FILLED} "
