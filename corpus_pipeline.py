@@ -16,37 +16,49 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows whose ids are not among the rejected ones; they are few, so the texts need not move if Spark can tell."""
-    return docs.join(stage_table(rejected.select("doc_id")), "doc_id", "left_anti").select(docs.columns)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows told apart by ``_row``, as ids may be null or repeat. A stored table numbers its rows alike each time it is read."""
+    return docs.withColumn("_row", F.monotonically_increasing_id())
+
+
+def _keep(rows: DataFrame, rejected: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows that are not rejected, with the columns of ``docs``."""
+    return rows.join(stage_table(rejected.select("_row")), "_row", "left_anti").select(docs.columns)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules: documents that they reject go."""
-    return _without(docs, quality.quality_rules(docs, _table(spark, sf_dir, "labels")).where(~F.col("kept")))
+    """Quality rules: documents that they reject go; null texts are rejected as empty ones are."""
+    rows = _numbered(docs)
+    judged = quality.quality_rules(rows, _table(spark, sf_dir, "labels"), row="_row")
+    return _keep(rows, judged.where(~F.col("kept")), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash: of each group of near-duplicates the document with the smallest id stays."""
-    return _without(docs, simhash.near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")))
+    """SimHash: of each group of near-duplicates the row with the smallest id stays, of equal rows one."""
+    rows = _numbered(docs).withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    found = simhash.near_duplicates(rows, key="_key")
+    return _keep(rows, found.where(F.col("_key") != F.col("component_id")).select("_key._row"), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a window of a benchmark item go."""
-    found = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated"))
+    rows = _numbered(docs)
+    found = decontaminate.decontaminate(rows, _table(spark, sf_dir, "benchmark"), key="_row")
+    return _keep(rows, found.where("contaminated"), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: the documents in the order of the Pfair schedule, so that any run of the table has the target weights."""
-    place = mixing.mix_sources(docs).select("doc_id", "position")
-    return docs.join(place, "doc_id").orderBy("position").select(docs.columns)
+    """Mixing: all documents in the order of the Pfair schedule, so that any run of the table has the target weights."""
+    rows = _numbered(docs)
+    place = mixing.mix_sources(rows, key="_row").select("_row", "position")
+    return rows.join(place, "_row").orderBy("position").select(docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sharding: each document with its shard and its place there."""
-    placed = shards.shard_documents(docs).select("doc_id", "size", "shard", "slot")
-    return docs.join(placed, "doc_id")
+    rows = _numbered(docs)
+    placed = shards.shard_documents(rows, key="_row").select("_row", "shard", "slot")
+    return rows.join(placed, "_row").select(*docs.columns, "shard", "slot")
 
 
 STAGES: list[tuple[str, Stage]] = [

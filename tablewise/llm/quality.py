@@ -139,34 +139,36 @@ def quality_rules(
     key: str = "doc_id",
     threshold: float = THRESHOLD,
     trusted_rows: int = TRUSTED_ROWS,
+    row: str | None = None,
 ) -> DataFrame:
     """Counts, log-likelihood score and verdict of every document.
 
-    Returns ``key``, the counts of ``text_counts``, ``base_failed`` (fewer than 50 words, or more than half of
+    Returns ``key`` (and ``row``, a column that is carried along, if named), the counts of ``text_counts``, ``base_failed`` (fewer than 50 words, or more than half of
     them repeated), ``llr`` (mean log ratio in nats, 0 without words) and ``kept`` (not ``base_failed``, and
     ``llr`` at or above ``threshold``). Null texts fail as empty ones do; repeated rows are judged alike; a
     null key never is trusted; an empty table gives an empty result; other columns are not looked at.
     """
     ratios = bucket_ratios(docs, trusted_ids(labels, trusted_rows, key), text, key).scalar()
-    counted = text_counts(docs.select(key, text), text)
+    carried = [key, row] if row else [key]
+    counted = text_counts(docs.select(*carried, text), text)
     stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    numbered = counted.select(F.monotonically_increasing_id().alias("_row"), key, *stats, "words")
-    words = numbered.select("_row", key, *stats, F.inline_outer(_pairs("words")))
+    numbered = counted.select(F.monotonically_increasing_id().alias("_number"), *carried, *stats, "words")
+    words = numbered.select("_number", *carried, *stats, F.inline_outer(_pairs("words")))
     ratio = lambda *w: F.element_at(F.col("_ratios"), _bucket(*w) + 1)
     valued = words.withColumn("_ratios", ratios).select(
-        "_row",
-        key,
+        "_number",
+        *carried,
         *stats,
         (
             F.when(F.col("first").isNotNull(), ratio(F.col("first"))).otherwise(0)
             + F.when(F.col("second").isNotNull(), ratio(F.col("first"), F.col("second"))).otherwise(0)
         ).alias("_units"),
     )
-    summed = valued.groupBy("_row", key, *stats).agg(F.sum("_units").alias("_units"))
+    summed = valued.groupBy("_number", *carried, *stats).agg(F.sum("_units").alias("_units"))
     grams = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return summed.select(
-        key,
+        *carried,
         *stats,
         failed.alias("base_failed"),
         (F.col("_units") / (grams * SCALE)).alias("llr"),
