@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.parse import percent, text_to_number
+from ..functions.slices import sliced_aggregate
 from ..schema import categorical_columns, col, column_roles, normalise_missing, numeric_columns, present, string_columns
 
 ANOMALY_SHARE = 0.8  # fixed value: text columns above this numeric share are flagged
@@ -16,21 +17,12 @@ AUDIT_SCHEMA = (
 
 
 def missing_by_column(df: DataFrame, only_missing: bool = False) -> DataFrame:
-    """Missing cells and their percentage per column, from one aggregate over the table."""
-    counts = [F.count_if(present(df, c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]
-    totals = df.agg(F.count(F.lit(1)).alias("n"), *counts)
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("n_missing"))
-            for i, c in enumerate(df.columns)
-        ]
-    )
-    out = totals.select("n", F.explode(cells).alias("cell")).select(
-        "cell.column",
-        F.col("n").alias("n_rows"),
-        "cell.n_missing",
-        percent(F.col("cell.n_missing"), F.col("n")).alias("missing_pct"),
-    )
+    """Missing cells and their percentage per column, in one job."""
+    cells = [
+        F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("n_rows"), F.count_if(present(df, c).isNull()).alias("n_missing"))
+        for c in df.columns
+    ]
+    out = sliced_aggregate(df, cells).withColumn("missing_pct", percent(F.col("n_missing"), F.col("n_rows")))
     return out.where("n_missing > 0") if only_missing else out
 
 
@@ -56,25 +48,12 @@ def anomaly_rates(df: DataFrame) -> DataFrame:
     schema = "column string, n_values bigint, parse_rate double, is_type_anomaly boolean"
     if not columns:
         return df.sparkSession.createDataFrame([], schema)
-    totals = df.agg(
-        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.count(text_to_number(col(c))).alias(f"p{i}") for i, c in enumerate(columns)],
-    )
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"p{i}").alias("p")
-            )
-            for i, c in enumerate(columns)
-        ]
-    )
-    rate = F.coalesce(F.try_divide(F.col("cell.p"), F.col("cell.n")), F.lit(0.0))
-    return totals.select(F.explode(cells).alias("cell")).select(
-        "cell.column",
-        F.col("cell.n").alias("n_values"),
-        rate.alias("parse_rate"),
-        (rate > ANOMALY_SHARE).alias("is_type_anomaly"),
-    )
+    cells = [
+        F.struct(F.lit(c).alias("column"), F.count(col(c)).alias("n_values"), F.count(text_to_number(col(c))).alias("_parsed"))
+        for c in columns
+    ]
+    rate = F.coalesce(F.try_divide(F.col("_parsed"), F.col("n_values")), F.lit(0.0))
+    return sliced_aggregate(df, cells).select("column", "n_values", rate.alias("parse_rate"), (rate > ANOMALY_SHARE).alias("is_type_anomaly"))
 
 
 def anomalous_columns(df: DataFrame) -> list[str]:
@@ -83,31 +62,30 @@ def anomalous_columns(df: DataFrame) -> list[str]:
 
 
 def audit_columns(df: DataFrame) -> DataFrame:
-    """One row per column: role, type, missing cells and the numeric-text flag, in one scan."""
+    """One row per column: role, type, missing cells and the numeric-text flag, in one job."""
     roles = column_roles(df)
     texts = string_columns(df)
-    exprs = [F.count_if(present(df, c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]
-    exprs += [F.count(text_to_number(col(c))).alias(f"p{i}") for i, c in enumerate(texts)]
-    totals = df.agg(F.count(F.lit(1)).alias("n"), *exprs)
-    cells = []
-    for i, c in enumerate(df.columns):
-        filled = F.col("n") - F.col(f"m{i}")
-        anomaly = F.lit(False)
-        if c in texts:
-            share = F.try_divide(F.col(f"p{texts.index(c)}"), filled)
-            anomaly = F.coalesce(share > ANOMALY_SHARE, F.lit(False))
-        cells.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.lit(roles[c]).alias("role"),
-                F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
-                F.col("n").alias("n_rows"),
-                F.col(f"m{i}").alias("n_missing"),
-                percent(F.col(f"m{i}"), F.col("n")).alias("missing_pct"),
-                anomaly.alias("is_type_anomaly"),
-            )
+    cells = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.lit(roles[c]).alias("role"),
+            F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(present(df, c).isNull()).alias("n_missing"),
+            (F.count(text_to_number(col(c))) if c in texts else F.lit(0).cast("long")).alias("_parsed"),
         )
-    return totals.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+        for c in df.columns
+    ]
+    share = F.try_divide(F.col("_parsed"), F.col("n_rows") - F.col("n_missing"))
+    return sliced_aggregate(df, cells).select(
+        "column",
+        "role",
+        "dtype",
+        "n_rows",
+        "n_missing",
+        percent(F.col("n_missing"), F.col("n_rows")).alias("missing_pct"),
+        F.coalesce(share > ANOMALY_SHARE, F.lit(False)).alias("is_type_anomaly"),
+    )
 
 
 def audit_table(df: DataFrame) -> DataFrame:

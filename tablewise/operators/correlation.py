@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -14,11 +13,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.frequency import value_counts_by_id
 from ..functions.lookup import attach
 from ..functions.ranks import average_ranks
+from ..functions.slices import sliced_aggregate
 from ..functions.staging import stage_table
 from ..schema import as_double, col, numeric_columns
 
 TOP_PAIRS = 5  # fixed value
-COLUMNS_PER_SLICE = 40  # more aggregates exceed what the JVM compiles as one method
 CONSTANT = 1e-14  # a deviation below this share of the mean is rounding
 SCHEMA = "var1 string, var2 string, correlation double, abs_correlation double"
 
@@ -27,13 +26,9 @@ Pairs = dict[tuple[str, str], float | None]
 
 def _means(values: DataFrame) -> np.ndarray:
     """Column means over the filled cells, from one job of sliced aggregates."""
-    names = values.columns
-    slices = []
-    for start in range(0, len(names), COLUMNS_PER_SLICE):
-        cells = [F.struct(F.lit(start + i).alias("i"), F.avg(c).alias("mean")) for i, c in enumerate(names[start : start + COLUMNS_PER_SLICE])]
-        slices.append(values.agg(F.array(*cells).alias("cells")).select(F.inline("cells")))
-    found = {r["i"]: r["mean"] for r in reduce(DataFrame.unionAll, slices).collect()}
-    return np.array([found[i] or 0.0 for i in range(len(names))])
+    cells = [F.struct(F.lit(i).alias("i"), F.avg(c).alias("mean")) for i, c in enumerate(values.columns)]
+    found = {r["i"]: r["mean"] for r in sliced_aggregate(values, cells).collect()}
+    return np.array([found[i] or 0.0 for i in range(len(cells))])
 
 
 def _products(means: np.ndarray):
@@ -127,10 +122,9 @@ def spearman_values(df: DataFrame, columns: list[str]) -> Pairs:
     Columns without missing cells are ranked once, all other pairs together, each on its own rows.
     """
     plain = df.select(*[as_double(df, c).alias(c) for c in columns])
-    parts = [columns[i : i + COLUMNS_PER_SLICE] for i in range(0, len(columns), COLUMNS_PER_SLICE)]
-    counts = [plain.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.count(col(c)) for c in part]).alias("filled")) for part in parts]
-    filled = [(r["n"], x) for r in reduce(DataFrame.unionAll, counts).collect() for x in r["filled"]]
-    full = [c for c, (n, x) in zip(columns, filled, strict=True) if n == x]
+    cells = [F.struct(F.lit(c).alias("column"), (F.count(col(c)) == F.count(F.lit(1))).alias("full")) for c in columns]
+    full = [r["column"] for r in sliced_aggregate(plain, cells).collect() if r["full"]]
+    full = [c for c in columns if c in full]
     out: Pairs = {}
     if len(full) > 1:
         out.update(pearson_values(ranked_rows(plain, full), {c: col(c) for c in full}))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.frequency import distinct_counts
+from ..functions.slices import sliced_aggregate
 from ..schema import col, column_roles, present, require_columns
 
 # Fixed values.
@@ -16,8 +16,6 @@ ID_SHARE = 0.95
 ID_SIZE = 50
 MAX_CLASSES = 10
 
-COLUMNS_PER_SLICE = 40  # more aggregates exceed what the JVM compiles as one method
-
 SELECTION_SCHEMA = (
     "column string, missing_pct double, n_unique bigint, kept boolean, reason string"
 )
@@ -62,13 +60,15 @@ def judge_features(df: DataFrame, columns: list[str] | None = None) -> list[Feat
     """Why each column is dropped, if it is: too empty, constant, or an identifier."""
     roles = column_roles(df)
     columns = [c for c in (columns or df.columns) if roles[c] != "complex"]
-    parts = [columns[i : i + COLUMNS_PER_SLICE] for i in range(0, len(columns), COLUMNS_PER_SLICE)]
-    counts = [df.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.count(present(df, c)) for c in part]).alias("filled")) for part in parts]
-    found = [(r["n"], x) for r in reduce(DataFrame.unionAll, counts).collect() for x in r["filled"]] if parts else []
-    unique = {r["column"]: r["n_unique"] for r in distinct_counts(df, columns).collect()} if parts else {}
+    if not columns:
+        return []
+    cells = [F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("n"), F.count(present(df, c)).alias("filled")) for c in columns]
+    found = {r["column"]: r for r in sliced_aggregate(df, cells).collect()}
+    unique = {r["column"]: r["n_unique"] for r in distinct_counts(df, columns).collect()}
     verdicts = []
-    for c, (n, filled) in zip(columns, found, strict=True):
-        missing = 1.0 - filled / n if n else 0.0
+    for c in columns:
+        n = found[c]["n"]
+        missing = 1.0 - found[c]["filled"] / n if n else 0.0
         n_unique = unique[c]
         reason = None
         if missing > MAX_MISSING:

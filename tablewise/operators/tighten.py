@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.frequency import distinct_counts
+from ..functions.slices import sliced_aggregate
 from ..schema import INTEGER_TYPES, col, present, string_columns
 
 # Integer widths tried in order, the float range and the dictionary rule.
@@ -31,28 +32,32 @@ def _advice(df: DataFrame, narrow_floats: bool) -> list[tuple]:
     integers = [f.name for f in df.schema.fields if isinstance(f.dataType, INTEGER_TYPES)]
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
     texts = string_columns(df)
-    exprs = [F.count(F.lit(1)).alias("n")]
-    for c in [*integers, *doubles]:
-        i = df.columns.index(c)
-        exprs += [F.min(present(df, c)).alias(f"lo{i}"), F.max(present(df, c)).alias(f"hi{i}")]
-    row = df.agg(*exprs).first()
+    n_rows = df.count()
+    limits = {}
+    for kind, columns in (("bigint", integers), ("double", doubles)):
+        cells = [
+            F.struct(F.lit(c).alias("column"), F.min(present(df, c)).cast(kind).alias("low"), F.max(present(df, c)).cast(kind).alias("high"))
+            for c in columns
+        ]
+        if cells:
+            limits.update({r["column"]: (r["low"], r["high"]) for r in sliced_aggregate(df, cells).collect()})
     unique: dict[str, int] = {}
     if texts:
         unique = {r["column"]: r["n_unique"] for r in distinct_counts(df, texts).collect()}
     out = []
-    for i, field in enumerate(df.schema.fields):
+    for field in df.schema.fields:
         c, from_type = field.name, field.dataType.simpleString()
         low = high = n_unique = None
         to_type, candidate = from_type, False
-        if c in integers and row[f"lo{i}"] is not None:
-            low, high = row[f"lo{i}"], row[f"hi{i}"]
+        if c in integers and limits[c][0] is not None:
+            low, high = limits[c]
             to_type = _integer_width(low, high)
-        elif c in doubles and narrow_floats and row[f"lo{i}"] is not None:
-            if -FLOAT_MAX < row[f"lo{i}"] and row[f"hi{i}"] < FLOAT_MAX:
+        elif c in doubles and narrow_floats and limits[c][0] is not None:
+            if -FLOAT_MAX < limits[c][0] and limits[c][1] < FLOAT_MAX:
                 to_type = "float"
         elif c in texts:
             n_unique = unique.get(c, 0)
-            share = n_unique / row["n"] if row["n"] else 1.0
+            share = n_unique / n_rows if n_rows else 1.0
             candidate = share < DICTIONARY_SHARE and n_unique < DICTIONARY_SIZE
         out.append((c, from_type, to_type, low, high, n_unique, candidate))
     return out

@@ -116,12 +116,19 @@ def tighten_schema(spark, sf):
 
 @query(
     "column_roles",
-    _union(
-        [f"SELECT '{c}' AS \"column\", '{role}' AS role, '{t}' AS dtype, {'true' if role == 'numeric' else 'false'} AS is_numeric" for c, role, t in _OD]
+    f"WITH {ORDERS_DIRTY} "
+    + _union(
+        [
+            f"SELECT '{c}' AS \"column\", '{role}' AS role, '{t}' AS dtype, {'true' if role == 'numeric' else 'false'} AS is_numeric, "
+            f"count({c}) AS n_values FROM orders_dirty"
+            for c, role, t in _OD
+        ]
     ),
 )
 def column_roles(spark, sf):
-    return role_summary(orders_dirty(spark, sf))
+    df = orders_dirty(spark, sf)
+    filled = audit.missing_by_column(df).select("column", (F.col("n_rows") - F.col("n_missing")).alias("n_values"))
+    return role_summary(df).join(filled, "column")
 
 
 # --- audit ---------------------------------------------------------------------------------------

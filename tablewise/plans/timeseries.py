@@ -278,13 +278,17 @@ def date_detection(spark, sf):
     return rounded(series.date_column_rates(events_dirty(spark, sf)))
 
 
+def _date_column(c: str, date: str) -> str:
+    """A text column is one of dates if more than 80 % of its values are."""
+    return f"SELECT '{c}' AS \"column\", count({date}) AS n_dates FROM events_dirty HAVING count({date}) > 0.8 * count({c})"
+
+
 @query(
     "date_columns",
-    "SELECT 'o_orderdate' AS \"column\", CAST(count(*) AS BIGINT) AS n_rows FROM orders",
+    f"WITH {EVENTS_DIRTY} " + _union([_date_column(c, f"TRY_CAST({c} AS TIMESTAMP)") for c in ("ts", "ts_text", "event_type")]),
 )
 def date_columns(spark, sf):
-    df = table(spark, sf, "orders")
+    df = events_dirty(spark, sf)
     found = series.detect_date_columns(df)
-    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        F.explode(F.array(*[F.lit(c) for c in found])).alias("column"), "n_rows"
-    )
+    cells = [F.struct(F.lit(c).alias("column"), F.count(series.calendar_day(df, c)).alias("n_dates")) for c in found]
+    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
