@@ -80,10 +80,14 @@ def model_findings(model) -> DataFrame:
     return metrics.unionByName(top)
 
 
-def forecast_findings(metrics: DataFrame, date_col: str, target_col: str, freq: str) -> DataFrame:
+def forecast_findings(
+    metrics: DataFrame, date_col: str, target_col: str, freq: str, horizon: int | None = None
+) -> DataFrame:
+    """Figures of a forecast; ``horizon`` is its number of steps of the frequency."""
     names = ["historical_growth_pct", "model_r2", "forecast_average", "forecast_pct_change"]
     rows = F.array(
-        *[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names]
+        *[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names],
+        *([F.struct(F.lit("horizon").alias("metric"), F.lit(float(horizon)).alias("value"))] if horizon else []),
     )
     return metrics.select("forecast_direction", F.explode(rows).alias("r")).select(
         F.lit("forecast").alias("section"),
@@ -103,48 +107,65 @@ def combine_findings(spark: SparkSession, *parts: DataFrame | None) -> DataFrame
     return out
 
 
+# Section, place, heading, table header, line for an empty section.
 _HEADINGS = [
-    ("audit", 0, "## 1. Data ingestion and audit", None),
-    ("missing", 1, "### Columns with missing values", "No column has missing values."),
-    ("correlations", 2, "## 2. Statistics\n\n### Strongest correlations", "No numeric column pair."),
-    ("hypothesis", 3, "### Hypothesis test", "No hypothesis test was run."),
-    ("model", 4, "## 3. Automated model choice", "No model was trained."),
-    ("importance", 5, "### Feature importance", "No importances are available."),
-    ("forecast", 6, "## 4. Trend and forecast", "No forecast was made."),
-    ("notes", 7, "## 5. Notes", None),
+    ("audit", 0, "## 1. Data ingestion and audit", None, None),
+    ("missing", 1, "### Columns with missing values", "| Column | Missing | Share |", "No column has missing values."),
+    ("correlations", 2, "## 2. Statistics\n\n### Strongest correlations", "| Variable 1 | Variable 2 | r |", "No numeric column pair."),
+    ("hypothesis", 3, "### Hypothesis test", None, "No hypothesis test was run."),
+    ("model", 4, "## 3. Automated model choice", None, "No model was trained."),
+    ("importance", 5, "### Feature importance", "| Feature | Importance |", "No importances are available."),
+    ("forecast", 6, "## 4. Trend and forecast", None, "No forecast was made."),
+    ("notes", 7, "## 5. Notes", None, None),
 ]
 
 
 def render_markdown(findings: DataFrame, title: str = "Analytics report", notes: str = "") -> DataFrame:
-    """(line_no, text) of the brief: a heading per section, its findings or a line saying none.
+    """(line_no, text) of the brief: the table's shape, then a heading per section, its findings or a line saying none.
 
-    ``findings`` holds a few rows per column and test, so numbering its lines is cheap.
+    Missing cells, correlations and importances are tables, the rest are lists. ``findings`` holds a few rows per column and
+    test, so numbering its lines is cheap.
     """
     spark = findings.sparkSession
-    order = spark.createDataFrame(
-        [(s, n, h, none) for s, n, h, none in _HEADINGS], "section string, place int, heading string, none string"
-    )
+    order = spark.createDataFrame(_HEADINGS, "section string, place int, heading string, header string, none string")
     first = spark.createDataFrame([(-1, 0, f"# {title}")], "place int, part int, line string")
+    shape = findings.where("section = 'audit'").agg(
+        F.max(F.when(F.col("metric") == "n_rows", F.col("value"))).alias("n"),
+        F.max(F.when(F.col("metric") == "n_columns", F.col("value"))).alias("k"),
+    )
+    shape = shape.where("n IS NOT NULL").select(
+        F.lit(-1).alias("place"), F.lit(1).alias("part"), F.format_string("**Shape:** %.0f rows, %.0f columns", "n", "k").alias("line")
+    )
     headings = order.select("place", F.lit(0).alias("part"), F.col("heading").alias("line"))
+    used = findings.select("section").distinct()
     absent = (
-        order.join(findings.select("section").distinct(), "section", "left_anti")
+        order.join(used, "section", "left_anti")
         .where("none IS NOT NULL")
         .select("place", F.lit(1).alias("part"), F.format_string("*%s*", "none").alias("line"))
     )
+    rule = F.regexp_replace(F.regexp_replace("header", "[^|]+", "---"), "[|]---$", "|")
+    headers = order.join(used, "section", "left_semi").where("header IS NOT NULL")
+    tables = headers.select("place", F.lit(1).alias("part"), F.col("header").alias("line")).unionByName(
+        headers.select("place", F.lit(2).alias("part"), rule.alias("line"))
+    )
     number = F.format_string("%.4f", F.col("value"))
     number = F.when(F.col("metric") == "importance", F.format_string("%.2f%%", F.col("value") * 100.0)).otherwise(number)
     number = F.when(F.col("metric") == "p_value", F.format_string("%.4e", F.col("value"))).otherwise(number)
-    number = F.when(F.col("metric").startswith("n_"), F.format_string("%.0f", F.col("value"))).otherwise(number)
+    whole = F.col("metric").startswith("n_") | (F.col("metric") == "horizon")
+    number = F.when(whole, F.format_string("%.0f", F.col("value"))).otherwise(number)
     text = F.when(F.col("text").isNotNull(), F.concat(F.lit(" ("), "text", F.lit(")"))).otherwise("")
-    body = findings.join(F.broadcast(order.select("section", "place")), "section").select(
+    listed = F.concat(F.lit("- **"), "item", F.lit("** "), "metric", F.lit(": "), number, text)
+    cell = F.when(F.col("text").isNotNull(), F.concat(F.lit(" | "), "text")).otherwise("")
+    row = F.concat(F.lit("| "), "item", F.lit(" | "), number, cell, F.lit(" |"))
+    body = findings.join(F.broadcast(order.select("section", "place", "header")), "section").select(
         "place",
-        F.lit(1).alias("part"),
-        F.concat(F.lit("- **"), "item", F.lit("** "), "metric", F.lit(": "), number, text).alias("line"),
+        F.lit(3).alias("part"),
+        F.when(F.col("header").isNull(), listed).otherwise(row).alias("line"),
         "value",
         "item",
     )
-    closing = spark.createDataFrame([(7, 1, notes)], "place int, part int, line string")
-    lines = first.unionByName(headings).unionByName(absent).unionByName(closing)
+    closing = spark.createDataFrame([(7, 3, notes)], "place int, part int, line string")
+    lines = first.unionByName(shape).unionByName(headings).unionByName(tables).unionByName(absent).unionByName(closing)
     lines = lines.withColumns({"value": F.lit(None).cast("double"), "item": F.lit(None).cast("string")})
     ranked = lines.unionByName(body)
     w = Window.partitionBy(F.lit(0)).orderBy(

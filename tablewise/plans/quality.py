@@ -552,8 +552,7 @@ def _findings(spark, sf):
     )
 
 
-@query(
-    "findings",
+_FINDINGS = (
     f"WITH {ORDERS_DIRTY}, d AS (SELECT count(*) AS k FROM (SELECT DISTINCT * FROM orders_dirty)), "
     f"m AS (SELECT count(*) AS n, {_CELLS} AS missing FROM orders_dirty), "
     f"a AS (SELECT n, missing, n - k AS dup, {_pct('missing', 'n * 9')} AS mp, {_pct('n - k', 'n')} AS dp FROM m, d), "
@@ -575,12 +574,45 @@ def _findings(spark, sf):
             f"SELECT 'correlations', '{x} | {y}', 'correlation', {r(f'corr({x}, {y})')}, NULL FROM orders_dirty"
             for x, y in [("o_orderkey", "o_custkey"), ("o_orderkey", "price"), ("o_custkey", "price")]
         ]
-    ),
+    )
 )
+
+
+@query("findings", _FINDINGS)
 def findings(spark, sf):
     return rounded(_findings(spark, sf))
 
 
-@query("markdown_brief")
+# The sections that a run of audit and correlations fills; the others say that they are empty.
+_BRIEF = (
+    f"WITH f AS ({_FINDINGS}), "
+    "k(place, part, line) AS (VALUES (-1, 0, '# Orders'), (0, 0, '## 1. Data ingestion and audit'), (1, 0, '### Columns with missing values'), "
+    "(1, 1, '| Column | Missing | Share |'), (1, 2, '|---|---|---|'), (2, 0, '## 2. Statistics' || chr(10) || chr(10) || '### Strongest correlations'), "
+    "(2, 1, '| Variable 1 | Variable 2 | r |'), (2, 2, '|---|---|---|'), (3, 0, '### Hypothesis test'), (3, 1, '*No hypothesis test was run.*'), "
+    "(4, 0, '## 3. Automated model choice'), (4, 1, '*No model was trained.*'), (5, 0, '### Feature importance'), (5, 1, '*No importances are available.*'), "
+    "(6, 0, '## 4. Trend and forecast'), (6, 1, '*No forecast was made.*'), (7, 0, '## 5. Notes'), (7, 3, 'Damaged orders, before cleaning.')), "
+    "x AS (SELECT *, CASE WHEN metric LIKE 'n\\_%' ESCAPE '\\' THEN format('{:.0f}', value) ELSE format('{:.4f}', value) END AS v FROM f), "
+    "l AS (SELECT place, part, line, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS item FROM k "
+    "UNION ALL SELECT -1, 1, '**Shape:** ' || (SELECT v FROM x WHERE metric = 'n_rows') || ' rows, ' || (SELECT v FROM x WHERE metric = 'n_columns') || ' columns', NULL, NULL "
+    "UNION ALL SELECT 0, 3, '- **' || item || '** ' || metric || ': ' || v, value, item FROM x WHERE section = 'audit' "
+    "UNION ALL SELECT 1, 3, '| ' || item || ' | ' || v || ' | ' || text || ' |', value, item FROM x WHERE section = 'missing' "
+    "UNION ALL SELECT 2, 3, '| ' || item || ' | ' || v || ' |', value, item FROM x WHERE section = 'correlations') "
+    "SELECT CAST(row_number() OVER (ORDER BY place, part, abs(value) DESC NULLS LAST, item, line) AS INTEGER) AS line_no, line AS text FROM l"
+)
+
+
+def _brief(spark, sf):
+    return report.render_markdown(rounded(_findings(spark, sf)), "Orders", "Damaged orders, before cleaning.")
+
+
+@query("markdown_brief", _BRIEF)
 def markdown_brief(spark, sf):
-    return report.render_markdown(_findings(spark, sf), "Orders", "Damaged orders, before cleaning.")
+    return _brief(spark, sf)
+
+
+@query("report_file", f"WITH b AS ({_BRIEF}) SELECT unnest(string_split(text, chr(10))) AS text FROM b")
+def report_file(spark, sf):
+    folder = shared_folder(spark) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder}/tablewise/{uuid.uuid4().hex}.md"
+    report.write_markdown(_brief(spark, sf), path)
+    return spark.read.text(path).select(F.col("value").alias("text"))

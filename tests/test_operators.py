@@ -430,7 +430,8 @@ def test_report_sections(spark, tmp_path):
     lines = report.render_markdown(findings, "Brief", "Checked by hand.")
     texts = [r["text"] for r in lines.orderBy("line_no").collect()]
     assert texts[0] == "# Brief" and texts[-1] == "Checked by hand."
-    assert "*No forecast was made.*" in texts and "- **t** n_missing: 1 (50.0%)" in texts
+    assert "*No forecast was made.*" in texts and "**Shape:** 2 rows, 3 columns" in texts
+    assert texts[texts.index("| Column | Missing | Share |") :][:3] == ["| Column | Missing | Share |", "|---|---|---|", "| t | 1 | 50.0% |"]
     report.write_markdown(lines, str(tmp_path / "brief"))
     assert spark.read.text(str(tmp_path / "brief")).first()[0] == "# Brief"
 
