@@ -214,3 +214,49 @@ def automl_regression(spark, sf):
 def kmeans(spark, sf):
     df = table(spark, sf, "customer").drop("c_name")
     return automl.cluster_sizes(automl.run_automl(df, None, ["c_custkey"]), df)
+
+
+# Targets that are exact functions of the features: the right model reproduces them.
+_PLANE = "3.0 * p_size + 0.01 * p_retailprice + 7"
+
+
+def _plane(spark, sf):
+    return table(spark, sf, "part").selectExpr("p_partkey", "p_size", "p_retailprice", f"{_PLANE} AS target")
+
+
+@query("automl_plane", f"SELECT p_partkey, {r(_PLANE, 3)} AS prediction FROM part")
+def automl_plane(spark, sf):
+    df = _plane(spark, sf)
+    model = automl.run_automl(df, "target", ["p_partkey"], max_depth=6)
+    return rounded(model.score(df.drop("target")).select("p_partkey", "prediction"), 3)
+
+
+@query(
+    "automl_plane_importance",
+    "WITH s AS (SELECT 3.0 * stddev_pop(p_size) AS a, 0.01 * stddev_pop(p_retailprice) AS b FROM part) "
+    "SELECT 1 AS place, CASE WHEN a > b THEN 'p_size' ELSE 'p_retailprice' END AS feature FROM s "
+    "UNION ALL SELECT 2, CASE WHEN a > b THEN 'p_retailprice' ELSE 'p_size' END FROM s",
+)
+def automl_plane_importance(spark, sf):
+    found = automl.run_automl(_plane(spark, sf), "target", ["p_partkey"], max_depth=6).feature_importance().collect()
+    return spark.createDataFrame([(i + 1, x["feature"]) for i, x in enumerate(found)], "place int, feature string")
+
+
+_SPLIT = "SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0"
+
+
+@query("split_is_by_key", f"SELECT o_orderkey, 1 AS sides FROM ({_SPLIT}) GROUP BY o_orderkey")
+def split_is_by_key(spark, sf):
+    """Equal keys fall on the same side, and every row is on one."""
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    rows = orders.unionAll(orders.where("o_orderkey % 3 = 0")).repartition(5)
+    marked = rows.withColumn("test", automl.split_rows(rows, ["o_orderkey"]))
+    return marked.groupBy("o_orderkey").agg(F.count_distinct("test").cast("int").alias("sides"))
+
+
+@query("kmeans_planted", "SELECT count(*) AS n FROM part GROUP BY p_partkey % 3")
+def kmeans_planted(spark, sf):
+    """Three clusters far apart: their number and sizes are found."""
+    parts = table(spark, sf, "part")
+    df = parts.selectExpr("p_partkey", "p_partkey % 3 * 100.0 + p_size % 5 AS x", "p_partkey % 3 * 100.0 + p_size % 7 AS y")
+    return automl.cluster_sizes(automl.run_automl(df, None, ["p_partkey"]), df).select(F.col("count").alias("n"))

@@ -480,6 +480,15 @@ def isolation_forest_remove(spark, sf):
     ).table
 
 
+@query("isolation_forest_planted", "SELECT p_partkey FROM part WHERE p_partkey % 100 = 7")
+def isolation_forest_planted(spark, sf):
+    """Far-away rows, one in a hundred, are among the flagged five in a hundred."""
+    far = "CASE WHEN p_partkey % 100 = 7 THEN 1000 ELSE 0 END"
+    df = table(spark, sf, "part").selectExpr("p_partkey", f"p_size + {far} AS size", f"p_retailprice + 10 * {far} AS price")
+    flagged = isolation.flag_isolated(df, ["size", "price"], keys=["p_partkey"])
+    return flagged.where("is_outlier AND size > 500").select("p_partkey")
+
+
 @query("isolation_forest_flags")
 def isolation_forest_flags(spark, sf):
     df = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
