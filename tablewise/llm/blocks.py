@@ -112,15 +112,16 @@ class Entries:
     """Distinct hashes of a block in a fixed order, cut into buckets."""
 
     def __init__(self, buckets: int, first: np.ndarray, second: np.ndarray | None = None) -> None:
-        second = np.zeros(len(first), np.uint64) if second is None else second
-        bucket = (first % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((second, first, bucket))
-        a, b = first[order], second[order]
+        order = np.argsort(first, kind="stable") if second is None else np.lexsort((second, first))
+        a = first[order]
+        b = np.zeros(len(a), np.uint64) if second is None else second[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         self.entry = np.empty(len(a), np.int64)
         self.entry[order] = np.cumsum(new) - 1
-        self.first, self.second, self.bucket = a[new], b[new], bucket[order][new]
+        self.first, self.second = a[new], b[new]
+        # Buckets are ranges of the hashes, so that the order is theirs, too.
+        self.bucket = ((self.first >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         self.several = np.bincount(self.entry, minlength=len(self.first)) > 1
 
     def by_bucket(self) -> Iterator[tuple[int, slice]]:

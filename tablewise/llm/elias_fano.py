@@ -23,7 +23,7 @@ class EliasFano:
     """A monotone sequence as arrays that may lie in mapped memory."""
 
     def __init__(self, n: int, low: int, lows: np.ndarray, highs: np.ndarray) -> None:
-        self.n, self.low, self.lows, self.highs = n, low, lows, highs
+        self.n, self.low, self.lows, self.highs = n, low, lows.view(np.uint64), highs
         # Ones and zeros before each byte of the high part: the directory for both selections.
         self.ones = np.concatenate(([0], np.cumsum(_POPCOUNT[highs])))
         self.zeros = 8 * np.arange(len(self.ones)) - self.ones
@@ -33,23 +33,22 @@ class EliasFano:
         """Header, low bits and high bits of a monotone sequence of int64 below ``universe``."""
         n = len(values)
         low = min(56, max(0, (max(1, universe) // max(1, n)).bit_length() - 1))  # read as one shifted word
-        bits = ((values[:, None] >> np.arange(low)) & 1).astype(np.uint8) if low else np.zeros((n, 0), np.uint8)
         high = np.zeros(n + (universe >> low) + 2, np.uint8)
         high[(values >> low) + np.arange(n)] = 1
-        lows = np.packbits(bits.ravel(), bitorder="little")
+        chunks = [((values[i : i + 65_536, None] >> np.arange(low)) & 1).astype(np.uint8) for i in range(0, n, 65_536)]
+        lows = np.concatenate([np.empty(0, np.uint8), *(np.packbits(c.ravel(), bitorder="little") for c in chunks)])
         highs = np.packbits(high, bitorder="little")
-        return [np.array([n, low, len(lows), len(highs)], np.int64), np.pad(lows, (0, 8)), highs]
+        return [np.array([n, low], np.int64), np.pad(lows, (0, 16 - len(lows) % 8)), highs]
 
     def _low(self, at: np.ndarray) -> np.ndarray:
         """Low parts of the numbers at some places."""
         if not self.low:
             return np.zeros(len(at), np.int64)
         bit = at * self.low
-        byte, shift = bit >> 3, (bit & 7).astype(np.uint64)
-        word = np.zeros(len(at), np.uint64)
-        for k in range(8):
-            word |= self.lows[byte + k].astype(np.uint64) << np.uint64(8 * k)
-        return ((word >> shift) & np.uint64((1 << self.low) - 1)).astype(np.int64)
+        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+        # The second shift goes in two steps, as a shift by 64 is none.
+        both = (self.lows[word] >> shift) | ((self.lows[word + 1] << (np.uint64(63) - shift)) << np.uint64(1))
+        return (both & np.uint64((1 << self.low) - 1)).astype(np.int64)
 
     def _select(self, count: np.ndarray, k: np.ndarray, zero: bool) -> np.ndarray:
         """Place of the k-th (from 0) one or zero among the high bits."""
@@ -124,7 +123,7 @@ class Trie:
         self.n_words = int(sizes[0])
         sequences = []
         for i in range(0, 12, 3):
-            n, low, *_ = views[i].view(np.int64).tolist()
+            n, low = views[i].view(np.int64).tolist()
             sequences.append(EliasFano(n, low, views[i + 1], views[i + 2]))
         self.words, self.contexts, self.pointers, self.successors = sequences
         self.values, self.backoffs = views[12].view(np.int16), views[13].view(np.int16)

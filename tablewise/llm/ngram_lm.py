@@ -38,7 +38,7 @@ CLASS_BITS = 8
 #: Units of a decimal logarithm.
 UNIT = 1024
 #: Buckets of words and contexts for each shuffle partition; a task holds one at a time.
-BUCKETS_A_PARTITION = 4
+BUCKETS_A_PARTITION = 2
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
@@ -71,20 +71,18 @@ class _Tokens:
         self.training = ~np.fromiter(map(held_out, ids), bool, len(ids))
 
 
-def _array(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), kind)
-
-
 def _join(arrays: list[np.ndarray]) -> bytes:
-    """Arrays, each compressed, after their sizes."""
-    parts = [zlib.compress(np.ascontiguousarray(a).tobytes(), 1) for a in arrays]
-    return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
+    """Arrays, compressed together, after their sizes in bytes."""
+    return np.array([a.nbytes for a in arrays], np.int64).tobytes() + zlib.compress(b"".join(a.tobytes() for a in arrays), 1)
 
 
 def _split(data: bytes, kinds: list[str]) -> list[np.ndarray]:
     sizes = np.frombuffer(data, np.int64, len(kinds))
-    at = np.concatenate(([0], np.cumsum(sizes))) + sizes.nbytes
-    return [_array(data[at[i] : at[i + 1]], kind) for i, kind in enumerate(kinds)]
+    whole, at, out = zlib.decompress(memoryview(data)[sizes.nbytes :]), 0, []
+    for size, kind in zip(sizes.tolist(), kinds, strict=True):
+        out.append(np.frombuffer(whole, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return out
 
 
 def _send_words(buckets: int, rows: Rows):
@@ -175,9 +173,9 @@ def _send_bigrams(buckets: int, rows: Rows, unigram: _Unigram):
             part = (tokens.codes[some] >> _U(64 - CLASS_BITS)).astype(np.int64) >> (CLASS_BITS - split)
             key = _context_keys(tokens.before[some], part)
             word = (tokens.codes[some] >> _U(32)).astype(np.int64)
-            doc, home = tokens.doc[some], key % buckets
-            order = np.lexsort((doc, word, key, home))
-            key, word, doc, home, some = key[order], word[order], doc[order], home[order], some[order]
+            order = np.lexsort((word, key))  # stable, so that documents stay in order
+            key, word, doc, some, part, split = (x[order] for x in (key, word, tokens.doc[some], some, part, split))
+            home = ((key >> 30) * buckets) >> 32  # ranges of the keys, which have 62 bits
             new_key = np.diff(key, prepend=-1) != 0
             new_gram = new_key | (np.diff(word, prepend=-1) != 0)
             new_place = new_gram | (np.diff(doc, prepend=-1) != 0)
@@ -191,7 +189,7 @@ def _send_bigrams(buckets: int, rows: Rows, unigram: _Unigram):
                 at_c, at_g, at_p = contexts[c], grams[g], places[p]
                 packed = _join(
                     [
-                        key[at_c], seen[some[at_c]], part[order][at_c].astype(np.int16), split[order][at_c].astype(np.int16),
+                        key[at_c], seen[some[at_c]], part[at_c].astype(np.int16), split[at_c].astype(np.int16),
                         np.diff(np.append(np.searchsorted(at_g, at_c), len(at_g))).astype(np.int32),
                         word[at_g].astype(np.uint32), own[some[at_g]].astype(np.int16), trained[g].astype(np.int32),
                         np.diff(np.append(np.searchsorted(at_p, at_g), len(at_p))).astype(np.int32),
@@ -233,32 +231,30 @@ def _score(rows: Rows, unigram: _Unigram):
                 yield found
                 continue
             bucket, held = found
-            blocks = []
-            for _, packed in held:
-                key, seen, part, split, n_grams, *rest = _split(packed, _KINDS)
-                mass = unigram.masses(part.astype(np.int64), split.astype(np.int64))
-                blocks.append((*(np.repeat(x, n_grams) for x in (key, seen, mass)), *rest))
-            key, seen, mass, word, own, trained = (np.concatenate([b[i] for b in blocks]) for i in range(6))
-            word = word.astype(np.int64)
+            blocks = [_split(packed, _KINDS) for _, packed in held]
+            key, seen, part, split, n_grams, word, own, trained, n_places, doc, times = (np.concatenate(x) for x in zip(*blocks, strict=True))
+            mass = unigram.masses(part.astype(np.int64), split.astype(np.int64))
+            key, seen, mass = (np.repeat(x, n_grams) for x in (key, seen, mass))
+            word, own = word.astype(np.int64), own.astype(np.int64)
+            # The bigrams of all blocks together make the model.
             order = np.lexsort((word, key))
-            key, word = key[order], word[order]
-            first = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
+            first = np.flatnonzero((np.diff(key[order], prepend=-1) != 0) | (np.diff(word[order], prepend=-1) != 0))
             counts = np.add.reduceat(trained[order].astype(np.int64), first)
-            kept = first[counts > 0]
-            at = order[kept]
-            trie = build_trie(key[kept], word[kept], counts[counts > 0], own[at].astype(np.int64), seen[at], mass[at])
-            out = []
-            for (block, _), (keys, seens, _, words, owns, _, n_places, docs, times) in zip(held, blocks, strict=True):
-                context, place = trie.look_up(keys, words.astype(np.int64))
-                value = owns.astype(np.int64) - np.round(UNIT * np.log10(seens + 1.0)).astype(np.int64)  # a class unseen here
-                if trie.contexts.n:
-                    held_context = trie.backoffs[np.maximum(context, 0)].astype(np.int64) + owns
-                    value = np.where(context >= 0, held_context, value)
-                    value = np.where(place >= 0, trie.values[np.maximum(place, 0)], value)
-                sums = np.bincount(docs, times * np.repeat(value, n_places)).astype(np.int64)
-                some = np.unique(docs)
-                out.append({"block": block, "bucket": bucket, "packed": _join([some.astype(np.int32), sums[some]])})
-            yield from rows.batches(out)
+            at = order[first[counts > 0]]
+            trie = build_trie(key[at], word[at], counts[counts > 0], own[at], seen[at], mass[at])
+            context, place = trie.look_up(key, word)
+            value = own - np.round(UNIT * np.log10(seen + 1.0)).astype(np.int64)  # a class unseen here
+            if trie.contexts.n:
+                value = np.where(context >= 0, trie.backoffs[np.maximum(context, 0)] + own, value)
+                value = np.where(place >= 0, trie.values[np.maximum(place, 0)], value)
+            block = np.repeat(np.arange(len(held)), [len(b[9]) for b in blocks])
+            docs, inverse = np.unique(block << 32 | doc, return_inverse=True)
+            sums = np.bincount(inverse, times * np.repeat(value, n_places)).astype(np.int64)
+            cuts = np.searchsorted(docs >> 32, np.arange(1, len(held)))
+            parts = zip(np.split((docs & 0xFFFFFFFF).astype(np.int32), cuts), np.split(sums, cuts), strict=True)
+            yield from rows.batches(
+                [{"block": b, "bucket": bucket, "packed": _join([d, x])} for (b, _), (d, x) in zip(held, parts, strict=True)]
+            )
 
     return score
 
