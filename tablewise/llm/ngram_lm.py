@@ -100,16 +100,20 @@ def _send_words(buckets: int, rows: Rows):
 
 def _count_words(rows: Rows):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Corpus counts for each block's words; for each bucket a row of totals: counts and numbers of words by class."""
+        """Corpus counts for each block's words; for each task a row of totals: counts and numbers of words by class."""
+        sums = np.zeros((2, 1 << CLASS_BITS), np.int64)
         for bucket, held in by_bucket(batches):
             parts = [_split(packed, ["u8", "i8"]) for _, packed in held]
             codes, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             total = np.bincount(inverse, np.concatenate([p[1] for p in parts])).astype(np.int64)
             kind = (codes >> _U(64 - CLASS_BITS)).astype(np.int64)
-            by_class = [np.bincount(kind, x, 1 << CLASS_BITS).astype(np.int64) for x in (total, total > 0)]
+            sums += [np.bincount(kind, x, 1 << CLASS_BITS).astype(np.int64) for x in (total, total > 0)]
             answers = np.split(total[inverse], np.cumsum([len(p[0]) for p in parts])[:-1])
-            out = [{"block": block, "bucket": bucket, "packed": _join([a])} for (block, _), a in zip(held, answers, strict=True)]
-            yield from rows.batches([*out, {"bucket": bucket, "totals": np.concatenate(by_class).tolist()}])
+            yield from rows.batches(
+                [{"block": block, "bucket": bucket, "packed": _join([a])} for (block, _), a in zip(held, answers, strict=True)]
+            )
+        if sums.any():
+            yield from rows.batches([{"totals": sums.ravel().tolist()}])
 
     return count
 
