@@ -27,6 +27,8 @@ WINDOW = 10
 RAREST = 2
 #: Terms that one pass over the documents looks for; they are broadcast. More terms take more passes.
 TERMS_A_PASS = 200_000
+#: Windows that one pass over the postings looks for, likewise.
+WINDOWS_A_PASS = 50_000
 
 
 def split_terms(text: Column) -> Column:
@@ -111,12 +113,14 @@ def build_index(docs: DataFrame, terms: DataFrame, reach: int, text: str = "text
 def _shifted(index: DataFrame, windows: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
     """Each posting as the start of the windows that it may belong to; ``exact`` once the whole window is there."""
     postings = index.where(F.col("position") >= 0).select("doc", "term", "position", "near")
-    plan = seeds.join(windows.select("window_id", "terms"), "window_id")
+    plan = stage_table(seeds.join(windows.select("window_id", "terms"), "window_id"))
+    blocks = -(-plan.count() // (RAREST * WINDOWS_A_PASS)) or 1
+    parts = [plan.where(F.pmod(F.col("window_id"), F.lit(blocks)) == i) for i in range(blocks)]
+    found = reduce(DataFrame.unionAll, [postings.join(F.broadcast(part), "term") for part in parts])
     start = F.col("position") - F.col("offset")
     at = F.least("position", F.lit(reach)) - F.col("offset")
     return (
-        postings.join(plan, "term")
-        .where(start >= 0)
+        found.where(start >= 0)
         .select(
             "doc",
             "window_id",
