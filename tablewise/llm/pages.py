@@ -30,6 +30,8 @@ SUPPORT = 0.95
 MIN_PAGES = 10
 #: Tokens of a valid class, at least.
 CLASS_TOKENS = 2
+#: Parts in which the pages of a host meet its template, of which each part gets a copy.
+PARTS = 64
 
 # Markup that is no article (fixed values of the HTML standard, and usual names).
 RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript")
@@ -215,7 +217,9 @@ def main_texts(pages: DataFrame, html: str = "html", url: str = "url", key: str
         .groupBy("host")
         .agg(F.collect_set("token").alias("template"))
     )
-    marked = parsed.select("id", "url", "host", "runs").join(template, "host", "left")
+    copies = template.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    part = F.pmod(F.xxhash64("page", "id"), F.lit(PARTS)).cast("int")
+    marked = parsed.select("id", "url", "host", "runs", part.alias("_part")).join(copies, ["host", "_part"], "left")
     slots = F.when(F.col("template").isNull(), F.col("runs")).otherwise(
         F.filter("runs", lambda r: ~F.array_contains(F.col("template"), r["token"]))
     )
