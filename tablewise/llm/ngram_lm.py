@@ -38,7 +38,7 @@ CLASS_BITS = 8
 #: Units of a decimal logarithm.
 UNIT = 1024
 #: Buckets of words and contexts for each shuffle partition; a task holds one at a time.
-BUCKETS_A_PARTITION = 2
+BUCKETS_A_PARTITION = 4
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
@@ -236,7 +236,9 @@ def _score(rows: Rows, unigram: _Unigram):
                 continue
             bucket, held = found
             blocks = [_split(packed, _KINDS) for _, packed in held]
+            held, n_entries = [block for block, _ in held], [len(b[9]) for b in blocks]
             key, seen, part, split, n_grams, word, own, trained, n_places, doc, times = (np.concatenate(x) for x in zip(*blocks, strict=True))
+            del blocks, found
             mass = unigram.masses(part.astype(np.int64), split.astype(np.int64))
             key, seen, mass = (np.repeat(x, n_grams) for x in (key, seen, mass))
             word, own = word.astype(np.int64), own.astype(np.int64)
@@ -251,13 +253,13 @@ def _score(rows: Rows, unigram: _Unigram):
             if trie.contexts.n:
                 value = np.where(context >= 0, trie.backoffs[np.maximum(context, 0)] + own, value)
                 value = np.where(place >= 0, trie.values[np.maximum(place, 0)], value)
-            block = np.repeat(np.arange(len(held)), [len(b[9]) for b in blocks])
+            block = np.repeat(np.arange(len(held)), n_entries)
             docs, inverse = np.unique(block << 32 | doc, return_inverse=True)
             sums = np.bincount(inverse, times * np.repeat(value, n_places)).astype(np.int64)
             cuts = np.searchsorted(docs >> 32, np.arange(1, len(held)))
             parts = zip(np.split((docs & 0xFFFFFFFF).astype(np.int32), cuts), np.split(sums, cuts), strict=True)
             yield from rows.batches(
-                [{"block": b, "bucket": bucket, "packed": _join([d, x])} for (b, _), (d, x) in zip(held, parts, strict=True)]
+                [{"block": b, "bucket": bucket, "packed": _join([d, x])} for b, (d, x) in zip(held, parts, strict=True)]
             )
 
     return score
