@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import itertools
 import json
-import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -52,19 +51,18 @@ def _specials(content: str) -> list[str]:
     return [t["content"] for t in json.loads(content)["added_tokens"]]
 
 
-def _pack(tokens: list[str], docs: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
-    """Tokens with their lists; sizes first, then the parts, all compressed together."""
-    names = [t.encode("utf-8", "surrogatepass") for t in tokens]
+def _pack(names: list[bytes], lists: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> bytes:
+    """Tokens, the lengths of their lists, and the lists (documents and counts); sizes first, all compressed together."""
     blob = b"".join(names)
     parts = [
-        np.array([len(tokens), len(blob)], np.int64).tobytes(),
+        np.array([len(names), len(blob)], np.int64).tobytes(),
         np.fromiter(map(len, names), np.int32, len(names)).tobytes(),
-        np.fromiter(map(len, docs), np.int32, len(docs)).tobytes(),
+        lists.astype(np.int32).tobytes(),
         blob,
-        np.concatenate(docs).astype(np.int32).tobytes(),
-        np.concatenate(counts).astype(np.int32).tobytes(),
+        docs.astype(np.int32).tobytes(),
+        counts.astype(np.int32).tobytes(),
     ]
-    return zlib.compress(b"".join(parts), 3)
+    return zlib.compress(b"".join(parts), 1)
 
 
 def _unpack(packed: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
@@ -80,6 +78,13 @@ def _unpack(packed: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndar
     return [names[a:b] for a, b in itertools.pairwise(cuts)], lists, rest[:half], rest[half:]
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(others)}
+
+
 _ROW = "id {kind}, block long, bucket int, slot int, n_bytes long, n_tokens long, packed binary"
 
 
@@ -90,30 +95,44 @@ def _invert(buckets: int, specials: list[str], id_type: pa.DataType):
         apart = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         for block, ids, texts in numbered(batches):
             sizes, special = [], []
-            lists: dict[str, list[int]] = {}
-            for slot, text in enumerate(texts):
+            tokens, counts, found_in = [], [], []
+            for text in texts:
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))
                 pieces = [text]
                 if apart is not None and any(s in text for s in specials):
                     pieces = apart.split(text)
                 special.append(len(pieces) - 1)
                 found = Counter(itertools.chain.from_iterable(map(cut, pieces)))
-                for token, count in found.items():
-                    lists.setdefault(token, []).append(slot << 32 | count)
+                tokens += found.keys()
+                counts += found.values()
+                found_in.append(len(found))
             n = len(ids)
             yield _rows(
                 pa.array(ids, id_type), [block] * n, [-1] * n, range(n), sizes, special, [None] * n, id_type
             )
-            dealt: dict[int, list[str]] = {}
-            for token in lists:
-                dealt.setdefault(zlib.crc32(token.encode("utf-8", "surrogatepass")) % buckets, []).append(token)
-            packed = []
-            for tokens in dealt.values():
-                each = [np.array(lists[t], np.int64) for t in tokens]
-                packed.append(_pack(tokens, [x >> 32 for x in each], [x & 0xFFFFFFFF for x in each]))
+            # Distinct tokens by bucket, and the entries in their order.
+            numbers = dict.fromkeys(tokens)
+            names = [t.encode("utf-8", "surrogatepass") for t in numbers]
+            home = np.fromiter((zlib.crc32(x) % buckets for x in names), np.int64, len(names))
+            by_home = np.argsort(home, kind="stable")
+            place = np.empty(len(names), np.int64)
+            place[by_home] = np.arange(len(names))
+            numbers.update(zip(numbers, place.tolist(), strict=True))
+            token = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
+            order = np.argsort(token, kind="stable")
+            docs = np.repeat(np.arange(len(texts)), found_in)[order]
+            times = np.array(counts, np.int64)[order]
+            lists = np.bincount(token, minlength=len(names))
+            ends = np.concatenate(([0], np.cumsum(lists)))
+            cuts = [*np.flatnonzero(np.diff(home[by_home], prepend=-1)).tolist(), len(names)]
+            dealt, packed = [], []
+            for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+                some = slice(ends[first], ends[last])
+                dealt.append(int(home[by_home[first]]))
+                packed.append(_pack([names[i] for i in by_home[first:last]], lists[first:last], docs[some], times[some]))
             n = len(dealt)
             none = [None] * n
-            yield _rows(pa.nulls(n, id_type), [block] * n, list(dealt), none, none, none, packed, id_type)
+            yield _rows(pa.nulls(n, id_type), [block] * n, dealt, none, none, none, packed, id_type)
 
     return invert
 
@@ -127,23 +146,21 @@ def _rows(ids, block, bucket, slot, n_bytes, n_tokens, packed, id_type: pa.DataT
 def _sum_lists(content: str, id_type: pa.DataType):
     def sum_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The lists of whole buckets become partial sums; rows of documents pass."""
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(content)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        pieces_of = Tokenizer.from_str(content).model.tokenize
+        shown = _byte_letters()
         known: dict[bytes, int] = {}
         for batch in batches:
-            for row in batch.to_pylist() if batch.num_rows else ():
-                if row["packed"] is None:
-                    one = [[row[c]] for c in ("block", "bucket", "slot", "n_bytes", "n_tokens")]
-                    yield _rows(pa.array([row["id"]], id_type), *one, [None], id_type)
-                    continue
+            passing = batch.filter(batch.column("packed").is_null())
+            if passing.num_rows:
+                yield passing
+            packs = batch.filter(batch.column("packed").is_valid()).select(["block", "bucket", "packed"])
+            for row in packs.to_pylist():
                 tokens, lists, docs, counts = _unpack(row["packed"])
-                new = [t for t in tokens if t not in known]
-                found = tokenizer.encode_batch_fast([t.decode("utf-8", "surrogatepass") for t in new], add_special_tokens=False)
-                known.update((t, len(f)) for t, f in zip(new, found, strict=True))
+                for token in tokens:
+                    if token not in known:
+                        known[token] = len(pieces_of(token.decode("latin-1").translate(shown)))
                 pieces = np.fromiter((known[t] for t in tokens), np.int64, len(tokens))
                 sums = np.bincount(docs, weights=counts * np.repeat(pieces, lists)).astype(np.int64)
                 some = np.flatnonzero(sums)
@@ -198,7 +215,7 @@ def token_counts(
     id_type = to_arrow_type(kind)
     row = _ROW.format(kind=kind.simpleString())
     lists = docs.select(F.col(key).alias("id"), text).mapInArrow(_invert(buckets, _specials(content), id_type), row)
-    dealt = lists.repartition(F.when(F.col("bucket") < 0, F.col("block")).otherwise(F.col("bucket").cast("long")))
+    dealt = lists.repartition(F.when(F.col("bucket") < 0, -F.xxhash64("block", "slot")).otherwise(F.col("bucket").cast("long")))
     sums = dealt.mapInArrow(_sum_lists(content, id_type), row)
     blocks = sums.repartition("block").sortWithinPartitions("block", F.col("packed").isNotNull(), "slot")
     counted = blocks.mapInArrow(_add_up(id_type), f"id {kind.simpleString()}, n_bytes long, n_tokens long")
