@@ -11,6 +11,9 @@ from tablewise.llm import decontaminate, mixing, quality, shards, simhash
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Column in which the mixing stage hands the schedule to the sharding stage: numbers from 0 without gaps.
+POSITION = "mix_position"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,25 +50,33 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _keep(rows, found.where("contaminated"), docs)
 
 
+def schedule(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: all documents with their place in the Pfair schedule, as the order of rows is lost when a table is stored."""
+    rows = _numbered(docs.drop(POSITION))
+    place = mixing.mix_sources(rows, key="_row").select("_row", F.col("position").alias(POSITION))
+    return rows.join(place, "_row").drop("_row")
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: all documents in the order of the Pfair schedule, so that any run of the table has the target weights."""
-    rows = _numbered(docs)
-    place = mixing.mix_sources(rows, key="_row").select("_row", "position")
-    return rows.join(place, "_row").orderBy("position").select(docs.columns)
+    """All documents in the order of the Pfair schedule, so that any run of the table has the target weights."""
+    return schedule(spark, docs, sf_dir).orderBy(POSITION).select([c for c in docs.columns if c != POSITION])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sharding: each document with its shard and its place there."""
+    """Sharding: each document with its shard and its place there. Scheduled documents stand in each shard in the schedule's order."""
     rows = _numbered(docs)
     placed = shards.shard_documents(rows, key="_row").select("_row", "shard", "slot")
-    return rows.join(placed, "_row").select(*docs.columns, "shard", "slot")
+    if POSITION not in docs.columns:
+        return rows.join(placed, "_row").select(*docs.columns, "shard", "slot")
+    scheduled = rows.join(placed.drop("slot"), "_row")
+    return shards.slots_in_order(scheduled, POSITION).select(*docs.columns, "shard", "slot")
 
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", keep_good),
     ("near duplicates", drop_near_duplicates),
     ("decontamination", drop_contaminated),
-    ("mixing", mix),
+    ("mixing", schedule),
     ("sharding", shard),
 ]
 

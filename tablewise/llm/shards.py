@@ -125,6 +125,22 @@ def ranked_in_parts(df: DataFrame, group: list[str], parts: Column, order: list[
     return ranked.withColumn(name, F.col("_before") + F.col("_inside") - 1).drop("_part", "_inside", "_before")
 
 
+def slots_in_order(placed: DataFrame, position: str, shard: str = "shard") -> DataFrame:
+    """Add ``slot``: the rank (from 0) of each row in its shard by ``position``, which numbers all rows from 0 without gaps.
+
+    Ranks are counted in ranges of positions, so that no window holds a whole shard.
+    """
+    total = placed.count()
+    width = max(1, min(SHARDS * WINDOW_ROWS, -(-total // SHARDS)))
+    ranged = stage_table(placed.withColumn("_range", F.expr(f"`{position}` div {width}L")))
+    sizes = ranged.groupBy(shard, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(shard).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(shard, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(shard, "_range").orderBy(position))
+    ranked = ranged.withColumn("_inside", inside).join(offsets, [shard, "_range"])
+    return ranked.withColumn("slot", (F.col("_before") + F.col("_inside") - 1).cast("long")).drop("_range", "_inside", "_before")
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, text: str = "text", key: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
     """``key, size, text_crc32, law, shard, slot, grown_shard`` of every row.
 

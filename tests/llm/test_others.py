@@ -360,3 +360,33 @@ def test_stages_on_edge_cases(spark, sf_dir, docs, plain):
     placed = stages["sharding"](spark, docs, sf_dir).collect()
     assert key(placed) == key(docs.collect())
     assert len({(r.shard, r.slot) for r in placed}) == len(plain)
+
+
+def test_stored_shards_follow_the_schedule(spark, sf_dir, tmp_path, monkeypatch):
+    """Sources of 600 and 200 rows under equal weights: in each stored shard both come alike until the small one has run out."""
+    monkeypatch.setattr(mixing, "source_weights", lambda rows, source: rows.select(source).distinct().selectExpr(source, "1D AS weight"))
+    rows = [(i, f"text number {i}", "a" if i % 4 else "b") for i in range(800)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("mixing", "sharding"):
+        stages[name](spark, docs, sf_dir).repartition(5).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    found = docs.collect()
+    assert sorted(r.doc_id for r in found) == list(range(800))
+    for shard in range(shards.SHARDS):
+        inside = sorted((r for r in found if r.shard == shard), key=lambda r: r.slot)
+        assert [r.slot for r in inside] == list(range(len(inside)))
+        assert [r.mix_position for r in inside] == sorted(r.mix_position for r in inside)
+    early = Counter(r.source for r in found if r.slot < 20)
+    late = Counter(r.source for r in found if r.slot >= 30)
+    assert abs(early["a"] - early["b"]) <= 60 and late["a"] > 3 * late["b"]
+
+
+def test_the_pipeline_stores_its_mixture(spark, sf_dir):
+    found = corpus_pipeline.run(spark, sf_dir).collect()
+    assert sorted(r.mix_position for r in found) == list(range(len(found)))
+    for shard in {r.shard for r in found}:
+        inside = sorted((r for r in found if r.shard == shard), key=lambda r: r.slot)
+        assert [r.slot for r in inside] == list(range(len(inside)))
+        assert [r.mix_position for r in inside] == sorted(r.mix_position for r in inside)
