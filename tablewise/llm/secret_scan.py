@@ -5,7 +5,7 @@ looking string or an address are no finding. The scan lists such weak parts too
 interval: within one scope (a paragraph) a weak part is reported only when a part that completes it
 stands at most ``REACH`` code points away: a secret for an identifier or an endpoint, an identifier or an
 endpoint for a secret. Plain findings count as parts as well: ``access`` as an identifier, ``assign`` and
-``hex`` as secrets.
+``hex`` as secrets. A URL and what stands inside it (connection strings, signed URLs) are parts of their own.
 
 The parts are few. Finding them is one pass over the texts; the join is a window over each scope that
 knows the nearest part of every role on either side, so no pairs are made.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,6 +45,8 @@ _LONG_HEX = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)
 _NAMED = re.compile(r"""\b(?:user(?:name)?|login|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{3,})""", re.IGNORECASE | re.ASCII)
 _ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{4,}")
 _RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_SECRET)
+# One within a URL, up to its query.
+_SEGMENT = re.compile(r"(?<![A-Za-z0-9+_-])[A-Za-z0-9+_-]{%d,}={0,2}" % MIN_SECRET)
 _ADDRESS = re.compile(r"""[a-z][a-z0-9+.-]*://[^\s"'<>]+|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}(?::[0-9]+)?""", re.ASCII)
 _PARAGRAPH = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -59,18 +62,47 @@ def plain_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _is_random(value: str) -> bool:
+    return any(c.isdigit() for c in value) and value.lower() != value != value.upper()
+
+
 def weak_parts(text: str, plain: list[Span]) -> list[Span]:
-    """Parts that need another one: those that no plain finding overlaps."""
-    found = [("identifier", *m.span(1)) for m in _NAMED.finditer(text)]
-    found += [("identifier", *m.span()) for m in _ISSUED.finditer(text)]
-    found += [("endpoint", *m.span()) for m in _ADDRESS.finditer(text)]
-    for m in _RANDOM.finditer(text):
-        value = m[0]
-        if any(c.isdigit() for c in value) and value.lower() != value != value.upper():
-            found.append(("secret", *m.span()))
-    taken = sorted((s, e) for _, s, e in plain)
+    """Parts that need another one, by start.
+
+    A string has one role: an identifier or secret that overlaps another one or a plain finding is left out, and so is
+    one in a named address. What stands inside a URL after its scheme (user and password, path segments, query values)
+    is a part beside the URL itself.
+    """
+    named = [("identifier", *m.span(1)) for m in _NAMED.finditer(text)]
+    named += [("identifier", *m.span()) for m in _ISSUED.finditer(text)]
+    taken = [(s, e) for _, s, e in plain]
+    hosts, urls = [], []  # urls: start, end of the scheme, start of the query, end
+    for m in _ADDRESS.finditer(text):
+        start, end = m.span()
+        if (scheme := m[0].find("://")) > 0:
+            query = min((at for at in (text.find("?", start, end), text.find("#", start, end)) if at >= 0), default=end)
+            urls.append((start, start + scheme + 3, query, end))
+        else:
+            hosts.append((start, end))
+    found = [("secret", *m.span()) for m in _RANDOM.finditer(text) if _is_random(m[0])]
+    if urls:
+        # Up to its query a URL's words end at slashes; a match that begins there may have run over several.
+        begins = [u[0] for u in urls]
+        at = lambda start: urls[max(bisect_right(begins, start) - 1, 0)]
+        found = [x for x in found if not at(x[1])[0] <= x[1] < at(x[1])[2]]
+        for _, scheme, query, _ in urls:
+            found += [("secret", *m.span()) for m in _SEGMENT.finditer(text, scheme, query) if _is_random(m[0])]
+        named = [x for x in named if not at(x[1])[0] <= x[1] < at(x[1])[1]]
+    hosts = _apart([("endpoint", *x) for x in hosts], taken)
+    inside = _apart(sorted({*named, *found}, key=lambda s: (s[1], -s[2], s[0])), taken + [(s, e) for _, s, e in hosts])
+    return sorted([*inside, *hosts, *(("endpoint", u[0], u[3]) for u in urls)], key=lambda s: (s[1], KINDS.index(s[0])))
+
+
+def _apart(parts: list[Span], taken: list[tuple[int, int]]) -> list[Span]:
+    """Of ``parts``, by start, those that overlap neither an earlier one nor a span of ``taken``, by start."""
+    taken = sorted(taken)
     free, at, last = [], 0, 0
-    for kind, start, end in sorted(set(found), key=lambda s: (s[1], -s[2], s[0])):
+    for kind, start, end in parts:
         while at < len(taken) and taken[at][1] <= start:
             at += 1
         if start >= last and not (at < len(taken) and taken[at][0] < end):

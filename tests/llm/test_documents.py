@@ -178,6 +178,28 @@ def test_weak_parts_need_each_other(spark):
     }
 
 
+def test_credentials_inside_a_url(spark):
+    """Connection strings and signed URLs: the URL swallows neither the identifier nor the secret inside it."""
+    url = "postgres://bob:Xy7kQ9pLm2Rt5Vw8@db.example:5432/app"
+    texts = {
+        1: url,
+        2: "see https://files.example.com/a/b.bin?user=alice99&sig=Zx9aB3dE5fG7hJ1kL/x here",
+        3: "https://hooks.example.com/services/Zx9aB3dE5fG7hJ1kL",
+        4: "https://Example.com/Some/Path/2020/Article alone",  # no segment looks random
+        5: "server=Zx9aB3dE5fG7hJ1kL",  # one string does not complete itself
+        6: "login: Zx9aB3dE5fG7hJ1kL",
+        7: "https://example.com/x?token=abc123def",
+        8: f"two: {url} {url}",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.secret_scan(docs).collect()}
+    assert got[1] == "endpoint:0:51,secret:15:31"
+    kinds = {k: [s.split(":")[0] for s in v.split(",") if s] for k, v in got.items()}
+    assert kinds[2] == ["endpoint", "identifier", "secret"] and kinds[3] == ["endpoint", "secret"]
+    assert kinds[4] == kinds[5] == kinds[6] == []
+    assert kinds[7] == ["endpoint", "assign"] and kinds[8] == ["endpoint", "secret"] * 2
+
+
 # 5: quality
 
 
