@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, mixing, ngram_lm, pages, quality, secret_scan, shards, simhash, substrings, token_count
+from . import collocations, decontaminate, mixing, ngram_lm, pages, quality, secret_scan, shards, simhash, substrings, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -171,3 +171,36 @@ FROM blocks b JOIN plan USING (number, turn), lists
 @query("op9_mix_sources", _OP9)
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+#: Phrases are told apart as words joined by spaces, which no word holds.
+_OP11 = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, k, array_to_string(w[s : s + k - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS s FROM w), (SELECT unnest(range(1, 6)) AS k)
+  WHERE s + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS v FROM f WHERE k > 1),
+inner_ AS (
+  SELECT lang, array_to_string(v[i : i + m - 1], ' ') AS phrase, max(a) AS outer_a
+  FROM (SELECT lang, a, v, k, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY 1, 2),
+kept AS (SELECT c.* FROM c LEFT JOIN inner_ USING (lang, phrase) WHERE NOT coalesce(100 * outer_a >= 100 * a, false)),
+cut AS (
+  SELECT k.lang, k.phrase, k.a, j, n, x.a AS l, y.a AS r, CAST((1000::HUGEINT * k.a * n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM kept) k JOIN total USING (lang)
+  JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(v[1 : j], ' ')
+  JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(v[j + 1 :], ' ')),
+lowest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM lowest QUALIFY rank <= 2000
+"""
+
+
+@query("op11_collocations", _OP11)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))

@@ -121,3 +121,31 @@ def as_rows(df, *columns: str) -> list[tuple]:
 
 def pandas_table(sf_dir: str, name: str) -> pd.DataFrame:
     return pd.read_parquet(f"{sf_dir}/{name}.parquet")
+
+
+def plain_collocations(rows: list[tuple], max_words: int = 5, min_count: int = 100, top: int = 2000, percent: int = 100) -> list[tuple]:
+    """(lang, rank, phrase, a, l, r, n, score) of (text, lang) rows, phrases counted one by one."""
+    counts, totals, out = defaultdict(Counter), Counter(), []
+    for text, lang in rows:
+        lang = lang if lang is not None else "und"
+        for piece in re.split("[.,;:!?\x0a-\x0d]", lower(text or "")):
+            w = re.findall("[^\x20\x09]+", piece)
+            totals[lang] += len(w)
+            counts[lang].update(tuple(w[i : i + k]) for i in range(len(w)) for k in range(1, max_words + 1) if i + k <= len(w))
+    for lang, f in counts.items():
+        candidates = {p: a for p, a in f.items() if len(p) > 1 and a >= min_count}
+        most = Counter()
+        for p, a in candidates.items():
+            for i in range(len(p)):
+                for j in range(i + 2, len(p) + 1):
+                    if j - i < len(p):
+                        most[p[i:j]] = max(most[p[i:j]], a)
+        n, scored = totals[lang], []
+        for p, a in candidates.items():
+            if most[p] and 100 * most[p] >= percent * a:
+                continue
+            score, k = min((1000 * a * n // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            scored.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for rank, (s, a, phrase, left, right) in enumerate(sorted(scored)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, n, -s))
+    return out
