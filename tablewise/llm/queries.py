@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import collocations, decontaminate, mixing, ngram_lm, pages, quality, secret_scan, shards, simhash, substrings, token_count
+from . import collocations, decontaminate, mixing, ngram_lm, pages, quality, resampling, secret_scan, shards, simhash, substrings, token_count, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -204,3 +204,98 @@ FROM lowest QUALIFY rank <= 2000
 @query("op11_collocations", _OP11)
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 goes through a table of 256 entries, byte by byte.
+_OP12 = r"""
+WITH crc_table AS (
+  SELECT list(list_reduce([CAST(i AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc
+  FROM (SELECT unnest(range(256)) AS i)),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+dt AS (SELECT r, unnest(w) AS x FROM d),
+bt AS (
+  SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x
+  FROM benchmark),
+vocabulary AS (
+  SELECT x, list_transform(range(1, len(h), 2), lambda i: CAST('0x' || h[i : i + 1] AS UBIGINT)) AS bytes
+  FROM (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM dt UNION SELECT x FROM bt))),
+hashed AS (
+  SELECT x, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), bytes),
+    lambda c, b: xor(c >> 8, crc[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295) % 10000 AS BIGINT) AS bucket
+  FROM vocabulary, crc_table),
+s AS (SELECT bucket, count(*) AS s FROM dt JOIN hashed USING (x) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bt JOIN hashed USING (x) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM dt) AS all_s, (SELECT count(*) FROM bt) AS all_t),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(all_s + 10000 AS DOUBLE)
+    / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST(all_t + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), n),
+weights AS (SELECT r, CAST(sum(gain) AS BIGINT) AS weight FROM dt JOIN hashed USING (x) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || CAST(doc_id AS VARCHAR))[1 : 8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (r)),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS may FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * may // 100 THEN rank END AS rank
+FROM scored LEFT JOIN placed USING (r)
+"""
+
+
+@query("op12_target_resampling", _OP12)
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Hashes are CRC-32s of 16 bytes through a table of 256 entries; a window has 16 of them.
+_OP13 = r"""
+WITH crc_table AS (
+  SELECT list(list_reduce([CAST(i AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc
+  FROM (SELECT unnest(range(256)) AS i)),
+d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC) AS r, count(*) OVER () AS total FROM documents),
+e AS (
+  SELECT a.r, a.doc_id, a.text, length(a.text) AS n, b.r AS next,
+    a.text[1 : length(a.text) - length(a.text) // 2] || b.text[1 : length(a.text) // 2] AS edited
+  FROM d a JOIN d b ON b.r = a.r % a.total + 1),
+sides AS (SELECT r, 0 AS side, text FROM e UNION ALL SELECT r, 1, edited FROM e),
+bytes AS (
+  SELECT r, side, n, unnest(range(n)) AS p, unnest(list_transform(range(1, 2 * n, 2), lambda i: CAST('0x' || h[i : i + 1] AS UBIGINT))) AS x
+  FROM (SELECT r, side, hex(encode(text)) AS h, CAST(strlen(text) AS BIGINT) AS n FROM sides WHERE text <> '')),
+runs AS (SELECT r, side, n, p, [4294967295, x, {leads}] AS run FROM bytes WINDOW w AS (PARTITION BY r, side ORDER BY p)),
+grams AS (
+  SELECT r, side, n, p, list_reduce(list_filter(run, lambda y: y IS NOT NULL),
+    lambda c, y: xor(c >> 8, crc[CAST(xor(c, y) & 255 AS BIGINT) + 1])) AS c
+  FROM runs, crc_table WHERE p <= greatest(n - 16, 0)),
+packed AS (SELECT r, side, p, n, CAST(xor(c, 4294967295) AS BIGINT) * 2147483648 + 2147483647 - p AS v FROM grams),
+chosen AS (
+  SELECT DISTINCT r, side, v FROM (
+    SELECT r, side, p, n, min(v) OVER (PARTITION BY r, side ORDER BY p ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS v FROM packed)
+  WHERE p >= least(15, greatest(n - 16, 0))),
+f AS (
+  SELECT r, side, string_agg(format('{:08x}:{}', v >> 31, 2147483647 - (v & 2147483647)), ',' ORDER BY v & 2147483647 DESC) AS s, list(DISTINCT v >> 31) AS h
+  FROM chosen GROUP BY r, side)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, coalesce(x.s, '') AS fingerprint, coalesce(y.s, '') AS edited_fingerprint,
+  CASE WHEN x.h IS NULL AND y.h IS NULL THEN 1.0::DOUBLE
+    ELSE 2.0::DOUBLE * len(list_intersect(coalesce(x.h, []), coalesce(y.h, []))) / (coalesce(len(x.h), 0) + coalesce(len(y.h), 0)) END AS near_edited,
+  CASE WHEN x.h IS NULL AND z.h IS NULL THEN 1.0::DOUBLE
+    ELSE 2.0::DOUBLE * len(list_intersect(coalesce(x.h, []), coalesce(z.h, []))) / (coalesce(len(x.h), 0) + coalesce(len(z.h), 0)) END AS near_next
+FROM e LEFT JOIN f x ON x.r = e.r AND x.side = 0 LEFT JOIN f y ON y.r = e.r AND y.side = 1 LEFT JOIN f z ON z.r = e.next AND z.side = 0
+""".replace("{leads}", ", ".join(f"lead(x, {i}) OVER w" for i in range(1, 16)))
+
+
+@query("op13_fingerprints", _OP13)
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = winnowing.edited_likeness(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        winnowing.as_string(F.col("packed")).alias("fingerprint"),
+        winnowing.as_string(F.col("edited_packed")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
