@@ -107,19 +107,15 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", gram:
     return pinned(docs.select(key, text), _packed=winnow(F.col(text), gram, window)).select(key, spans(F.col("_packed")).alias("fingerprint"))
 
 
-def shared_spans(left: Column, right: Column) -> Column:
-    """``(hash, left, right)``: where two fingerprints of ``fingerprints`` chose the same hash.
+def shared_spans(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
+    """``key, hash, left, right``: where two fingerprints (columns as of ``fingerprints``) of a pair chose the same hash.
 
-    Each position of the left one meets the first on the right. Any ``window + gram - 1`` bytes that both texts hold show here.
+    Each position of the left one meets the first on the right. Any ``window + gram - 1`` bytes that both texts hold show
+    here. ``key`` tells pairs apart.
     """
-    places = F.map_from_entries(
-        F.filter(
-            F.transform(right, lambda s, i: F.when(F.array_position(F.transform(right, lambda t: t["hash"]), s["hash"]) == i + 1, F.struct(s["hash"], s["position"]))),
-            lambda e: e.isNotNull(),
-        )
-    )
-    found = lambda at: F.transform(left, lambda s: F.struct(s["hash"].alias("hash"), s["position"].alias("left"), F.element_at(at, s["hash"]).alias("right")))
-    return F.filter(_let(places, found), lambda s: s["right"].isNotNull())
+    lefts = pairs.select(key, F.inline(left)).withColumnRenamed("position", "left")
+    rights = pairs.select(key, F.inline(right)).groupBy(key, "hash").agg(F.min("position").alias("right"))
+    return lefts.join(rights, [key, "hash"])
 
 
 def _key(key: str) -> Column:

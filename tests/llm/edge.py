@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -149,3 +151,51 @@ def plain_collocations(rows: list[tuple], max_words: int = 5, min_count: int = 1
         for rank, (s, a, phrase, left, right) in enumerate(sorted(scored)[:top], 1):
             out.append((lang, rank, phrase.decode(), -a, left, right, n, -s))
     return out
+
+
+def plain_resampled(rows: list[tuple], target: list, percent: int = 10, max_run: int = 1, buckets: int = 10_000) -> list[tuple]:
+    """(id, n_features, weight, score) of (id, text) rows, and how many are drawn: features hashed one by one."""
+    cut = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def features(text):
+        w = cut.findall(lower(text or ""))
+        return len(w), [zlib.crc32(" ".join(w[i : i + k]).encode()) % buckets for k in range(1, max_run + 1) for i in range(len(w) - k + 1)]
+
+    every = [features(t) for _, t in rows]
+    s, t = Counter(b for _, f in every for b in f), Counter(b for x in target for b in features(x)[1])
+    all_s, all_t = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log(float(t[b] + 1) * float(all_s + buckets) / (float(s[b] + 1) * float(all_t + buckets))))
+    out = []
+    for (key, _), (_, f) in zip(rows, every, strict=True):
+        h = int(hashlib.sha256(f"2024:{'' if key is None else key}".encode()).hexdigest()[:8], 16)
+        weight = sum(map(gain, f))
+        out.append((key, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    may = [i for i, (n, _) in enumerate(every) if n >= 20]
+    order = sorted(may, key=lambda i: (-out[i][3], out[i][0] is None, out[i][0] or 0))
+    rank = {i: r for r, i in enumerate(order[: len(may) * percent // 100], 1)}
+    return [(*row, rank.get(i)) for i, row in enumerate(out)]
+
+
+def plain_winnow(text, gram: int = 16, window: int = 16) -> list[tuple[int, int]]:
+    """(hash, position): the rightmost smallest hash of every window."""
+    data = (text or "").encode()
+    if not data:
+        return []
+    hashed = [zlib.crc32(data[i : i + gram]) for i in range(max(1, len(data) - gram + 1))]
+    chosen = {min((h, -i) for i, h in enumerate(hashed[s : s + window], s)) for s in range(max(1, len(hashed) - window + 1))}
+    return sorted(((h, -i) for h, i in chosen), key=lambda x: x[1])
+
+
+def plain_edited(rows: list[tuple], gram: int = 16, window: int = 16) -> list[tuple]:
+    """(id, n_chars, edited text, fingerprint, its, near_edited, near_next) of (id, text) rows in their order."""
+    def near(a, b):
+        a, b = {h for h, _ in a}, {h for h, _ in b}
+        return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+    out = []
+    for (key, text), (_, following) in zip(rows, rows[1:] + rows[:1], strict=True):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        own, other, third = plain_winnow(text, gram, window), plain_winnow(edited, gram, window), plain_winnow(following, gram, window)
+        out.append((key, len(text), edited, own, other, near(own, other), near(own, third)))
+    return out
