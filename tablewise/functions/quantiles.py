@@ -1,44 +1,118 @@
-"""Exact quantiles of columns of any length.
-
-``percentile`` keeps every distinct value of a column in one task, which cannot hold a long
-column. Here a KLL sketch per column (merged in two levels) brackets each wanted rank. One scan
-counts the rows below every bracket and a second groups the few values inside, from which the
-exact order statistics are read. A bracket that misses its rank or holds too many distinct values
-is moved or narrowed and the scans repeat: counts decide, never the sketch, so the result does not
-depend on the sketch's accuracy. Both scans are parts of one job. NaN needs no treatment: the sketch skips it and it sorts above
-every bracket.
+"""Exact quantiles of columns of any length, by radix selection with counters of a fixed number.
+
+``percentile`` keeps every distinct value of a column in one task, which cannot hold a long column. Here a double is
+read as a whole number of 64 bits with the same order. Each round counts, in one scan, how many rows of each column
+fall into equal cells of an interval, and the least and the greatest value in each cell. The cell that holds a wanted
+rank is the next round's interval, from its least to its greatest value. A rank is found when its cell has one value,
+or when it is the first or the last of its cell; so values that repeat take two rounds, and no data take more than the
+bits allow.
+
+All columns and ranks share the rounds. The counters' number depends on neither the rows nor the values: a task
+sends what it has counted, sums are made for each cell, and the driver gets one row for each rank.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schema import col
 
-SKETCH_K = 4096
-SKETCH_EPS = 0.004  # half-width of a bracket in rank, a multiple of the sketch's error
-CHUNKS = 256  # sketches are merged per chunk first, so no task receives one per input split
-SMALL = 10_000  # shorter columns are listed whole
-MAX_CANDIDATES = 400_000  # most (value, count) rows ever brought to the driver
+#: Bits of a column's first cells, and of later ones at most.
+FIRST_BITS = 16
+#: Cells of all intervals of one round.
+CELLS = 1 << 21
 COLUMNS_PER_JOB = 25
 
-
-@dataclass
-class _Search:
-    """The value of 0-based ``rank``; it lies in [floor, ceiling] and is sought in [lo, hi]."""
-
-    column: str
-    rank: int
-    lo: float = -math.inf
-    hi: float = math.inf
-    floor: float = -math.inf
-    ceiling: float = math.inf
-    below_floor: int = 0
-    inside: int = 0
-    answer: float | None = None
+#: An interval: column, first and last whole number.
+Interval = tuple[int, int, int]
+
+_SCHEMA = "target int, cell int, n long, lo long, hi long"
+_ARROW = pa.schema([("target", pa.int32()), ("cell", pa.int32()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+_LOW, _HIGH = -(1 << 63), (1 << 63) - 1
+_ROWS = 1 << 16
+
+
+def to_whole(values: np.ndarray) -> np.ndarray:
+    """Doubles as whole numbers in the same order; both zeros are one."""
+    bits = (values + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & _HIGH)
+
+
+def to_double(whole: int) -> float:
+    bits = np.int64(whole)
+    return float((bits ^ ((bits >> np.int64(63)) & np.int64(_HIGH))).view(np.float64))
+
+
+def _shift(lo: int, hi: int, bits: int) -> int:
+    """By how many bits a place in the interval is moved to give its cell."""
+    return max((hi - lo).bit_length() - bits, 0)
+
+
+class _Counters:
+    """Rows, least and greatest value of the filled cells of an interval."""
+
+    def __init__(self, interval: Interval, bits: int) -> None:
+        self.column, self.lo, self.hi = interval
+        self.shift = _shift(self.lo, self.hi, bits)
+        size = ((self.hi - self.lo) >> self.shift) + 1
+        self.n, self.least, self.most = np.zeros(size, np.int64), np.full(size, _HIGH), np.full(size, _LOW)
+
+    def add(self, whole: np.ndarray) -> None:
+        """Count sorted whole numbers."""
+        inside = whole[np.searchsorted(whole, self.lo) : np.searchsorted(whole, self.hi, "right")]
+        if not len(inside):
+            return
+        # Differences of up to 64 bits are right without a sign.
+        cell = ((inside.view(np.uint64) - np.int64(self.lo).view(np.uint64)) >> np.uint64(self.shift)).astype(np.int64)
+        start = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
+        at = cell[start[:-1]]
+        self.n[at] += np.diff(start)
+        self.least[at] = np.minimum(self.least[at], inside[start[:-1]])
+        self.most[at] = np.maximum(self.most[at], inside[start[1:] - 1])
+
+
+def _count(intervals: list[Interval], bits: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = [_Counters(i, bits) for i in intervals]
+
+        def add(held: list[pa.RecordBatch]) -> None:
+            table = pa.Table.from_batches(held)
+            for c in range(table.num_columns):
+                values = table.column(c).drop_null().to_numpy()
+                whole = np.sort(to_whole(values[~np.isnan(values)]))
+                for counter in counters:
+                    if counter.column == c:
+                        counter.add(whole)
+
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= _ROWS:
+                add(held)
+                held, rows = [], 0
+        if held:
+            add(held)
+        for i, c in enumerate(counters):
+            cell = np.flatnonzero(c.n)
+            for at in range(0, len(cell), _ROWS):
+                some = cell[at : at + _ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i, np.int32)), pa.array(some.astype(np.int32)), *(pa.array(x[some]) for x in (c.n, c.least, c.most))], schema=_ARROW)
+
+    return count
+
+
+def _histograms(values: DataFrame, intervals: list[Interval], bits: int) -> DataFrame:
+    """``(target, cell, n, lo, hi, before)``: rows and extremes of a cell, and the rows in the cells before."""
+    counted = values.mapInArrow(_count(intervals, bits), _SCHEMA).groupBy("target", "cell")
+    cells = counted.agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    earlier = F.sum("n").over(W.partitionBy("target").orderBy("cell").rowsBetween(W.unboundedPreceding, -1))
+    return cells.withColumn("before", F.coalesce(earlier, F.lit(0)))
 
 
 def exact_quantiles(
@@ -52,196 +126,58 @@ def exact_quantiles(
     result: dict[str, list[float | None]] = {}
     names = list(inputs)
     for start in range(0, len(names), COLUMNS_PER_JOB):
-        part = {c: inputs[c].cast("double") for c in names[start : start + COLUMNS_PER_JOB]}
-        result.update(_quantiles(df, part, probs))
+        part = names[start : start + COLUMNS_PER_JOB]
+        found = _quantiles(df, [inputs[c].cast("double") for c in part], probs)
+        result.update(zip(part, found, strict=True))
     return result
 
 
-def _quantiles(
-    df: DataFrame, inputs: dict[str, Column], probs: list[float]
-) -> dict[str, list[float | None]]:
-    edges = [r for p in probs for r in (p - SKETCH_EPS, p + SKETCH_EPS)]
-    sketched = _sketch_values(df, inputs, {c: edges for c in inputs})
-
-    searches: dict[tuple[str, int], _Search] = {}
-    plans: dict[str, list[tuple[int, int, float]]] = {}
-    for c in inputs:
-        n, values = sketched[c]
-        plans[c] = []
-        for k, p in enumerate(probs if n else []):
-            position = (n - 1) * p
-            low = min(math.floor(position), n - 1)
-            high = min(low + 1, n - 1)
-            plans[c].append((low, high, position - low))
-            for rank in (low, high):
-                s = _Search(c, rank, inside=n)
-                if n > SMALL:
-                    s.lo, s.hi = values[2 * k], values[2 * k + 1]
-                searches.setdefault((c, rank), s)
-
-    pending = list(searches.values())
-    while pending:
-        _resolve(df, inputs, pending)
-        pending = [s for s in pending if s.answer is None]
-        if pending:
-            _narrow(df, inputs, pending)
-            pending = [s for s in pending if s.answer is None]
-
-    result: dict[str, list[float | None]] = {}
-    for c, plan in plans.items():
-        result[c] = [None] * len(probs) if not plan else []
-        for low, high, weight in plan:
-            a, b = searches[(c, low)].answer, searches[(c, high)].answer
-            result[c].append(a if a == b or weight == 0 else a + (b - a) * weight)
-    return result
-
-
-def _sketch_values(
-    df: DataFrame, inputs: dict[str, Column], ranks: dict[str, list[float]]
-) -> dict[str, tuple[int, list[float]]]:
-    """One scan: per input its non-null count and approximate values at the given ranks."""
-    keys = list(inputs)
-    k = F.lit(SKETCH_K)
-    values = df.select(*[inputs[key].alias(f"x{i}") for i, key in enumerate(keys)])
-    chunk = F.pmod(F.spark_partition_id(), F.lit(CHUNKS)).alias("chunk")
-    partial = values.groupBy(chunk).agg(
-        *[F.kll_sketch_agg_double(f"x{i}", k).alias(f"s{i}") for i in range(len(keys))]
-    )
-    merged = partial.agg(
-        *[F.kll_merge_agg_double(f"s{i}", k).alias(f"s{i}") for i in range(len(keys))]
-    )
-    n = [F.coalesce(F.kll_sketch_get_n_double(f"s{i}"), F.lit(0)) for i in range(len(keys))]
-    row = merged.select(
-        *[c.alias(f"n{i}") for i, c in enumerate(n)],
-        *[
-            F.when(
-                n[i] > 0,
-                F.kll_sketch_get_quantile_double(
-                    f"s{i}", F.array(*[F.lit(min(max(r, 0.0), 1.0)) for r in ranks[key]])
-                ),
-            ).alias(f"q{i}")
-            for i, key in enumerate(keys)
-        ],
-    ).first()
-    return {key: (row[f"n{i}"], list(row[f"q{i}"] or [])) for i, key in enumerate(keys)}
-
-
-def _sql(v: float) -> str:
-    return f"{v!r}D" if math.isfinite(v) else f"double('{v}')"
-
-
-def _spans(searches: list[_Search]) -> list[tuple[str, float, float]]:
-    return list(dict.fromkeys((s.column, s.lo, s.hi) for s in searches))
-
-
-def _resolve(df: DataFrame, inputs: dict[str, Column], searches: list[_Search]) -> None:
-    """Answer every search whose bracket holds its rank and a listable number of values."""
-    spans = _spans(searches)
-    names = list(dict.fromkeys(c for c, _, _ in spans))
-    values = df.select(*[inputs[c].alias(f"x{names.index(c)}") for c in names])
-    # One job: a row of counts per bracket, and the values inside the brackets worth listing.
-    # SQL text keeps the many small expressions cheap to build.
-    x = {c: f"x{i}" for i, c in enumerate(names)}
-    cells = [
-        f"struct({j} AS j, count_if({x[c]} < {_sql(lo)}) AS below, count_if({x[c]} <= {_sql(hi)}) AS n)"
-        for j, (c, lo, hi) in enumerate(spans)
-    ]
-    counted = values.agg(F.expr(f"array({', '.join(cells)})").alias("rows")).selectExpr("inline(rows)")
-    rows = counted.selectExpr("j", "CAST(NULL AS DOUBLE) AS v", "below", "n")
-    wide = {
-        j: f"{x[c]} BETWEEN {_sql(lo)} AND {_sql(hi)}"
-        for j, (c, lo, hi) in enumerate(spans)
-        if lo < hi
-    }
-    if wide:
-        hits = [
-            f"struct({j} AS j, CASE WHEN {w} THEN {x[spans[j][0]]} END AS v)" for j, w in wide.items()
-        ]
-        listed = (
-            values.where(" OR ".join(wide.values()))
-            .selectExpr(f"inline(array({', '.join(hits)}))")
-            .where("v IS NOT NULL")
-            .groupBy("j", "v")
-            .agg(F.expr("0L AS below"), F.expr("count(*) AS n"))
-            .limit(MAX_CANDIDATES + 1)
-        )
-        rows = rows.unionAll(listed)
-    below: dict[int, tuple[int, int]] = {}
-    candidates: list[list[tuple[float, int]]] = [[] for _ in spans]
-    n_listed = 0
-    for j, v, first, n in rows.collect():
-        if v is None:
-            below[j] = (first, n)
+def _quantiles(df: DataFrame, inputs: list[Column], probs: list[float]) -> list[list[float | None]]:
+    values = df.select(*[x.alias(f"x{i}") for i, x in enumerate(inputs)])
+    cells = _histograms(values, [(c, _LOW, _HIGH) for c in range(len(inputs))], FIRST_BITS)
+    size = F.sum("n").over(W.partitionBy("target").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    position = (F.col("size") - 1) * F.col("prob")
+    low = F.least(F.floor(position), F.col("size") - 1)
+    asked = cells.withColumn("size", size).select("*", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("k", "prob"))
+    asked = asked.select("*", F.explode(F.array(low, F.least(low + 1, F.col("size") - 1))).alias("rank"))
+    first = asked.where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n"))).select("target", "size", "rank", "before", "n", "lo", "hi")
+    sizes: dict[int, int] = {}
+    answers: dict[tuple[int, int], int] = {}
+    #: Intervals with the ranks that are sought in them, from the interval's start.
+    sought: dict[Interval, set[tuple[int, int]]] = {}
+
+    def settle(column: int, rank: int, inner: int, n: int, lo: int, hi: int) -> None:
+        if inner in (0, n - 1) or lo == hi:
+            answers[column, rank] = lo if inner == 0 else hi
         else:
-            candidates[j].append((v, n))
-            n_listed += 1
-    for s in searches:
-        j = spans.index((s.column, s.lo, s.hi))
-        first, last = below[j]
-        if s.lo == s.hi and first <= s.rank < last:
-            s.answer = s.lo
-        elif j in wide and n_listed <= MAX_CANDIDATES:
-            candidates[j].sort()
-            s.answer = _value_at(candidates[j], s.rank - first)
-
-
-def _value_at(candidates: list[tuple[float, int]], rank: int) -> float | None:
-    """The value of a rank inside the bracket, or None when the rank lies outside."""
-    if rank < 0:
-        return None
-    for value, n in candidates:
-        if rank < n:
-            return value
-        rank -= n
-    return None
-
-
-def _narrow(df: DataFrame, inputs: dict[str, Column], searches: list[_Search]) -> None:
-    """Enclose each rank more tightly by counting around its bracket, then sketch what is left.
-
-    The bracket's end values are counted apart, so a value repeated any number of times is either
-    the answer or leaves the interval.
-    """
-    spans = _spans(searches)
-    exprs = []
-    for j, (c, lo, hi) in enumerate(spans):
-        exprs += [
-            F.count_if(inputs[c] < F.lit(lo)).alias(f"l{j}"),
-            F.count_if(inputs[c] <= F.lit(lo)).alias(f"le{j}"),
-            F.count_if(inputs[c] < F.lit(hi)).alias(f"h{j}"),
-            F.count_if(inputs[c] <= F.lit(hi)).alias(f"he{j}"),
-        ]
-    row = df.agg(*exprs).first()
-    for s in searches:
-        j = spans.index((s.column, s.lo, s.hi))
-        end = s.below_floor + s.inside
-        cuts = [
-            (s.floor, math.nextafter(s.lo, -math.inf), s.below_floor, row[f"l{j}"]),
-            (s.lo, s.lo, row[f"l{j}"], row[f"le{j}"]),
-            (
-                math.nextafter(s.lo, math.inf),
-                math.nextafter(s.hi, -math.inf),
-                row[f"le{j}"],
-                row[f"h{j}"],
-            ),
-            (s.hi, s.hi, row[f"h{j}"], row[f"he{j}"]),
-            (math.nextafter(s.hi, math.inf), s.ceiling, row[f"he{j}"], end),
-        ]
-        for floor, ceiling, first, last in cuts:
-            if first <= s.rank < last:
-                s.floor, s.ceiling, s.below_floor, s.inside = floor, ceiling, first, last - first
-                if floor == ceiling:
-                    s.answer = floor
-                break
-    searches = [s for s in searches if s.answer is None]
-    if not searches:
-        return
-    masked, ranks = {}, {}
-    for k, s in enumerate(searches):
-        x = inputs[s.column]
-        masked[str(k)] = F.when(x.between(s.floor, s.ceiling), x)
-        rank = (s.rank - s.below_floor) / max(s.inside - 1, 1)
-        ranks[str(k)] = [rank - SKETCH_EPS, rank + SKETCH_EPS]
-    sketched = _sketch_values(df, masked, ranks)
-    for k, s in enumerate(searches):
-        s.lo, s.hi = sketched[str(k)][1]
+            sought.setdefault((column, lo, hi), set()).add((rank, inner))
+
+    for r in first.distinct().collect():
+        sizes[r["target"]] = r["size"]
+        settle(r["target"], r["rank"], r["rank"] - r["before"], r["n"], r["lo"], r["hi"])
+    spark = df.sparkSession
+    while sought:
+        intervals, ranks, sought = list(sought), list(sought.values()), {}
+        names = sorted({c for c, _, _ in intervals})
+        bits = max(min(FIRST_BITS, (CELLS // len(intervals)).bit_length() - 1), 1)
+        local = [(names.index(c), lo, hi) for c, lo, hi in intervals]
+        wanted = spark.createDataFrame([(i, rank, inner) for i, of in enumerate(ranks) for rank, inner in of], "target int, rank long, inner long")
+        cells = _histograms(values.select(*[values.columns[c] for c in names]), local, bits)
+        inner = F.col("inner") - F.col("before")
+        hits = cells.join(F.broadcast(wanted), "target").where((inner >= 0) & (inner < F.col("n")))
+        for r in hits.select("target", "rank", inner.alias("inner"), "n", "lo", "hi").collect():
+            settle(intervals[r["target"]][0], r["rank"], r["inner"], r["n"], r["lo"], r["hi"])
+
+    out: list[list[float | None]] = []
+    for c in range(len(inputs)):
+        if not sizes.get(c):
+            out.append([None] * len(probs))
+            continue
+        out.append([])
+        for p in probs:
+            position = (sizes[c] - 1) * p
+            low = min(math.floor(position), sizes[c] - 1)
+            a, b = (to_double(answers[c, r]) for r in (low, min(low + 1, sizes[c] - 1)))
+            weight = position - low
+            out[-1].append(a if a == b or weight == 0 else a + (b - a) * weight)
+    return out

@@ -2,47 +2,64 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.frequency import value_counts_by_id
-from ..functions.lookup import attach
-from ..functions.ranks import average_ranks
-from ..functions.slices import sliced_aggregate
-from ..functions.staging import stage_table
-from ..schema import as_double, col, numeric_columns
+from ..functions.rank_scatter import rank_correlations
+from ..schema import as_double, numeric_columns
 
 TOP_PAIRS = 5  # fixed value
 CONSTANT = 1e-14  # a deviation below this share of the mean is rounding
+GUESS_ROWS = 256  # rows from which numbers near the columns are guessed
+FAR = 1e4  # a mean this many variances away takes the guess's place
+NATIVE_COLUMNS = 5  # up to this width one compiled aggregate holds all sums
 SCHEMA = "var1 string, var2 string, correlation double, abs_correlation double"
 
 Pairs = dict[tuple[str, str], float | None]
 
 
-def _means(values: DataFrame) -> np.ndarray:
-    """Column means over the filled cells, from one job of sliced aggregates."""
-    cells = [F.struct(F.lit(i).alias("i"), F.avg(c).alias("mean")) for i, c in enumerate(values.columns)]
-    found = {r["i"]: r["mean"] for r in sliced_aggregate(values, cells).collect()}
-    return np.array([found[i] or 0.0 for i in range(len(cells))])
+def _first_guess(values: DataFrame) -> np.ndarray:
+    """Numbers near the columns: the means of a few rows. They keep the sums small and don't change them otherwise."""
+    rows = values.limit(GUESS_ROWS).collect()
+    filled = [[x for x in column if x is not None and math.isfinite(x)] for column in zip(*rows, strict=True)] or [[]] * len(values.columns)
+    return np.array([sum(x) / len(x) if x else 0.0 for x in filled])
 
 
-def _products(means: np.ndarray):
-    """Sums over the rows of a task, for each column a and all columns b: of filled pairs, and with a less its mean, of a, a*a and a*b."""
+def _native_products(values: DataFrame, shift: np.ndarray) -> np.ndarray:
+    """The sums of ``_products`` of few columns, from one aggregate."""
+    names = values.columns
+    x = [F.col(c) - F.lit(float(m)) for c, m in zip(names, shift, strict=True)]
+    places = [(a, b) for a in range(len(names)) for b in range(len(names))]
+    sums = []
+    for a, b in places:
+        mine = x[a] if a == b else F.when(F.col(names[b]).isNotNull(), x[a])
+        sums += [F.count(mine), F.sum(mine), F.sum(mine * mine), *([F.sum(x[a] * x[b])] if a < b else [])]
+    row = iter(values.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first())
+    total = np.zeros((4, len(names), len(names)))
+    for a, b in places:
+        total[:3, a, b] = [next(row) or 0.0 for _ in range(3)]
+        if a < b:
+            total[3, a, b] = total[3, b, a] = next(row) or 0.0
+    return total
+
+
+def _products(shift: np.ndarray):
+    """Sums over the rows of a task, for each column a and all columns b: of filled pairs, and with a less its shift, of a, a*a and a*b."""
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = len(means)
+        width = len(shift)
         sums = np.zeros((4, width, width))
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 part = batch.slice(at, 8192)
                 raw = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in part.columns])
                 filled = ~np.isnan(raw)
-                x = np.where(filled, raw - means, 0.0)
+                x = np.where(filled, raw - shift, 0.0)
                 mask = filled.astype(float)
                 for total, left, right in zip(sums, (mask, x, x * x, x), (mask, mask, mask, x), strict=True):
                     total += left.T @ right
@@ -53,29 +70,44 @@ def _products(means: np.ndarray):
     return products
 
 
+def _sums(values: DataFrame, shift: np.ndarray) -> np.ndarray:
+    width = len(shift)
+    if width <= NATIVE_COLUMNS:
+        return _native_products(values, shift)
+    sums = values.mapInArrow(_products(shift), "a int, n array<double>, s array<double>, q array<double>, p array<double>")
+    cells = sums.select("a", F.posexplode(F.arrays_zip("n", "s", "q", "p")).alias("b", "t"))
+    total = np.zeros((4, width, width))
+    for r in cells.groupBy("a", "b").agg(*[F.sum(f"t.{k}").alias(k) for k in "nsqp"]).collect():  # columns squared
+        total[:, r["a"], r["b"]] = r["n"], r["s"], r["q"], r["p"]
+    return total
+
+
 def pearson_values(df: DataFrame, inputs: dict[str, Column]) -> Pairs:
     """Pairwise-complete Pearson coefficients; ``None`` where a column does not vary.
 
-    One formula at every width: after the column means, one pass adds up the products of all pairs, task by task, over
-    the rows that both columns fill. Only matrices of the columns' number leave a task.
+    One formula at every width: a pass adds up the products of all pairs, less numbers near the columns, over the rows
+    that both columns fill. Where a number proves far from its column, the column's mean takes its place and the pass is
+    repeated. Only matrices of the columns' number leave a task.
     """
     names = list(inputs)
-    pairs = list(combinations(names, 2))
-    if not pairs:
+    if len(names) < 2:
         return {}
     values = df.select(*[inputs[c].cast("double").alias(f"x{i}") for i, c in enumerate(names)])
-    means = _means(values)
-    sums = values.mapInArrow(_products(means), "a int, n array<double>, s array<double>, q array<double>, p array<double>")
-    cells = sums.select("a", F.posexplode(F.arrays_zip("n", "s", "q", "p")).alias("b", "t"))
-    total = np.zeros((4, len(names), len(names)))
-    for r in cells.groupBy("a", "b").agg(*[F.sum(f"t.{k}").alias(k) for k in "nsqp"]).collect():  # columns squared
-        total[:, r["a"], r["b"]] = r["n"], r["s"], r["q"], r["p"]
-    n, s, q, p = total
+    shift = _first_guess(values)
+    for _ in range(3):
+        n, s, q, p = _sums(values, shift)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            off = s / n
+            variance = q / n - off**2
+            own, spread = np.diag(off), np.diag(variance)
+            far = np.isfinite(own) & (own**2 > FAR * np.maximum(spread, 0)) & (np.abs(own) > CONSTANT * np.abs(shift))
+        if not far.any():
+            break
+        shift = np.where(far, shift + own, shift)
     with np.errstate(divide="ignore", invalid="ignore"):
-        shift = s / n
-        deviation = np.sqrt(np.maximum(q / n - shift**2, 0))
-        varies = deviation > CONSTANT * np.abs(means[:, None] + shift)
-        ratio = (p / n - shift * shift.T) / (deviation * deviation.T)
+        deviation = np.sqrt(np.maximum(variance, 0))
+        varies = deviation > CONSTANT * np.abs(shift[:, None] + off)
+        ratio = (p / n - off * off.T) / (deviation * deviation.T)
     out: Pairs = {}
     for (i, a), (j, b) in combinations(enumerate(names), 2):
         known = n[i, j] > 0 and varies[i, j] and varies[j, i] and np.isfinite(ratio[i, j])
@@ -83,84 +115,13 @@ def pearson_values(df: DataFrame, inputs: dict[str, Column]) -> Pairs:
     return out
 
 
-@dataclass
-class RankTables:
-    """Staged (id, value, n, rank) of several inputs, with each input's row count."""
-
-    ranks: DataFrame
-    sizes: dict[int, int]
-
-    @classmethod
-    def of(cls, df: DataFrame, inputs: list[Column]) -> RankTables:
-        """Rank the distinct values of all inputs together, missing cells apart."""
-        freq = value_counts_by_id(df, inputs).where("value IS NOT NULL")
-        ranks = stage_table(average_ranks(freq, "value", "n", ["id"]))
-        sizes = ranks.groupBy("id").agg(F.sum("n").alias("n"))
-        return cls(ranks, {r["id"]: r["n"] for r in sizes.collect()})
-
-    def attach(self, rows: DataFrame, name: str, i: int) -> DataFrame:
-        """Replace column ``name`` by its ranks."""
-        table = self.ranks.where(F.col("id") == i).select(
-            F.col("value").alias("_value"), F.col("n").alias("_weight"), F.col("rank").alias("_rank")
-        )
-        joined = attach(rows.withColumnRenamed(name, "_value"), table, ["_value"], "_weight", self.sizes.get(i, 0))
-        return joined.drop("_value", "_weight").withColumnRenamed("_rank", name)
-
-
-def ranked_rows(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace double columns without missing values by their average ranks."""
-    rows = df.select(*[col(c) for c in columns])
-    tables = RankTables.of(rows, [col(c) for c in columns])
-    for i, c in enumerate(columns):
-        rows = tables.attach(rows, c, i)
-    return rows.select(*[col(c) for c in columns])
-
-
-def spearman_values(df: DataFrame, columns: list[str]) -> Pairs:
-    """Spearman coefficients; pairs with missing cells are ranked on their common rows.
-
-    Columns without missing cells are ranked once, all other pairs together, each on its own rows.
-    """
-    plain = df.select(*[as_double(df, c).alias(c) for c in columns])
-    cells = [F.struct(F.lit(c).alias("column"), (F.count(col(c)) == F.count(F.lit(1))).alias("full")) for c in columns]
-    full = [r["column"] for r in sliced_aggregate(plain, cells).collect() if r["full"]]
-    full = [c for c in columns if c in full]
-    out: Pairs = {}
-    if len(full) > 1:
-        out.update(pearson_values(ranked_rows(plain, full), {c: col(c) for c in full}))
-    gaps = [pair for pair in combinations(columns, 2) if pair not in out]
-    if gaps:
-        out.update(_gap_values(plain, gaps))
-    return {pair: out[pair] for pair in combinations(columns, 2)}
-
-
-def _gap_values(plain: DataFrame, pairs: list[tuple[str, str]]) -> Pairs:
-    """Spearman coefficients of pairs on their common rows, all in the same few jobs.
-
-    Equal pairs of values are counted together first; their counts then stand for the rows: they give both ranks
-    (a side's ranks from its own counts) and weigh the products.
-    """
-    cells = [F.struct(F.lit(j).alias("id"), col(a).alias("a"), col(b).alias("b")) for j, (a, b) in enumerate(pairs)]
-    both = plain.select(F.inline(F.array(*cells))).na.drop().groupBy("id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    both = stage_table(both)
-    ranked = both
-    for side in ("a", "b"):
-        freq = both.groupBy("id", side).agg(F.sum("n").alias("weight"))
-        ranks = stage_table(average_ranks(freq, side, "weight", ["id"])).withColumnRenamed("rank", f"rank_{side}")
-        total = ranks.agg(F.sum("weight")).first()[0] or 0
-        ranked = attach(ranked, ranks, ["id", side], "weight", total).drop("weight")
-    middle = ranked.groupBy("id").agg(((F.sum("n") + 1) / 2).alias("middle"))
-    x, y = F.col("rank_a") - F.col("middle"), F.col("rank_b") - F.col("middle")
-    sums = ranked.join(F.broadcast(middle), "id").groupBy("id").agg(
-        F.sum(F.col("n") * x * y).alias("xy"), F.sum(F.col("n") * x * x).alias("xx"), F.sum(F.col("n") * y * y).alias("yy")
-    )
-    found = {r["id"]: r for r in sums.collect()}  # one row a pair
-    out: Pairs = {}
-    for j, pair in enumerate(pairs):
-        r = found.get(j)
-        known = r is not None and r["xx"] > 0 and r["yy"] > 0
-        out[pair] = max(-1.0, min(1.0, r["xy"] / (r["xx"] ** 0.5 * r["yy"] ** 0.5))) if known else None
-    return out
+def spearman_values(df: DataFrame, inputs: dict[str, Column]) -> Pairs:
+    """Spearman coefficients; each pair is ranked on the rows that both columns fill. ``None`` where a column does not vary."""
+    names = list(inputs)
+    if len(names) < 2:
+        return {}
+    found = rank_correlations(df, [inputs[c].cast("double") for c in names])
+    return {(a, b): None if np.isnan(found[i, j]) else float(found[i, j]) for (i, a), (j, b) in combinations(enumerate(names), 2)}
 
 
 def correlations(
@@ -175,7 +136,7 @@ def correlations(
     if method == "pearson":
         values = pearson_values(df, {c: as_double(df, c) for c in columns})
     else:
-        values = spearman_values(df, columns)
+        values = spearman_values(df, {c: as_double(df, c) for c in columns})
     rows = [(a, b, r, abs(r)) for (a, b), r in values.items() if r is not None]
     return df.sparkSession.createDataFrame(rows, SCHEMA)
 

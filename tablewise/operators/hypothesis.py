@@ -18,7 +18,7 @@ from ..functions.shapiro import shapiro_wilk
 from ..functions.staging import stage_table
 from ..functions.tails import chi2_sf, f_sf, normal_sf, t_two_sided
 from ..schema import as_double, column_roles, present, require_columns
-from .correlation import pearson_values, ranked_rows
+from .correlation import pearson_values, spearman_values
 from .describe import crosstab
 
 # Fixed values.
@@ -197,8 +197,8 @@ def correlation_test(df: DataFrame, var1: str, var2: str, method: str = "pearson
     """Coefficient and two-sided p-value on the rows where both columns are present."""
     rows = _complete(df, var1, var2)
     n = rows.count()
-    ranked = ranked_rows(rows, ["a", "b"]) if method == "spearman" and n else rows
-    r = pearson_values(ranked, {"a": F.col("a"), "b": F.col("b")})[("a", "b")]
+    values = pearson_values if method == "pearson" else spearman_values
+    r = values(rows, {"a": F.col("a"), "b": F.col("b")})[("a", "b")]
     result = TestResult(var1, var2, PEARSON if method == "pearson" else SPEARMAN)
     result.statistic = float("nan") if r is None else r
     result.p_value = _correlation_p(r, n)

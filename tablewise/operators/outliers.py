@@ -21,6 +21,7 @@ OUTLIER_SCHEMA = (
 @dataclass
 class Bounds:
     q1: float
+    median: float
     q3: float
     lower: float
     upper: float
@@ -49,12 +50,12 @@ def usable_columns(df: DataFrame, columns: list[str]) -> list[str]:
 def iqr_bounds(df: DataFrame, columns: list[str]) -> dict[str, Bounds]:
     """Fences of every column that has values, from exact quartiles of the whole column."""
     columns = usable_columns(df, columns)
-    quartiles = exact_quantiles(df, {c: as_double(df, c) for c in columns}, [0.25, 0.75])
+    quartiles = exact_quantiles(df, {c: as_double(df, c) for c in columns}, [0.25, 0.5, 0.75])
     bounds = {}
-    for c, (q1, q3) in quartiles.items():
+    for c, (q1, median, q3) in quartiles.items():
         if q1 is not None:
             spread = FENCE * (q3 - q1)
-            bounds[c] = Bounds(q1, q3, q1 - spread, q3 + spread)
+            bounds[c] = Bounds(q1, median, q3, q1 - spread, q3 + spread)
     return bounds
 
 

@@ -117,24 +117,37 @@ def test_quantiles_small_and_empty(spark):
     assert quantiles.exact_quantiles(df.limit(0), ["x"], [0.5]) == {"x": [None]}
 
 
-def test_quantiles_bracketed_search(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "SMALL", 10)
+@pytest.mark.parametrize(("first", "cells"), [(16, 1 << 21), (3, 16), (1, 2)])
+def test_quantiles_by_rounds(spark, monkeypatch, first, cells):
+    """Also with so few counters that every bit takes a round."""
+    monkeypatch.setattr(quantiles, "FIRST_BITS", first)
+    monkeypatch.setattr(quantiles, "CELLS", cells)
     rng = np.random.default_rng(3)
-    _check_quantiles(spark, list(rng.lognormal(size=20_000)))
-    _check_quantiles(spark, [float(v) for v in rng.integers(0, 5, 20_000)])
+    n = 20_000 if first == 16 else 300
+    probs = PROBS if first > 1 else [0.3]
+    _check_quantiles(spark, list(rng.lognormal(size=n)), probs)
+    _check_quantiles(spark, [float(v) for v in rng.integers(-2, 3, n)], probs)
     # A third of the rows share one value.
-    _check_quantiles(spark, list(rng.normal(size=10_000)) + [0.25] * 5_000)
-
-
-@pytest.mark.parametrize("eps", [-0.002, 0.0, 0.05])
-def test_quantiles_survive_bad_brackets(spark, monkeypatch, eps):
-    monkeypatch.setattr(quantiles, "SMALL", 10)
-    monkeypatch.setattr(quantiles, "SKETCH_EPS", eps)
-    monkeypatch.setattr(quantiles, "MAX_CANDIDATES", 300)
-    rng = np.random.default_rng(4)
-    _check_quantiles(spark, list(rng.normal(size=4_000)), [0.1, 0.5])
-    two = [1.0] * 2_000 + [2.0] * 2_000 + list(1.0 + rng.random(400))
-    _check_quantiles(spark, two, [0.3, 0.5])
+    _check_quantiles(spark, list(rng.normal(size=n)) + [0.25] * (n // 2), probs)
+    _check_quantiles(spark, [1.0] * n + [2.0] * n + list(1.0 + rng.random(n // 10)), probs)
+    _check_quantiles(spark, [5e-324, -5e-324, 0.0, -0.0, 1.7e308, -1.7e308, 1e-300] * 9, probs)
+
+
+def test_many_columns_share_the_rounds(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({f"c{i}": rng.normal(size=500) * 10.0**i for i in range(-14, 14)})
+    pdf.loc[::3, "c0"] = np.nan
+    df = spark.createDataFrame(pdf)
+    got = quantiles.exact_quantiles(df, list(pdf.columns), PROBS)
+    for c in pdf.columns:
+        assert got[c] == pytest.approx(list(pdf[c].quantile(PROBS)), rel=1e-12)
+
+
+def test_whole_numbers_keep_the_order_of_doubles():
+    values = np.array([-np.inf, -1.7e308, -1.0, -5e-324, -0.0, 0.0, 5e-324, 1.0, 1.7e308, np.inf])
+    whole = quantiles.to_whole(values)
+    assert (np.diff(whole) >= 0).all() and whole[4] == whole[5] and len(set(whole)) == 9
+    assert [quantiles.to_double(int(w)) for w in whole] == list(values)
 
 
 def test_average_ranks_equal_pandas(spark):

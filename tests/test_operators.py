@@ -23,6 +23,7 @@ from tablewise.operators import (
     series,
     tighten,
 )
+from tablewise.functions import rank_scatter
 from tablewise.schema import column_roles, normalise_missing
 from tablewise.sources import load_table, write_csv
 
@@ -200,10 +201,54 @@ def test_wide_tables_use_one_matrix(spark):
         assert r["correlation"] == pytest.approx(want.loc[r["var1"], r["var2"]], abs=1e-10)
 
 
-def test_ranks_are_never_sorted_in_one_task(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_tax", "l_discount")
-    plan = correlation.ranked_rows(df, ["l_tax", "l_discount"])._jdf.queryExecution().toString()
-    assert "BroadcastHashJoin" in plan and "SinglePartition" not in plan
+def test_ranks_take_two_shuffles_at_any_width(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_tax", "l_discount", "l_quantity", "l_partkey")
+    cells = rank_scatter._cells(df, []).repartitionByRange("col", "value", "row")
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") == 1 and "SinglePartition" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize(("rows", "gaps"), [(256, 0), (256, 3), (1 << 16, 70)])
+def test_rank_correlations_of_ties_over_many_tasks(spark, monkeypatch, rows, gaps):
+    """Two values fill most of the cells, so that their ranks are settled over several tasks; small chunks; more gaps than bits in a mask."""
+    monkeypatch.setattr(rank_scatter, "CHUNK_ROWS", rows)
+    rng = np.random.default_rng(4)
+    width, n = max(5, gaps), 900
+    pdf = pd.DataFrame({f"c{i}": rng.choice([0.0, -0.0, 1.0, *rng.normal(size=9)], n, p=[0.3, 0.3, 0.31, *[0.01] * 9]) for i in range(width)})
+    for i in range(gaps):
+        pdf.loc[rng.random(n) < 0.2, f"c{i}"] = np.nan
+    pdf["c4"] = 5.0
+    data = [tuple(None if v != v else float(v) for v in r) for r in pdf.itertuples(index=False)]
+    df = spark.createDataFrame(data, ", ".join(f"c{i} double" for i in range(width))).repartition(7)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    got = {(r["var1"], r["var2"]): r["correlation"] for r in correlation.correlations(df, "spearman").collect()}
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = (pdf + 0.0).corr("spearman")
+    kept = [c for c in pdf.columns if c != "c4"]
+    assert set(got) == {(a, b) for i, a in enumerate(kept) for b in kept[i + 1 :]}
+    assert all(got[k] == pytest.approx(want.loc[k], abs=1e-12) for k in got)
+
+
+def test_rank_correlations_of_nothing(spark):
+    empty = spark.createDataFrame([], "a double, b double")
+    assert correlation.correlations(empty, "spearman").collect() == []
+    none = spark.createDataFrame([(None, 1.0), (None, 2.0), (3.0, None)], "a double, b double")
+    assert correlation.correlations(none, "spearman").collect() == [] and correlation.correlations(none).collect() == []
+
+
+@pytest.mark.parametrize("width", [3, 8])
+def test_pearson_far_from_the_first_rows(spark, width):
+    """The first rows tell nothing about the others, which are large beside their spread."""
+    rng = np.random.default_rng(2)
+    rows = [tuple(float(x) for x in rng.normal(0, 1, width)) for _ in range(300)]
+    x = rng.normal(0, 1, (4000, 1))
+    rows += [tuple(float(v) for v in r) for r in 1e8 + x + rng.normal(0, 0.5, (4000, width))]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(width))).coalesce(1)
+    late = df.where("c0 > 1e7")
+    for part in (df, late):
+        want = np.corrcoef(np.array([tuple(r) for r in part.collect()]).T)
+        for r in correlation.correlations(part).collect():
+            assert r["correlation"] == pytest.approx(want[int(r["var1"][1]), int(r["var2"][1])], abs=1e-9)
 
 
 # --- hypothesis tests ----------------------------------------------------------------------------
@@ -546,15 +591,6 @@ def test_pearson_is_the_same_at_every_width(spark, width):
     assert all(ranks[a, b] == pytest.approx(want.loc[a, b], abs=1e-9) for a, b in ranks)
 
 
-def test_rank_joins_scan_their_source_once(spark):
-    """Five columns: five joins in a row, not a tree of unions."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    df = spark.createDataFrame([tuple(float((i * p) % 11) for p in (1, 2, 3, 5, 7)) for i in range(200)], "a double, b double, c double, d double, e double")
-    plan = correlation.ranked_rows(df, list("abcde"))._jdf.queryExecution().optimizedPlan().toString()
-    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "Union" not in plan and plan.count("Join") == 10
-
-
 def test_rows_with_nan_and_null_are_duplicates(spark):
     rows = [(1, float("nan")), (1, None), (1, None), (2, float("nan")), (3, 1.0)]
     df = spark.createDataFrame(rows, "k int, x double")
