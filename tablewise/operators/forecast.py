@@ -6,8 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
@@ -21,6 +20,7 @@ N_TREES = 100
 Z_95 = 1.96
 SEED = 42
 FOREST_DEPTH = 30  # the deepest tree Spark grows
+FOREST_BINS = 128  # thresholds tried for a feature
 LAGS = ["lag_1", "lag_2", "lag_3"]
 
 
@@ -84,112 +84,39 @@ def _linear(lagged: DataFrame, keys: list[str], horizon: int) -> tuple[DataFrame
     return fitted, last.join(beta, keys).select(*[col(k) for k in keys], made.alias("made"))
 
 
-def _forest_single(lagged: DataFrame, horizon: int) -> tuple[DataFrame, DataFrame]:
-    """One series: a Spark forest; the recursion predicts ``horizon`` single vectors."""
-    spark = lagged.sparkSession
-    names = [*LAGS, "rolling_mean_3"]
-    data = VectorAssembler(inputCols=names, outputCol="_x").transform(lagged)
+def _forest(lagged: DataFrame, keys: list[str], horizon: int) -> tuple[DataFrame, DataFrame]:
+    """Fitted rows, and one row per series with its array of predictions, from one Spark forest of all series.
+
+    Each series is brought to mean 0 and deviation 1, and its place among the sorted keys is a feature, so that trees
+    part the series where these differ. A single series is the case of one place.
+    """
+    named = [col(k) for k in keys]
+    scales = lagged.groupBy(*named).agg(F.avg("y").alias("_mean"), F.stddev_pop("y").alias("_sd"), F.max_by(F.array("y", "lag_1", "lag_2"), "position").alias("_recent"))
+    placed = scales.orderBy(*named).withColumn("_place", F.monotonically_increasing_id().cast("double"))
+    series = stage_table(placed.withColumn("_sd", F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)))
+    scaled = lambda x: (x - F.col("_mean")) / F.col("_sd")
+    features = lambda recent: array_to_vector(F.array(*recent, sum(recent[1:], recent[0]) / 3.0, F.col("_place")))
+    rows = lagged.join(series.drop("_recent"), keys)
+    data = rows.select("*", scaled(F.col("y")).alias("_y"), features([scaled(F.col(c)) for c in LAGS]).alias("_x"))
     forest = RandomForestRegressor(
         featuresCol="_x",
-        labelCol="y",
-        predictionCol="fitted",
+        labelCol="_y",
+        predictionCol="_fit",
         numTrees=N_TREES,
         maxDepth=FOREST_DEPTH,
+        maxBins=FOREST_BINS,
         featureSubsetStrategy="all",
         seed=SEED,
     ).fit(data)
-    fitted = forest.transform(data).drop("_x")
-    row = lagged.orderBy(F.desc("position")).first()
-    recent, made = [row["y"], row["lag_1"], row["lag_2"]], []
+    back = lambda x: x * F.col("_sd") + F.col("_mean")
+    fitted = forest.transform(data).select(*lagged.columns, back(F.col("_fit")).alias("fitted"))
+    state = series.select("*", F.array(*[scaled(F.col("_recent")[i]) for i in range(3)]).alias("_r"), F.array().cast("array<double>").alias("made"))
     for _ in range(horizon):
-        y = float(forest.predict(Vectors.dense([*recent, sum(recent) / 3.0])))
-        made.append(y)
-        recent = [y, *recent[:2]]
-    return fitted, spark.createDataFrame([(0, made)], "_series int, made array<double>")
-
-
-def _tree_predict(tree: list, x: np.ndarray) -> np.ndarray:
-    out = np.empty(len(x))
-    stack = [(0, np.arange(len(x)))]
-    while stack:
-        node, rows = stack.pop()
-        feature, threshold, left, right, value = tree[node]
-        if feature < 0:
-            out[rows] = value
-            continue
-        low = x[rows, feature] <= threshold
-        stack += [(left, rows[low]), (right, rows[~low])]
-    return out
-
-
-def _tree_fit(x: np.ndarray, y: np.ndarray) -> list:
-    """Regression tree grown until leaves are pure; splits minimise the squared error."""
-    tree: list = [None]
-    stack = [(0, np.arange(len(y)))]
-    while stack:
-        node, rows = stack.pop()
-        target = y[rows]
-        best = None
-        if len(rows) > 1 and target.min() < target.max():
-            for f in range(x.shape[1]):
-                order = np.argsort(x[rows, f], kind="stable")
-                v, t = x[rows[order], f], target[order]
-                left = np.cumsum(t)[:-1]
-                k = np.arange(1, len(t))
-                gain = left**2 / k + (t.sum() - left) ** 2 / (len(t) - k)
-                gain[v[1:] == v[:-1]] = -np.inf
-                at = int(np.argmax(gain))
-                if gain[at] > -np.inf and (best is None or gain[at] > best[0]):
-                    best = (gain[at], f, (v[at] + v[at + 1]) / 2.0)
-        if best is None:
-            tree[node] = (-1, 0.0, -1, -1, float(target.mean()))
-            continue
-        _, f, threshold = best
-        low = x[rows, f] <= threshold
-        tree[node] = (f, threshold, len(tree), len(tree) + 1, 0.0)
-        stack += [(len(tree), rows[low]), (len(tree) + 1, rows[~low])]
-        tree += [None, None]
-    return tree
-
-
-def _forest_keyed(lagged: DataFrame, keys: list[str], horizon: int) -> tuple[DataFrame, DataFrame]:
-    """Many series: each series' bins form one group with its own bootstrap forest."""
-    key_schema = ", ".join(f"`{k}` {lagged.schema[k].dataType.simpleString()}" for k in keys)
-    names = [*LAGS, "rolling_mean_3"]
-
-    def grow(members: pd.DataFrame) -> pd.DataFrame:
-        members = members.sort_values("position")
-        x, y = members[names].to_numpy(), members["y"].to_numpy()
-        rng = np.random.default_rng(SEED)
-        trees = []
-        for _ in range(N_TREES):
-            pick = rng.integers(0, len(y), len(y))
-            trees.append(_tree_fit(x[pick], y[pick]))
-        fitted = np.mean([_tree_predict(t, x) for t in trees], axis=0)
-        recent, made = [y[-1], x[-1, 0], x[-1, 1]], []
-        for _ in range(horizon):
-            point = np.array([[*recent, np.mean(recent)]])
-            step = float(np.mean([_tree_predict(t, point)[0] for t in trees]))
-            made.append(step)
-            recent = [step, *recent[:2]]
-        first = members.iloc[[0]][keys]
-        return first.assign(
-            positions=[members["position"].tolist()], fits=[fitted.tolist()], made=[made]
-        )
-
-    grown = stage_table(
-        lagged.select(*[col(k) for k in keys], "position", "y", *names)
-        .groupBy(*[col(k) for k in keys])
-        .applyInPandas(
-            grow, f"{key_schema}, positions array<bigint>, fits array<double>, made array<double>"
-        )
-    )
-    pairs = grown.select(
-        *[col(k) for k in keys], F.explode(F.arrays_zip("positions", "fits")).alias("z")
-    ).select(
-        *[col(k) for k in keys], F.col("z.positions").alias("position"), F.col("z.fits").alias("fitted")
-    )
-    return lagged.join(pairs, [*keys, "position"]), grown.select(*[col(k) for k in keys], "made")
+        r = F.col("_r")
+        state = forest.transform(state.withColumn("_x", features([r[0], r[1], r[2]])))
+        made = F.concat("made", F.array(back(F.col("_fit")))).alias("made")
+        state = state.select(*series.columns, F.array(F.col("_fit"), r[0], r[1]).alias("_r"), made)
+    return fitted, state.select(*named, "made")
 
 
 def fit_metrics(fitted: DataFrame, keys: list[str]) -> DataFrame:
@@ -230,9 +157,7 @@ def forecast_future(
         raise ValueError(f"A forecast needs at least {MIN_SERIES} points per series.")
     lagged = stage_table(lag_features(series, keys))
     if model_type == "rf":
-        fitted, made = (
-            _forest_keyed(lagged, keys, horizon) if user_keys else _forest_single(lagged, horizon)
-        )
+        fitted, made = _forest(lagged, keys, horizon)
     else:
         fitted, made = _linear(lagged, keys, horizon)
     # The model is fitted once; history, intervals and metrics all read these small tables.

@@ -65,20 +65,40 @@ for _freq, _name in (("D", "daily"), ("W", "weekly"), ("M", "monthly")):
         query(f"resample_{_name}_{_agg}", _resample_sql(_freq, _agg))(_resample(_freq, _agg))
 
 
-_PURCHASES = "p AS (SELECT * FROM events_dirty WHERE event_type = 'purchase')"
+def _by_type_sql(agg: str) -> str:
+    """CTEs ending in filled(event_type, ts, pos, y): a daily series of every event type."""
+    made, empty = ("sum", "coalesce(y, 0.0)") if agg == "sum" else ("avg", "y")
+    return (
+        f"obs AS (SELECT event_type, CAST(ts AS DATE) AS d, {made}(value) AS y FROM events_dirty WHERE value IS NOT NULL GROUP BY 1, 2), "
+        "span AS (SELECT event_type, min(d) AS lo, max(d) AS hi FROM obs GROUP BY 1), "
+        "cal AS (SELECT event_type, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM span), "
+        f"grid AS (SELECT cal.event_type, cal.d, row_number() OVER (PARTITION BY cal.event_type ORDER BY cal.d) - 1 AS pos, {empty} AS y "
+        "FROM cal LEFT JOIN obs o ON o.event_type = cal.event_type AND o.d = cal.d), "
+        "ends AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN pos END IGNORE NULLS) OVER w AS p0, last_value(y IGNORE NULLS) OVER w AS y0, "
+        "first_value(CASE WHEN y IS NOT NULL THEN pos END IGNORE NULLS) OVER v AS p1, first_value(y IGNORE NULLS) OVER v AS y1 FROM grid "
+        "WINDOW w AS (PARTITION BY event_type ORDER BY pos), "
+        "v AS (PARTITION BY event_type ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), "
+        "filled AS (SELECT event_type, d AS ts, pos, coalesce(y, y0 + (y1 - y0) * (pos - p0) * 1.0 / nullif(p1 - p0, 0)) AS y FROM ends)"
+    )
+
+
+_BY_TYPE = _by_type_sql("mean")
+
 
+def _all_types(agg):
+    def run(spark, sf):
+        return series.resample_series(normalise_missing(events_dirty(spark, sf)), "ts", "value", "D", agg, ["event_type"])
 
-def _purchases(spark, sf):
-    return normalise_missing(events_dirty(spark, sf)).where("event_type = 'purchase'")
+    return run
 
 
 @query(
     "resample_gaps",
-    f"WITH {EVENTS_DIRTY}, {_PURCHASES}, {grid_sql('p', 'ts', 'value', 'D', 'mean')} "
-    f"SELECT ts, pos AS position, {r('y')} AS y FROM grid",
+    f"WITH {EVENTS_DIRTY}, {_BY_TYPE} SELECT event_type, d AS ts, pos AS position, {r('y')} AS y FROM grid",
 )
 def resample_gaps(spark, sf):
-    return rounded(series.resample_grid(_purchases(spark, sf), "ts", "value", "D", "mean").drop("n_points"))
+    df = normalise_missing(events_dirty(spark, sf))
+    return rounded(series.resample_grid(df, "ts", "value", "D", "mean", ["event_type"]).drop("n_points"))
 
 
 @query(
@@ -91,22 +111,14 @@ def resample_text_target(spark, sf):
     return rounded(series.resample_series(df, "o_orderdate", "level", "M", "mean"))
 
 
-@query(
-    "gap_fill",
-    f"WITH {EVENTS_DIRTY}, {_PURCHASES}, {grid_sql('p', 'ts', 'value', 'D', 'mean')}, {_FILLED} "
-    f"SELECT ts, pos AS position, {r('y')} AS y FROM filled",
-)
+@query("gap_fill", f"WITH {EVENTS_DIRTY}, {_BY_TYPE} SELECT event_type, ts, pos AS position, {r('y')} AS y FROM filled")
 def gap_fill(spark, sf):
-    return rounded(series.resample_series(_purchases(spark, sf), "ts", "value", "D", "mean"))
+    return rounded(_all_types("mean")(spark, sf))
 
 
-@query(
-    "gap_sum_zero",
-    f"WITH {EVENTS_DIRTY}, {_PURCHASES}, {grid_sql('p', 'ts', 'value', 'D', 'sum')}, {_FILLED} "
-    f"SELECT ts, pos AS position, {r('y', 4)} AS y FROM filled",
-)
+@query("gap_sum_zero", f"WITH {EVENTS_DIRTY}, {_by_type_sql('sum')} SELECT event_type, ts, pos AS position, {r('y', 4)} AS y FROM filled")
 def gap_sum_zero(spark, sf):
-    return rounded(series.resample_series(_purchases(spark, sf), "ts", "value", "D", "sum"), 4)
+    return rounded(_all_types("sum")(spark, sf), 4)
 
 
 @query(
@@ -118,28 +130,12 @@ def resample_text_dates(spark, sf):
     return rounded(series.resample_series(events_dirty(spark, sf), "ts_text", "value", "W", "mean"))
 
 
-_BY_TYPE = (
-    "obs AS (SELECT event_type, CAST(ts AS DATE) AS d, avg(value) AS y FROM events_dirty WHERE value IS NOT NULL GROUP BY 1, 2), "
-    "span AS (SELECT event_type, min(d) AS lo, max(d) AS hi FROM obs GROUP BY 1), "
-    "cal AS (SELECT event_type, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM span), "
-    "grid AS (SELECT cal.event_type, cal.d, row_number() OVER (PARTITION BY cal.event_type ORDER BY cal.d) - 1 AS pos, y "
-    "FROM cal LEFT JOIN obs o ON o.event_type = cal.event_type AND o.d = cal.d), "
-    "ends AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN pos END IGNORE NULLS) OVER w AS p0, last_value(y IGNORE NULLS) OVER w AS y0, "
-    "first_value(CASE WHEN y IS NOT NULL THEN pos END IGNORE NULLS) OVER v AS p1, first_value(y IGNORE NULLS) OVER v AS y1 FROM grid "
-    "WINDOW w AS (PARTITION BY event_type ORDER BY pos), "
-    "v AS (PARTITION BY event_type ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), "
-    "filled AS (SELECT event_type, d AS ts, pos, coalesce(y, y0 + (y1 - y0) * (pos - p0) * 1.0 / nullif(p1 - p0, 0)) AS y FROM ends)"
-)
-
-
 @query(
     "resample_by_type",
     f"WITH {EVENTS_DIRTY}, {_BY_TYPE} SELECT event_type, ts, pos AS position, {r('y')} AS y FROM filled",
 )
 def resample_by_type(spark, sf):
-    return rounded(
-        series.resample_series(events_dirty(spark, sf), "ts", "value", "D", "mean", ["event_type"])
-    )
+    return rounded(_all_types("mean")(spark, sf))
 
 
 _LAGS = (
@@ -241,11 +237,33 @@ def ar_linear_metrics(spark, sf):
     )
 
 
-@query("ar_linear_by_type")
+# The same least squares and recursion for every event type.
+_AR_KEYED = (
+    f"{_BY_TYPE}, {_LAGS}, tr AS (SELECT * FROM lags WHERE l3 IS NOT NULL), "
+    "mo AS (SELECT event_type, avg(y) AS my, avg(l1) AS m1, avg(l2) AS m2, avg(l3) AS m3, "
+    + ", ".join(f"covar_pop(l{i}, l{j}) AS c{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j)
+    + ", covar_pop(l1, y) AS d1, covar_pop(l2, y) AS d2, covar_pop(l3, y) AS d3 FROM tr GROUP BY event_type), "
+    f"det AS (SELECT *, {_DET.format('c')} AS dt FROM mo), "
+    "be AS (SELECT *, (d1 * (c22 * c33 - c23 * c23) - c12 * (d2 * c33 - c23 * d3) + c13 * (d2 * c23 - c22 * d3)) / dt AS b1, "
+    "(c11 * (d2 * c33 - c23 * d3) - d1 * (c12 * c33 - c23 * c13) + c13 * (c12 * d3 - d2 * c13)) / dt AS b2, "
+    "(c11 * (c22 * d3 - d2 * c23) - c12 * (c12 * d3 - d2 * c13) + d1 * (c12 * c23 - c22 * c13)) / dt AS b3 FROM det), "
+    "co AS (SELECT event_type, my - b1 * m1 - b2 * m2 - b3 * m3 AS b0, b1, b2, b3 FROM be), "
+    "q AS (SELECT event_type, stddev_pop(y - (b0 + b1 * l1 + b2 * l2 + b3 * l3)) AS sd FROM tr JOIN co USING (event_type) GROUP BY event_type), "
+    "la AS (SELECT event_type, ts, y, l1, l2 FROM lags QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY pos DESC) = 1), "
+    "rec AS (SELECT event_type, 0 AS h, y AS a, l1 AS b, l2 AS c FROM la UNION ALL "
+    "SELECT event_type, h + 1, b0 + b1 * a + b2 * b + b3 * c, a, b FROM rec JOIN co USING (event_type) WHERE h < 12)"
+)
+
+
+@query(
+    "ar_linear_by_type",
+    f"WITH RECURSIVE {EVENTS_DIRTY}, {_AR_KEYED} SELECT event_type, CAST(la.ts + to_days(CAST(h AS INTEGER)) AS DATE) AS ts, {r('a')} AS forecast, "
+    f"{r('a - 1.96 * sd * sqrt(h)')} AS lower_bound, {r('a + 1.96 * sd * sqrt(h)')} AS upper_bound "
+    "FROM rec JOIN q USING (event_type) JOIN la USING (event_type) WHERE h > 0",
+)
 def ar_linear_by_type(spark, sf):
     keys = ["event_type"]
-    s = series.resample_series(events_dirty(spark, sf), "ts", "value", "D", "mean", keys)
-    return forecast.forecast_future(s, 12, "lr", "D", keys).forecast
+    return rounded(forecast.forecast_future(_all_types("mean")(spark, sf), 12, "lr", "D", keys).forecast)
 
 
 @query("ar_forest_forecast")
@@ -255,9 +273,38 @@ def ar_forest_forecast(spark, sf):
 
 @query("ar_forest_by_type")
 def ar_forest_by_type(spark, sf):
-    keys = ["event_type"]
-    s = series.resample_series(events_dirty(spark, sf), "ts", "value", "D", "mean", keys)
-    return forecast.forecast_future(s, 12, "rf", "D", keys).forecast
+    return forecast.forecast_future(_all_types("mean")(spark, sf), 12, "rf", "D", ["event_type"]).forecast
+
+
+# Steps that the lags tell exactly: two months high, two months low; and three levels in turn, far above.
+_MONTH = "(year({d}) * 12 + month({d}))"
+_STEPS = "CASE WHEN o_custkey % 2 = 0 THEN CASE WHEN {m} % 4 < 2 THEN 10 ELSE 30 END ELSE 1000 + 100 * ({m} % 3) END"
+_STEPS_AT = {
+    "even": "CASE WHEN {m} % 4 < 2 THEN 10 ELSE 30 END",
+    "odd": "1000 + 100 * ({m} % 3)",
+}
+
+
+def _steps_sql(half: str) -> str:
+    month = _MONTH.format(d="ts")
+    return (
+        f"SELECT half, last_day(ts) AS ts, CAST({_STEPS_AT[half].format(m=month)} AS DOUBLE) AS forecast FROM ("
+        f"SELECT '{half}' AS half, CAST(unnest(generate_series(date_trunc('month', max(o_orderdate)) + INTERVAL 1 MONTH, "
+        f"date_trunc('month', max(o_orderdate)) + INTERVAL 12 MONTH, INTERVAL 1 MONTH)) AS DATE) AS ts FROM orders WHERE o_custkey % 2 = {int(half == 'odd')})"
+    )
+
+
+@query(
+    "ar_forest_steps",
+    f"WITH f AS ({_steps_sql('even')} UNION ALL {_steps_sql('odd')}) "
+    "SELECT half, ts, forecast, forecast AS lower_bound, forecast AS upper_bound FROM f",
+)
+def ar_forest_steps(spark, sf):
+    """A forest of two series that are known in advance: every tree must find the rule, and part the series."""
+    steps = F.expr(_STEPS.format(m=_MONTH.format(d="o_orderdate"))).cast("double")
+    df = table(spark, sf, "orders").withColumn("half", F.expr("if(o_custkey % 2 = 0, 'even', 'odd')")).withColumn("steps", steps)
+    s = series.resample_series(df, "o_orderdate", "steps", "M", "mean", ["half"])
+    return rounded(forecast.forecast_future(s, 12, "rf", "M", ["half"]).forecast)
 
 
 _DATE_OK = "count(TRY_CAST({c} AS TIMESTAMP)) * 1.0 / count({c})"
