@@ -2,10 +2,11 @@
 
 Every run of ``gram`` bytes of a text has a hash, its CRC-32. Of every window of ``window`` consecutive hashes the smallest is
 chosen, of several the rightmost, and kept with its position. So the chosen hashes depend on nothing but the bytes
-nearby, and two texts that share ``window + gram - 1`` bytes share a hash, with positions that tell where.
+nearby, and two texts that share ``window + gram - 1`` bytes share a hash, with positions that tell where. What two
+texts have in front in common is winnowed once.
 
 Hash and position are held in one whole number whose order is that of the choice: a smaller hash first, then the
-later position. The smallest numbers of all windows come from comparing ever longer runs (1, 2, 4, ... hashes). A
+later position. The smallest numbers of all windows come from comparing ever longer runs (1, 4, 16, ... hashes). A
 long text is cut into stretches of windows that are handled one after the other, so that a row's memory is that of
 a stretch and of the chosen hashes.
 """
@@ -35,22 +36,28 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _smallest(values: Column, window: int) -> Column:
-    """The smallest of every ``window`` neighbours; of all if there are fewer."""
+def _smallest(values: Column, window: int, size: int = 1) -> Column:
+    """The smallest of ``window`` values from each place on, or of those that are left, given those of ``size``."""
+    if size == window:
+        return values
+    wider = min(4 * size, window)
+    steps = dict.fromkeys(min(j * size, wider - size) for j in (1, 2, 3))
+    joined = F.transform(values, lambda v, i: F.least(v, *[F.get(values, i + d) for d in steps if d]))
+    return _let(joined, lambda x: _smallest(x, window, wider))
 
-    def joined(runs: Column, size: int) -> Column:
-        step = min(size, window - size)
-        if step == 0:
-            return runs
-        left = F.slice(runs, F.lit(1), F.size(runs) - step)
-        right = F.slice(runs, F.lit(step + 1), F.size(runs) - step)
-        return _let(F.zip_with(left, right, lambda a, b: F.least(a, b)), lambda x: joined(x, size + step))
 
-    return F.when(F.size(values) <= window, F.array(F.array_min(values))).otherwise(joined(values, 1))
+def _merged(chosen: Column) -> Column:
+    """Neighbouring windows that choose the same hash tell it once."""
+    return F.filter(chosen, lambda v, i: ~v.eqNullSafe(F.get(chosen, i - 1)))
 
 
-def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """The chosen hashes of a text, packed, in the order of their positions. A null or empty text has none.
+def windows_of(size: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+    """Windows of a text of ``size`` bytes; a short text is one window."""
+    return F.greatest(size - (gram + window - 2), F.lit(1))
+
+
+def choose(text: Column, first: Column, count: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+    """What the ``count`` windows from byte ``first`` on choose, packed, in the order of their positions. An empty text has none.
 
     A text of fewer bytes than ``gram`` is hashed whole; one of fewer hashes than ``window`` is one window.
     """
@@ -58,23 +65,28 @@ def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
         raise ValueError("runs and windows have at least one element")
 
     def stretch(data: Column, at: Column) -> Column:
-        first = at * STRETCH
-        part = F.substring(data, first + 1, F.lit(STRETCH + window + gram - 2))
+        start = first + at * STRETCH
+        n = F.least(count - at * STRETCH, F.lit(STRETCH))
+        part = F.substring(data, start + 1, n + (window + gram - 2))
 
-        def packed(piece: Column) -> Column:
-            hashed = lambda i: F.shiftleft(F.crc32(F.substring(piece, i + 1, F.lit(gram))), 31) + (LAST - first - i)
+        def packed(piece: Column, base: Column) -> Column:
+            hashed = lambda i: F.shiftleft(F.crc32(F.substring(piece, i + 1, F.lit(gram))), 31) + (base - i)
             return F.transform(F.sequence(F.lit(0), F.greatest(F.octet_length(piece) - gram, F.lit(0))), hashed)
 
-        return _let(part, lambda piece: _let(packed(piece), lambda x: F.array_distinct(_smallest(x, window))))
+        values = _let(part, lambda piece: _let(LAST - start, lambda base: packed(piece, base)))
+        return _let(values, lambda x: _let(F.slice(_smallest(x, window), F.lit(1), n), _merged))
 
     def stretches(data: Column) -> Column:
-        windows = F.greatest(F.octet_length(data) - (gram + window - 2), F.lit(1))
-        last = F.floor((windows - 1) / STRETCH).cast("int")
-        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), last), lambda at: stretch(data, at))))
+        last = F.floor((count - 1) / STRETCH).cast("int")
+        return _let(F.flatten(F.transform(F.sequence(F.lit(0), last), lambda at: stretch(data, at))), _merged)
 
-    nothing = F.array().cast("array<bigint>")
-    filled = F.when(F.octet_length(text) > 0, _let(text.cast("binary"), stretches))
-    return F.coalesce(filled, nothing)
+    filled = F.when((F.octet_length(text) > 0) & (count > 0), _let(text.cast("binary"), stretches))
+    return F.coalesce(filled, F.array().cast("array<bigint>"))
+
+
+def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+    """The chosen hashes of a text, packed, in the order of their positions. A null or empty text has none."""
+    return choose(text, F.lit(0), windows_of(F.octet_length(text), gram, window), gram, window)
 
 
 def hashes(packed: Column) -> Column:
@@ -130,8 +142,8 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id", **made:
     first of a bucket also goes to the one before it. ``docs`` is read twice and must give the same rows in the same
     partitions, as a stored table does.
     """
-    n = BUCKETS_A_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = docs.select(_key(key).alias("k")).repartitionByRange(n, "k")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = docs.select(_key(key).alias("k")).repartitionByRange(BUCKETS_A_PARTITION * partitions, "k")
     starts = keys.groupBy(F.spark_partition_id().alias("part")).agg(F.min("k").alias("k"))
     # One row for each bucket.
     bounds = starts.agg(F.array_sort(F.collect_list("k")).alias("bounds"))
@@ -142,7 +154,7 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id", **made:
     before = F.pmod(F.col("_bucket") - 1, F.size("bounds"))
     places = F.array(F.struct(F.col("_bucket").alias("at"), F.lit(False).alias("extra")), F.when(is_first, F.struct(before.alias("at"), F.lit(True).alias("extra"))))
     rows = dealt.select(key, "_text", "_key", F.explode(F.filter(places, lambda p: p.isNotNull())).alias("_place"))
-    rows = rows.select(key, "_text", "_key", "_place.*").repartition("at")
+    rows = rows.select(key, "_text", "_key", "_place.*").repartitionByRange(partitions, "at")
     if made:
         rows = pinned(rows, **made)
     following = F.lead(F.struct("_text", *made)).over(W.partitionBy("at").orderBy("extra", "_key"))
@@ -159,11 +171,18 @@ def edited_likeness(docs: DataFrame, text: str = "text", key: str = "doc_id", gr
     Null texts are empty. Rows of one key follow each other in the order of the table, those of a null key come last; a
     single row is its own next one; an empty table gives an empty result; other columns are not looked at.
     """
-    rows = with_next(docs.select(key, text), text, key, _packed=winnow(F.col("_text"), gram, window))
-    half = F.floor(F.char_length(F.col(text)) / 2).cast("int")
-    edited = F.concat(F.substring(F.col(text), F.lit(1), F.char_length(F.col(text)) - half), F.substring(F.col("_next._text"), F.lit(1), half))
-    rows = pinned(rows, n_chars=F.char_length(F.col(text)).cast("long"), edited=edited)
-    rows = pinned(rows, edited_packed=winnow(F.col("edited"), gram, window), _hashes=hashes(F.col("_packed")))
+    own = F.col("_text")
+    half = lambda x: F.floor(F.char_length(x) / 2).cast("int")
+    head = lambda x: F.substring(x, F.lit(1), F.char_length(x) - half(x))
+    # Windows inside the head are those of the edited text, too, and are looked at once.
+    inside = lambda x: F.greatest(F.octet_length(head(x)) - (gram + window - 2), F.lit(0))
+    after = lambda x, n: choose(x, n, windows_of(F.octet_length(x), gram, window) - n, gram, window)
+    both = lambda a, b: _let(F.concat(a, b), _merged)
+    made = {"_kept": choose(own, F.lit(0), inside(own), gram, window), "_rest": after(own, inside(own))}
+    rows = with_next(docs.select(key, text), text, key, **made)
+    edited = F.concat(head(F.col(text)), F.substring(F.col("_next._text"), F.lit(1), half(F.col(text))))
+    rows = pinned(rows, n_chars=F.char_length(F.col(text)).cast("long"), edited=edited, _n=inside(F.col(text)), _packed=both(F.col("_kept"), F.col("_rest")))
+    rows = pinned(rows, edited_packed=both(F.col("_kept"), after(F.col("edited"), F.col("_n"))), _hashes=hashes(F.col("_packed")))
     return rows.select(
         key,
         "n_chars",
@@ -171,5 +190,5 @@ def edited_likeness(docs: DataFrame, text: str = "text", key: str = "doc_id", gr
         F.col("_packed").alias("packed"),
         "edited_packed",
         likeness(F.col("_hashes"), hashes(F.col("edited_packed"))).alias("near_edited"),
-        likeness(F.col("_hashes"), hashes(F.col("_next._packed"))).alias("near_next"),
+        likeness(F.col("_hashes"), hashes(F.concat("_next._kept", "_next._rest"))).alias("near_next"),
     )
