@@ -28,9 +28,7 @@ from ..functions.staging import stage_table
 from .blocks import numbered
 
 BUCKETS = 10_000
-#: Words, and pairs of words, in the head, at most.
-HEAD = 1 << 16
-#: A word or pair with 1/HEAD_SHARE of a block's words may enter the head: what has that share of the corpus has it in some block.
+#: A word or pair with 1/HEAD_SHARE of all words is in the head, which has at most so many words, and pairs. It has that share in some block.
 HEAD_SHARE = 20_000
 #: Longer words don't enter the head, which bounds its bytes.
 HEAD_BYTES = 64
@@ -61,6 +59,7 @@ def _find_head(pairs: bool):
             least = counts.sum() / HEAD_SHARE
             short = pc.binary_length(words).to_numpy() <= HEAD_BYTES
             often = np.flatnonzero((counts > 0) & (counts >= least) & short)
+            yield pa.RecordBatch.from_pylist([{"n": int(counts.sum())}], schema)
             yield pa.RecordBatch.from_arrays([words.take(pa.array(often)), pa.nulls(len(often), pa.binary()), pa.array(counts[often], pa.int64())], schema=schema)
             if pairs:
                 place = np.full(len(words), -1)
@@ -87,14 +86,15 @@ class Head:
         self.pair_states = np.array([zlib.crc32(b" " + b, zlib.crc32(a)) for _, a, b in known], np.uint32)
 
 
-def frequent_head(docs: DataFrame, max_run: int, text: str = "text", head: int = HEAD) -> Head:
-    """The head of a corpus: at most ``head`` words, and as many pairs if runs have more than one word."""
+def frequent_head(docs: DataFrame, max_run: int, text: str = "text") -> Head:
+    """The head of a corpus: the words with a share of 1/HEAD_SHARE, and such pairs of them if runs have more than one word."""
     found = docs.select(F.lit(0), text).mapInArrow(_find_head(max_run > 1), "first binary, second binary, n long")
     counted = stage_table(found.groupBy("first", "second").agg(F.sum("n").alias("n")))
-    top = lambda rows: rows.orderBy(F.desc("n"), "first", "second").limit(head).collect()
-    words = [bytes(r["first"]) for r in top(counted.where("second IS NULL"))]
-    pairs = [(bytes(r["first"]), bytes(r["second"])) for r in top(counted.where("second IS NOT NULL"))] if max_run > 1 else []
-    return Head(words, pairs)
+    total = counted.where("first IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # No more than HEAD_SHARE words, and pairs, can have that share.
+    rows = counted.where(F.col("first").isNotNull() & (F.col("n") * HEAD_SHARE >= total)).collect()
+    words = sorted(bytes(r["first"]) for r in rows if r["second"] is None)
+    return Head(words, [(bytes(r["first"]), bytes(r["second"])) for r in rows if r["second"] is not None])
 
 
 def _states(tokens: list[bytes], head: Head, max_run: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
