@@ -7,8 +7,6 @@ from fractions import Fraction
 from itertools import combinations
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lookup import attach
@@ -116,36 +114,19 @@ def _pair(df: DataFrame, category: str, value: str) -> DataFrame:
     ).na.drop()
 
 
-def shapiro_by_group(rows: DataFrame, groups: DataFrame, n_groups: int, total: int) -> DataFrame:
-    """(category, n, w, p) for the groups of 3 to ``SHAPIRO_LIMIT`` rows.
-
-    Larger groups never reach the grouped function, whose input is therefore bounded.
-    """
-    table = groups.select("category", F.col("n").alias("size"))
-    small = attach(rows, table, ["category"], "size", total).where(
-        F.col("size").between(3, SHAPIRO_LIMIT)
-    )
-
-    def test(members: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk(members["value"].to_numpy())
-        return pd.DataFrame(
-            {"category": [members["category"].iloc[0]], "n": [len(members)], "w": [w], "p": [p]}
-        )
-
-    key_type = rows.schema["category"].dataType.simpleString()
-    return (
-        small.select("category", "value")
-        .groupBy("category")
-        .applyInPandas(test, f"category {key_type}, n bigint, w double, p double")
-    )
+def shapiro_by_group(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    """(category, n, w, p) for the groups of 3 to ``SHAPIRO_LIMIT`` rows; larger ones are never ranked."""
+    table = groups.select("category", F.col("n").alias("size"), "mean")
+    small = attach(rows, table, ["category"], "size", total).where(F.col("size").between(3, SHAPIRO_LIMIT))
+    return shapiro_wilk(small, "category", "value", "size", "mean")
 
 
 def group_normality(df: DataFrame, category: str, value: str) -> DataFrame:
     """(category, n, method, p_value, is_normal) per group; below 3 rows a group is not normal."""
     rows = _pair(df, category, value)
     groups = group_moments(df, category, value)
-    k, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shapiro = shapiro_by_group(rows, groups, k, total).select(
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shapiro = shapiro_by_group(rows, groups, total).select(
         "category", "n", F.lit("shapiro").alias("method"), F.col("p").alias("p_value")
     )
     big = groups.where(F.col("n") > SHAPIRO_LIMIT).select(
@@ -165,17 +146,14 @@ def check_normality(df: DataFrame, columns: list[str]) -> dict[str, bool]:
     big = F.when(F.col("n") > SHAPIRO_LIMIT, k_squared_p(k_squared(n, F.col("g"), F.col("b"))))
     # The formula is evaluated once per column on the aggregated rows.
     rows = moments.select(F.posexplode("m").alias("i", "m")).select("i", "m.*")
-    tested = {r["i"]: r for r in rows.select("i", "n", big.alias("p")).collect()}
-    verdict: dict[str, bool] = {}
-    for i, c in enumerate(columns):
-        if tested[i]["n"] < 3:
-            verdict[c] = False
-        elif tested[i]["n"] <= SHAPIRO_LIMIT:
-            values = df.select(as_double(df, c).alias("v")).na.drop().limit(SHAPIRO_LIMIT).toPandas()
-            verdict[c] = shapiro_wilk(values["v"].to_numpy())[1] > ALPHA
-        else:
-            verdict[c] = (tested[i]["p"] or 0.0) > ALPHA
-    return verdict
+    tested = {r["i"]: r for r in rows.select("i", "n", "mean", big.alias("p")).collect()}
+    small = [i for i, r in tested.items() if 3 <= r["n"] <= SHAPIRO_LIMIT]
+    p = {i: r["p"] for i, r in tested.items()}
+    if small:
+        cells = [F.struct(F.lit(i).alias("i"), as_double(df, columns[i]).alias("x"), F.lit(tested[i]["n"]).alias("n"), F.lit(tested[i]["mean"]).alias("mean")) for i in small]
+        values = df.select(F.inline(F.array(*cells))).where("x IS NOT NULL")
+        p |= {r["i"]: r["p"] for r in shapiro_wilk(values, "i", "x", "n", "mean").collect()}
+    return {c: tested[i]["n"] >= 3 and (p[i] or 0.0) > ALPHA for i, c in enumerate(columns)}
 
 
 # --- correlation tests -------------------------------------------------------------------------
@@ -411,7 +389,7 @@ def compare_groups(df: DataFrame, category: str, value: str) -> TestResult:
         return result
     normal = smallest >= 3 and failed == 0
     if normal and unknown:
-        tested = shapiro_by_group(_pair(df, category, value), groups, k, total)
+        tested = shapiro_by_group(_pair(df, category, value), groups, total)
         normal = tested.where(~(F.col("p") > ALPHA)).limit(1).count() == 0
     if k == 2 and normal:
         result.test_name = WELCH

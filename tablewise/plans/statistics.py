@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.parse import text_to_number
 from ..functions.ranks import average_ranks
 from ..operators import correlation, describe, hypothesis
+from ..functions import shapiro
 from ..schema import normalise_missing
 from .dirty import EVENTS_DIRTY, ORDERS_DIRTY, events_dirty, orders_dirty
 from .quality import _describe_rows, _fences, _number, _pct, _union
@@ -522,9 +523,62 @@ def dagostino(spark, sf):
     return rounded(hypothesis.dagostino(events_dirty(spark, sf), "value"), 6, statistic=4)
 
 
-@query("group_normality")
+def _sql_poly(coefficients, x: str) -> str:
+    return "(" + " + ".join(f"({c!r}) * pow({x}, {k})" for k, c in enumerate(coefficients)) + ")"
+
+
+def _sql_quantile(p: str) -> str:
+    """The normal quantile by the approximation that the library names."""
+    centre, tail = ([_sql_poly(c, x) for c in pair] for pair, x in ((shapiro.CENTRE, f"(0.180625 - pow({p} - 0.5, 2))"), (shapiro.TAIL, f"(sqrt(-ln(least({p}, 1 - {p}))) - 1.6)")))
+    return f"CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {centre[0]} / {centre[1]} ELSE sign({p} - 0.5) * {tail[0]} / {tail[1]} END"
+
+
+def _shapiro_ctes(rows: str) -> str:
+    """CTEs ending in sw(grp, n, p): groups of ``rows`` (grp, x) of 3 to 5,000 values."""
+    u, nx, ln = "(1 / sqrt(n))", "n", "ln(n)"
+    return (
+        f"sr AS (SELECT grp, x, CAST(row_number() OVER (PARTITION BY grp ORDER BY x) AS DOUBLE) AS i, CAST(count(*) OVER (PARTITION BY grp) AS DOUBLE) AS n, "
+        f"avg(x) OVER (PARTITION BY grp) AS mu FROM ({rows})), "
+        "sp AS (SELECT *, (i - 0.375) / (n + 0.25) AS pp FROM sr WHERE n BETWEEN 3 AND 5000), "
+        f"sm AS (SELECT *, {_sql_quantile('pp')} AS m FROM sp), "
+        "sa AS (SELECT grp, n, sqrt(sum(m * m)) AS root, max(m) AS m1, max(CASE WHEN i = n - 1 THEN m END) AS m2 FROM sm GROUP BY grp, n), "
+        f"sb AS (SELECT *, m1 / root + {_sql_poly(shapiro.LAST, u)} AS a1, CASE WHEN n > 5 THEN m2 / root + {_sql_poly(shapiro.NEXT, u)} END AS a2 FROM sa), "
+        "sc AS (SELECT *, sqrt((root * root - 2 * m1 * m1 - coalesce(CASE WHEN n > 5 THEN 2 * m2 * m2 END, 0)) / (1 - 2 * a1 * a1 - 2 * coalesce(a2 * a2, 0))) AS phi FROM sb), "
+        # Each value's own weight.
+        "sd AS (SELECT sm.grp, sm.n, sm.x - mu AS c, CASE WHEN sm.n = 3 THEN (i - 2) * sqrt(0.5) WHEN i = sm.n THEN a1 WHEN i = 1 THEN -a1 "
+        "WHEN sm.n > 5 AND i = sm.n - 1 THEN a2 WHEN sm.n > 5 AND i = 2 THEN -a2 ELSE m / phi END AS a FROM sm JOIN sc USING (grp)), "
+        "se AS (SELECT grp, n, least(pow(sum(a * c), 2) / nullif(sum(c * c), 0), 1) AS w FROM sd GROUP BY grp, n), "
+        f"sf AS (SELECT *, ln(1 - w) AS y, {_sql_poly(shapiro.SMALL_GAMMA, nx)} AS gam FROM se), "
+        f"sg AS (SELECT *, CASE WHEN n <= 11 THEN (-ln(gam - y) - {_sql_poly(shapiro.SMALL_MEAN, nx)}) / exp({_sql_poly(shapiro.SMALL_LOG_SD, nx)}) "
+        f"ELSE (y - {_sql_poly(shapiro.LARGE_MEAN, ln)}) / exp({_sql_poly(shapiro.LARGE_LOG_SD, ln)}) END AS z "
+        "FROM sf WHERE n > 3 AND w < 1 AND NOT (n <= 11 AND y >= gam)), "
+        f"sh AS (SELECT grp, 0.5 - sign(z) * {_simpson('exp(-u * u / 2) / sqrt(2 * pi())', 'abs(z)', 400)} AS p FROM sg), "
+        "sw AS (SELECT grp, CAST(n AS BIGINT) AS n, CASE WHEN w IS NULL OR (n BETWEEN 4 AND 11 AND y >= gam AND w < 1) THEN 0.0 "
+        "WHEN n = 3 THEN least(greatest(6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75))), 0), 1) WHEN w >= 1 THEN 1.0 ELSE sh.p END AS p FROM sf LEFT JOIN sh USING (grp))"
+    )
+
+
+def _normality_sql(source: str, grp: str) -> str:
+    rows = f"SELECT {grp} AS grp, value AS x FROM {source} WHERE value IS NOT NULL"
+    big = f"SELECT grp, x FROM ({rows}) QUALIFY count(*) OVER (PARTITION BY grp) > 5000"
+    return (
+        f"WITH {EVENTS_DIRTY}, {_shapiro_ctes(rows)}, {_k2_ctes(big)}, "
+        f"f AS (SELECT grp, n, 'shapiro' AS method, {r('greatest(p, 0)')} AS p_value, p > 0.05 AS is_normal FROM sw UNION ALL "
+        f"SELECT grp, CAST(n AS BIGINT), 'k_squared', {r('exp(-(z1 * z1 + z2 * z2) / 2)')}, exp(-(z1 * z1 + z2 * z2) / 2) > 0.05 FROM z UNION ALL "
+        f"SELECT grp, count(*), 'none', NULL, false FROM ({rows}) GROUP BY grp HAVING count(*) < 3) "
+        "SELECT grp AS category, n, method, p_value, is_normal FROM f"
+    )
+
+
+@query("group_normality", _normality_sql("events_dirty", "event_type"))
 def group_normality(spark, sf):
-    return hypothesis.group_normality(table(spark, sf, "events"), "event_type", "value")
+    return rounded(hypothesis.group_normality(normalise_missing(events_dirty(spark, sf)), "event_type", "value"))
+
+
+@query("group_normality_users", _normality_sql("events_dirty", "user_id"))
+def group_normality_users(spark, sf):
+    """Many groups of a few dozen values."""
+    return rounded(hypothesis.group_normality(normalise_missing(events_dirty(spark, sf)), "user_id", "value"))
 
 
 def _routed(name, source, a, b, ctes, test, basis, subject):

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import statistics
 
 import numpy as np
 import pandas as pd
@@ -14,10 +15,12 @@ from tablewise.functions.frequency import frequency_table, summarise_frequencies
 from tablewise.functions.moments import adjusted_kurtosis, adjusted_skewness, kurtosis_z, skewness_z
 from tablewise.functions.parse import date_format_rates, text_to_number
 from tablewise.functions.ranks import average_ranks
-from tablewise.functions.shapiro import shapiro_wilk
+from tablewise.functions.shapiro import normal_quantile, normal_tail, shapiro_wilk
 from tablewise.functions.staging import stage_table
 from tablewise.functions.tails import chi2_sf, f_sf, normal_sf, t_two_sided
 
+from .plain import shapiro_wilk as plain_shapiro
+
 
 def test_tails_published_values():
     assert normal_sf(1.959963984540054) == pytest.approx(0.025, rel=1e-10)
@@ -41,19 +44,44 @@ def test_tails_against_commons_math(spark):
             assert f_sf(x, df, 7.0) == pytest.approx(1 - f.cumulativeProbability(x), abs=1e-10)
 
 
-def test_shapiro_published_sample():
-    w, p = shapiro_wilk(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]))
+def _shapiro(spark, samples):
+    """W and p of each sample, one group each."""
+    pdf = pd.concat([pd.DataFrame({"g": i, "x": np.asarray(x, float), "n": len(x), "mean": np.mean(x)}) for i, x in enumerate(samples)])
+    found = {r["g"]: (r["w"], r["p"]) for r in shapiro_wilk(spark.createDataFrame(pdf), "g", "x", "n", "mean").collect()}
+    return [found[i] for i in range(len(samples))]
+
+
+def test_shapiro_published_sample(spark):
+    ((w, p),) = _shapiro(spark, [[148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]])
     assert w == pytest.approx(0.78881, abs=1e-5)
     assert p == pytest.approx(0.0067038, abs=1e-6)
 
 
-def test_shapiro_edges():
-    assert shapiro_wilk(np.array([1.0, 2.0]))[1] == 0.0
-    assert shapiro_wilk(np.array([5.0, 5.0, 5.0, 5.0]))[1] == 0.0
-    w, p = shapiro_wilk(np.array([1.0, 2.0, 3.0]))
-    assert w == pytest.approx(1.0) and p == pytest.approx(1.0, abs=1e-6)
+def test_shapiro_equals_the_plain_version(spark):
     rng = np.random.default_rng(1)
-    assert sum(shapiro_wilk(rng.normal(size=200))[1] < 0.05 for _ in range(200)) < 25
+    samples = [rng.normal(size=n) for n in (3, 4, 5, 6, 7, 11, 12, 13, 50, 777, 5000)]
+    samples += [rng.exponential(size=n) for n in (3, 5, 8, 11, 12, 40, 300)]
+    samples += [rng.integers(0, 3, n) + 1e6 for n in (4, 6, 9, 30, 600)] + [[1.0, 2.0, 3.0], [0.0] * 9 + [1.0], [0.0] * 11 + [1e9]]
+    for x, (w, p) in zip(samples, _shapiro(spark, samples), strict=True):
+        want = plain_shapiro(x)
+        assert (w, p) == (pytest.approx(want[0], rel=1e-9), pytest.approx(want[1], rel=1e-6, abs=1e-9))
+
+
+def test_shapiro_edges(spark):
+    found = _shapiro(spark, [[1.0, 2.0], [5.0] * 4, [1.0, 2.0, 3.0], [7.0]])
+    assert [found[i] for i in (0, 1, 3)] == [(None, 0.0)] * 3
+    assert found[2] == (pytest.approx(1.0), pytest.approx(1.0, abs=1e-6))
+    rng = np.random.default_rng(1)
+    assert sum(p < 0.05 for _, p in _shapiro(spark, [rng.normal(size=200) for _ in range(200)])) < 25
+
+
+def test_normal_quantiles_and_tails(spark):
+    ps = [1e-300, 1e-30, 1e-12, 1e-4, 0.02, 0.074, 0.0751, 0.3, 0.5, 0.7, 0.9249, 0.95, 1 - 1e-9]
+    zs = [-40.0, -8.0, -3.0, -0.5, 0.0, 0.1, 1.959963984540054, 5.0, 7.0, 7.2, 20.0, 36.0]
+    got = spark.createDataFrame([(p,) for p in ps], "p double").select("p", normal_quantile(F.col("p")).alias("z")).collect()
+    assert all(r["z"] == pytest.approx(statistics.NormalDist().inv_cdf(r["p"]), rel=1e-13, abs=1e-15) for r in got)
+    got = spark.createDataFrame([(z,) for z in zs], "z double").select("z", normal_tail(F.col("z")).alias("p")).collect()
+    assert all(r["p"] == pytest.approx(normal_sf(r["z"]), rel=1e-6, abs=1e-15) for r in got)
 
 
 def _z(spark, values, fn, moment):
@@ -250,10 +278,10 @@ def test_functions_reach_workers_that_lack_the_package(tmp_path):
 
     from pyspark import cloudpickle
 
-    script = "import pickle, sys; print(pickle.load(sys.stdin.buffer)([1.0, 2.0, 4.0, 9.0])[0] > 0.5)"
+    script = "import pickle, sys; print(pickle.load(sys.stdin.buffer)(1.0, 5.0) > 0.3)"
     out = subprocess.run(
         [sys.executable, "-c", script],
-        input=cloudpickle.dumps(shapiro_wilk),
+        input=cloudpickle.dumps(t_two_sided),
         cwd=tmp_path,
         env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ""},
         capture_output=True,
