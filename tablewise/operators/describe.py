@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import frequency
-from ..functions.frequency import frequency_table, summarise_frequencies
+from ..functions.frequency import frequency_table, summarise_texts
 from ..functions.moments import adjust_kurtosis, adjust_skewness
 from ..functions.parse import percent
 from ..functions.quantiles import exact_quantiles
@@ -83,7 +83,7 @@ def _raw_moments(x: Column, name: str) -> Column:
 def describe_categorical(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows, missing, distinct values and mode per categorical column.
 
-    One frequency table over all columns serves every figure. A column without values has the
+    One count of all columns' hashes serves every figure; texts are read for the modes only. A column without values has the
     mode ``N/A`` with frequency 0.
     """
     columns = categorical_columns(df) if columns is None else columns
@@ -96,7 +96,7 @@ def describe_categorical(df: DataFrame, columns: list[str] | None = None) -> Dat
     types = F.create_map(
         *[e for c in columns for e in (F.lit(c), F.lit(df.schema[c].dataType.simpleString()))]
     )
-    return summarise_frequencies(frequency_table(df, columns)).select(
+    return summarise_texts(df, columns).select(
         "column",
         types[F.col("column")].alias("data_type"),
         F.col("n_rows").alias("total_rows"),

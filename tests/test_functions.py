@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewise.functions import lookup, quantiles, staging
-from tablewise.functions.frequency import frequency_table, summarise_frequencies
+from tablewise.functions import frequency
+from tablewise.functions.frequency import distinct_counts, summarise_texts
 from tablewise.functions.moments import adjusted_kurtosis, adjusted_skewness, kurtosis_z, skewness_z
 from tablewise.functions.parse import date_format_rates, text_to_number
 from tablewise.functions.ranks import average_ranks
@@ -216,7 +217,7 @@ def test_frequencies_smallest_mode(spark):
     df = spark.createDataFrame(
         [("b", 1.0), ("a", 1.0), ("b", 2.0), ("a", None), (None, 0.0)], "s string, x double"
     )
-    rows = {r["column"]: r for r in summarise_frequencies(frequency_table(df, ["s", "x"])).collect()}
+    rows = {r["column"]: r for r in summarise_texts(df, ["s", "x"]).collect()}
     assert rows["s"]["mode"] == "a" and rows["s"]["mode_count"] == 2
     assert rows["s"]["n_missing"] == 1 and rows["s"]["n_unique"] == 2
     assert rows["x"]["n_unique"] == 3
@@ -303,3 +304,30 @@ def test_exact_mann_whitney_tail_of_a_long_group():
         assert exact_u_sf(u, 3, n) == pytest.approx(sum(counts[u:]) / sum(counts), rel=1e-12)
     z = (4e9 * 1.05 - 4e9) / (8 * 1e9 * (8 + 1e9 + 1) / 12) ** 0.5
     assert exact_u_sf(4e9 * 1.05, 8, 10**9) == pytest.approx(normal_sf(z), rel=0.05)
+
+
+@pytest.mark.parametrize(("few", "first", "cells"), [(1_000, 64, 4_000_000), (2, 3, 50), (0, 1, 7)])
+def test_modes_of_texts_with_many_ties(spark, monkeypatch, few, first, cells):
+    """Ties settled by a broadcast, by ever longer beginnings, or not at all where everything ties."""
+    monkeypatch.setattr(frequency, "FEW_TIED", few)
+    monkeypatch.setattr(frequency, "FIRST_CHARACTERS", first)
+    monkeypatch.setattr(frequency, "CELLS_AT_ONCE", cells)
+    rng = random.Random(6)
+    long = "the same beginning " * 4
+    pdf = pd.DataFrame({
+        "unique": [f"{long}{i:03d}" for i in range(120)],
+        "ties": [rng.choice(["", "é", "z"]) + long + str(i % 50) if i < 100 else None for i in range(120)],
+        "few": [rng.choice("abc") for _ in range(118)] + [None, "d"],
+        "prefix": ["ab", "ab", "abc", "abc", "abcd", "x"] * 20,
+        "none": [None] * 120,
+        "one": ["same"] * 120,
+    }, dtype=object)
+    df = spark.createDataFrame(list(pdf.itertuples(index=False, name=None)), ", ".join(f"{c} string" for c in pdf)).repartition(5)
+    got = {r["column"]: tuple(r)[1:] for r in summarise_texts(df, list(pdf)).collect()}
+    for c in pdf:
+        counts = pdf[c].dropna().value_counts()
+        best = counts[counts == counts.max()].index if len(counts) else []
+        mode = min(best, key=lambda v: v.encode()) if len(counts) else None
+        assert got[c] == (120, int(pdf[c].isna().sum()), len(counts), mode, int(counts.max()) if len(counts) else 0), c
+    assert {r["column"]: r["n_unique"] for r in distinct_counts(df, list(pdf)).collect()} == {c: pdf[c].nunique() for c in pdf}
+    assert [r["n_rows"] for r in summarise_texts(df.limit(0), ["few"]).collect()] == [0]
