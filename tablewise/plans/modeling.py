@@ -194,14 +194,34 @@ def regression_metrics(spark, sf):
     return rounded(metrics.regression_metrics(df, "y", "p"), 4, r2=6)
 
 
-def _labelled(spark, sf):
-    documents = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
-    return documents.join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
+def _described(spark, sf):
+    """Figures of every document's whole text."""
+    text = F.coalesce("text", F.lit(""))
+    lines = F.size(F.split(text, "\n"))
+    words = F.size(F.split(F.trim(text), "\\s+"))
+    return table(spark, sf, "documents").select(
+        "doc_id", "lang", "n_chars", lines.alias("n_lines"), words.alias("n_words"), (F.length(text) / words).alias("word_length")
+    )
 
 
 @query("automl_classification")
 def automl_classification(spark, sf):
-    return automl.run_automl(_labelled(spark, sf), "toxic", ["doc_id"]).leaderboard()
+    """Fitted on the labelled documents, applied to all."""
+    documents = _described(spark, sf)
+    labelled = documents.join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
+    return automl.run_automl(labelled, "toxic", ["doc_id"]).score(documents).select("doc_id", "prediction")
+
+
+# Three classes of a rule that no plane parts, but a tree does.
+_RULE = "CASE WHEN p_partkey % 7 > 3 AND p_size % 5 < 2 THEN 'both' WHEN p_partkey % 7 > 3 OR p_size % 5 < 2 THEN 'one' ELSE 'none' END"
+
+
+@query("automl_rule", f"SELECT p_partkey, {_RULE} AS prediction FROM part")
+def automl_rule(spark, sf):
+    """Three classes, so that boosting is one against the rest; the best model is tuned and reproduces the rule on every row."""
+    df = table(spark, sf, "part").selectExpr("p_partkey", "p_partkey % 7 AS seven", "p_size % 5 AS five", f"{_RULE} AS class")
+    model = automl.run_automl(df, "class", ["p_partkey"], max_depth=6)
+    return model.score(df.drop("class")).select("p_partkey", "prediction")
 
 
 @query("automl_regression")

@@ -480,13 +480,12 @@ def isolation_forest_remove(spark, sf):
     ).table
 
 
-@query("isolation_forest_planted", "SELECT p_partkey FROM part WHERE p_partkey % 100 = 7")
+@query("isolation_forest_planted", "SELECT p_partkey FROM part WHERE p_partkey % 20 = 7")
 def isolation_forest_planted(spark, sf):
-    """Far-away rows, one in a hundred, are among the flagged five in a hundred."""
-    far = "CASE WHEN p_partkey % 100 = 7 THEN 1000 ELSE 0 END"
-    df = table(spark, sf, "part").selectExpr("p_partkey", f"p_size + {far} AS size", f"p_retailprice + 10 * {far} AS price")
-    flagged = isolation.flag_isolated(df, ["size", "price"], keys=["p_partkey"])
-    return flagged.where("is_outlier AND size > 500").select("p_partkey")
+    """Rows far away in several directions, five in a hundred, are all that is flagged."""
+    far = "CASE WHEN p_partkey % 20 = 7 THEN (1 + p_partkey % 3) * IF(p_partkey % 40 = 7, 1, -1) ELSE 0 END"
+    df = table(spark, sf, "part").selectExpr("p_partkey", f"p_size + 1000 * {far} AS size", f"p_retailprice + 20000 * {far} AS price")
+    return isolation.flag_isolated(df, ["size", "price"], keys=["p_partkey"]).where("is_outlier").select("p_partkey")
 
 
 @query("isolation_forest_flags")
