@@ -250,7 +250,7 @@ def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-#: Hashes are CRC-32s of 16 bytes through a table of 256 entries; a window has 16 of them.
+#: Hashes are CRC-32s of three words through a table of 256 entries; a window has four of them.
 _OP13 = r"""
 WITH crc_table AS (
   SELECT list(list_reduce([CAST(i AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
@@ -262,19 +262,22 @@ e AS (
     a.text[1 : length(a.text) - length(a.text) // 2] || b.text[1 : length(a.text) // 2] AS edited
   FROM d a JOIN d b ON b.r = a.r % a.total + 1),
 sides AS (SELECT r, 0 AS side, text FROM e UNION ALL SELECT r, 1, edited FROM e),
-bytes AS (
-  SELECT r, side, n, unnest(range(n)) AS p, unnest(list_transform(range(1, 2 * n, 2), lambda i: CAST('0x' || h[i : i + 1] AS UBIGINT))) AS x
-  FROM (SELECT r, side, hex(encode(text)) AS h, CAST(strlen(text) AS BIGINT) AS n FROM sides WHERE text <> '')),
-runs AS (SELECT r, side, n, p, [4294967295, x, {leads}] AS run FROM bytes WINDOW w AS (PARTITION BY r, side ORDER BY p)),
-grams AS (
-  SELECT r, side, n, p, list_reduce(list_filter(run, lambda y: y IS NOT NULL),
-    lambda c, y: xor(c >> 8, crc[CAST(xor(c, y) & 255 AS BIGINT) + 1])) AS c
-  FROM runs, crc_table WHERE p <= greatest(n - 16, 0)),
-packed AS (SELECT r, side, p, n, CAST(xor(c, 4294967295) AS BIGINT) * 2147483648 + 2147483647 - p AS v FROM grams),
+words AS (SELECT r, side, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM sides),
+runs AS (
+  SELECT r, side, m, p, array_to_string(w[p + 1 : p + 3], ' ') AS run
+  FROM (SELECT r, side, w, greatest(len(w) - 2, 1) AS m, unnest(range(greatest(len(w) - 2, 1))) AS p FROM words WHERE len(w) > 0)),
+vocabulary AS (
+  SELECT run, list_transform(range(1, len(h), 2), lambda i: CAST('0x' || h[i : i + 1] AS UBIGINT)) AS bytes
+  FROM (SELECT run, hex(encode(run)) AS h FROM (SELECT DISTINCT run FROM runs))),
+hashed AS (
+  SELECT run, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), bytes),
+    lambda c, b: xor(c >> 8, crc[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295) AS BIGINT) AS h
+  FROM vocabulary, crc_table),
+packed AS (SELECT r, side, p, m, h * 2147483648 + 2147483647 - p AS v FROM runs JOIN hashed USING (run)),
 chosen AS (
   SELECT DISTINCT r, side, v FROM (
-    SELECT r, side, p, n, min(v) OVER (PARTITION BY r, side ORDER BY p ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS v FROM packed)
-  WHERE p >= least(15, greatest(n - 16, 0))),
+    SELECT r, side, p, m, min(v) OVER (PARTITION BY r, side ORDER BY p ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS v FROM packed)
+  WHERE p >= least(3, m - 1)),
 f AS (
   SELECT r, side, string_agg(format('{:08x}:{}', v >> 31, 2147483647 - (v & 2147483647)), ',' ORDER BY v & 2147483647 DESC) AS s, list(DISTINCT v >> 31) AS h
   FROM chosen GROUP BY r, side)
@@ -284,7 +287,7 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, co
   CASE WHEN x.h IS NULL AND z.h IS NULL THEN 1.0::DOUBLE
     ELSE 2.0::DOUBLE * len(list_intersect(coalesce(x.h, []), coalesce(z.h, []))) / (coalesce(len(x.h), 0) + coalesce(len(z.h), 0)) END AS near_next
 FROM e LEFT JOIN f x ON x.r = e.r AND x.side = 0 LEFT JOIN f y ON y.r = e.r AND y.side = 1 LEFT JOIN f z ON z.r = e.next AND z.side = 0
-""".replace("{leads}", ", ".join(f"lead(x, {i}) OVER w" for i in range(1, 16)))
+"""
 
 
 @query("op13_fingerprints", _OP13)

@@ -176,17 +176,17 @@ def plain_resampled(rows: list[tuple], target: list, percent: int = 10, max_run:
     return [(*row, rank.get(i)) for i, row in enumerate(out)]
 
 
-def plain_winnow(text, gram: int = 16, window: int = 16) -> list[tuple[int, int]]:
+def plain_winnow(text, gram: int = 3, window: int = 4) -> list[tuple[int, int]]:
     """(hash, position): the rightmost smallest hash of every window."""
-    data = (text or "").encode()
-    if not data:
+    w = words(text)
+    if not w:
         return []
-    hashed = [zlib.crc32(data[i : i + gram]) for i in range(max(1, len(data) - gram + 1))]
+    hashed = [zlib.crc32(" ".join(w[i : i + gram]).encode()) for i in range(max(1, len(w) - gram + 1))]
     chosen = {min((h, -i) for i, h in enumerate(hashed[s : s + window], s)) for s in range(max(1, len(hashed) - window + 1))}
     return sorted(((h, -i) for h, i in chosen), key=lambda x: x[1])
 
 
-def plain_edited(rows: list[tuple], gram: int = 16, window: int = 16) -> list[tuple]:
+def plain_edited(rows: list[tuple], gram: int = 3, window: int = 4) -> list[tuple]:
     """(id, n_chars, edited text, fingerprint, its, near_edited, near_next) of (id, text) rows in their order."""
     def near(a, b):
         a, b = {h for h, _ in a}, {h for h, _ in b}
