@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,7 +55,8 @@ PAGE_NAMES = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.IGNOR
 # Elements that end an open one of the same kind.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-_LEX = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL)
+# Quotes hold a value behind "=" only. The group never gives back, so that a tag is read once.
+_LEX = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*))>|[^<]+|<", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
@@ -78,12 +80,17 @@ def page_tokens(html: str) -> tuple[list[tuple[int, int, bool]], list[tuple[str,
 
     Tokens are ``(token, parent, is text)``, hashes of what stands under which path; runs are ``(text, token, in an article)``.
     """
-    # An open element: name, token, whether it is apart, whether it lies in an article.
+    # An open element: name, token, whether it or one around it is apart, whether it lies in an article.
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
     tokens: list[tuple[int, int, bool]] = []
     runs: list[tuple[str, int, bool]] = []
     held: list[str] = []
 
+    def close() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
     def flush() -> None:
         text = " ".join("".join(held).split())
         held.clear()
@@ -91,11 +98,11 @@ def page_tokens(html: str) -> tuple[list[tuple[int, int, bool]], list[tuple[str,
             level = next(x for x in reversed(stack) if x[0] not in INLINE)
             token = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), level[1]) >> 1
             tokens.append((token, level[1], True))
-            if not any(x[2] for x in stack):
+            if not stack[-1][2]:
                 runs.append((text, token, level[3]))
 
-    at = 0
-    while match := _LEX.match(html, at):
+    at, last, opened = 0, html.rfind(">"), Counter()
+    while match := _LEX.match(html, at) if at <= last else None:
         at = match.end()
         name = (match[2] or "").lower()
         if not name:
@@ -107,22 +114,23 @@ def page_tokens(html: str) -> tuple[list[tuple[int, int, bool]], list[tuple[str,
         elif name == "br":
             held.append(" ")
         if match[1]:
-            if any(x[0] == name for x in stack):
+            if opened[name]:
                 if name in INLINE:
                     for i in range(len(stack) - 1, 0, -1):
                         if stack[i][0] == name or stack[i][0] not in INLINE:
                             break
                     if stack[i][0] == name:
                         del stack[i]
+                        opened[name] -= 1
                 else:
-                    while stack.pop()[0] != name:
+                    while close() != name:
                         pass
             continue
         if name not in INLINE:
             while stack[-1][0] in INLINE:  # left open: formatting says nothing about blocks
-                stack.pop()
+                close()
             if stack[-1][0] in CLOSES.get(name, ()) or (stack[-1][0] == "p" and name not in VOID):
-                stack.pop()
+                close()
         parent = stack[-1]
         kept = "class" if "class" in match[3] else ""
         token = xxhash.xxh64_intdigest(f"<{name} {match[3].strip() if kept else ''}>", parent[1]) >> 1
@@ -130,11 +138,15 @@ def page_tokens(html: str) -> tuple[list[tuple[int, int, bool]], list[tuple[str,
             tokens.append((token, parent[1], False))
         if name in VOID or match[3].endswith("/"):
             continue
-        in_article = parent[3] or (name in ARTICLE and not any(x[2] for x in stack))
-        stack.append((name, token, _is_apart(name, match[3], in_article), in_article))
+        in_article = parent[3] or (name in ARTICLE and not parent[2])
+        stack.append((name, token, parent[2] or _is_apart(name, match[3], in_article), in_article))
+        opened[name] += 1
         if name in RAW:
             end = re.compile(f"</{name}", re.IGNORECASE).search(html, at)
             at = end.start() if end else len(html)
+    # Behind the last ">" there is text, or a comment left open.
+    rest = html[max(at, 0) :]
+    held.append(entities.unescape(rest[: rest.find("<!--")] if "<!--" in rest else rest))
     flush()
     return tokens, runs
 

@@ -59,25 +59,23 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             "slice(transform(words, (w, i) -> xxhash64(w, get(words, i + 1), get(words, i + 2))), 1, greatest(size(words) - 2, 0))"
         ),
     )
-    # Only texts that have some window twice are looked at more closely. Hash and position then share
-    # one long, so that the sort is one of plain longs; equal neighbours are windows found twice.
-    df = pinned(df, _mask=F.expr("shiftleft(1L, length(bin(size(words)))) - 1L"))
+    # Only texts that have some window twice are looked at more closely. Sorted with their positions, equal neighbours
+    # are windows found twice.
     df = pinned(
         df,
         _sorted=F.expr(
-            "CASE WHEN size(array_distinct(_hashes)) = size(_hashes) THEN CAST(array() AS ARRAY<BIGINT>)"
-            " ELSE sort_array(transform(_hashes, (h, i) -> (h & ~_mask) | i)) END"
+            "CASE WHEN size(array_distinct(_hashes)) = size(_hashes) THEN CAST(array() AS ARRAY<STRUCT<h: BIGINT, i: INT>>)"
+            " ELSE sort_array(transform(_hashes, (h, i) -> named_struct('h', h, 'i', i))) END"
         ),
     )
     df = pinned(
         df,
         _found=F.expr(
-            "array_sort(transform(filter(_sorted, (x, k) ->"
-            " ((x ^ get(_sorted, k + 1)) & ~_mask) <=> 0L OR ((x ^ get(_sorted, k - 1)) & ~_mask) <=> 0L), x -> x & _mask))"
+            "array_sort(transform(filter(_sorted, (x, k) -> x.h <=> get(_sorted, k + 1).h OR x.h <=> get(_sorted, k - 1).h), x -> x.i))"
         ),
     )
-    covered = F.expr("aggregate(transform(_found, (p, k) -> least(3L, coalesce(get(_found, k + 1) - p, 3L))), 0L, (a, x) -> a + x)")
-    return df.withColumn("n_repeat_words", covered).drop("_lines", "_hashes", "_mask", "_sorted", "_found")
+    covered = F.expr("aggregate(transform(_found, (p, k) -> least(3L, coalesce(CAST(get(_found, k + 1) - p AS BIGINT), 3L))), 0L, (a, x) -> a + x)")
+    return df.withColumn("n_repeat_words", covered).drop("_lines", "_hashes", "_sorted", "_found")
 
 
 def _bucket(*words: Column) -> Column:

@@ -47,7 +47,8 @@ _ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{4,}")
 _RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_SECRET)
 # One within a URL, up to its query.
 _SEGMENT = re.compile(r"(?<![A-Za-z0-9+_-])[A-Za-z0-9+_-]{%d,}={0,2}" % MIN_SECRET)
-_ADDRESS = re.compile(r"""[a-z][a-z0-9+.-]*://[^\s"'<>]+|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}(?::[0-9]+)?""", re.ASCII)
+# A scheme begins with the first letter of its run; runs are looked at once, from their start.
+_ADDRESS = re.compile(r"""(?<![a-z0-9+.-])[0-9+.-]*([a-z][a-z0-9+.-]*)://[^\s"'<>]+|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}(?::[0-9]+)?""", re.ASCII)
 _PARAGRAPH = re.compile(r"\n[\x20\t\r]*\n")
 
 Span = tuple[str, int, int]
@@ -79,9 +80,10 @@ def weak_parts(text: str, plain: list[Span]) -> list[Span]:
     hosts, urls = [], []  # urls: start, end of the scheme, start of the query, end
     for m in _ADDRESS.finditer(text):
         start, end = m.span()
-        if (scheme := m[0].find("://")) > 0:
+        if m[1]:
+            start, scheme = m.start(1), m.end(1) + 3
             query = min((at for at in (text.find("?", start, end), text.find("#", start, end)) if at >= 0), default=end)
-            urls.append((start, start + scheme + 3, query, end))
+            urls.append((start, scheme, query, end))
         else:
             hosts.append((start, end))
     found = [("secret", *m.span()) for m in _RANDOM.finditer(text) if _is_random(m[0])]
