@@ -6,14 +6,14 @@
    bucket merges the training counts of all blocks, smooths them, builds its trie and looks every bigram up.
    What comes back is one sum for each document.
 
-So the model is never whole anywhere: its size grows with the corpus and with it the number of buckets. A
-context seen more than ``HOT`` times is split by word class, so that no bucket holds all successors of a
-frequent word: p(w | v) = p(class | v) p(w | class, v).
-
-Smoothing is absolute discounting, interpolated with the unigram: within its context (or context and class)
-of count c with n1 successors seen once, n2 seen twice and t in all, D = (n1 + 0.5) / (n1 + 2 n2 + 0.55) and
-p(w) = (c(w) - D) / c + (D t / c) u(w) / U, where u is the unigram probability (counts plus a half, one unknown
-word) and U its mass in the class. Logarithms are kept in units of 1/1024.
+So the model is never whole anywhere: its size grows with the corpus and with it the number of buckets. The
+successors of a context seen more than ``HOT`` times are dealt to several places by their hashes, so that no bucket holds
+all of a frequent word. That is placement only: a probability needs the counts of the n-gram and of its context,
+which travels with it, and nothing that is summed over a context's successors.
+
+Smoothing is interpolated with the unigram: p(w | v) = (1 - s) c(v w) / c(v) + s u(w), where u is the unigram
+probability (counts plus a half, one unknown word) and the share s = MU / (sqrt(c(v)) + MU) falls with the context's
+count alone. So one formula holds at every size. Logarithms are kept in units of 1/1024.
 """
 
 from __future__ import annotations
@@ -32,9 +32,11 @@ from .elias_fano import Trie
 
 #: Documents whose hashed id has this remainder are held out.
 FOLDS, HELD_OUT = 5, 1
-#: Tokens of a context from which it is split by word class, into up to 2^8 classes.
+#: Tokens of a context from which its successors are dealt to several places, up to 2^8; scores don't depend on it.
 HOT = 1_000_000
-CLASS_BITS = 8
+PART_BITS = 8
+#: Weight of the unigram: about half of it at a context seen MU^2 times.
+MU = 20.0
 #: Units of a decimal logarithm.
 UNIT = 1024
 #: Buckets of words and contexts for each shuffle partition; a task holds one at a time.
@@ -100,20 +102,19 @@ def _send_words(buckets: int, rows: Rows):
 
 def _count_words(rows: Rows):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Corpus counts for each block's words; for each task a row of totals: counts and numbers of words by class."""
-        sums = np.zeros((2, 1 << CLASS_BITS), np.int64)
+        """Corpus counts for each block's words; for each task a row of totals: tokens and distinct words."""
+        sums = np.zeros(2, np.int64)
         for bucket, held in by_bucket(batches):
             parts = [_split(packed, ["u8", "i8"]) for _, packed in held]
             codes, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             total = np.bincount(inverse, np.concatenate([p[1] for p in parts])).astype(np.int64)
-            kind = (codes >> _U(64 - CLASS_BITS)).astype(np.int64)
-            sums += [np.bincount(kind, x, 1 << CLASS_BITS).astype(np.int64) for x in (total, total > 0)]
+            sums += [total.sum(), (total > 0).sum()]
             answers = np.split(total[inverse], np.cumsum([len(p[0]) for p in parts])[:-1])
             yield from rows.batches(
                 [{"block": block, "bucket": bucket, "packed": _join([a])} for (block, _), a in zip(held, answers, strict=True)]
             )
         if sums.any():
-            yield from rows.batches([{"totals": sums.ravel().tolist()}])
+            yield from rows.batches([{"totals": sums.tolist()}])
 
     return count
 
@@ -121,20 +122,13 @@ def _count_words(rows: Rows):
 class _Unigram:
     """Totals of the training tokens."""
 
-    def __init__(self, totals: np.ndarray) -> None:
-        self.by_class = totals.reshape(2, -1)
-        self.tokens, self.words = (int(x) for x in self.by_class.sum(axis=1))
+    def __init__(self, tokens: int, words: int) -> None:
+        self.tokens, self.words = tokens, words
         self.whole = self.tokens + 0.5 * (self.words + 1)
 
     def log(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / self.whole)
 
-    def masses(self, part: np.ndarray, split: np.ndarray) -> np.ndarray:
-        """Unigram mass of a part (0 .. 2^split - 1) of the classes; each part has its own unknown word."""
-        mass = np.concatenate(([0], np.cumsum((self.by_class[0] + 0.5 * self.by_class[1]) / self.whole)))
-        width = 1 << (CLASS_BITS - split)
-        return mass[(part + 1) * width] - mass[part * width] + 0.5 / self.whole
-
 
 def _units(logs: np.ndarray) -> np.ndarray:
     return np.clip(np.round(logs * UNIT), -32_000, 32_000).astype(np.int16)
@@ -145,7 +139,7 @@ def _context_keys(before: np.ndarray, part: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> _U(29))) >> _U(2)).astype(np.int64)
 
 
-_KINDS = ["i8", "i8", "i2", "i2", "i4", "u4", "i2", "i4", "i4", "i4", "i4"]
+_KINDS = ["i8", "i8", "i4", "u4", "i2", "i4", "i4", "i4", "i4"]
 
 
 def _send_bigrams(buckets: int, rows: Rows, unigram: _Unigram):
@@ -173,12 +167,12 @@ def _send_bigrams(buckets: int, rows: Rows, unigram: _Unigram):
             yield from rows.batches(out)
             # Bigrams with a known context, by bucket, context and word; then by document.
             some = np.flatnonzero(seen > 0)
-            split = np.ceil(np.log2(np.maximum(seen[some] / HOT, 1))).clip(0, CLASS_BITS).astype(np.int64)
-            part = (tokens.codes[some] >> _U(64 - CLASS_BITS)).astype(np.int64) >> (CLASS_BITS - split)
+            split = np.ceil(np.log2(np.maximum(seen[some] / HOT, 1))).clip(0, PART_BITS).astype(np.int64)
+            part = (tokens.codes[some] >> _U(64 - PART_BITS)).astype(np.int64) >> (PART_BITS - split)
             key = _context_keys(tokens.before[some], part)
             word = (tokens.codes[some] >> _U(32)).astype(np.int64)
             order = np.lexsort((word, key))  # stable, so that documents stay in order
-            key, word, doc, some, part, split = (x[order] for x in (key, word, tokens.doc[some], some, part, split))
+            key, word, doc, some = (x[order] for x in (key, word, tokens.doc[some], some))
             home = ((key >> 30) * buckets) >> 32  # ranges of the keys, which have 62 bits
             new_key = np.diff(key, prepend=-1) != 0
             new_gram = new_key | (np.diff(word, prepend=-1) != 0)
@@ -193,7 +187,7 @@ def _send_bigrams(buckets: int, rows: Rows, unigram: _Unigram):
                 at_c, at_g, at_p = contexts[c], grams[g], places[p]
                 packed = _join(
                     [
-                        key[at_c], seen[some[at_c]], part[at_c].astype(np.int16), split[at_c].astype(np.int16),
+                        key[at_c], seen[some[at_c]],
                         np.diff(np.append(np.searchsorted(at_g, at_c), len(at_g))).astype(np.int32),
                         word[at_g].astype(np.uint32), own[some[at_g]].astype(np.int16), trained[g].astype(np.int32),
                         np.diff(np.append(np.searchsorted(at_p, at_g), len(at_p))).astype(np.int32),
@@ -206,29 +200,25 @@ def _send_bigrams(buckets: int, rows: Rows, unigram: _Unigram):
     return send
 
 
-def build_trie(
-    contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, own: np.ndarray, seen: np.ndarray, masses: np.ndarray
-) -> Trie:
+def _share(seen: np.ndarray) -> np.ndarray:
+    """The unigram's share in a context."""
+    return MU / (np.sqrt(seen) + MU)
+
+
+def build_trie(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, own: np.ndarray, seen: np.ndarray) -> Trie:
     """The trie of n-grams sorted by (context, word), all with counts over 0.
 
-    ``own`` holds the words' unigram logarithms in units, ``seen`` and ``masses`` for each n-gram its context's count over all
-    classes and the unigram mass of its class.
+    ``own`` holds the words' unigram logarithms in units, ``seen`` for each n-gram its context's count.
     """
     start = np.flatnonzero(np.diff(contexts, prepend=-1))
     if not len(start):
         return Trie(Trie.build(contexts, words, counts, counts))
-    length = np.diff(np.append(start, len(contexts)))
-    total, once, twice = (np.add.reduceat(x.astype(np.float64), start) for x in (counts, counts == 1, counts == 2))
-    discount = (once + 0.5) / (once + 2 * twice + 0.55)
-    mass = masses[start]
-    within = (total + mass) / (seen[start] + 1)
-    left = within * discount * length / total / mass
-    spread = lambda x: np.repeat(x, length)
-    p = spread(within / total) * (counts - spread(discount)) + spread(left) * 10.0 ** (own / UNIT)
-    return Trie(Trie.build(contexts, words, _units(np.log10(p)), _units(np.log10(left))))
-
-
-def _score(rows: Rows, unigram: _Unigram):
+    share = _share(seen)
+    p = (1 - share) * counts / seen + share * 10.0 ** (own / UNIT)
+    return Trie(Trie.build(contexts, words, _units(np.log10(p)), _units(np.log10(share[start]))))
+
+
+def _score(rows: Rows):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in by_bucket(batches):
             if isinstance(found, pa.RecordBatch):
@@ -236,20 +226,19 @@ def _score(rows: Rows, unigram: _Unigram):
                 continue
             bucket, held = found
             blocks = [_split(packed, _KINDS) for _, packed in held]
-            held, n_entries = [block for block, _ in held], [len(b[9]) for b in blocks]
-            key, seen, part, split, n_grams, word, own, trained, n_places, doc, times = (np.concatenate(x) for x in zip(*blocks, strict=True))
+            held, n_entries = [block for block, _ in held], [len(b[7]) for b in blocks]
+            key, seen, n_grams, word, own, trained, n_places, doc, times = (np.concatenate(x) for x in zip(*blocks, strict=True))
             del blocks, found
-            mass = unigram.masses(part.astype(np.int64), split.astype(np.int64))
-            key, seen, mass = (np.repeat(x, n_grams) for x in (key, seen, mass))
+            key, seen = (np.repeat(x, n_grams) for x in (key, seen))
             word, own = word.astype(np.int64), own.astype(np.int64)
             # The bigrams of all blocks together make the model.
             order = np.lexsort((word, key))
             first = np.flatnonzero((np.diff(key[order], prepend=-1) != 0) | (np.diff(word[order], prepend=-1) != 0))
             counts = np.add.reduceat(trained[order].astype(np.int64), first)
             at = order[first[counts > 0]]
-            trie = build_trie(key[at], word[at], counts[counts > 0], own[at], seen[at], mass[at])
+            trie = build_trie(key[at], word[at], counts[counts > 0], own[at], seen[at])
             context, place = trie.look_up(key, word)
-            value = own - np.round(UNIT * np.log10(seen + 1.0)).astype(np.int64)  # a class unseen here
+            value = own + _units(np.log10(_share(seen)))  # no successor of the context is placed here
             if trie.contexts.n:
                 value = np.where(context >= 0, trie.backoffs[np.maximum(context, 0)] + own, value)
                 value = np.where(place >= 0, trie.values[np.maximum(place, 0)], value)
@@ -294,15 +283,12 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     read = docs.select(F.col(key).alias("id"), text)
     words = to_buckets(read.mapInArrow(_send_words(buckets, rows), rows.sql)).mapInArrow(_count_words(rows), rows.sql)
     words = stage_table(words)
-    totals = np.zeros(2 << CLASS_BITS, np.int64)
-    by_class = words.where(F.col("totals").isNotNull()).select(F.posexplode("totals").alias("at", "n"))
-    for r in by_class.groupBy("at").agg(F.sum("n").alias("n")).collect():
-        totals[r.at] = r.n
-    unigram = _Unigram(totals)
+    sums = [F.coalesce(F.sum(F.col("totals")[i]), F.lit(0)) for i in (0, 1)]
+    unigram = _Unigram(*words.where(F.col("totals").isNotNull()).agg(*sums).first())
     texts = read.mapInArrow(send_texts(rows), rows.sql)
     blocks = to_blocks(texts.unionAll(words.where(F.col("totals").isNull())))
     bigrams = blocks.mapInArrow(_send_bigrams(buckets, rows, unigram), rows.sql)
-    scored = to_buckets(bigrams).mapInArrow(_score(rows, unigram), rows.sql)
+    scored = to_buckets(bigrams).mapInArrow(_score(rows), rows.sql)
     done = to_blocks(scored).mapInArrow(_finish(rows), rows.sql)
     return done.select(
         F.col("id").alias(key),
