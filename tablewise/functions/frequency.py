@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from ..schema import as_double, present
 from .staging import stage_table
@@ -15,6 +16,8 @@ from .staging import stage_table
 CELLS_AT_ONCE = 4_000_000
 #: Most frequent hashes of a column that are broadcast; columns that are looked at together.
 FEW_TIED, COLUMNS_AT_ONCE = 1_000, 50
+#: Most frequent hashes of a column that are compared one by one.
+COMPARED = 8
 #: Characters with which the search for the smallest of many most frequent texts begins.
 FIRST_CHARACTERS = 64
 
@@ -147,54 +150,65 @@ def _smallest_tied(df: DataFrame, inputs: list[Column], counts: DataFrame, best:
     """The smallest of each input's most frequent texts.
 
     Where all values of an input are equally frequent it is the smallest of all. Else the tied hashes pick the rows: they
-    are broadcast if they are few, or meet the beginnings of the texts, of which those that begin like the smallest one
-    are looked at again, further on, until one ends.
+    are compared or broadcast if they are few, or meet the beginnings of the texts, of which those that begin like the
+    smallest one are looked at again, further on, until one ends.
     """
-    texts = lambda ids, upto: F.inline(F.array(*[F.struct(F.lit(i).alias("id"), F.xxhash64(inputs[i]).alias("h"), F.xxhash64(F.lit(1), inputs[i]).alias("g"), upto(i).alias("v")) for i in ids]))
+    pair = lambda i: (F.xxhash64(inputs[i]), F.xxhash64(F.lit(1), inputs[i]))
+    texts = lambda ids, upto: F.inline(F.array(*[F.struct(F.lit(i).alias("id"), pair(i)[0].alias("h"), pair(i)[1].alias("g"), upto(i).alias("v")) for i in ids]))
     smallest = lambda rows: {r["id"]: r["v"] for r in rows.groupBy("id").agg(F.min("v").alias("v")).collect()}
     out: dict[int, str] = {}
-    every = [i for i, r in best.items() if r["n_tied"] == r["n_unique"]]
-    some = [i for i in best if i not in every]
-    few = [i for i in some if best[i]["n_tied"] <= FEW_TIED]
-    many = [i for i in some if i not in few]
-    tied = lambda ids: counts.join(F.broadcast(_levels(df, {i: best[i]["best"] for i in ids})), ["id", "best"]).select("id", "tied").mapInArrow(_unpack_tied, "id int, h long, g long")
-    if every:
-        row = df.agg(*[F.min(inputs[i]).alias(f"v{i}") for i in every]).first()
-        out |= {i: row[f"v{i}"] for i in every}
+    at_once, few, many = {}, {}, []
+    for i, r in best.items():
+        tied = np.frombuffer(b"".join(map(bytes, r["tied"])), np.int64).reshape(-1, 2).tolist()
+        if r["n_tied"] == r["n_unique"]:
+            at_once[i] = inputs[i]
+        elif r["n_tied"] > FEW_TIED:
+            many.append(i)
+        elif len(tied) > COMPARED:
+            few[i] = tied
+        else:
+            h, g = pair(i)
+            found = reduce(Column.__or__, [(h == x) & (g == y) for x, y in tied])
+            at_once[i] = F.when(found, inputs[i])
+    if at_once:
+        row = df.agg(*[F.min(x).alias(f"v{i}") for i, x in at_once.items()]).first()
+        out |= {i: row[f"v{i}"] for i in at_once}
+    spark = df.sparkSession
     for at in range(0, len(few), COLUMNS_AT_ONCE):  # so many broadcast rows at most
-        ids = few[at : at + COLUMNS_AT_ONCE]
-        out |= smallest(df.select(texts(ids, lambda i: inputs[i])).join(F.broadcast(tied(ids)), ["id", "h", "g"], "left_semi"))
+        some = dict(list(few.items())[at : at + COLUMNS_AT_ONCE])
+        tied = spark.createDataFrame([(i, *p) for i, pairs in some.items() for p in pairs], "id int, h long, g long")
+        out |= smallest(df.select(texts(some, lambda i: inputs[i])).join(F.broadcast(tied), ["id", "h", "g"], "left_semi"))
+    if many:
+        levels = spark.createDataFrame([(i, best[i]["best"]) for i in many], "id int, best long")
+        tied = stage_table(counts.join(F.broadcast(levels), ["id", "best"]).select("id", "tied").mapInArrow(_unpack_tied, "id int, h long, g long"))
     seen, size = dict.fromkeys(many, ""), FIRST_CHARACTERS
     while many:
         begins = lambda i: F.when(F.startswith(inputs[i], F.lit(seen[i])), F.substring(inputs[i], 1, size))  # noqa: E731, B023
-        rows = df.select(texts(many, begins)).where("v IS NOT NULL").distinct().join(tied(many), ["id", "h", "g"], "left_semi")
-        seen = smallest(rows)
+        rows = df.select(texts(many, begins)).where("v IS NOT NULL").distinct()
+        seen = smallest(rows.join(tied, ["id", "h", "g"], "left_semi"))
         # A beginning shorter than was asked for is a whole text.
         out |= {i: v for i, v in seen.items() if len(v) < size}
         many, size = [i for i in many if i not in out], 4 * size
     return out
 
 
-def _levels(df: DataFrame, levels: dict[int, int]) -> DataFrame:
-    return df.sparkSession.createDataFrame(list(levels.items()), "id int, best long")
-
-
 def summarise_texts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: rows, missing, distinct values (as texts) and the smallest most frequent one, with its count."""
     inputs = [present(df, c).cast("string") for c in columns]
-    counts = stage_table(_cell_counts(df, inputs))
-    top = counts.groupBy("id").agg(
-        F.sum("n").alias("n"), F.sum("n_unique").alias("n_unique"), F.max("best").alias("best")
-    )
-    level = counts.join(top.select("id", "best"), ["id", "best"], "left_semi").groupBy("id").agg(F.sum("n_tied").alias("n_tied"))
-    found = {r["id"]: r for r in top.join(level, "id").collect()}  # one row for each column
+    counts = _cell_counts(df, inputs)
+    of_input = Window.partitionBy("id")
+    top = counts.select("id", "best", "n_tied", "tied", F.sum("n").over(of_input).alias("n"), F.sum("n_unique").over(of_input).alias("n_unique"), F.max("best").over(of_input).alias("_top"))
+    level = top.where(F.col("best") == F.col("_top")).withColumn("_tied", F.sum("n_tied").over(of_input))
+    known = F.when((F.col("_tied") <= FEW_TIED) & (F.col("_tied") < F.col("n_unique")), F.col("tied"))
+    rows = level.groupBy("id", "n", "n_unique", "best").agg(F.sum("n_tied").alias("n_tied"), F.collect_list(known).alias("tied"))
+    found = {r["id"]: r for r in rows.collect()}  # one row for each column, with few hashes
     n_rows = found.pop(len(columns))["n"] if len(columns) in found else 0
     modes_ = _smallest_tied(df, inputs, counts, found)
-    rows = []
+    out = []
     for i, c in enumerate(columns):
         r = found.get(i)
-        rows.append((c, n_rows, n_rows - (r["n"] if r else 0), r["n_unique"] if r else 0, modes_.get(i), r["best"] if r else 0))
-    return df.sparkSession.createDataFrame(rows, "column string, n_rows bigint, n_missing bigint, n_unique bigint, mode string, mode_count bigint")
+        out.append((c, n_rows, n_rows - (r["n"] if r else 0), r["n_unique"] if r else 0, modes_.get(i), r["best"] if r else 0))
+    return df.sparkSession.createDataFrame(out, "column string, n_rows bigint, n_missing bigint, n_unique bigint, mode string, mode_count bigint")
 
 
 def modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:

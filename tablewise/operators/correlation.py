@@ -17,7 +17,7 @@ TOP_PAIRS = 5  # fixed value
 CONSTANT = 1e-14  # a deviation below this share of the mean is rounding
 GUESS_ROWS = 256  # rows from which numbers near the columns are guessed
 FAR = 1e4  # a mean this many variances away takes the guess's place
-NATIVE_COLUMNS = 5  # up to this width one compiled aggregate holds all sums
+NATIVE_COLUMNS = 5  # up to this width one compiled aggregate holds all pairs
 SCHEMA = "var1 string, var2 string, correlation double, abs_correlation double"
 
 Pairs = dict[tuple[str, str], float | None]
@@ -30,22 +30,18 @@ def _first_guess(values: DataFrame) -> np.ndarray:
     return np.array([sum(x) / len(x) if x else 0.0 for x in filled])
 
 
-def _native_products(values: DataFrame, shift: np.ndarray) -> np.ndarray:
-    """The sums of ``_products`` of few columns, from one aggregate."""
-    names = values.columns
-    x = [F.col(c) - F.lit(float(m)) for c, m in zip(names, shift, strict=True)]
-    places = [(a, b) for a in range(len(names)) for b in range(len(names))]
-    sums = []
-    for a, b in places:
-        mine = x[a] if a == b else F.when(F.col(names[b]).isNotNull(), x[a])
-        sums += [F.count(mine), F.sum(mine), F.sum(mine * mine), *([F.sum(x[a] * x[b])] if a < b else [])]
-    row = iter(values.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first())
-    total = np.zeros((4, len(names), len(names)))
-    for a, b in places:
-        total[:3, a, b] = [next(row) or 0.0 for _ in range(3)]
-        if a < b:
-            total[3, a, b] = total[3, b, a] = next(row) or 0.0
-    return total
+def _native(values: DataFrame, names: list[str]) -> Pairs:
+    """The coefficients of few columns from one compiled aggregate; each pair's deviations are those of its common rows."""
+    pairs = list(combinations(range(len(names)), 2))
+    spread = lambda i, j: F.stddev_pop(F.when(F.col(f"x{j}").isNotNull(), F.col(f"x{i}")))
+    cells = [c for i, j in pairs for c in (F.covar_pop(f"x{i}", f"x{j}"), spread(i, j), spread(j, i))]
+    row = values.agg(*[c.alias(f"r{k}") for k, c in enumerate(cells)]).first()
+    out: Pairs = {}
+    for k, (i, j) in enumerate(pairs):
+        together, a, b = row[3 * k : 3 * k + 3]
+        r = together / a / b if a and b else math.nan
+        out[names[i], names[j]] = max(-1.0, min(1.0, r)) if math.isfinite(r) else None
+    return out
 
 
 def _products(shift: np.ndarray):
@@ -72,8 +68,6 @@ def _products(shift: np.ndarray):
 
 def _sums(values: DataFrame, shift: np.ndarray) -> np.ndarray:
     width = len(shift)
-    if width <= NATIVE_COLUMNS:
-        return _native_products(values, shift)
     sums = values.mapInArrow(_products(shift), "a int, n array<double>, s array<double>, q array<double>, p array<double>")
     cells = sums.select("a", F.posexplode(F.arrays_zip("n", "s", "q", "p")).alias("b", "t"))
     total = np.zeros((4, width, width))
@@ -85,8 +79,9 @@ def _sums(values: DataFrame, shift: np.ndarray) -> np.ndarray:
 def pearson_values(df: DataFrame, inputs: dict[str, Column]) -> Pairs:
     """Pairwise-complete Pearson coefficients; ``None`` where a column does not vary.
 
-    One formula at every width: a pass adds up the products of all pairs, less numbers near the columns, over the rows
-    that both columns fill. Where a number proves far from its column, the column's mean takes its place and the pass is
+    Both ways work with deviations from a number near the column: Spark's aggregate with those from the running mean, for
+    few columns; for many, a pass adds up the products of all pairs, less numbers near the columns, over the rows that
+    both columns fill. Where a number proves far from its column, the column's mean takes its place and the pass is
     repeated. Only matrices of the columns' number leave a task.
     """
     names = list(inputs)
@@ -94,6 +89,8 @@ def pearson_values(df: DataFrame, inputs: dict[str, Column]) -> Pairs:
         return {}
     values = df.select(*[inputs[c].cast("double").alias(f"x{i}") for i, c in enumerate(names)])
     shift = _first_guess(values)
+    if len(names) <= NATIVE_COLUMNS:
+        return _native(values.select(*[(F.col(c) - F.lit(float(m))).alias(c) for c, m in zip(values.columns, shift, strict=True)]), names)
     for _ in range(3):
         n, s, q, p = _sums(values, shift)
         with np.errstate(divide="ignore", invalid="ignore"):
