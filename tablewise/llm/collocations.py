@@ -28,9 +28,9 @@ from ..functions.lookup import attach
 from ..functions.staging import stage_table
 
 #: About how many characters of one language make a block.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 #: Suffixes that one group's subtree may be built from, before equal ones are added up.
-GROUP_SUFFIXES = 4_000_000
+GROUP_SUFFIXES = 2_000_000
 #: Texts without a language count as this one.
 NO_LANG = "und"
 #: Numbers in one slice, within which counts are accumulated.
