@@ -82,10 +82,10 @@ def shapiro_wilk(rows: DataFrame, group: str, value: str, size: str, mean: str)
     """
     n = F.col(size).cast("double")
     place = F.row_number().over(Window.partitionBy(group).orderBy(value))
-    ranked = rows.select(group, n.alias("n"), (F.col(value) - F.col(mean)).alias("c"), place.alias("i"))
+    ranked = rows.select(F.col(group).alias("_group"), n.alias("n"), (F.col(value) - F.col(mean)).alias("c"), place.alias("i"))
     ranked = ranked.withColumn("m", normal_quantile((F.col("i") - 0.375) / (F.col("n") + 0.25)))
     at = lambda k, x: F.max(F.when(F.col("i") == k, F.col(x)))
-    sums = ranked.groupBy(group).agg(
+    sums = ranked.groupBy("_group").agg(
         F.first("n").alias("n"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.sum(F.col("m") * F.col("c")).alias("mc"), F.sum(F.col("c") * F.col("c")).alias("cc"),
         F.max("m").alias("m1"), at(F.col("n") - 1, "m").alias("m2"), (F.max("c") - F.min("c")).alias("d1"), (at(F.col("n") - 1, "c") - at(2, "c")).alias("d2"),
     )
@@ -106,4 +106,4 @@ def shapiro_wilk(rows: DataFrame, group: str, value: str, size: str, mean: str)
     steps = steps.withColumn("z", F.when(n > 11, large).when(y < gamma, small))
     three = F.least(F.greatest(6.0 / math.pi * (F.asin(F.sqrt(w)) - math.asin(math.sqrt(0.75))), F.lit(0.0)), F.lit(1.0))
     p = F.when(w.isNull(), 0.0).when(n == 3, three).when(w >= 1.0, 1.0).when(z.isNull(), 0.0).otherwise(normal_tail(z))
-    return steps.select(group, n.cast("long").alias("n"), "w", p.alias("p"))
+    return steps.select(F.col("_group").alias(group), n.cast("long").alias("n"), "w", p.alias("p"))

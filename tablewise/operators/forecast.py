@@ -95,7 +95,9 @@ def _forest(lagged: DataFrame, keys: list[str], horizon: int) -> tuple[DataFrame
     placed = scales.orderBy(*named).withColumn("_place", F.monotonically_increasing_id().cast("double"))
     series = stage_table(placed.withColumn("_sd", F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)))
     scaled = lambda x: (x - F.col("_mean")) / F.col("_sd")
-    features = lambda recent: array_to_vector(F.array(*recent, sum(recent[1:], recent[0]) / 3.0, F.col("_place")))
+    # Rounded, as the last digits of a mean tell the order of its summands, which a tree would learn.
+    whole = lambda x: F.round(x, 9)
+    features = lambda recent: array_to_vector(F.array(*map(whole, recent), whole(sum(recent[1:], recent[0]) / 3.0), F.col("_place")))
     rows = lagged.join(series.drop("_recent"), keys)
     data = rows.select("*", scaled(F.col("y")).alias("_y"), features([scaled(F.col(c)) for c in LAGS]).alias("_x"))
     forest = RandomForestRegressor(
