@@ -1,13 +1,15 @@
 """Main text of web pages by template deduction on equivalence classes of tokens.
 
-1. Each page becomes tokens: its tags, told apart by the path of elements above them, and its runs of text under
-   their paths. Parts that are no article by their own markup (menus, forms, scripts, adverts, comments ...) are no
-   candidates for text, but their tokens count.
-2. Over the pages of a host, a token's occurrence vector says how often each page has it. Tokens with the same vector
-   form an equivalence class; a class that (nearly) all pages of the host hold and that has several tokens is
-   valid. Valid classes nest along the paths into the host's template.
-3. Runs of text that belong to the template are the host's, not the page's. The other runs fill its slots: those
-   inside the article (or, without one, all candidates) are the page's text.
+1. Each page becomes tokens: its elements, told apart by the path of elements above them (names and classes, without numbers
+   that are a page's own), and its runs of text under their paths.
+2. Over the pages of a host, a token's occurrence vector says which pages hold it. Tokens with the same vector form an
+   equivalence class. A class of an element and texts that two or more different pages hold is valid, whatever other
+   pages of the host hold: two layouts have two classes. Paths nest the classes into the host's template.
+3. A place of the template whose texts all are in the class of its element is filled by the template. A place with any
+   other text is a slot, and all its texts are the page's own, also those that two pages share.
+4. The page's text is what fills the slots inside the article (or, without one, the slots outside menus and the like). What
+   the HTML standard keeps out of an article (menus, forms, scripts ...) is no candidate; adverts and readers' comments
+   are told by their names, as their texts fill slots, too.
 
 Vectors are compared by sums of hashes, so a host of any size is aggregated in parts and its pages are never gathered.
 """
@@ -26,15 +28,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.staging import stage_table
 
-#: Share of a host's pages that hold a valid class, at least, and different pages that a template needs.
-SUPPORT = 0.95
-MIN_PAGES = 10
-#: Tokens of a valid class, at least.
-CLASS_TOKENS = 2
 #: Parts in which the pages of a host meet its template, of which each part gets a copy.
 PARTS = 64
 
-# Markup that is no article (fixed values of the HTML standard, and usual names).
+# Markup that is no article (fixed values of the HTML standard, and usual names where there is no article).
 RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 INLINE = (
@@ -52,6 +49,8 @@ NAMES = re.compile(
 )
 #: Names that say so outside an article only: inside, they hold its heading.
 PAGE_NAMES = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.IGNORECASE)
+#: Whole classes and ids of what an article may hold of others: adverts and readers' comments.
+INSIDE_NAMES = {"ad", "ads", "advert", "advertisement", "adsense", "sponsored", "comments", "comment-list", "commentlist", "respond", "disqus_thread"}
 # Elements that end an open one of the same kind.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -60,30 +59,51 @@ _LEX = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>(?:
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-def _is_apart(name: str, attributes: str, in_article: bool) -> bool:
+# Numbers in classes and ids that may be a page's own: "post-17", but not "x1" among classes.
+_OWN_NUMBER = {"class": re.compile(r"(?<=[_-])[0-9]+"), "id": re.compile(r"[0-9]+")}
+
+
+def _attributes(text: str) -> dict[str, str]:
+    if not text.strip("/ \t\n\r\f"):
+        return {}
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)}
+
+
+def _kind(name: str, values: dict[str, str]) -> str:
+    """What tells an element from its siblings: its name, classes and id, without numbers of the page's own."""
+    if name in ("html", "body", *ARTICLE):
+        return name
+    classes = sorted({_OWN_NUMBER["class"].sub("#", x) for x in values.get("class", "").split()})
+    return " ".join([name, *classes, _OWN_NUMBER["id"].sub("#", values.get("id", ""))])
+
+
+def _is_apart(name: str, values: dict[str, str], in_article: bool) -> bool:
     """Whether an element and all below it is no article by its own markup."""
     if name == "header" and in_article:
         return False
     if name in NO_ARTICLE:
         return True
-    if not attributes.strip() or name in ("html", "body", *ARTICLE):
+    if not values or name in ("html", "body", *ARTICLE):
         return False
-    values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if values.get("role", "").lower() in ROLES or "hidden" in values:
         return True
     named = [values.get(k, "") for k in ("class", "id")]
-    return any(NAMES.search(x) or (not in_article and PAGE_NAMES.search(x)) for x in named)
+    if in_article:
+        return not INSIDE_NAMES.isdisjoint(" ".join(named).lower().split())
+    return any(NAMES.search(x) or PAGE_NAMES.search(x) for x in named)
 
 
-def page_tokens(html: str) -> tuple[list[tuple[int, int, bool]], list[tuple[str, int, bool]]]:
+def page_tokens(html: str) -> tuple[list[tuple[int, int, bool]], list[tuple[str, int, bool, bool]]]:
     """Tokens of a page in order, and its candidate runs of text.
 
-    Tokens are ``(token, parent, is text)``, hashes of what stands under which path; runs are ``(text, token, in an article)``.
+    Tokens are ``(token, place, is text)``, hashes of what stands under which path: an element is its own place, a text
+    stands at the one around it. Runs are ``(text, place, in an article, plain)``, plain being what no element with a
+    class or id sets off from the rest of its article.
     """
-    # An open element: name, token, whether it or one around it is apart, whether it lies in an article.
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    # An open element: name, token, whether it or one around it is apart, lies in an article, is set off there.
+    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
     tokens: list[tuple[int, int, bool]] = []
-    runs: list[tuple[str, int, bool]] = []
+    runs: list[tuple[str, int, bool, bool]] = []
     held: list[str] = []
 
     def close() -> str:
@@ -99,7 +119,7 @@ def page_tokens(html: str) -> tuple[list[tuple[int, int, bool]], list[tuple[str,
             token = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), level[1]) >> 1
             tokens.append((token, level[1], True))
             if not stack[-1][2]:
-                runs.append((text, token, level[3]))
+                runs.append((text, level[1], level[3], level[3] and not level[4]))
 
     at, last, opened = 0, html.rfind(">"), Counter()
     while match := _LEX.match(html, at) if at <= last else None:
@@ -132,14 +152,16 @@ def page_tokens(html: str) -> tuple[list[tuple[int, int, bool]], list[tuple[str,
             if stack[-1][0] in CLOSES.get(name, ()) or (stack[-1][0] == "p" and name not in VOID):
                 close()
         parent = stack[-1]
-        kept = "class" if "class" in match[3] else ""
-        token = xxhash.xxh64_intdigest(f"<{name} {match[3].strip() if kept else ''}>", parent[1]) >> 1
+        values = _attributes(match[3])
+        token = xxhash.xxh64_intdigest(f"<{_kind(name, values)}>", parent[1]) >> 1
         if name not in INLINE:
-            tokens.append((token, parent[1], False))
+            tokens.append((token, token, False))
         if name in VOID or match[3].endswith("/"):
             continue
-        in_article = parent[3] or (name in ARTICLE and not parent[2])
-        stack.append((name, token, parent[2] or _is_apart(name, match[3], in_article), in_article))
+        opens = name in ARTICLE and not parent[2]
+        in_article = parent[3] or opens
+        set_off = not opens and (parent[4] or "class" in values or "id" in values)
+        stack.append((name, token, parent[2] or _is_apart(name, values, in_article), in_article, set_off))
         opened[name] += 1
         if name in RAW:
             end = re.compile(f"</{name}", re.IGNORECASE).search(html, at)
@@ -151,8 +173,8 @@ def page_tokens(html: str) -> tuple[list[tuple[int, int, bool]], list[tuple[str,
     return tokens, runs
 
 
-_TOKENS = pa.list_(pa.struct([("token", pa.int64()), ("parent", pa.int64()), ("is_text", pa.bool_()), ("n", pa.int32())]))
-_RUNS = pa.list_(pa.struct([("text", pa.string()), ("token", pa.int64()), ("main", pa.bool_())]))
+_TOKENS = pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int64()), ("is_text", pa.bool_())]))
+_RUNS = pa.list_(pa.struct([("text", pa.string()), ("place", pa.int64()), ("main", pa.bool_()), ("plain", pa.bool_())]))
 
 
 def _parse(id_type: pa.DataType):
@@ -165,16 +187,13 @@ def _parse(id_type: pa.DataType):
                 for row in batch.slice(at, 200).to_pylist():
                     html = row["html"] or ""
                     tokens, runs = page_tokens(html)
-                    counts: dict[tuple[int, int, bool], int] = {}
-                    for token in tokens:
-                        counts[token] = counts.get(token, 0) + 1
                     out.append(
                         {
                             "id": row["id"],
                             "url": row["url"],
                             "page": xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass")) >> 1,
-                            "tokens": [{"token": t, "parent": p, "is_text": x, "n": n} for (t, p, x), n in counts.items()],
-                            "runs": [{"text": t, "token": k, "main": m} for t, k, m in runs],
+                            "tokens": [{"token": t, "place": p, "is_text": x} for t, p, x in dict.fromkeys(tokens)],
+                            "runs": [{"text": t, "place": k, "main": m, "plain": q} for t, k, m, q in runs],
                         }
                     )
                 yield pa.RecordBatch.from_pylist(out, schema)
@@ -187,59 +206,54 @@ def parsed_pages(pages: DataFrame, html: str = "html", url: str = "url", key: st
     kind = pages.schema[key].dataType
     parsed = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(
         _parse(to_arrow_type(kind)),
-        f"id {kind.simpleString()}, url string, page long, tokens array<struct<token:long,parent:long,is_text:boolean,n:int>>, "
-        "runs array<struct<text:string,token:long,main:boolean>>",
+        f"id {kind.simpleString()}, url string, page long, tokens array<struct<token:long,place:long,is_text:boolean>>, "
+        "runs array<struct<text:string,place:long,main:boolean,plain:boolean>>",
     )
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)", 1))
     return parsed.withColumn("host", host)
 
 
 def host_templates(parsed: DataFrame) -> DataFrame:
-    """``(host, token, parent, is_text, class)``: the tokens of each host's template, as valid nested classes."""
-    pages = parsed.groupBy("host", "page").agg(F.count(F.lit(1)).alias("n")).groupBy("host").agg(
-        F.count(F.lit(1)).alias("different"), F.sum("n").alias("pages")
-    )
+    """``(host, place, class, filled)``: the places that two or more different pages of a host hold.
+
+    ``class`` is the element's equivalence class; ``filled`` says that all texts of the place are in it, too.
+    """
     each = parsed.select("host", "page", F.inline("tokens"))
-    # Equal sums of two 31-bit hashes of (page, count) over all pages: equal vectors.
-    part = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "page", "n"), F.lit((1 << 31) - 1)))
-    vectors = each.groupBy("host", "token", "parent", "is_text").agg(
-        part(1).alias("v1"), part(2).alias("v2"), F.count(F.lit(1)).alias("support")
+    # Equal sums of two 31-bit hashes of the pages that hold a token: equal vectors.
+    part = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "page"), F.lit((1 << 31) - 1)))
+    vectors = each.groupBy("host", "place", "token", "is_text").agg(
+        part(1).alias("v1"), part(2).alias("v2"), F.count(F.lit(1)).alias("support"), (F.min("page") < F.max("page")).alias("shared")
+    )
+    vector = F.struct("v1", "v2", "support")
+    text = F.when(F.col("is_text"), vector)
+    places = vectors.groupBy("host", "place").agg(
+        F.max(F.when(~F.col("is_text"), vector)).alias("own"),
+        F.bool_or(~F.col("is_text") & F.col("shared")).alias("shared"),
+        F.min(text).alias("_low"),
+        F.max(text).alias("_high"),
     )
-    often = vectors.join(pages, "host").where((F.col("different") >= MIN_PAGES) & (F.col("support") >= SUPPORT * F.col("pages")))
-    often = stage_table(often.select("host", "token", "parent", "is_text", F.xxhash64("v1", "v2").alias("class")))
-    valid = often.groupBy("host", "class").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= CLASS_TOKENS)
-    members = often.join(valid.select("host", "class"), ["host", "class"], "left_semi")
-    # A class is nested in the one that holds the element around it; the outermost elements have no parent.
-    parents = members.where(~F.col("is_text")).select("host", F.col("token").alias("parent"))
-    inside = members.join(parents, ["host", "parent"], "left_semi")
-    return members.where(F.col("parent") == 0).unionByName(inside)
+    filled = (F.col("_low") == F.col("own")) & (F.col("_high") == F.col("own"))
+    return places.where("shared").select("host", "place", F.xxhash64("own").alias("class"), F.coalesce(filled, F.lit(False)).alias("filled"))
 
 
 def main_texts(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
     """``key, url, text, n_chars`` of every row: the article's blocks in order, joined by an empty line.
 
-    Null or empty html has the empty text; a null url has no host, and such pages share one template; keys may be null or
-    repeat; pages of hosts with few different pages have no template and keep all runs; an empty table gives an
-    empty result; other columns are not looked at.
+    Inside an article only places that a class or id sets off can belong to the template: plain headings and paragraphs are
+    the article. Where the template fills all that a page has (copies of one page), nothing is left to tell them by, and all
+    candidates stay. Null or empty html has the empty text; a null url has no host, and such pages share one template; keys
+    may be null or repeat; the page of a host with no other page has no template and keeps all candidates; an
+    empty table gives an empty result; other columns are not looked at.
     """
     parsed = stage_table(parsed_pages(pages, html, url, key))
-    template = (
-        host_templates(parsed)
-        .where("is_text")
-        .groupBy("host")
-        .agg(F.collect_set("token").alias("template"))
-    )
+    template = host_templates(parsed).where("filled").groupBy("host").agg(F.collect_set("place").alias("template"))
     copies = template.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     part = F.pmod(F.xxhash64("page", "id"), F.lit(PARTS)).cast("int")
-    marked = parsed.select("id", "url", "host", "runs", part.alias("_part")).join(copies, ["host", "_part"], "left")
-    slots = F.when(F.col("template").isNull(), F.col("runs")).otherwise(
-        F.filter("runs", lambda r: ~F.array_contains(F.col("template"), r["token"]))
-    )
-    in_article = F.filter("_slots", lambda r: r["main"])
-    has_article = F.exists("runs", lambda r: r["main"])
-    text = F.array_join(F.transform(F.when(has_article, in_article).otherwise(F.col("_slots")), lambda r: r["text"]), "\n\n")
-    return (
-        marked.withColumn("_slots", slots)
-        .select(F.col("id").alias(key), F.col("url").alias(url), text.alias("text"))
-        .withColumn("n_chars", F.char_length("text").cast("long"))
-    )
+    article = F.filter("runs", lambda r: r["main"])
+    candidates = F.when(F.size(article) > 0, article).otherwise(F.col("runs"))
+    rows = parsed.select("id", "url", "host", candidates.alias("_runs"), part.alias("_part")).join(copies, ["host", "_part"], "left")
+    slots = F.filter("_runs", lambda r: r["plain"] | F.coalesce(~F.array_contains("template", r["place"]), F.lit(True)))
+    kept = F.when(F.size(slots) > 0, slots).otherwise(F.col("_runs"))
+    return rows.select(
+        F.col("id").alias(key), F.col("url").alias(url), F.array_join(F.transform(kept, lambda r: r["text"]), "\n\n").alias("text")
+    ).withColumn("n_chars", F.char_length("text").cast("long"))
