@@ -30,6 +30,8 @@ from ..functions.staging import stage_table
 
 #: Parts in which the pages of a host meet its template, of which each part gets a copy.
 PARTS = 64
+#: Places of templates (a host's 32 characters and a number) that are broadcast at most; more are joined in parts of hosts.
+PLACES_AT_ONCE = 200_000
 
 # Markup that is no article (fixed values of the HTML standard, and usual names where there is no article).
 RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript")
@@ -202,7 +204,7 @@ def _parse(id_type: pa.DataType):
 
 
 def parsed_pages(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
-    """``(id, url, page, tokens, runs, host)``; ``page`` stands for the whole html, the host of a null url is empty."""
+    """``(id, url, page, tokens, runs, host)``; ``page`` stands for the whole html, ``host`` for the url's host (null: an empty one)."""
     kind = pages.schema[key].dataType
     parsed = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(
         _parse(to_arrow_type(kind)),
@@ -210,7 +212,7 @@ def parsed_pages(pages: DataFrame, html: str = "html", url: str = "url", key: st
         "runs array<struct<text:string,place:long,main:boolean,plain:boolean>>",
     )
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)", 1))
-    return parsed.withColumn("host", host)
+    return parsed.withColumn("host", F.md5(host))
 
 
 def host_templates(parsed: DataFrame) -> DataFrame:
@@ -246,12 +248,17 @@ def main_texts(pages: DataFrame, html: str = "html", url: str = "url", key: str
     empty table gives an empty result; other columns are not looked at.
     """
     parsed = stage_table(parsed_pages(pages, html, url, key))
-    template = host_templates(parsed).where("filled").groupBy("host").agg(F.collect_set("place").alias("template"))
-    copies = template.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    filled = stage_table(host_templates(parsed).where("filled").select("host", "place"))
+    template = filled.groupBy("host").agg(F.collect_set("place").alias("template"))
     part = F.pmod(F.xxhash64("page", "id"), F.lit(PARTS)).cast("int")
     article = F.filter("runs", lambda r: r["main"])
     candidates = F.when(F.size(article) > 0, article).otherwise(F.col("runs"))
-    rows = parsed.select("id", "url", "host", candidates.alias("_runs"), part.alias("_part")).join(copies, ["host", "_part"], "left")
+    rows = parsed.select("id", "url", "host", candidates.alias("_runs"), part.alias("_part"))
+    if filled.count() <= PLACES_AT_ONCE:
+        rows = rows.join(F.broadcast(template), "host", "left")
+    else:
+        copies = template.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        rows = rows.join(copies, ["host", "_part"], "left")
     slots = F.filter("_runs", lambda r: r["plain"] | F.coalesce(~F.array_contains("template", r["place"]), F.lit(True)))
     kept = F.when(F.size(slots) > 0, slots).otherwise(F.col("_runs"))
     return rows.select(

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import pytest
+
 from tablewise.llm import pages
 
 SCHEMA = "page_id long, url string, html string"
@@ -67,7 +69,9 @@ def test_template_inside_articles(spark):
     assert texts(spark, rows) == want == plain_texts(rows)
 
 
-def test_against_plain_deduction(spark):
+@pytest.mark.parametrize("places", [0, 1000])
+def test_against_plain_deduction(spark, monkeypatch, places):
+    monkeypatch.setattr(pages, "PLACES_AT_ONCE", places)
     draw = random.Random(7)
     rows = []
     for i in range(120):
