@@ -6,6 +6,10 @@ a second pass stores the postings of those terms (document, position, and the wo
 offset-adjusted lists of a window's rarest terms are intersected, and what is left is compared with
 the whole window. So frequent words are never listed, however many documents they fill.
 
+The same lists give proximity matches: a window is near where all its terms but ``MISSING`` stand at most ``SLACK`` words from
+their places (a word changed, left out, put in, two words swapped). As one more list than terms may be missing is
+stored, each near match has a posting, whose words around it decide.
+
 Documents are known by a 128-bit key of their text: exact copies share their postings, and a
 document without an id is checked like any other.
 """
@@ -23,7 +27,9 @@ from .text import lower_ascii, pinned, text_key
 GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: Words of a window.
 WINDOW = 10
-#: Rarest terms by which a window is looked up.
+#: Terms of a whole window that a proximity match may lack (shorter windows: none), and words that a term may be off its place.
+MISSING, SLACK = 1, 1
+#: Rarest terms by which a window is looked up: more than may be missing.
 RAREST = 2
 #: Terms that one pass over the documents looks for; they are broadcast. More terms take more passes.
 TERMS_A_PASS = 200_000
@@ -64,10 +70,11 @@ def _found(words: DataFrame, terms: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, found)
 
 
-def rarest_terms(docs: DataFrame, windows: DataFrame, rarest: int = RAREST, text: str = "text") -> DataFrame:
+def rarest_terms(docs: DataFrame, windows: DataFrame, rarest: int = RAREST, text: str = "text", missing: int = MISSING) -> DataFrame:
     """``(window_id, term, offset, rank, lists, n)``: where the terms of least corpus frequency stand in each window.
 
-    ``n`` is the frequency; windows with a term that no document holds are left out, as nothing can match them.
+    ``n`` is the frequency, and terms that no document holds have no list; windows with more than ``missing`` places of
+    such terms are left out, as nothing can match them.
     """
     every = windows.select("window_id", F.posexplode("terms").alias("offset", "term"))
     words = pinned(docs.select(text), _w=split_terms(F.col(text))).select(F.explode("_w").alias("term"))
@@ -80,9 +87,9 @@ def rarest_terms(docs: DataFrame, windows: DataFrame, rarest: int = RAREST, text
         F.coalesce("n", F.lit(0)).alias("n"),
         F.row_number().over(of_window.orderBy(F.coalesce("n", F.lit(0)), "offset")).alias("rank"),
         F.least(F.count(F.lit(1)).over(of_window), F.lit(rarest)).alias("lists"),
-        F.min(F.coalesce("n", F.lit(0))).over(of_window).alias("_least"),
+        F.count_if(F.col("n").isNull()).over(of_window).alias("_none"),
     )
-    return ranked.where((F.col("rank") <= rarest) & (F.col("_least") > 0)).drop("_least")
+    return ranked.where((F.col("rank") <= rarest) & (F.col("_none") <= missing) & (F.col("n") > 0)).drop("_none")
 
 
 def build_index(docs: DataFrame, terms: DataFrame, reach: int, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -110,8 +117,13 @@ def build_index(docs: DataFrame, terms: DataFrame, reach: int, text: str = "text
     )
 
 
-def _shifted(index: DataFrame, windows: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
-    """Each posting as the start of the windows that it may belong to; ``exact`` once the whole window is there."""
+def window_matches(index: DataFrame, windows: DataFrame, seeds: DataFrame, reach: int, whole: int = WINDOW) -> DataFrame:
+    """``(doc, window_id, start, length, phrase, near)``: where a document holds a window in a row, or nearly.
+
+    For phrases the lists of a window's rarest terms are intersected on (document, window, start); the posting of the rarest
+    one has seen the whole window. Near windows are decided at any of their postings: at some shift of the window by
+    at most ``SLACK`` words, all its terms but ``MISSING`` (of windows of ``whole`` words) are at most ``SLACK`` words off.
+    """
     postings = index.where(F.col("position") >= 0).select("doc", "term", "position", "near")
     plan = stage_table(seeds.join(windows.select("window_id", "terms"), "window_id"))
     blocks = -(-plan.count() // (RAREST * WINDOWS_A_PASS)) or 1
@@ -119,8 +131,15 @@ def _shifted(index: DataFrame, windows: DataFrame, seeds: DataFrame, reach: int)
     found = reduce(DataFrame.unionAll, [postings.join(F.broadcast(part), "term") for part in parts])
     start = F.col("position") - F.col("offset")
     at = F.least("position", F.lit(reach)) - F.col("offset")
-    return (
-        found.where(start >= 0)
+    missing = F.when(F.size("terms") >= whole, F.lit(MISSING)).otherwise(F.lit(0))
+    stands = " OR ".join(f"get(near, _at + d + j + {k}) <=> t" for k in range(-SLACK, SLACK + 1))
+    shifts = ", ".join(str(d) for d in range(-SLACK, SLACK + 1))
+    in_place = F.expr(f"exists(array({shifts}), d -> size(filter(terms, (t, j) -> {stands})) >= size(terms) - _missing)")
+    # Most postings lack several of the window's terms altogether.
+    close = F.size(F.array_except("terms", "near")) <= F.col("_missing")
+    lists = (
+        found.withColumn("_at", at)
+        .withColumn("_missing", missing)
         .select(
             "doc",
             "window_id",
@@ -128,49 +147,16 @@ def _shifted(index: DataFrame, windows: DataFrame, seeds: DataFrame, reach: int)
             "lists",
             start.alias("start"),
             F.size("terms").alias("length"),
-            ((F.col("rank") == 1) & (F.slice("near", at + 1, F.size("terms")) == F.col("terms"))).alias("exact"),
+            ((F.col("rank") == 1) & (start >= 0) & (F.slice("near", F.greatest(F.col("_at"), F.lit(0)) + 1, F.size("terms")) == F.col("terms"))).alias("exact"),
+            F.when(close, in_place).otherwise(F.lit(False)).alias("near"),
         )
+        .where((F.col("rank") > 1) | F.col("exact") | F.col("near"))
     )
-
-
-def phrase_matches(index: DataFrame, windows: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
-    """``(doc, window_id, start, length)``: where a document holds a window's words in a row.
-
-    The lists of a window's rarest terms are intersected on (document, window, start); the posting of the
-    rarest one has seen the whole window.
-    """
-    lists = _shifted(index, windows, seeds, reach).where((F.col("rank") > 1) | F.col("exact"))
     together = lists.groupBy("doc", "window_id", "start", "length", "lists").agg(
-        F.bit_or(F.expr("shiftleft(1, rank - 1)")).alias("_ranks"), F.bool_or("exact").alias("exact")
-    )
-    return together.where(F.col("exact") & (F.col("_ranks") == F.expr("shiftleft(1, lists) - 1"))).select(
-        "doc", "window_id", "start", "length"
-    )
-
-
-def proximity_matches(index: DataFrame, windows: DataFrame, seeds: DataFrame, reach: int, slack: int) -> DataFrame:
-    """``(doc, window_id, start, off)``: where the rarest terms of a window stand near their places.
-
-    ``start`` follows from the rarest term; every other listed term stands at most ``slack`` words from where
-    the window has it, ``off`` being the largest distance (0: all in place).
-    """
-    lists = _shifted(index, windows, seeds, reach).dropDuplicates(["doc", "window_id", "rank", "start"])
-    wide = slack + 1
-    cell = F.floor(F.col("start") / wide)
-    lead = lists.where(F.col("rank") == 1).select("doc", "window_id", "lists", "start", cell.alias("_cell"))
-    rest = lists.where(F.col("rank") > 1).select(
-        "doc", "window_id", "rank", F.col("start").alias("_start"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell")
-    )
-    near = lead.join(rest, ["doc", "window_id", "_cell"], "left").withColumn("_off", F.abs(F.col("start") - F.col("_start")))
-    by_term = near.where(F.col("rank").isNull() | (F.col("_off") <= slack)).groupBy("doc", "window_id", "lists", "start", "rank").agg(
-        F.coalesce(F.min("_off"), F.lit(0)).alias("_off")
-    )
-    return (
-        by_term.groupBy("doc", "window_id", "lists", "start")
-        .agg(F.count("rank").alias("_n"), F.max("_off").alias("off"))
-        .where(F.col("_n") == F.col("lists") - 1)
-        .select("doc", "window_id", "start", "off")
+        F.bit_or(F.expr("shiftleft(1, rank - 1)")).alias("_ranks"), F.bool_or("exact").alias("_exact"), F.bool_or("near").alias("near")
     )
+    phrase = F.col("_exact") & (F.col("_ranks") == F.expr("shiftleft(1, lists) - 1"))
+    return together.select("doc", "window_id", "start", "length", phrase.alias("phrase"), "near").where(F.col("phrase") | F.col("near"))
 
 
 def decontaminate(
@@ -182,38 +168,42 @@ def decontaminate(
     item_text: str = "text",
     item_key: str = "item_id",
 ) -> DataFrame:
-    """One row a document: ``key, n_words, n_hit, n_items, items, contaminated``.
+    """One row a document: ``key, n_words, n_hit, n_items, items, contaminated, near_items``.
 
     ``n_hit`` counts the words inside any occurrence of a window of an item, ``items`` holds the keys of
-    the items with such windows, sorted as strings. Null texts and texts without words have no hits; an
+    the items with such windows, sorted as strings, ``near_items`` those with near windows only: a document with
+    these alone is not contaminated. Null texts and texts without words have no hits; an
     item without words has no window; without items nothing is contaminated; equal texts give equal rows
     and repeated rows and null keys stay; other columns are not looked at.
     """
     windows = stage_table(item_windows(items, window, item_text, item_key))
     seeds = stage_table(rarest_terms(docs, windows, RAREST, text))
-    index = stage_table(build_index(docs, seeds, window - 1, text, key))
-    matches = phrase_matches(index, windows, seeds, window - 1)
+    reach = window - 1 + 2 * SLACK
+    index = stage_table(build_index(docs, seeds, reach, text, key))
+    found = stage_table(window_matches(index, windows, seeds, reach, window))
+    matches = found.where("phrase")
     end = F.col("start") + F.col("length")
     before = F.max(end).over(W.partitionBy("doc").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
     spans = matches.groupBy("doc", "start").agg(F.max("length").alias("length"))
     fresh = F.greatest(end - F.greatest(F.col("start"), F.coalesce(before, F.col("start"))), F.lit(0))
     covered = spans.withColumn("_new", fresh).groupBy("doc").agg(F.sum("_new").cast("long").alias("n_hit"))
     held = (
-        matches.select("doc", "window_id")
-        .distinct()
+        found.groupBy("doc", "window_id")
+        .agg(F.bool_or("phrase").alias("phrase"))
         .join(windows.select("window_id", "items"), "window_id")
-        .select("doc", F.explode("items").alias("item"))
+        .select("doc", "phrase", F.explode("items").alias("item"))
         .groupBy("doc")
-        .agg(F.sort_array(F.collect_set("item")).alias("items"))
+        .agg(F.sort_array(F.collect_set(F.when(F.col("phrase"), F.col("item")))).alias("items"), F.collect_set("item").alias("_all"))
     )
     entries = index.where(F.col("position") < 0).select(F.col("id").alias(key), "doc", "n_words")
     none = F.array().cast("array<string>")
-    return entries.join(covered.join(held, "doc"), "doc", "left").select(
+    return entries.join(held.join(covered, "doc", "left"), "doc", "left").select(
         key,
         "n_words",
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
         F.coalesce("items", none).alias("items"),
         F.col("n_hit").isNotNull().alias("contaminated"),
+        F.sort_array(F.coalesce(F.array_except("_all", "items"), none)).alias("near_items"),
     )
 

@@ -64,7 +64,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-#: Words of an item stand in windows of ten; a shorter item is one window.
+#: Words of an item stand in windows of ten; a shorter item is one window. Near windows (all terms but one of ten at most a
+#: word off their places) have one of their two rarest terms.
 _OP7 = r"""
 WITH i AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -85,11 +86,25 @@ hit AS (SELECT r, s, n, item_id FROM dw JOIN iw USING (n, t)),
 word AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hit) GROUP BY r),
 item AS (
   SELECT r, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids
-  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS k FROM hit) GROUP BY r)
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS k FROM hit) GROUP BY r),
+win AS (SELECT DISTINCT n, t, string_split(t, ' ') AS v FROM iw),
+term AS (SELECT n, t, v, o, v[o] AS x FROM (SELECT n, t, v, unnest(range(1, n + 1)) AS o FROM win)),
+word_at AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+frequency AS (SELECT x, count(*) AS f FROM word_at GROUP BY x),
+seed AS (
+  SELECT n, t, v, o, x FROM term LEFT JOIN frequency USING (x)
+  QUALIFY row_number() OVER (PARTITION BY t ORDER BY coalesce(f, 0), o) <= 2),
+start AS (SELECT DISTINCT r, n, t, v, p - o + k AS s FROM (SELECT r, n, t, v, p, o, unnest([-1, 0, 1]) AS k FROM word_at JOIN seed USING (x))),
+near AS (
+  SELECT DISTINCT r, t FROM start JOIN d USING (r)
+  WHERE len(list_filter(range(1, n + 1), lambda j: list_contains(w[greatest(s + j - 1, 1) : greatest(s + j + 1, 0)], v[j]))) >= n - (n // 10)),
+near_item AS (
+  SELECT r, count(*) AS n_near_items, string_agg(k, ',' ORDER BY k) AS near_ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS k FROM near JOIN iw USING (t) EXCEPT SELECT r, CAST(item_id AS VARCHAR) FROM hit) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-  n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN word USING (r) LEFT JOIN item USING (r)
+  n_hit IS NOT NULL AS contaminated, CAST(coalesce(n_near_items, 0) AS BIGINT) AS n_near_items, coalesce(near_ids, '') AS near_ids
+FROM d LEFT JOIN word USING (r) LEFT JOIN item USING (r) LEFT JOIN near_item USING (r)
 """
 
 
@@ -102,7 +117,14 @@ def op6_main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
-        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated"
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        "contaminated",
+        F.size("near_items").cast("long").alias("n_near_items"),
+        F.concat_ws(",", "near_items").alias("near_ids"),
     )
 
 

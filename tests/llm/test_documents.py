@@ -296,16 +296,49 @@ def test_no_items(docs, items):
     assert {r.contaminated for r in got.collect()} == {False}
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "p alpha q beta r"), (2, "alpha q q q beta"), (3, "beta alpha")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "alpha mid beta")], "item_id long, text string")
-    windows = decontaminate.item_windows(items, 3)
-    seeds = windows.selectExpr("window_id", "inline(array(struct('alpha', 0, 1), struct('beta', 2, 2))) AS (term, offset, rank)").selectExpr("*", "2 AS lists", "1 AS n")
-    index = decontaminate.build_index(docs, seeds, 2)
-    near = lambda slack: sorted((r.start, r.off) for r in decontaminate.proximity_matches(index, windows, seeds, 2, slack).collect())
-    assert near(0) == [(1, 0)]
-    assert near(2) == [(0, 2), (1, 0)]
-    assert decontaminate.phrase_matches(index, windows, seeds, 2).count() == 0
+def plain_near(text, items):
+    """Keys of items with a near window but no phrase, by trying every start."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(edge_lower))
+    near, exact = set(), set()
+    for key, item in items:
+        terms = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (item or "").translate(edge_lower))
+        for at in range(max(len(terms) - 9, 1) if terms else 0):
+            v = terms[at : at + 10]
+            for s in range(-len(v) - 1, len(words) + 2):
+                found = sum(any(0 <= s + j + k < len(words) and words[s + j + k] == t for k in (-1, 0, 1)) for j, t in enumerate(v))
+                if found >= len(v) - len(v) // 10:
+                    near.add(str(key))
+                if s >= 0 and words[s : s + len(v)] == v:
+                    exact.add(str(key))
+    return sorted(near - exact)
+
+
+edge_lower = {c: c + 32 for c in range(65, 91)}
+
+
+def test_near_items_equal_brute_force(spark, docs, plain, items):
+    base = [f"w{i}" for i in range(14)]
+    item = " ".join(base[2:12])
+    texts = [
+        " ".join([*base[:6], "other", *base[7:]]),  # a word changed
+        " ".join([*base[:6], *base[7:]]),  # left out
+        " ".join(base[3:12]),  # the first one
+        " ".join(base[2:11]),
+        " ".join([*base[:6], "more", *base[6:]]),  # put in
+        " ".join([*base[:5], base[6], base[5], *base[7:]]),  # swapped
+        " ".join([*base[:5], "a", "b", *base[7:]]),  # two changed: not near
+        " ".join(base),
+        item.upper() + " " + " ".join([*base[2:7], "z", *base[8:12]]),
+        "short one", "one short", "short x one", None, "",
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])] * 3
+    few = [(1, item), (2, " ".join([*base[2:6], "unheard", *base[7:12]])), (3, "short one"), (4, None), (5, " ".join(["unheard", "of", *base[4:12]]))]
+    for table, held in ((spark.createDataFrame(rows, "doc_id long, text string"), few), (docs, [tuple(r) for r in items.collect()])):
+        got = decontaminate.decontaminate(table, spark.createDataFrame(held, "item_id long, text string"))
+        want = sorted((-1 if r.doc_id is None else r.doc_id, plain_near(r.text, held)) for r in table.collect())
+        assert sorted((-1 if r.doc_id is None else r.doc_id, list(r.near_items)) for r in got.collect()) == want
+    near = {r.doc_id: r.near_items for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(few, "item_id long, text string")).collect()}
+    assert [i for i in range(9) if "1" in near[i]] == [0, 1, 2, 3, 4, 5]
 
 
 # 10: substrings
