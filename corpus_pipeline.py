@@ -19,42 +19,66 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows told apart by ``_row``, as ids may be null or repeat. A stored table numbers its rows alike each time it is read."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, or the name behind so many underscores that no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
-def _keep(rows: DataFrame, rejected: DataFrame, docs: DataFrame) -> DataFrame:
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Rows told apart by a new column, and its name, as ids may be null or repeat.
+
+    A stored table numbers its rows alike each time it is read.
+    """
+    row = _free(docs, "_row")
+    return docs.withColumn(row, F.monotonically_increasing_id()), row
+
+
+def _keep(rows: DataFrame, rejected: DataFrame, row: str, docs: DataFrame) -> DataFrame:
     """The rows that are not rejected, with the columns of ``docs``."""
-    return rows.join(stage_table(rejected.select("_row")), "_row", "left_anti").select(docs.columns)
+    return rows.join(stage_table(rejected.select(row)), row, "left_anti").select(docs.columns)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules: documents that they reject go; null texts are rejected as empty ones are."""
-    rows = _numbered(docs)
-    judged = quality.quality_rules(rows, _table(spark, sf_dir, "labels"), row="_row")
-    return _keep(rows, judged.where(~F.col("kept")), docs)
+    """Quality rules: documents that they reject go; null texts are rejected as empty ones are.
+
+    Here and in the other stages ids may be null or repeat, an empty table stays empty, and other columns, whatever
+    their names, stay as they are.
+    """
+    rows, row = _numbered(docs)
+    judged = quality.quality_rules(rows, _table(spark, sf_dir, "labels"), row=row)
+    return _keep(rows, judged.where(~F.col("kept")), row, docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash: of each group of near-duplicates the row with the smallest id stays, of equal rows one."""
-    rows = _numbered(docs).withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    found = simhash.near_duplicates(rows, key="_key")
-    return _keep(rows, found.where(F.col("_key") != F.col("component_id")).select("_key._row"), docs)
+    """SimHash: of each group of near-duplicates the row with the smallest id stays, of equal rows one.
+
+    Null ids come last; null and empty texts are alike and one group.
+    """
+    rows, row = _numbered(docs)
+    key = _free(rows, "_key")
+    rows = rows.withColumn(key, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")))
+    found = simhash.near_duplicates(rows, key=key)
+    return _keep(rows, found.where(F.col(key) != F.col("component_id")).select(F.col(key)["row"].alias(row)), row, docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold a window of a benchmark item go."""
-    rows = _numbered(docs)
-    found = decontaminate.decontaminate(rows, _table(spark, sf_dir, "benchmark"), key="_row")
-    return _keep(rows, found.where("contaminated"), docs)
+    """Benchmark decontamination: documents that hold a window of a benchmark item go; null texts hold none."""
+    rows, row = _numbered(docs)
+    found = decontaminate.decontaminate(rows, _table(spark, sf_dir, "benchmark"), key=row)
+    return _keep(rows, found.where("contaminated"), row, docs)
 
 
 def schedule(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: all documents with their place in the Pfair schedule, as the order of rows is lost when a table is stored."""
-    rows = _numbered(docs.drop(POSITION))
-    place = mixing.mix_sources(rows, key="_row").select("_row", F.col("position").alias(POSITION))
-    return rows.join(place, "_row").drop("_row")
+    """Mixing: all documents with their place in the Pfair schedule, as the order of rows is lost when a table is stored.
+
+    The null source is a source; a column ``mix_position`` that the table brings along is an earlier place and is replaced.
+    """
+    rows, row = _numbered(docs.drop(POSITION))
+    place = mixing.mix_sources(rows, key=row).select(row, F.col("position").alias(POSITION))
+    return rows.join(place, row).drop(row)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,13 +87,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sharding: each document with its shard and its place there. Scheduled documents stand in each shard in the schedule's order."""
-    rows = _numbered(docs)
-    placed = shards.shard_documents(rows, key="_row").select("_row", "shard", "slot")
-    if POSITION not in docs.columns:
-        return rows.join(placed, "_row").select(*docs.columns, "shard", "slot")
-    scheduled = rows.join(placed.drop("slot"), "_row")
-    return shards.slots_in_order(scheduled, POSITION).select(*docs.columns, "shard", "slot")
+    """Sharding: each document with its shard and its place there. Scheduled documents stand in each shard in the schedule's order.
+
+    Null texts are a group of equal texts; a ``mix_position`` that is no bigint is no schedule and stays as it is; columns ``shard`` and ``slot`` that the table brings along are replaced.
+    """
+    rows, row = _numbered(docs.drop("shard", "slot"))
+    columns = [c for c in rows.columns if c != row]
+    placed = shards.shard_documents(rows, key=row).select(row, "shard", "slot")
+    if dict(rows.dtypes).get(POSITION) != "bigint":
+        return rows.join(placed, row).select(*columns, "shard", "slot")
+    scheduled = rows.join(placed.drop("slot"), row)
+    return shards.slots_in_order(scheduled, POSITION).select(*columns, "shard", "slot")
 
 
 STAGES: list[tuple[str, Stage]] = [
