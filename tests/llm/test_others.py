@@ -10,6 +10,8 @@ import pytest
 import xxhash
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from tablewise.llm import blocks, decontaminate, elias_fano, mixing, ngram_lm, pages, quality, queries, shards
 
 from . import edge
@@ -346,6 +348,23 @@ def test_stages_on_edge_cases(spark, sf_dir, docs, plain):
     assert len({(r.shard, r.slot) for r in placed}) == len(plain)
 
 
+def test_stages_keep_columns_with_their_own_names(spark, sf_dir, tmp_path):
+    """Columns named like those that the stages work with, in any case, stay with their rows."""
+    names = "_row _key __ROW component_id kept position number part doc".split()
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60").withColumns({c: F.concat(F.lit(c), "doc_id") for c in names})
+    table.withColumns({"shard": F.lit("x"), "slot": F.lit("y"), "mix_position": F.lit("z")}).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, sf_dir)
+        assert set(found.columns) == set(docs.columns)
+        held = found.collect()
+        assert held and all(r[c] == f"{c}{r.doc_id}" for r in held for c in names)
+        if name == "mixing":
+            assert sorted(r.mix_position for r in held) == list(range(len(held)))
+        if name == "sharding":
+            assert {r.shard for r in held} <= set(range(16))
+
+
 def test_stored_shards_follow_the_schedule(spark, sf_dir, tmp_path, monkeypatch):
     """Sources of 600 and 200 rows under equal weights: in each stored shard both come alike until the small one has run out."""
     monkeypatch.setattr(mixing, "source_weights", lambda rows, source: rows.select(source).distinct().selectExpr(source, "1D AS weight"))
