@@ -22,6 +22,8 @@ from .outliers import iqr_bounds
 
 QUARTILES = [0.25, 0.5, 0.75]
 MAX_PIVOT = 1_000  # widest crosstab spread over columns; the long form has no limit
+#: Cells of a full grid, empty ones included, at most.
+MAX_GRID = 100_000_000
 COLUMNS_PER_JOB = 4
 
 
@@ -212,8 +214,14 @@ def crosstab_wide(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def crosstab_full(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Long contingency table with the empty combinations as 0 rows: the grid of both columns' values."""
+    """Long contingency table with the empty combinations as 0 rows: the grid of both columns' values.
+
+    A grid of more than ``MAX_GRID`` cells is refused; ``crosstab`` has the cells that occur at any size.
+    """
     cells = stage_table(crosstab(df, a, b))
+    n_a, n_b = (cells.select(c).distinct().count() for c in ("a", "b"))
+    if n_a * n_b > MAX_GRID:
+        raise ValueError(f"{a!r} and {b!r} have {n_a} x {n_b} values; use the cells that occur.")
     grid = cells.select("a").distinct().crossJoin(cells.select("b").distinct())  # the result has these rows
     return grid.join(cells, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -605,3 +605,11 @@ def test_full_grid_of_many_values(spark):
     df = spark.createDataFrame([(f"a{i % 3}", f"b{i}") for i in range(1500)], "a string, b string")
     full = describe.crosstab_full(df, "a", "b")
     assert full.count() == 4500 and full.agg(F.sum("n")).first()[0] == 1500
+
+
+def test_full_grids_have_a_size(spark, monkeypatch):
+    df = spark.createDataFrame([(f"a{i}", f"b{i}") for i in range(4)], "a string, b string")
+    assert describe.crosstab_full(df, "a", "b").count() == 16
+    monkeypatch.setattr(describe, "MAX_GRID", 15)
+    with pytest.raises(ValueError, match="4 x 4"):
+        describe.crosstab_full(df, "a", "b")
