@@ -1,9 +1,10 @@
 """Products of average ranks of many columns, with two shuffles at any number of columns.
 
 1. Rows are numbered and taken apart into (column, value, row), which one range partitioning sorts by column and value.
-   A task sees runs of neighbouring values and ranks them in place. Equal values may lie in several tasks, as rows
-   part them: the first and the last value of a run stay open until every task has told their counts.
-2. Ranks return to chunks of rows, packed, one batch for each chunk a task has met. A chunk is a dense table of
+   A task's cells arrive sorted by Spark and are ranked a slab at a time: runs of neighbouring values, whose number of
+   cells is fixed however many a task has. Equal values may lie in several slabs and tasks: the first and the last value
+   of a run stay open until every slab has told their counts.
+2. Ranks return to chunks of rows, packed, one batch for each chunk a slab has met. A chunk is a dense table of
    columns and rows whose size is fixed, and adds its products to the sums of its task.
 
 Two columns are ranked on the rows that both fill. For a column with missing cells each cell carries one bit, and the
@@ -26,16 +27,21 @@ from .staging import stage_table
 #: Cells (columns x row groups x rows) of one chunk, and its rows at most.
 CHUNK_CELLS = 1 << 22
 CHUNK_ROWS = 1 << 16
+#: Cells (times row groups) that Python ranks at once, and cells at least.
+SLAB_CELLS = 1 << 20
+SLAB_LEAST = 1 << 16
+#: Slabs of a task are numbered in this many bits, below the task's own number.
+SLAB_BITS = 32
 #: Bits in one whole number of a row's mask.
 BITS = 62
 
 _RANKED = (
-    "chunk long, part int, col int, at binary, flag binary, twice binary,"
+    "chunk long, part long, col int, at binary, flag binary, twice binary,"
     " first double, last double, total array<bigint>, of_first array<bigint>, of_last array<bigint>"
 )
 _LISTS = pa.list_(pa.int64())
 _RANKED_ARROW = pa.schema(
-    [("chunk", pa.int64()), ("part", pa.int32()), ("col", pa.int32()), ("at", pa.binary()), ("flag", pa.binary()), ("twice", pa.binary()),
+    [("chunk", pa.int64()), ("part", pa.int64()), ("col", pa.int32()), ("at", pa.binary()), ("flag", pa.binary()), ("twice", pa.binary()),
      ("first", pa.float64()), ("last", pa.float64()), ("total", _LISTS), ("of_first", _LISTS), ("of_last", _LISTS)]
 )
 
@@ -60,17 +66,31 @@ def _groups(batch: pa.Table, n_gaps: int) -> np.ndarray:
     return out
 
 
-def _rank(n_gaps: int, shift: int):
+def _slabs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """The cells in the order they come, ``size`` at a time."""
+    held, n = [], 0
+    for batch in batches:
+        while n + batch.num_rows >= size:
+            yield pa.Table.from_batches([*held, batch.slice(0, size - n)])
+            batch, held, n = batch.slice(size - n), [], 0
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _rank(n_gaps: int, shift: int, size: int):
+    """Ranks cells sorted by column and value within each slab of ``size`` cells."""
+
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
+        task = TaskContext.get().partitionId() << SLAB_BITS
+        for slab, table in enumerate(_slabs(batches, size)):
+            yield from rank_slab(task + slab, table)
+
+    def rank_slab(part: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         col, value, row = (table.column(c).to_numpy() for c in ("col", "value", "row"))
-        order = np.lexsort((value, col))
-        col, value, row = col[order], value[order], row[order]
-        inside = _groups(table, n_gaps)[order]
+        inside = _groups(table, n_gaps)
         edges = [0, *(np.flatnonzero(np.diff(col)) + 1).tolist(), len(col)]
         for start, end in zip(edges[:-1], edges[1:], strict=True):
             v, r = value[start:end], row[start:end]
@@ -93,18 +113,19 @@ def _rank(n_gaps: int, shift: int):
             at = (r & ((1 << shift) - 1))[back].astype(np.int32)
             twice, flag = twice[back], flag[back]
             cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
-            rows = [
-                {"chunk": int(chunk[s]), "part": part, "col": int(col[start]), "at": at[s:e].tobytes(), "flag": flag[s:e].tobytes(), "twice": twice[s:e].tobytes()}
-                for s, e in zip(cuts[:-1], cuts[1:], strict=True)
-            ]
-            for i in range(0, len(rows), 200):
-                yield pa.RecordBatch.from_pylist(rows[i : i + 200], _RANKED_ARROW)
+            spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+            for i in range(0, len(spans), 200):
+                rows = [
+                    {"chunk": int(chunk[s]), "part": part, "col": int(col[start]), "at": at[s:e].tobytes(), "flag": flag[s:e].tobytes(), "twice": twice[s:e].tobytes()}
+                    for s, e in spans[i : i + 200]
+                ]
+                yield pa.RecordBatch.from_pylist(rows, _RANKED_ARROW)
 
     return ranked
 
 
 def _corrections(summaries: list) -> tuple[dict, dict[int, np.ndarray]]:
-    """By (task, column): twice what lies before its run, and twice the open ranks (less one); by column: its cells by group."""
+    """By (slab, column): twice what lies before its run, and twice the open ranks (less one); by column: its cells by group."""
     found: dict[tuple[int, int], list[np.ndarray]] = {}
     totals: dict[int, np.ndarray] = {}
     for column, runs in groupby(sorted(summaries, key=lambda r: (r["col"], r["part"])), key=lambda r: r["col"]):
@@ -155,13 +176,14 @@ def _multiply(width: int, gaps: list[int], shift: int, found: dict, n: np.ndarra
 
         current = None
         for batch in batches:
-            for chunk, part, col, at, flag, twice in zip(*(batch.column(c).to_pylist() for c in ("chunk", "part", "col", "at", "flag", "twice")), strict=True):
+            packs = (batch.column(c) for c in ("at", "flag", "twice"))  # one pack at a time leaves Arrow's memory
+            for chunk, part, col, at, flag, twice in zip(*(batch.column(c).to_pylist() for c in ("chunk", "part", "col")), *packs, strict=True):
                 if chunk != current:
                     if current is not None:
                         add()
                     current = chunk
-                at, flag = np.frombuffer(at, np.int32), np.frombuffer(flag, np.uint8)
-                own = np.frombuffer(twice, np.int64).reshape(len(at), -1)
+                at, flag = np.frombuffer(at.as_buffer(), np.int32), np.frombuffer(flag.as_buffer(), np.uint8)
+                own = np.frombuffer(twice.as_buffer(), np.int64).reshape(len(at), -1)
                 before, first, last = found[part, col]
                 own = own + before
                 own[flag == 1] = first
@@ -179,15 +201,17 @@ def _multiply(width: int, gaps: list[int], shift: int, found: dict, n: np.ndarra
 def rank_correlations(df: DataFrame, inputs: list[Column]) -> np.ndarray:
     """Rank correlations of double columns, each pair on the rows that both fill; NaN where a column does not vary there.
 
-    Missing cells are null. What reaches the driver is a few numbers for each task and column, and for each pair of columns.
+    Missing cells are null. What reaches the driver is a few numbers for each slab and column, and for each pair of columns.
     """
     width = len(inputs)
     values = df.select(*[x.alias(f"x{i}") for i, x in enumerate(inputs)])
     counts = [F.struct(F.lit(i).alias("i"), (F.count(c) < F.count(F.lit(1))).alias("gaps")) for i, c in enumerate(values.columns)]
     gaps = sorted(r["i"] for r in sliced_aggregate(values, counts).collect() if r["gaps"])
     shift = min(CHUNK_ROWS, max(1 << 8, CHUNK_CELLS // (width * (1 + len(gaps))))).bit_length() - 1
-    cells = _cells(values, gaps).repartitionByRange("col", "value", "row")
-    ranked = stage_table(cells.mapInArrow(_rank(len(gaps), shift), _RANKED))
+    # Spark sorts, with its disk at hand: Python's memory holds a slab, whatever the size of a partition.
+    cells = _cells(values, gaps).repartitionByRange("col", "value", "row").sortWithinPartitions("col", "value")
+    size = max(SLAB_LEAST, SLAB_CELLS // (1 + len(gaps)))
+    ranked = stage_table(cells.mapInArrow(_rank(len(gaps), shift, size), _RANKED))
     found, totals = _corrections(ranked.where("chunk IS NULL").select("part", "col", "first", "last", "total", "of_first", "of_last").collect())
     group = [1 + gaps.index(c) if c in gaps else 0 for c in range(width)]
     n = np.array([[totals[a][group[b]] if a in totals else 0 for b in range(width)] for a in range(width)], float)

@@ -229,6 +229,32 @@ def test_rank_correlations_of_ties_over_many_tasks(spark, monkeypatch, rows, gap
     assert all(got[k] == pytest.approx(want.loc[k], abs=1e-12) for k in got)
 
 
+@pytest.mark.parametrize("gaps", [0])
+def test_ranks_hold_a_slab_of_a_task(spark, monkeypatch, gaps):
+    """A task with far more cells than a slab ranks no more than a slab at once, and ties over slabs are settled."""
+    monkeypatch.setattr(rank_scatter, "SLAB_CELLS", 64)
+    monkeypatch.setattr(rank_scatter, "SLAB_LEAST", 64)
+    seen = spark.sparkContext.accumulator(0)
+    inner = rank_scatter._groups
+
+    def groups(table, n_gaps):
+        assert table.num_rows <= 64
+        seen.add(1)
+        return inner(table, n_gaps)
+
+    monkeypatch.setattr(rank_scatter, "_groups", groups)
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({f"c{i}": rng.choice([0.0, 1.0, *rng.normal(size=20)], 2000, p=[0.3, 0.3, *[0.02] * 20]) for i in range(3)})
+    for i in range(gaps):
+        pdf.loc[rng.random(2000) < 0.2, f"c{i}"] = np.nan
+    data = [tuple(None if v != v else float(v) for v in r) for r in pdf.itertuples(index=False)]
+    df = spark.createDataFrame(data, "c0 double, c1 double, c2 double").repartition(3)
+    got = {(r["var1"], r["var2"]): r["correlation"] for r in correlation.correlations(df, "spearman").collect()}
+    want = pdf.corr("spearman")
+    assert len(got) == 3 and all(got[a, b] == pytest.approx(want.loc[a, b], abs=1e-12) for a, b in got)
+    assert seen.value >= int(pdf.notna().sum().sum()) // 64
+
+
 def test_rank_correlations_of_nothing(spark):
     empty = spark.createDataFrame([], "a double, b double")
     assert correlation.correlations(empty, "spearman").collect() == []
