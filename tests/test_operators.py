@@ -229,7 +229,7 @@ def test_rank_correlations_of_ties_over_many_tasks(spark, monkeypatch, rows, gap
     assert all(got[k] == pytest.approx(want.loc[k], abs=1e-12) for k in got)
 
 
-@pytest.mark.parametrize("gaps", [0])
+@pytest.mark.parametrize("gaps", [0, 2])
 def test_ranks_hold_a_slab_of_a_task(spark, monkeypatch, gaps):
     """A task with far more cells than a slab ranks no more than a slab at once, and ties over slabs are settled."""
     monkeypatch.setattr(rank_scatter, "SLAB_CELLS", 64)
