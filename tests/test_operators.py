@@ -594,6 +594,27 @@ def test_automl_regression_and_clusters(spark, monkeypatch):
     assert [r["count"] for r in automl.cluster_sizes(clusters, blobs).collect()] == [40, 40, 40]
 
 
+def test_vectors_are_dealt_over_tasks(spark, monkeypatch, tmp_path):
+    """A source of one partition and few bytes leaves no estimator with all rows in one task, and no row is lost."""
+    monkeypatch.setattr(automl, "FILE_BYTES", 50_000)
+    rows = [(float(i % 3 * 100 + i % 5), float(i % 3 * 100 + i % 7)) for i in range(1500)]
+    blobs = frame(spark, rows, "x double, y double").coalesce(1)
+    seen = []
+    inner = automl.stage_table
+
+    def stage_table(df):
+        seen.append(df.rdd.getNumPartitions())
+        return inner(df)
+
+    monkeypatch.setattr(automl, "stage_table", stage_table)
+    for folder in (None, f"file://{tmp_path}"):
+        monkeypatch.setattr(automl, "shared_folder", lambda spark, folder=folder: folder)
+        assert automl.run_automl(blobs).metrics["Clusters"] == 3.0
+        assert automl.stage_vectors(blobs, 1500, 3000).count() == 1500
+    cores = spark.sparkContext.defaultParallelism
+    assert seen == [min(16, cores), max(min(375, cores), 12), 16, 375]
+
+
 # --- width and missing cells ---------------------------------------------------------------------
 
 
