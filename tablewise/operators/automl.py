@@ -382,7 +382,8 @@ def run_automl(
         if len(labels) < 2:
             raise ValueError(f"Target {target!r} has a single class among the training rows.")
         index = df.sparkSession.createDataFrame(list(zip(labels, map(float, range(len(labels))))), "_class string, label double")
-        marked = marked.join(index, col(target).cast("string") == F.col("_class"), "left")
+        # The size of rows made by the driver is unknown to Spark, which would send all rows of a class to one task.
+        marked = marked.join(F.broadcast(index), col(target).cast("string") == F.col("_class"), "left")
     else:
         marked = marked.withColumn("label", as_double(df, target))
     preprocessor = fit_preprocessor(train, numeric, texts, hash_columns)

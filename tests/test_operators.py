@@ -615,6 +615,24 @@ def test_vectors_are_dealt_over_tasks(spark, monkeypatch, tmp_path):
     assert seen == [min(16, cores), max(min(375, cores), 12), 16, 375]
 
 
+def test_rows_are_not_shuffled_by_class(spark, monkeypatch):
+    """The classes' numbers go to the rows: few classes would be few tasks with all rows."""
+    plans = []
+
+    class Planned(Exception):
+        pass
+
+    def stage_vectors(vectors, rows, width):
+        plans.append(vectors._jdf.queryExecution().sparkPlan().toString())
+        raise Planned
+
+    monkeypatch.setattr(automl, "stage_vectors", stage_vectors)
+    df = frame(spark, [(i, float(i % 23), "abc"[i % 3]) for i in range(300)], "id long, x double, y string")
+    with pytest.raises(Planned):
+        automl.run_automl(df, "y", ["id"])
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+
+
 # --- width and missing cells ---------------------------------------------------------------------
 
 
