@@ -13,7 +13,6 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     OneVsRest,
-    RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, Evaluator
@@ -30,6 +29,7 @@ from ..functions.staging import shared_folder, stage_table, use_checkpoint_dir
 from ..schema import as_double, col, column_roles
 from .describe import column_options, numeric_ranges
 from .features import detect_task_type, judge_features
+from .forest import ForestClassifier
 from .metrics import classification_metrics, regression_metrics, roc_auc
 
 # Fixed values.
@@ -296,7 +296,8 @@ def _classifier(name: str, n: int, n_classes: int, params: dict, seed: int, max_
             maxIter=LOGISTIC_ITERATIONS, regParam=1.0 / (params.get("c", 1.0) * n), standardization=False
         )
     if name == "Random Forest":
-        return RandomForestClassifier(**_forest_params(params, max_depth), seed=seed)
+        forest = _forest_params(params, max_depth)
+        return ForestClassifier(n_classes, forest["numTrees"], forest["maxDepth"], forest["minInstancesPerNode"], seed)
     boost = GBTClassifier(**_boost_params(params), seed=seed)
     return boost if n_classes == 2 else OneVsRest(classifier=boost, rawPredictionCol="rawPrediction")
 

@@ -1,11 +1,17 @@
 """Operators on small edge tables, against pandas, brute force and invariants."""
 
+import json
 import math
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablewise.operators import (
     audit,
@@ -15,6 +21,7 @@ from tablewise.operators import (
     describe,
     features,
     forecast,
+    forest,
     hypothesis,
     isolation,
     metrics,
@@ -633,6 +640,112 @@ def test_rows_are_not_shuffled_by_class(spark, monkeypatch):
     assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
 
 
+def noisy_vectors(spark, width, n=1500, kinds=2):
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(n, width))
+    labels = (points[:, 0] + rng.normal(size=n) > 0) + (rng.random(n) < 0.2) * (kinds > 2)
+    return points, labels, frame(
+        spark, [(Vectors.dense(p), float(y)) for p, y in zip(points, labels)], StructType().add("features", VectorUDT()).add("label", "double")
+    )
+
+
+def plain_tree(bins, labels, weights, classes, min_rows):
+    """Class shares by bin of a tree on one feature, cut at the first best Gini gain until none is left."""
+    shares = {}
+
+    def grow(inside):
+        total = np.bincount(labels[inside], weights[inside], classes)
+        best, where = 0.0, None
+        for cut in sorted(set(bins[inside]))[:-1]:
+            sides = [np.bincount(labels[s], weights[s], classes) for s in (inside[bins[inside] <= cut], inside[bins[inside] > cut])]
+            if min(s.sum() for s in sides) < min_rows:
+                continue
+            gain = sum((s**2).sum() / s.sum() for s in sides) - (total**2).sum() / total.sum()
+            if gain > best + 1e-9:
+                best, where = gain, cut
+        if where is None:
+            shares.update({b: total / total.sum() for b in set(bins[inside])})
+            return
+        grow(inside[bins[inside] <= where])
+        grow(inside[bins[inside] > where])
+
+    grow(np.flatnonzero(weights > 0))
+    return shares
+
+
+@pytest.mark.parametrize("min_rows", [1, 40])
+def test_forest_equals_plain_trees(spark, monkeypatch, min_rows):
+    """Subtrees grown in groups, below nodes split by summed histograms or not, are those of a plain recursion."""
+    points, labels, df = noisy_vectors(spark, 1, kinds=3)
+    estimator = forest.ForestClassifier(3, 4, 30, min_rows, 7)
+    kept = []
+    inner = forest.stage_table
+    monkeypatch.setattr(forest, "stage_table", lambda df: kept.append(inner(df)) or kept[-1])
+    whole = estimator.fit(df.coalesce(1))
+    monkeypatch.setattr(forest, "GROUP_CELLS", 1)  # 64 rows a group
+    splits = []
+    inner_split = forest._Tree.split
+    monkeypatch.setattr(forest._Tree, "split", lambda self, node, found: splits.append(node) or inner_split(self, node, found))
+    parts = estimator.fit(df.repartition(5))
+    cells = sorted((r["bins"], r["label"], r["n"], r["id"]) for r in kept[0].collect())
+    assert sum(n for _, _, n, _ in cells) == 1500 and (len(cells) > 64) == bool(splits)
+    bins, kinds = np.array([c[0][0] for c in cells]), np.array([c[1] for c in cells])
+    drawn = forest._drawn([c[3] for c in cells], [c[2] for c in cells], 4)
+    expected = [plain_tree(bins, kinds, drawn[:, t].astype(float), 3, min_rows) for t in range(4)]
+    for model in (whole, parts):
+        rows = model.transform(df).select("features", "probability", "prediction").collect()
+        own = forest._binned(np.array([r["features"].toArray() for r in rows]), whole.cuts)[:, 0]
+        for r, b in zip(rows, own):
+            assert r["probability"].toArray() == pytest.approx(sum(e[b] for e in expected) / 4, abs=1e-6)
+            assert r["prediction"] == np.argmax(r["probability"].toArray())
+
+
+def test_forest_of_sparse_and_constant_features(spark, monkeypatch):
+    """Zeros count as values, constant features are never cut, and a rule is found among them, in groups of any size."""
+    rows = [(Vectors.sparse(4, {0: 5.0, 1: float(i % 4 - 1), 2: float(i % 50)}), float(i % 4 > 1 and i % 50 > 24)) for i in range(800)]
+    df = frame(spark, rows, StructType().add("features", VectorUDT()).add("label", "double"))
+    for cells in (forest.GROUP_CELLS, 1):
+        monkeypatch.setattr(forest, "GROUP_CELLS", cells)
+        model = forest.ForestClassifier(2, 60, 30, 1, 3).fit(df)
+        assert len(model.cuts[0]) == len(model.cuts[3]) == 0 and list(model.cuts[1]) == [-0.5, 0.5, 1.5] and 25 < len(model.cuts[2]) < 32
+        assert set(np.flatnonzero(model.featureImportances.toArray())) == {1, 2}
+        scored = model.transform(df)
+        assert scored.where("prediction = label").count() > 780
+
+
+_SENT = """
+import sys
+sys.path[:0] = [sys.argv[1]]
+import numpy as np
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import SparkSession
+from tablewise.operators import automl
+spark = (
+    SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.eventLog.enabled", "true")
+    .config("spark.eventLog.compress", "false").config("spark.eventLog.rolling.enabled", "false").config("spark.eventLog.dir", "file://" + sys.argv[2])
+    .config("spark.sql.shuffle.partitions", "4").getOrCreate()
+)
+rng = np.random.default_rng(4)
+rows = [(Vectors.dense(p), float(y)) for p, y in zip(rng.normal(size=(4000, 4)), rng.integers(0, 2, 4000))]
+df = spark.createDataFrame(rows, ["features", "label"]).repartition(4).cache()
+model = automl._classifier("Random Forest", 4000, 2, {"trees": 10}, 42).fit(df)
+print(model.totalNumNodes if hasattr(model, "totalNumNodes") else sum(len(t[0]) for t in model.trees))
+spark.stop()
+"""
+
+
+def test_forest_sends_few_bytes_a_node(tmp_path):
+    """Noisy labels grow trees with the rows: what tasks send to the driver stays a small part of Spark's best splits."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", _SENT, root, str(tmp_path)], capture_output=True, text=True, check=True, timeout=300)
+    nodes = int(done.stdout.split()[-1])
+    (log,) = tmp_path.iterdir()
+    ends = [e for e in map(json.loads, log.read_text().splitlines()) if e["Event"] == "SparkListenerTaskEnd"]
+    sent = sum(e["Task Metrics"]["Result Size"] for e in ends)
+    assert nodes > 10_000
+    assert (sent - 5_000 * len(ends)) / nodes < 20
+
+
 # --- width and missing cells ---------------------------------------------------------------------
 
 
