@@ -31,6 +31,7 @@ from tablewise.operators import (
     tighten,
 )
 from tablewise.functions import rank_scatter
+from tablewise.plans import QUERIES
 from tablewise.schema import column_roles, normalise_missing
 from tablewise.sources import load_table, write_csv
 
@@ -601,6 +602,34 @@ def test_automl_regression_and_clusters(spark, monkeypatch):
     assert [r["count"] for r in automl.cluster_sizes(clusters, blobs).collect()] == [40, 40, 40]
 
 
+def test_automl_regression_reads_the_whole_table(spark, sf_dir, monkeypatch, tmp_path):
+    """Names that are identifiers are found to be so and stay in the result; names that tell the balance are a feature."""
+    monkeypatch.setattr(automl, "N_TREES", 5)
+    monkeypatch.setattr(automl, "BOOST_ROUNDS", 3)
+    monkeypatch.setitem(automl.GRIDS, "Random Forest", {"trees": [3], "depth": [4]})
+    monkeypatch.setitem(automl.GRIDS, "Gradient Boosting", {"rounds": [2], "step": [0.1]})
+    judged = []
+    inner = automl.judge_features
+
+    def judge_features(df, columns):
+        judged.append({v.column: v.reason for v in inner(df, columns)})
+        return inner(df, columns)
+
+    monkeypatch.setattr(automl, "judge_features", judge_features)
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    scored = QUERIES["automl_regression"](spark, sf_dir)
+    assert scored.columns == [*customer.columns, "prediction"]
+    given = sorted(map(tuple, customer.collect()))
+    assert sorted(tuple(r)[:-1] for r in scored.collect()) == given
+    assert judged[0] == {"c_name": "looks like an identifier", "c_nationkey": None, "c_mktsegment": None}
+
+    told = customer.withColumns({"c_name": F.concat(F.lit("name "), F.col("c_custkey") % 6), "c_acctbal": F.col("c_custkey") % 6 * 100.0 + F.col("c_nationkey")})
+    told.write.parquet(f"{tmp_path}/customer.parquet")
+    found = QUERIES["automl_regression"](spark, str(tmp_path)).collect()
+    assert len(found) == len(given) and judged[1]["c_name"] is None
+    assert all(abs(r["prediction"] - r["c_acctbal"]) < 0.01 for r in found)
+
+
 def test_vectors_are_dealt_over_tasks(spark, monkeypatch, tmp_path):
     """A source of one partition and few bytes leaves no estimator with all rows in one task, and no row is lost."""
     monkeypatch.setattr(automl, "FILE_BYTES", 50_000)
